@@ -1 +1,319 @@
-"""Placeholder."""
+"""Event lines: scanning, validation, typed projection and text functions."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from wattledger import functions as fn
+from wattledger.catalog import query
+from wattledger.catalog.attribution import r
+from wattledger.catalog.prelude import iso, with_views as V
+from wattledger.operators import attribution as A
+from wattledger.operators import validate as X
+from wattledger.sources import frames, spool
+from wattledger.sources import tables as T
+
+
+def lines(spark, sf):
+    """Spool lines of the event log with a defect in some of them, chosen by the arrival number.
+
+    Defects by ``arrival % 40``: 0 cut short, 2 version 0.2.0, 4 no version, 6 short id, 8 bad
+    timestamp, 10 extra attribution key, 12 unknown type, 14 unknown type with a short id,
+    16 numeric id, 18 negative or textual number, 20 empty session.
+    """
+    text = X.event_lines(T.facts(spark, sf))
+    m = F.col("arrival") % 40
+    v = F.col("value")
+    swap = lambda pattern, new: F.regexp_replace(v, pattern, new)
+    broken = (
+        F.when(m == 0, F.expr("substring(value, 1, length(value) - 5)"))
+        .when(m == 2, swap('"schema_version":"0.1.0"', '"schema_version":"0.2.0"'))
+        .when(m == 4, swap('"schema_version":"0.1.0",', "").substr(F.lit(1), F.length(v)))
+        .when(m == 4, v)
+        .when(m == 6, swap('"event_id":"[^"]*"', '"event_id":"evt-short"'))
+        .when(m == 8, swap('"ts":"[^"]*"', '"ts":"2024-01-05"'))
+        .when(m == 10, swap('"schema_version"', '"attribution":{"color":"red"},"schema_version"'))
+        .when(m == 12, swap('"type":"[a-z_]+"', '"type":"tool_trace"'))
+        .when(m == 14, F.regexp_replace(swap('"type":"[a-z_]+"', '"type":"tool_trace"'), '"event_id":"[^"]*"', '"event_id":"short"'))
+        .when(m == 16, swap('"event_id":"[^"]*"', '"event_id":12345678901234567890'))
+        .when(m == 18, swap('"payload":\\{', '"payload":{"status":7,"t_start":7,"power_source":7,'))
+        .otherwise(v)
+    )
+    return text.select(
+        broken.alias("line"), "arrival",
+        F.concat("collector", F.lit("."), "session_id", F.lit(".jsonl")).alias("file_name"),
+    )
+
+
+# Lines already carrying an attribution get a second one at m=10: a duplicate key, which is not JSON here.
+_OUTCOME = """
+  SELECT f.event_id, f.session_id, f.type, f.collector, f.arrival, f.arrival % 40 AS m, f.ts_ms,
+    CASE f.arrival % 40 WHEN 0 THEN 'json' WHEN 2 THEN 'unknown_version' WHEN 4 THEN 'schema' WHEN 6 THEN 'schema' WHEN 8 THEN 'schema'
+      WHEN 10 THEN CASE WHEN f.type IN ('action_span','llm_call') AND f.part = 0 THEN 'json' ELSE 'schema' END
+      WHEN 14 THEN 'schema' WHEN 16 THEN 'schema'
+      WHEN 18 THEN CASE WHEN f.type = 'session_meta' OR f.type IN ('action_span','llm_call','energy_sample','process_sample') THEN 'json' END END AS reason_kind
+  FROM facts f"""
+_CLASS = "SELECT *, CASE WHEN reason_kind IS NOT NULL THEN 'rejected' WHEN m = 12 THEN 'opaque' ELSE 'known' END AS outcome FROM o"
+
+
+def _classified(spark, sf):
+    return X.classify(spool.with_origin(lines(spark, sf)))
+
+
+@query("val1_outcomes", V("SELECT arrival, outcome FROM c", o=_OUTCOME, c=_CLASS))
+def _(spark, sf):
+    return _classified(spark, sf).select("arrival", "outcome")
+
+
+@query("val2_syntax", V("SELECT arrival FROM o WHERE reason_kind = 'json'", o=_OUTCOME))
+def _(spark, sf):
+    return _classified(spark, sf).where("reason_kind = 'json'").select("arrival")
+
+
+@query("val3_version_gate", V("SELECT arrival, '0.2.0' AS version FROM o WHERE reason_kind = 'unknown_version'", o=_OUTCOME))
+def _(spark, sf):
+    df = lines(spark, sf).withColumn("v", F.try_parse_json("line"))
+    return df.select("arrival", X.bad_version(F.col("v")).alias("version")).where("version is not null")
+
+
+_PATH = """CASE m WHEN 4 THEN '/schema_version' WHEN 6 THEN '/event_id' WHEN 8 THEN '/ts' WHEN 10 THEN '/attribution' WHEN 14 THEN '/event_id' WHEN 16 THEN '/event_id' END"""
+
+
+@query("val4_contract_violations", V(f"SELECT arrival, {_PATH} AS path FROM o WHERE reason_kind = 'schema'", o=_OUTCOME))
+def _(spark, sf):
+    bad = _classified(spark, sf).where("reason_kind = 'schema'")
+    return bad.select("arrival", F.regexp_extract("reason", r"^schema violation: (/[^:]*):", 1).alias("path"))
+
+
+@query("val5_strict_numbers", V("SELECT event_id, k % 3 = 0 AS rejected FROM calls"))
+def _(spark, sf):
+    """A token count given as text is not an integer."""
+    calls = T.facts(spark, sf).where("type = 'llm_call'")
+    text = X.event_lines(calls)
+    third = F.col("k") % 3 == 0
+    damaged = text.join(T.event_log(spark, sf).select("event_id", "k"), "event_id").withColumn(
+        "line", F.when(third, F.regexp_replace("value", '"input_tokens":([0-9]+)', '"input_tokens":"$1"')).otherwise(F.col("value"))
+    )
+    return X.classify(damaged).select("event_id", (F.col("outcome") == "rejected").alias("rejected"))
+
+
+@query("val6_opaque_events", V(f"SELECT event_id, {iso('ts_ms')} AS ts, session_id, collector, 'tool_trace' AS type FROM c WHERE outcome = 'opaque'", o=_OUTCOME, c=_CLASS))
+def _(spark, sf):
+    return X.opaque_events(_classified(spark, sf)).select("event_id", "ts", "session_id", "collector", "type")
+
+
+@query("val7_reject_text", V("""
+SELECT reason_kind, CASE reason_kind WHEN 'json' THEN 'invalid JSON' WHEN 'schema' THEN 'schema violation' ELSE 'unsupported schema_version' END AS prefix,
+       count(*) AS lines FROM o WHERE reason_kind IS NOT NULL GROUP BY 1, 2""", o=_OUTCOME))
+def _(spark, sf):
+    bad = X.reject_rows(_classified(spark, sf))
+    return bad.groupBy("reason_kind", F.substring_index("reason", ":", 1).alias("prefix")).agg(F.count(F.lit(1)).alias("lines"))
+
+
+@query("val8_typed_calls", V(f"""
+SELECT k.event_id, provider, model_requested, model_served, input_tokens, output_tokens, usage_source, duration_ms, task_id
+FROM calls k JOIN c ON c.event_id = k.event_id AND c.outcome = 'known'""", o=_OUTCOME, c=_CLASS))
+def _(spark, sf):
+    c = F.col("llm_call")
+    return X.known_facts(_classified(spark, sf)).where("type = 'llm_call'").select(
+        "event_id", c["provider"].alias("provider"), c["model_id_requested"].alias("model_requested"),
+        c["model_id_served"].alias("model_served"), c["usage"]["input_tokens"].alias("input_tokens"),
+        c["usage"]["output_tokens"].alias("output_tokens"), c["usage_source"].alias("usage_source"),
+        c["duration_ms"].alias("duration_ms"), F.col("attribution.task_id").alias("task_id"),
+    )
+
+
+@query("val9_type_router", V("SELECT type, count(*) AS events FROM c WHERE outcome = 'known' GROUP BY 1", o=_OUTCOME, c=_CLASS))
+def _(spark, sf):
+    return X.known_facts(_classified(spark, sf)).groupBy("type").agg(F.count(F.lit(1)).alias("events"))
+
+
+@query("val10_parse_instants", V("""
+SELECT c.event_id, c.ts_ms, CASE WHEN type IN ('action_span','energy_sample','process_sample') THEN c.ts_ms END AS t_start_ms,
+       CASE WHEN c.type IN ('action_span','energy_sample','process_sample') THEN CASE WHEN c.event_id LIKE 'boot-%' THEN c.ts_ms ELSE e.end_ms END END AS t_end_ms
+FROM c JOIN ev e ON e.arrival = c.arrival // 2 WHERE outcome = 'known'""", o=_OUTCOME, c=_CLASS))
+def _(spark, sf):
+    return X.known_facts(_classified(spark, sf)).select("event_id", "ts_ms", "t_start_ms", "t_end_ms")
+
+
+@query("val11_format_instants", V(f"SELECT event_id, {iso('end_ms')} AS t_end FROM ev"))
+def _(spark, sf):
+    return T.event_log(spark, sf).select("event_id", fn.format_ms("end_ms").alias("t_end"))
+
+
+@query("val12_canonical_json", V("""
+SELECT event_id, '{"a":' || CAST(k AS VARCHAR) || ',"b":{"x":"' || event_type || '","z":[1,2]}}' AS json FROM ev"""))
+def _(spark, sf):
+    log = T.event_log(spark, sf)
+    text = F.format_string('{ "b": {"z":[1, 2], "x":"%s"},  "a": %d }', "event_type", "k")
+    return log.select("event_id", fn.canonical_json(text).alias("json"))
+
+
+@query("val13_sanitize_id", """
+SELECT doc_id, CASE WHEN s = '' OR s LIKE '.%' THEN 'x' || s ELSE s END AS id
+FROM (SELECT doc_id, regexp_replace(text, '[^A-Za-z0-9._-]', '', 'g') AS s FROM documents)""")
+def _(spark, sf):
+    return T.table(spark, sf, "documents").select("doc_id", fn.sanitize_id("text").alias("id"))
+
+
+@query("val14_attributable", V("SELECT event_id FROM att"))
+def _(spark, sf):
+    return A.spans_of(T.facts(spark, sf)).where(A.is_attributable()).select("event_id")
+
+
+@query("val15_overlap_predicate", V("SELECT event_id FROM spans WHERE s < 1705276800000 AND e > 1705190400000"))
+def _(spark, sf):
+    spans = A.spans_of(T.facts(spark, sf))
+    return spans.where((F.col("span_start") < 1705276800000) & (F.col("span_end") > 1705190400000)).select("event_id")
+
+
+@query("val16_degenerate_predicate", V("SELECT event_id FROM spans WHERE k % 3 = 0 AND locus <> 'remote' AND tool_name <> '__session__'"))
+def _(spark, sf):
+    spans = A.spans_of(T.facts(spark, sf)).withColumn(
+        "span_end", F.when(F.size("pids") == 0, F.col("span_start")).otherwise(F.col("span_end"))
+    )
+    return spans.where(A.is_degenerate()).select("event_id")
+
+
+@query("val17_ingest_metrics", V("""
+SELECT count(*) AS lines, count(*) FILTER (outcome = 'known') AS parsed, count(*) FILTER (outcome = 'opaque') AS opaque,
+       count(*) FILTER (outcome = 'rejected') AS rejected, count(*) FILTER (outcome = 'known') AS inserted, CAST(0 AS BIGINT) AS deduplicated FROM c""", o=_OUTCOME, c=_CLASS))
+def _(spark, sf):
+    from wattledger.plans.store import first_wins
+
+    classified = _classified(spark, sf)
+    return X.ingest_metrics(classified, first_wins(X.known_facts(classified))).drop("bytes")
+
+
+@query("val18_conformance", V("""
+SELECT field, present, total, round(present * 100.0 / total, 6) AS pct, CASE WHEN present * 100.0 / total > 90 THEN 'high' WHEN present * 100.0 / total >= 60 THEN 'partial' ELSE 'low' END AS tier
+FROM (SELECT unnest(['output_tokens','duration_ms','model_served','thought_tokens','quality']) AS field,
+  unnest([count(output_tokens), count(duration_ms), count(model_served), count(thought_tokens), count(k)]) AS present, count(*) AS total FROM calls)"""))
+def _(spark, sf):
+    c = F.col("llm_call")
+    calls = T.facts(spark, sf).where("type = 'llm_call'")
+    out = X.conformance(calls, {
+        "output_tokens": c["usage"]["output_tokens"], "duration_ms": c["duration_ms"], "model_served": c["model_id_served"],
+        "thought_tokens": c["usage"]["thought_tokens"], "quality": c["provider"],
+    })
+    return out.withColumn("pct", r("pct"))
+
+
+@query("src1_spool_names", V("""
+SELECT collector AS collector_file, session_id AS session_file, count(*) AS lines FROM facts GROUP BY 1, 2"""))
+def _(spark, sf):
+    named = spool.with_origin(lines(spark, sf))
+    return named.groupBy("collector_file", "session_file").agg(F.count(F.lit(1)).alias("lines"))
+
+
+@query("src8_event_frames", V("SELECT event_id, '{\"id\":\"' || event_id || '\",' || chr(10) || '\"k\":' || CAST(k AS VARCHAR) || '}' AS data FROM ev"))
+def _(spark, sf):
+    log = T.event_log(spark, sf)
+    frame = F.format_string(': keep-alive\r\nevent: message\r\ndata: {"id":"%s",\r\ndata: "k":%d}\r\n', "event_id", "k")
+    parsed = frames.parse_frames(log.select("event_id", frame.alias("frame")))
+    return parsed.where("v is not null").select("event_id", "data")
+
+
+@query("src12_parquet_scan", V("SELECT type, count(*) AS events, count(DISTINCT session_id) AS sessions FROM facts GROUP BY 1"))
+def _(spark, sf):
+    return T.facts(spark, sf).groupBy("type").agg(F.count(F.lit(1)).alias("events"), F.countDistinct("session_id").alias("sessions"))
+
+
+# ---------------------------------------------------------------- scalar functions
+
+
+@query("sf1_json_text", V("""
+SELECT event_id, CASE k % 5 WHEN 0 THEN 'none' WHEN 1 THEN 'none' WHEN 2 THEN event_type WHEN 3 THEN CAST(k AS VARCHAR) ELSE '{"a":1}' END AS text FROM ev"""))
+def _(spark, sf):
+    k = F.col("k")
+    doc = (
+        F.when(k % 5 == 0, F.lit('{"f":null}')).when(k % 5 == 1, F.lit('{"f":false}'))
+        .when(k % 5 == 2, F.format_string('{"f":"%s"}', "event_type")).when(k % 5 == 3, F.format_string('{"f":%d}', "k"))
+        .otherwise(F.lit('{"f":{"a": 1}}'))
+    )
+    v = F.try_variant_get(F.try_parse_json(doc), "$.f", "variant")
+    return T.event_log(spark, sf).select("event_id", fn.json_text(v, "none").alias("text"))
+
+
+@query("sf2_json_flag", V("SELECT event_id, k % 5 IN (0, 1) AS flag FROM ev"))
+def _(spark, sf):
+    docs = F.element_at(F.array(*[F.lit(d) for d in ('{"f":true}', '{"f":"true"}', '{"f":"yes"}', '{"f":1}', "{}")]), (F.col("k") % 5 + 1).cast("int"))
+    v = F.try_variant_get(F.try_parse_json(docs), "$.f", "variant")
+    return T.event_log(spark, sf).select("event_id", fn.json_flag(v).alias("flag"))
+
+
+@query("sf3_overlap_ms", V("""
+SELECT event_id, greatest(least(end_ms, 1705276800000) - greatest(ts_ms, 1705190400000), 0) AS overlap_ms FROM ev"""))
+def _(spark, sf):
+    day = (F.lit(1705190400000), F.lit(1705276800000))
+    return T.event_log(spark, sf).select("event_id", fn.overlap_ms("ts_ms", "end_ms", *day).alias("overlap_ms"))
+
+
+@query("sf4_share", V("SELECT event_id, round(CASE WHEN k > 0 THEN value / k ELSE 0 END, 6) AS share FROM ev"))
+def _(spark, sf):
+    return T.event_log(spark, sf).select("event_id", r(fn.share("value", "k")).alias("share"))
+
+
+@query("sf5_clamp", V("SELECT event_id, least(greatest(value, 10.0), 100.0) AS clamped FROM ev"))
+def _(spark, sf):
+    return T.event_log(spark, sf).select("event_id", fn.clamp("value", 10.0, 100.0).alias("clamped"))
+
+
+@query("sf7_provider_id", "SELECT p_partkey, lower(trim('  ' || p_name || ' ')) AS provider FROM part")
+def _(spark, sf):
+    return T.table(spark, sf, "part").select("p_partkey", fn.provider_id(F.concat(F.lit("  "), "p_name", F.lit(" "))).alias("provider"))
+
+
+@query("sf8_digest_prefix", "SELECT doc_id, substr(sha256(text), 1, 24) AS digest FROM documents")
+def _(spark, sf):
+    return T.table(spark, sf, "documents").select("doc_id", fn.digest_prefix("text", 24).alias("digest"))
+
+
+@query("sf9_safe_component", """
+SELECT page_id, CASE WHEN regexp_full_match(c, '[A-Za-z0-9_-]+') THEN c ELSE substr(sha256(c), 1, 32) END AS component
+FROM (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'page-' || CAST(page_id AS VARCHAR) ELSE url END AS c FROM pages)""")
+def _(spark, sf):
+    name = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("page-"), F.col("page_id").cast("string"))).otherwise(F.col("url"))
+    return T.table(spark, sf, "pages").select("page_id", fn.safe_component(name).alias("component"))
+
+
+@query("sf10_local_day", V("""
+SELECT event_id, (ts_ms - 330 * 60000) // 86400000 AS day, strftime(make_timestamp(CAST((ts_ms - 330 * 60000) * 1000 AS BIGINT)), '%Y-%m-%d') AS date FROM ev"""))
+def _(spark, sf):
+    return T.event_log(spark, sf).select(
+        "event_id", fn.local_day("ts_ms", -330).alias("day"), fn.day_text(fn.local_day("ts_ms", -330)).alias("date")
+    )
+
+
+@query("sf11_energy_units", V("SELECT event_id, round(value * 3.6e6, 4) AS joules, round(value / 3.6e6, 12) AS kwh FROM ev"))
+def _(spark, sf):
+    return T.event_log(spark, sf).select(
+        "event_id", r(fn.kwh_to_joules("value"), 4).alias("joules"), r(fn.joules_to_kwh("value"), 12).alias("kwh")
+    )
+
+
+@query("sf12_range_mean", V("""
+SELECT event_id, round(CASE WHEN k % 4 <> 0 AND k % 5 <> 0 THEN (value + k) / 2 END, 6) AS mean FROM ev"""))
+def _(spark, sf):
+    k = F.col("k").cast("double")
+    low = F.when(F.col("k") % 4 != 0, F.col("value"))
+    high = F.when(F.col("k") % 5 == 0, F.lit(float("inf"))).otherwise(k)
+    return T.event_log(spark, sf).select("event_id", r(fn.range_mean(low, high)).alias("mean"))
+
+
+@query("sf13_criterion", V("SELECT event_id, 'kWh' AS unit, lo AS min, hi AS max FROM crit WHERE criterion = 'energy' AND unit = 'kWh'"))
+def _(spark, sf):
+    rows = T.estimates(spark, sf).where("status = 'ok'").select("event_id", F.inline("impacts"))
+    return rows.where("criterion = 'energy' and unit = 'kWh'").select("event_id", "unit", "min", "max")
+
+
+@query("sf14_policy_name", V("SELECT DISTINCT policy_id, split_part(policy_id, '/', 1) AS policy FROM head"))
+def _(spark, sf):
+    samples = A.apportion_facts(T.facts(spark, sf)).samples
+    return samples.select("policy_id", fn.policy_name("policy_id").alias("policy")).distinct()
+
+
+@query("sf15_instant_round_trip", V(f"SELECT event_id, {iso('ts_ms')} AS ts, ts_ms FROM ev"))
+def _(spark, sf):
+    text = fn.format_ms("ts_ms")
+    return T.event_log(spark, sf).select("event_id", text.alias("ts"), fn.parse_ms(text).alias("ts_ms"))
