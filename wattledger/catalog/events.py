@@ -249,9 +249,9 @@ def _(spark, sf):
     return T.event_log(spark, sf).select("event_id", fn.overlap_ms("ts_ms", "end_ms", *day).alias("overlap_ms"))
 
 
-@query("sf4_share", V("SELECT event_id, round(CASE WHEN k > 0 THEN value / k ELSE 0 END, 6) AS share FROM ev"))
+@query("sf4_share", V("SELECT event_id, CASE WHEN k > 0 THEN value / k ELSE 0 END AS share FROM ev"))
 def _(spark, sf):
-    return T.event_log(spark, sf).select("event_id", r(fn.share("value", "k")).alias("share"))
+    return T.event_log(spark, sf).select("event_id", fn.share("value", "k").alias("share"))
 
 
 @query("sf5_clamp", V("SELECT event_id, least(greatest(value, 10.0), 100.0) AS clamped FROM ev"))
