@@ -1 +1,400 @@
-"""Placeholder."""
+"""Observability queries and interactive views."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from wattledger.catalog import query
+from wattledger.catalog.attribution import TRACE_SQL, _ISLANDS, r
+from wattledger.catalog.events import _CLASS, _OUTCOME, _classified
+from wattledger.catalog.impacts import _ALL, _SUMS, joins
+from wattledger.catalog.prelude import iso, with_views as V
+from wattledger.operators import attribution as A
+from wattledger.operators import estimation as E
+from wattledger.operators import intervals as I
+from wattledger.operators import validate as X
+from wattledger.plans import observability as OBS
+from wattledger.plans import reads as R
+from wattledger.plans import views as W
+from wattledger.sources import tables as T
+
+NOW_MS = 1706659200000  # 2024-01-31T00:00:00Z
+_TS = iso("ts_ms")
+
+
+def _calls(spark, sf):
+    return E.calls_of(T.facts(spark, sf))
+
+
+def _trace(spark, sf):
+    f = T.facts(spark, sf)
+    app = A.apportion_facts(f)
+    return OBS.allocation_trace(app, A.trace_rows(app, A.samples_of(f), A.spans_of(f)))
+
+
+_TRACE = TRACE_SQL.replace("round(g.w, 2)", "g.w").replace("round(g.j, 6)", "g.j").replace("round(p.l1_j, 6)", "p.l1_j")
+_STATUS = """SELECT c.session_id, c.model_requested, CASE WHEN e.event_id IS NULL THEN 'pending' ELSE coalesce(e.status, 'error') END AS status FROM calls c LEFT JOIN ests e USING (event_id)"""
+
+
+# ---------------------------------------------------------------- observability
+
+
+@query("ob1_report_by_model", V("""
+SELECT split_part(g, '|', 1) AS session_id, split_part(g, '|', 2) AS model_requested, criterion, unit, round(lo, 9) AS min, round(hi, 9) AS max, contributors
+FROM sums WHERE mismatches = 0""", scoped="SELECT k.session_id || '|' || k.model_requested AS g, c.* FROM crit c JOIN calls k USING (event_id)", sums=_SUMS))
+def _(spark, sf):
+    out = OBS.report_by_model(_calls(spark, sf), T.estimates(spark, sf)).drop("mismatches")
+    return out.withColumns({"min": r("min", 9), "max": r("max", 9)})
+
+
+_HISTO = V("""
+SELECT s.session_id, d.status, count(st.status) AS calls FROM (SELECT DISTINCT session_id FROM calls) s
+CROSS JOIN (SELECT unnest(['ok','pending','unknown_model','missing_zone','error']) AS status) d LEFT JOIN st ON st.session_id = s.session_id AND st.status = d.status GROUP BY 1, 2""", st=_STATUS)
+
+
+@query("ob2_status_histogram", _HISTO)
+def _(spark, sf):
+    return OBS.status_histogram(_calls(spark, sf), T.estimates(spark, sf))
+
+
+@query("vw22_histogram_order", V("""
+SELECT d.status, d.position, count(st.status) AS calls FROM (SELECT unnest(['ok','pending','unknown_model','missing_zone','error']) AS status, unnest([1,2,3,4,5]) AS position) d
+LEFT JOIN st USING (status) GROUP BY 1, 2""", st=_STATUS))
+def _(spark, sf):
+    """The histogram over all sessions, in its fixed order."""
+    from wattledger import schemas as S
+
+    order = F.array_position(F.array(*[F.lit(s) for s in S.ESTIMATE_STATUSES]), F.col("status"))
+    out = OBS.status_histogram(_calls(spark, sf), T.estimates(spark, sf)).groupBy("status").agg(F.sum("calls").alias("calls"))
+    return out.withColumn("position", order.cast("int")).orderBy("position")
+
+
+@query("vw20_per_model", V("""
+SELECT session_id, model_requested, string_agg(DISTINCT status, ', ' ORDER BY status) AS statuses, bool_or(status = 'unknown_model') AS is_unknown FROM st GROUP BY 1, 2""", st=_STATUS))
+def _(spark, sf):
+    return OBS.per_model_statuses(_calls(spark, sf), T.estimates(spark, sf))
+
+
+def _rejects(spark, sf):
+    return X.reject_rows(_classified(spark, sf))
+
+
+_REJ = "SELECT collector || ':' || session_id AS origin, arrival AS id FROM c WHERE outcome = 'rejected'"
+_HEALTH = f"""
+  SELECT f.collector, f.session_id, count(*) AS events, '0.1.0' AS version, max({_TS}) AS last_seen, string_agg(DISTINCT type, ',' ORDER BY type) AS emits, max(arrival) AS "offset",
+    coalesce(any_value(x.n), 0) AS rejects, CASE WHEN f.collector LIKE 'otlp-%' THEN 'otlp' ELSE 'spool' END AS transport
+  FROM facts f LEFT JOIN (SELECT origin, count(*) AS n FROM rej GROUP BY 1) x ON x.origin = f.collector || ':' || f.session_id GROUP BY 1, 2"""
+_HX = dict(o=_OUTCOME, c=_CLASS, rej=_REJ, health=_HEALTH)
+
+
+def _health(spark, sf):
+    return OBS.collector_health(T.facts(spark, sf), _rejects(spark, sf))
+
+
+@query("ob3_collector_health", V("SELECT * FROM health", **_HX))
+def _(spark, sf):
+    return _health(spark, sf)
+
+
+@query("ob4_retired_totals", V(f"""
+SELECT collector, CAST(sum(events) AS BIGINT) AS events, CAST(sum(rejects) AS BIGINT) AS rejects, count(*) AS sessions, max(last_seen) AS last_seen FROM health
+WHERE session_id IN (SELECT session_id FROM facts GROUP BY 1 HAVING {NOW_MS} - max(ts_ms) >= 86400000) GROUP BY 1""", **_HX))
+def _(spark, sf):
+    return OBS.retired_totals(_health(spark, sf), OBS.idle_sessions(T.facts(spark, sf), NOW_MS, 86_400_000))
+
+
+@query("ob5_loss_totals", V("""
+SELECT count(*) AS spool, CAST(0 AS BIGINT) AS otlp, count(*) AS total, least(count(*), 100) AS in_window, count(*) - least(count(*), 100) AS dropped_from_window FROM rej""", **{k: _HX[k] for k in ("o", "c", "rej")}))
+def _(spark, sf):
+    return OBS.loss_totals(_rejects(spark, sf))
+
+
+@query("ob6_reject_keys", V("SELECT origin, count(*) AS rejects FROM rej GROUP BY 1", **{k: _HX[k] for k in ("o", "c", "rej")}))
+def _(spark, sf):
+    bad = _classified(spark, sf).where("outcome = 'rejected'")
+    return bad.groupBy(OBS.reject_key(F.col("file_name")).alias("origin")).agg(F.count(F.lit(1)).alias("rejects"))
+
+
+@query("ob7_watchdog", V("""
+SELECT l.session_id, CAST(p.pos AS INTEGER) AS pos, p.pid, coalesce(p.orphan_of, own.span_id, '') AS span_id, coalesce(CASE WHEN p.orphan_of IS NOT NULL THEN nm.tool_name ELSE own.tool_name END, 'unknown (no command line observed)') AS cmd,
+  round(p.cpu / CAST(p.w1 - p.w0 AS DOUBLE) * 100, 6) AS cpu_pct, CAST(p.rss AS BIGINT) AS rss_bytes,
+  CASE WHEN p.orphan_of IS NOT NULL THEN 'orphaned' WHEN EXISTS (SELECT 1 FROM roots r WHERE r.session_id = l.session_id AND r.pid = p.pid) AND own.span_id IS NULL THEN 'agent' ELSE 'open' END AS state
+FROM (SELECT session_id, arg_max(window_id, (ts_ms, window_id)) AS window_id FROM wins GROUP BY 1) l JOIN procs p USING (window_id)
+LEFT JOIN LATERAL (SELECT span_id, tool_name FROM spans s WHERE s.session_id = l.session_id AND (list_contains(s.pids, p.pid) OR (len(s.pids) = 0 AND EXISTS (SELECT 1 FROM roots r WHERE r.session_id = l.session_id AND r.pid = p.pid)))
+  ORDER BY ts_ms, event_id LIMIT 1) own ON p.orphan_of IS NULL
+LEFT JOIN LATERAL (SELECT tool_name FROM spans s WHERE s.session_id = l.session_id AND s.span_id = p.orphan_of ORDER BY ts_ms, event_id LIMIT 1) nm ON true"""))
+def _(spark, sf):
+    return OBS.watchdog(T.facts(spark, sf)).drop("orphaned_since", "outlived_span_by_ms").withColumn("cpu_pct", r("cpu_pct"))
+
+
+@query("ob8_allocation_trace", V("""
+SELECT t.sample_id, t.event_id, t.span_id, round(CASE WHEN s.energy_j > 0 THEN t.allocated_j / s.energy_j ELSE 0 END, 6) AS share, t.excluded FROM tr t JOIN samples s USING (sample_id)""", tr=_TRACE))
+def _(spark, sf):
+    _, rows = _trace(spark, sf)
+    return rows.select("sample_id", "event_id", "span_id", r("share").alias("share"), "excluded")
+
+
+def _decisions(spark, sf):
+    f = T.facts(spark, sf)
+    app = A.apportion_facts(f)
+    return OBS.decision_log(f, app, A.trace_rows(app, A.samples_of(f), A.spans_of(f)))
+
+
+@query("ob9_decision_log", V("""
+SELECT 'ingest' AS kind, count(*) AS lines FROM facts UNION ALL SELECT 'span_open', count(*) FROM spans UNION ALL SELECT 'attr', count(*) FROM samples
+UNION ALL SELECT 'orphan', count(*) FROM split WHERE orphaned_j > 0"""))
+def _(spark, sf):
+    return _decisions(spark, sf).where("text is not null").groupBy("kind").agg(F.count(F.lit(1)).alias("lines"))
+
+
+@query("ob9_ingest_lines", V(f"""
+SELECT event_id AS ref, 'llm_call ' || model_requested || ' in=' || CAST(input_tokens AS VARCHAR) || ' out=' || coalesce(CAST(output_tokens AS VARCHAR), '?') || ' src=' || usage_source || ' session=' || session_id AS text FROM calls
+UNION ALL SELECT event_id, 'action_span ' || tool_name || ' (' || tool_kind || ') ' || {iso('s')} || '→' || {iso('e')} || ' session=' || session_id FROM spans"""))
+def _(spark, sf):
+    f = T.facts(spark, sf).where("type in ('llm_call', 'action_span')")
+    log = OBS.decision_log(f, A.apportion_facts(T.facts(spark, sf)), A.trace_rows(A.apportion_facts(f), A.samples_of(f), A.spans_of(f)))
+    return log.where("kind = 'ingest'").select("ref", "text")
+
+
+@query("ob10_session_headers", V(f"""
+SELECT f.session_id, any_value(m.app) AS agent_app, min({_TS}) AS t_start, max({_TS}) AS last_ts, count(*) AS events, coalesce(any_value(p.policy), 'none') AS applied_policy_id, 55.0::DOUBLE AS grid_g_per_kwh FROM facts f
+LEFT JOIN (SELECT session_id, arg_min(['claude-code','codex','opencode'][k % 3 + 1], event_id) AS app FROM ev WHERE event_type = 'signup' GROUP BY 1) m ON m.session_id = f.session_id
+LEFT JOIN (SELECT session_id, CASE WHEN bool_or(policy_id LIKE 'l2%') THEN 'l2_cpu_time/v1' WHEN bool_or(policy_id LIKE 'l1%') THEN 'l1_wall_clock/v1' ELSE 'none' END AS policy FROM head GROUP BY 1) p ON p.session_id = f.session_id
+GROUP BY 1"""))
+def _(spark, sf):
+    f = T.facts(spark, sf)
+    return OBS.session_headers(f, A.apportion_facts(f), (0.05, 0.06)).withColumn("grid_g_per_kwh", r("grid_g_per_kwh"))
+
+
+@query("ob11_session_list", V(f"SELECT session_id, count(*) AS events, min({_TS}) AS first_ts, max({_TS}) AS last_ts FROM facts GROUP BY 1"))
+def _(spark, sf):
+    return OBS.session_list(R.session_summaries(T.facts(spark, sf)))
+
+
+@query("ob12_trailing_snapshot", V("""
+SELECT CASE WHEN type = 'energy_sample' THEN 'allocs' ELSE 'facts' END AS branch, event_id, ts_ms FROM facts WHERE ts_ms >= (SELECT max(ts_ms) FROM facts) - 3600000"""))
+def _(spark, sf):
+    frames = T.facts(spark, sf).select(F.when(F.col("type") == "energy_sample", "allocs").otherwise("facts").alias("branch"), "event_id", "ts_ms")
+    return OBS.trailing(frames, "ts_ms", 3_600_000)
+
+
+@query("ob17_agent_states", V(f"""
+SELECT a.agent, h.last AS agent_last_ts, CASE WHEN h.last IS NULL THEN 'silent' ELSE 'receiving' END AS state FROM (SELECT unnest(['claude-code','codex','opencode']) AS agent) a
+LEFT JOIN (SELECT CASE collector WHEN 'cc-hooks' THEN 'claude-code' WHEN 'otlp-codex' THEN 'codex' END AS agent, max({_TS}) AS last FROM facts WHERE {_TS} >= '2024-01-29T00:00:00.000Z' GROUP BY 1) h USING (agent)"""))
+def _(spark, sf):
+    activity = R.recent_activity(T.facts(spark, sf), "2024-01-29T00:00:00.000Z")
+    return OBS.agent_states(activity, ["claude-code", "codex", "opencode"])
+
+
+@query("ob18_idle_sessions", V(f"SELECT session_id, max(ts_ms) AS last_ms, {NOW_MS} - max(ts_ms) AS idle_ms FROM facts GROUP BY 1 HAVING {NOW_MS} - max(ts_ms) >= 600000"))
+def _(spark, sf):
+    return OBS.idle_sessions(T.facts(spark, sf), NOW_MS)
+
+
+# ---------------------------------------------------------------- views
+
+
+@query("vw1_event_stream", V("SELECT event_id, ts_ms, count(*) OVER () AS total FROM facts WHERE type <> 'process_sample' ORDER BY ts_ms DESC, arrival LIMIT 400"))
+def _(spark, sf):
+    return W.event_stream(T.facts(spark, sf), ("process_sample",)).select("event_id", "ts_ms", "total")
+
+
+@query("vw2_neighbourhood", V("""
+SELECT event_id, row_number() OVER (PARTITION BY event_id ORDER BY d, o_arrival) AS rank, other_id, offset_ms FROM (
+  SELECT a.event_id, b.event_id AS other_id, b.ts_ms - a.ts_ms AS offset_ms, abs(b.ts_ms - a.ts_ms) AS d, b.arrival AS o_arrival
+  FROM facts a JOIN facts b ON b.ts_ms BETWEEN a.ts_ms - 600000 AND a.ts_ms + 600000 AND a.event_id <> b.event_id)
+QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY d, o_arrival) <= 5"""))
+def _(spark, sf):
+    """The five nearest facts within ten minutes of each fact."""
+    return W.neighbours(T.facts(spark, sf), 600_000, 5, cell_ms=6_000_000)
+
+
+@query("vw3_samples_of_spans", V("SELECT p.event_id, s.sample_id, s.t0 AS sample_start FROM spans p JOIN samples s ON s.session_id = p.session_id AND p.s < s.t1 AND p.e > s.t0"))
+def _(spark, sf):
+    f = T.facts(spark, sf)
+    spans = A.spans_of(f).select("session_id", "event_id", "span_start", "span_end")
+    samples = A.samples_of(f).select("session_id", "sample_id", "sample_start", "sample_end")
+    return I.overlap_join(spans, samples, ["session_id"], ("span_start", "span_end"), ("sample_start", "sample_end")).select("event_id", "sample_id", "sample_start")
+
+
+@query("vw4_span_energy", V("SELECT s.session_id, t.span_id, t.sample_id, round(sum(t.allocated_j), 6) AS span_j, bool_and(t.excluded) AS excluded FROM tr t JOIN samples s USING (sample_id) GROUP BY 1, 2, 3", tr=_TRACE))
+def _(spark, sf):
+    samples, rows = _trace(spark, sf)
+    return W.span_segments(samples, rows).select("session_id", "span_id", "sample_id", r("span_j").alias("span_j"), "excluded")
+
+
+@query("vw5_share_segments", V("""
+SELECT kind, count(*) AS parts, round(sum(j), 3) AS value_j FROM (SELECT 'row' AS kind, allocated_j AS j FROM tr UNION ALL SELECT 'agent', orphaned_j FROM split UNION ALL SELECT 'baseline', baseline_j FROM split) GROUP BY 1""", tr=_TRACE))
+def _(spark, sf):
+    parts = W.share_segments(*_trace(spark, sf))
+    return parts.groupBy("kind").agg(F.count(F.lit(1)).alias("parts"), F.round(F.sum("value_j"), 3).alias("value_j"))
+
+
+_LIST = """
+SELECT s.sample_id, coalesce(x.n, 0) AS n_rows, coalesce(x.ex, 0) AS n_excluded, round(coalesce(x.j, 0), 6) AS rows_j, round(s.energy_j / greatest(0.001, (s.t1 - s.t0) / 1000.0), 9) AS avg_watts,
+       round(CASE WHEN s.energy_j > 0 THEN abs(s.baseline_j) / s.energy_j ELSE 0 END, 6) AS baseline_share, s.shadow > 1 AS over_attributes
+FROM split s LEFT JOIN (SELECT sample_id, count(*) AS n, count(*) FILTER (excluded) AS ex, sum(allocated_j) AS j FROM tr GROUP BY 1) x USING (sample_id)"""
+
+
+def _list(spark, sf):
+    out = W.sample_list(*_trace(spark, sf))
+    return out.select(
+        "sample_id", "n_rows", "n_excluded", r("rows_j").alias("rows_j"), r("avg_watts", 9).alias("avg_watts"),
+        F.round(F.abs("baseline_share"), 6).alias("baseline_share"), "over_attributes",
+    )
+
+
+@query("vw6_sample_list", V(_LIST, tr=_TRACE))
+def _(spark, sf):
+    return _list(spark, sf)
+
+
+@query("vw7_sample_stats", V(f"SELECT over_attributes, count(*) AS samples, CAST(sum(n_rows) AS BIGINT) AS span_rows FROM ({_LIST}) GROUP BY 1", tr=_TRACE))
+def _(spark, sf):
+    return _list(spark, sf).groupBy("over_attributes").agg(F.count(F.lit(1)).alias("samples"), F.sum("n_rows").alias("span_rows"))
+
+
+@query("vw8_largest_share", V("""
+SELECT sample_id, arg_min(span_id, (CASE WHEN excluded THEN 0 ELSE 1 END, event_id)) AS span_id, round(any_value(j), 6) AS share FROM (
+  SELECT t.*, round(t.allocated_j / s.energy_j, 9) AS j, max(round(t.allocated_j / s.energy_j, 9)) OVER (PARTITION BY sample_id) AS top FROM tr t JOIN samples s USING (sample_id)) WHERE j = top GROUP BY 1""", tr=_TRACE))
+def _(spark, sf):
+    _, rows = _trace(spark, sf)
+    return W.largest_share(rows.withColumn("share", r("share", 9))).withColumn("share", r("share"))
+
+
+@query("vw9_exclusion_notes", V("SELECT sample_id, count(*) AS n_excluded, 'execution_locus: remote — not measured on this machine' AS reasons FROM tr WHERE excluded GROUP BY 1", tr=_TRACE))
+def _(spark, sf):
+    out = W.sample_list(*_trace(spark, sf)).where("n_excluded > 0")
+    return out.select("sample_id", "n_excluded", F.col("excluded_reasons").alias("reasons"))
+
+
+_LANES = """
+  SELECT f.event_id, f.type, CASE WHEN f.type = 'llm_call' THEN f.ts_ms - CASE WHEN f.k % 4 <> 0 THEN f.k * 20 ELSE 0 END ELSE f.ts_ms END AS start_ms,
+    CASE WHEN f.type = 'llm_call' OR f.part = 1 THEN f.ts_ms ELSE e.end_ms END AS end_ms, e.value, f.k, f.session_id
+  FROM facts f JOIN ev e ON e.arrival = f.arrival // 2 WHERE f.type <> 'session_meta'"""
+_VIEW = "SELECT * FROM lanes WHERE end_ms >= (SELECT max(ts_ms) FROM ev) - 180000"
+
+
+@query("vw10_timeline", V("SELECT event_id, type, start_ms, end_ms FROM tl", lanes=_LANES, tl=_VIEW))
+def _(spark, sf):
+    return W.timeline(T.facts(spark, sf)).select("event_id", "type", "start_ms", "end_ms")
+
+
+@query("vw11_normalised_levels", V("""
+SELECT event_id, round(level, 9) AS level, round(level / max(level) OVER (), 6) AS normalised FROM (SELECT event_id, value * 10 / ((end_ms - start_ms) / 1000.0) AS level FROM tl WHERE type = 'energy_sample')""", lanes=_LANES, tl=_VIEW))
+def _(spark, sf):
+    view = W.timeline(T.facts(spark, sf)).where("type = 'energy_sample'")
+    watts = A.sample_joules(F.col("energy_sample.components")) / ((F.col("end_ms") - F.col("start_ms")) / 1000.0)
+    return W.normalised_levels(view, watts).select("event_id", r("level", 9).alias("level"), r("normalised").alias("normalised"))
+
+
+@query("vw12_span_tracks")
+def _(spark, sf):
+    spans = A.spans_of(T.facts(spark, sf)).where("tool_name <> '__session__'")
+    return I.assign_tracks(spans, ["session_id"], "span_start", "span_end", "event_id")
+
+
+@query("vw13_decision_caps", V(f"""
+SELECT kind, ts, text FROM (
+  SELECT * FROM (SELECT 'attr' AS kind, {iso('t1')} AS ts, sample_id AS text FROM samples ORDER BY ts DESC, text DESC LIMIT 8)
+  UNION ALL SELECT * FROM (SELECT 'span_open', {_TS} AS ts, event_id FROM spans ORDER BY ts DESC, event_id DESC LIMIT 30)) ORDER BY ts DESC, text DESC LIMIT 30"""))
+def _(spark, sf):
+    f = T.facts(spark, sf)
+    attr = f.where("type = 'energy_sample'").select(F.lit("attr").alias("kind"), F.col("energy_sample.t_end").alias("ts"), F.col("event_id").alias("text"))
+    opened = f.where("type = 'action_span'").select(F.lit("span_open").alias("kind"), "ts", F.col("event_id").alias("text"))
+    return W.capped_decisions(attr.unionByName(opened))
+
+
+@query("vw14_rail", V(f"""
+SELECT collector, type, count(*) AS events, max(ts_ms) AS last_ms, CASE WHEN 1706659200000 - 300000 - max(ts_ms) < 12000 THEN 'live' WHEN 1706659200000 - 300000 - max(ts_ms) < 45000 THEN 'quiet' ELSE 'idle' END AS tier FROM facts GROUP BY 1, 2"""))
+def _(spark, sf):
+    return W.rail(T.facts(spark, sf), NOW_MS - 300_000)
+
+
+@query("vw15_orphans", V("SELECT session_id, count(*) AS orphans, string_agg(DISTINCT orphan_of, ', ' ORDER BY orphan_of) AS spans FROM procs WHERE orphan_of IS NOT NULL AND k = 50 GROUP BY 1"))
+def _(spark, sf):
+    procs = T.facts(spark, sf).where("type = 'process_sample'").select("session_id", F.inline("process_sample.processes"))
+    lost = procs.where("orphan_of is not null and memory_rss_bytes = 50 * 4096")
+    return lost.groupBy("session_id").agg(F.count(F.lit(1)).alias("orphans"), F.array_join(F.array_sort(F.collect_set("orphan_of")), ", ").alias("spans"))
+
+
+@query("vw16_retained_facts", V("SELECT event_id, count(*) OVER () AS total FROM facts ORDER BY arrival DESC LIMIT 4000"))
+def _(spark, sf):
+    f = T.facts(spark, sf)
+    return R.keep_newest(f, "arrival", W.RETAINED_FACTS).select("event_id", F.lit(None).cast("bigint").alias("n")).withColumn(
+        "total", f.agg(F.count(F.lit(1)).alias("n")).scalar()
+    ).drop("n")
+
+
+@query("vw17_span_upsert", V("""
+SELECT session_id, span_id, arg_max(event_id, (CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END, arrival)) AS event_id, bool_or(k % 2 = 0) AS is_closed FROM spans WHERE tool_name <> '__session__' GROUP BY 1, 2"""))
+def _(spark, sf):
+    """Updates of spans that share an id; the even ``k`` ones are closes."""
+    f = T.facts(spark, sf).where("type = 'action_span' and action_span.tool_name <> '__session__'")
+    closed = F.col("action_span.status").isin("ok", "cancelled")
+    updates = f.select("session_id", F.col("action_span.span_id").alias("span_id"), "event_id", closed.alias("is_closed"), F.col("arrival").alias("seq"))
+    return W.latest_span_state(updates).drop("seq")
+
+
+@query("vw18_spans_in_hours", V("SELECT h.hour, p.event_id FROM (SELECT DISTINCT ts_ms // 3600000 AS hour FROM ev WHERE event_type = 'purchase' AND k < 10) h JOIN spans p ON p.s < (h.hour + 1) * 3600000 AND p.e > h.hour * 3600000"))
+def _(spark, sf):
+    """Spans overlapping chosen hours, over all sessions."""
+    lane = F.lit(0).alias("lane")
+    hours = T.event_log(spark, sf).where("event_type = 'purchase' and k < 10").select(F.floor(F.col("ts_ms") / 3_600_000).alias("hour")).distinct()
+    windows = hours.select(lane, "hour", (F.col("hour") * 3_600_000).alias("h0"), ((F.col("hour") + 1) * 3_600_000).alias("h1"))
+    spans = A.spans_of(T.facts(spark, sf)).select(lane, "event_id", "span_start", "span_end")
+    return I.overlap_join(windows, spans, ["lane"], ("h0", "h1"), ("span_start", "span_end")).select("hour", "event_id")
+
+
+@query("vw19_criteria_table", V("""
+SELECT j.unit_key, c.criterion, coalesce(CASE WHEN c.criterion = 'energy' AND j.kwh IS NOT NULL THEN 'kWh' WHEN c.criterion = 'gwp' AND j.kwh IS NOT NULL THEN 'kgCO2eq' END, s.unit, '—') AS unit,
+  round(CASE c.criterion WHEN 'energy' THEN j.kwh WHEN 'gwp' THEN j.kwh * 0.055 END, 12) AS local_mean, round((s.lo + s.hi) / 2, 12) AS remote_mean
+FROM joined j CROSS JOIN (SELECT unnest(['adpe','energy','gwp','pe','water']) AS criterion) c LEFT JOIN sums s ON s.g = j.unit_key AND s.criterion = c.criterion AND s.mismatches = 0""", **_ALL))
+def _(spark, sf):
+    return W.criteria_table(joins(spark, sf)).select("unit_key", "criterion", "unit", r("local_mean", 12).alias("local_mean"), r("remote_mean", 12).alias("remote_mean"))
+
+
+@query("vw21_token_only_misses", V("""
+SELECT j.session_id, round(j.kwh, 9) AS local_kwh, round(j.coverage, 6) AS coverage, true AS baseline_share_excluded, round(s.o, 6) AS orphaned_j, s.l2 > 0 AS agent_share_in_orphaned
+FROM joined j JOIN (SELECT session_id, sum(orphaned_j) AS o, count(*) FILTER (policy_id LIKE 'l2%') AS l2 FROM split GROUP BY 1) s USING (session_id) WHERE j.level = 'session'""", **_ALL))
+def _(spark, sf):
+    out = W.token_only_misses(joins(spark, sf)).drop("unmeasured_remote_spans")
+    return out.withColumns({"local_kwh": r("local_kwh", 9), "coverage": r("coverage"), "orphaned_j": r("orphaned_j")})
+
+
+@query("vw24_provenance", V("SELECT usage_source, CAST(k % 4 AS INTEGER) AS rank, k % 4 >= 2 AS alarm, count(*) AS calls FROM calls GROUP BY 1, 2, 3"))
+def _(spark, sf):
+    calls = _calls(spark, sf).groupBy("usage_source").agg(F.count(F.lit(1)).alias("calls"))
+    rank = W.provenance_rank(F.col("usage_source"))
+    return calls.select("usage_source", rank.alias("rank"), (rank >= 2).alias("alarm"), "calls")
+
+
+@query("vw24_method_class", V("SELECT 'rapl' AS method, 'measured' AS class, CAST(sum(CASE k % 3 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 1 END) AS BIGINT) AS components FROM samples"))
+def _(spark, sf):
+    parts = T.facts(spark, sf).where("type = 'energy_sample'").select(F.inline("energy_sample.components"))
+    return parts.groupBy("method", W.method_class(F.col("method")).alias("class")).agg(F.count(F.lit(1)).alias("components"))
+
+
+@query("vw26_fact_texts", V("""
+SELECT event_id, model_requested || ' · in ' || CAST(input_tokens AS VARCHAR) || ' · out ' || CAST(coalesce(output_tokens, 0) AS VARCHAR)
+   || CASE WHEN thought_tokens > 0 THEN ' · think ' || CAST(thought_tokens AS VARCHAR) ELSE '' END || CASE WHEN duration_ms IS NOT NULL THEN ' · ' || CAST(duration_ms AS VARCHAR) || ' ms' ELSE '' END AS facts, usage_source AS source, status FROM calls
+UNION ALL SELECT event_id, tool_name || ' · ' || CAST(e - s AS VARCHAR) || ' ms · ' || tool_kind || '/' || locus, '—', status FROM spans
+UNION ALL SELECT window_id, CASE WHEN k % 13 = 0 THEN '0 processes' ELSE '2 processes' END, '—', '—' FROM wins"""))
+def _(spark, sf):
+    return W.fact_texts(T.facts(spark, sf)).where("type in ('llm_call', 'action_span', 'process_sample')").drop("type")
+
+
+@query("vw27_agent_recency", V("""
+SELECT collector, CASE WHEN d < 60000 THEN 'receiving · ' || CAST(d // 1000 AS VARCHAR) || 's ago' WHEN d < 3600000 THEN 'receiving · idle ' || CAST(d // 60000 AS VARCHAR) || 'm' ELSE 'receiving · idle ' || CAST(d // 3600000 AS VARCHAR) || 'h' END AS label
+FROM (SELECT collector, greatest(1706659200000 - max(ts_ms), 0) AS d FROM facts GROUP BY 1)"""))
+def _(spark, sf):
+    last = T.facts(spark, sf).groupBy(F.col("collector.name").alias("collector")).agg(F.max("ts_ms").alias("last_ms"))
+    return last.select("collector", W.recency_label(F.col("last_ms"), NOW_MS).alias("label"))
+
+
+@query("vw28_collector_table", V("SELECT collector, session_id, emits, rejects, greatest(1706659200000 - epoch_ms(CAST(last_seen AS TIMESTAMP)), 0) AS idle_ms FROM health", **_HX))
+def _(spark, sf):
+    from wattledger.functions import parse_ms
+
+    health = _health(spark, sf)
+    return health.select("collector", "session_id", "emits", "rejects", F.greatest(NOW_MS - parse_ms("last_seen"), F.lit(0)).alias("idle_ms"))
