@@ -95,12 +95,12 @@ def _(spark, sf):
 
 
 @query("ct4_components", V("""
-SELECT window_id, session_id, kind, round(f * 3.6e6 * share, 7) AS energy_j, method FROM (
+SELECT window_id, session_id, kind, round(f * 3.6e6 * share, 11) AS energy_j, method FROM (
   SELECT window_id, session_id, share, unnest(['cpu','dram','gpu','total']) AS kind, unnest([o_totalprice * 1e-9, o_totalprice * 2e-10, CASE WHEN window_id % 3 = 0 THEN 1e-6 ELSE 0 END, o_totalprice * 1.2e-9]) AS f,
     unnest(['rapl','other','other','rapl']) AS method FROM shr JOIN mt USING (window_id) WHERE ok) WHERE kind <> 'gpu' OR f > 0""", **_c("mt", "pr", "dl", "shr")))
 def _(spark, sf):
     e = C.energy_samples(meter(spark, sf), deltas(spark, sf)).select("window_id", "session_id", F.inline("components"))
-    return e.select("window_id", "session_id", "kind", r("energy_j", 7).alias("energy_j"), "method")
+    return e.select("window_id", "session_id", "kind", r("energy_j", 11).alias("energy_j"), "method")
 
 
 @query("ct5_failed_meter", V("""
