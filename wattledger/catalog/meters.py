@@ -15,8 +15,8 @@ def meter(spark, sf):
     n = F.col("o_orderkey")
     return T.table(spark, sf, "orders").select(
         n.alias("window_id"), (n * 5000).alias("t_start_ms"), (n * 5000 + 5000).alias("t_end_ms"),
-        (F.col("o_totalprice") * 1e-9).alias("cpu_kwh"), (F.col("o_totalprice") * 2e-10).alias("ram_kwh"),
-        F.when(n % 3 == 0, 1e-6).otherwise(0.0).alias("gpu_kwh"), (F.col("o_totalprice") * 1.2e-9).alias("total_kwh"), (n % 17 != 0).alias("ok"),
+        (F.col("o_totalprice") * 1e-9 / 7.3141592).alias("cpu_kwh"), (F.col("o_totalprice") * 2e-10 / 7.3141592).alias("ram_kwh"),
+        F.when(n % 3 == 0, 1e-6).otherwise(0.0).alias("gpu_kwh"), (F.col("o_totalprice") * 1.2e-9 / 7.3141592).alias("total_kwh"), (n % 17 != 0).alias("ok"),
     )
 
 
@@ -88,19 +88,19 @@ def _(spark, sf):
 
 
 @query("ct3_session_split", V("""
-SELECT window_id, session_id, round(share, 9) AS share, round(o_totalprice * 1.2e-9 * 3.6e6 * share, 9) AS total_j FROM shr JOIN mt USING (window_id) WHERE ok""", **_c("mt", "pr", "dl", "shr")))
+SELECT window_id, session_id, round(share, 9) AS share, round(o_totalprice * 1.2e-9 / 7.3141592 * 3.6e6 * share, 7) AS total_j FROM shr JOIN mt USING (window_id) WHERE ok""", **_c("mt", "pr", "dl", "shr")))
 def _(spark, sf):
     e = C.energy_samples(meter(spark, sf), deltas(spark, sf))
-    return e.select("window_id", "session_id", r("share", 9).alias("share"), r(F.element_at("components", -1)["energy_j"], 9).alias("total_j"))
+    return e.select("window_id", "session_id", r("share", 9).alias("share"), r(F.element_at("components", -1)["energy_j"], 7).alias("total_j"))
 
 
 @query("ct4_components", V("""
-SELECT window_id, session_id, kind, round(f * 3.6e6 * share, 11) AS energy_j, method FROM (
-  SELECT window_id, session_id, share, unnest(['cpu','dram','gpu','total']) AS kind, unnest([o_totalprice * 1e-9, o_totalprice * 2e-10, CASE WHEN window_id % 3 = 0 THEN 1e-6 ELSE 0 END, o_totalprice * 1.2e-9]) AS f,
+SELECT window_id, session_id, kind, round(f * 3.6e6 * share, 7) AS energy_j, method FROM (
+  SELECT window_id, session_id, share, unnest(['cpu','dram','gpu','total']) AS kind, unnest([o_totalprice * 1e-9 / 7.3141592, o_totalprice * 2e-10 / 7.3141592, CASE WHEN window_id % 3 = 0 THEN 1e-6 ELSE 0 END, o_totalprice * 1.2e-9 / 7.3141592]) AS f,
     unnest(['rapl','other','other','rapl']) AS method FROM shr JOIN mt USING (window_id) WHERE ok) WHERE kind <> 'gpu' OR f > 0""", **_c("mt", "pr", "dl", "shr")))
 def _(spark, sf):
     e = C.energy_samples(meter(spark, sf), deltas(spark, sf)).select("window_id", "session_id", F.inline("components"))
-    return e.select("window_id", "session_id", "kind", r("energy_j", 11).alias("energy_j"), "method")
+    return e.select("window_id", "session_id", "kind", r("energy_j", 7).alias("energy_j"), "method")
 
 
 @query("ct5_failed_meter", V("""

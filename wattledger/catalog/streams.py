@@ -1 +1,101 @@
-"""Placeholder."""
+"""Streaming forms, drained over the event log; each equals its batch form or plain SQL."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wattledger.catalog import query
+from wattledger.catalog.lifecycle import _HX, hooks
+from wattledger.catalog.prelude import with_views as V
+from wattledger.functions import sanitize_id
+from wattledger.session import shared_dir
+from wattledger.sources import tables as T
+from wattledger.streaming import ingest as I
+from wattledger.streaming import stateful as K
+
+_STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def stream_of(df: DataFrame) -> DataFrame:
+    """A stream over a written copy of a table."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/stream-in-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.readStream.schema(df.schema).parquet(path)
+
+
+def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Run a stream over everything there is, and read back what it wrote."""
+    spark = stream.sparkSession
+    base = f"{shared_dir(spark)}/stream-out-{uuid.uuid4().hex}"
+    query = (
+        stream.writeStream.format("parquet").outputMode(mode).option("path", f"{base}/data")
+        .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{base}/data")
+
+
+def _log(spark: SparkSession, sf: str) -> DataFrame:
+    return T.event_log(spark, sf).withColumn("event_time", F.timestamp_millis("ts_ms"))
+
+
+@query("st5_sampling_windows", V("""
+SELECT ts_ms // 5000 * 5000 AS window_start, session_id, round(sum(value * 10), 6) AS energy_j, count(*) AS readings FROM ev WHERE event_type = 'purchase'
+GROUP BY 1, 2 HAVING ts_ms // 5000 * 5000 + 5000 <= (SELECT max(ts_ms) FROM ev WHERE event_type = 'purchase') - 60000""".replace("HAVING ts_ms // 5000 * 5000 + 5000", "HAVING window_start + 5000")))
+def _(spark, sf):
+    """Windows the watermark has passed."""
+    readings = _log(spark, sf).where("event_type = 'purchase'").select("event_time", "session_id", (F.col("value") * 10).alias("energy_j"))
+    out = drain(I.tumbling_samples(stream_of(readings)))
+    return out.select(F.unix_millis("window.start").alias("window_start"), "session_id", F.round("energy_j", 6).alias("energy_j"), "readings")
+
+
+@query("st6_trailing_windows", V("""
+SELECT w AS window_start, event_type AS type, count(*) AS events FROM (SELECT ts_ms, event_type, unnest(generate_series((ts_ms // 5000 - 35) * 5000, ts_ms // 5000 * 5000, 5000)) AS w FROM ev)
+WHERE ts_ms < w + 180000 GROUP BY 1, 2 HAVING w + 180000 <= (SELECT max(ts_ms) FROM ev) - 60000"""))
+def _(spark, sf):
+    events = _log(spark, sf).select("event_time", F.col("event_type").alias("type"))
+    return drain(I.trailing_activity(stream_of(events))).select(F.unix_millis("window.start").alias("window_start"), "type", "events")
+
+
+@query("st4_session_windows", V("""
+SELECT session_id, min(ts_ms) AS window_start, count(*) AS events FROM (
+  SELECT *, sum(opens) OVER (PARTITION BY session_id ORDER BY ts_ms) AS n FROM (
+    SELECT session_id, ts_ms, CASE WHEN ts_ms - lag(ts_ms) OVER (PARTITION BY session_id ORDER BY ts_ms) < 600000 THEN 0 ELSE 1 END AS opens FROM ev))
+GROUP BY session_id, n HAVING max(ts_ms) + 600000 <= (SELECT max(ts_ms) FROM ev) - 600000"""))
+def _(spark, sf):
+    events = _log(spark, sf).select("event_time", "session_id")
+    out = drain(I.session_activity(stream_of(events)))
+    return out.select("session_id", F.unix_millis("session_window.start").alias("window_start"), "events")
+
+
+@query("ob14_announce_once", V("SELECT event_id FROM ev"))
+def _(spark, sf):
+    """Every event delivered twice and announced once."""
+    events = _log(spark, sf).select("event_time", "event_id")
+    return drain(I.announce_once(stream_of(events.unionByName(events)), "40 days")).select("event_id")
+
+
+@query("st7_stream_pairing", V("SELECT session_id, span_id, arrival, tool_name, t_start_ms, t_end_ms, status, swept FROM hs", **_HX))
+def _(spark, sf):
+    """Hook pairing on keyed state gives the batch result."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _STATE_STORE)
+    calls = hooks(spark, sf).select("session_id", "event", "tool_use_id", "tool_name", "is_interrupt", "ts_ms", "arrival")
+    return drain(K.pair_hooks(stream_of(calls.withColumn("span_id", sanitize_id("tool_use_id")))))
+
+
+@query("st7_stream_provider", V("""
+SELECT conversation, record_seq, coalesce(p, 'unknown') AS provider FROM (
+  SELECT session_id AS conversation, arrival AS record_seq, event_type, last_value(CASE WHEN event_type = 'signup' AND k % 3 <> 0 THEN 'p' || CAST(k % 4 AS VARCHAR) END IGNORE NULLS)
+    OVER (PARTITION BY session_id ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM ev) WHERE event_type = 'view'"""))
+def _(spark, sf):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _STATE_STORE)
+    k = F.col("k")
+    named = F.when((F.col("event_type") == "signup") & (k % 3 != 0), F.concat(F.lit("p"), (k % 4).cast("string")))
+    records = T.event_log(spark, sf).select(
+        F.col("session_id").alias("conversation"), F.col("arrival").alias("record_seq"), (F.col("event_type") == "view").alias("is_call"), named.alias("named_provider")
+    )
+    return drain(K.carry_provider(stream_of(records)))
