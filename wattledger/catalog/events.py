@@ -21,15 +21,14 @@ def lines(spark, sf):
     timestamp, 10 extra attribution key, 12 unknown type, 14 unknown type with a short id,
     16 numeric id, 18 negative or textual number, 20 empty session.
     """
-    text = X.event_lines(T.facts(spark, sf))
+    text = X.event_lines(T.spread(T.facts(spark, sf)))
     m = F.col("arrival") % 40
     v = F.col("value")
     swap = lambda pattern, new: F.regexp_replace(v, pattern, new)
     broken = (
         F.when(m == 0, F.expr("substring(value, 1, length(value) - 5)"))
         .when(m == 2, swap('"schema_version":"0.1.0"', '"schema_version":"0.2.0"'))
-        .when(m == 4, swap('"schema_version":"0.1.0",', "").substr(F.lit(1), F.length(v)))
-        .when(m == 4, v)
+        .when(m == 4, swap('"schema_version":"0.1.0",', ""))
         .when(m == 6, swap('"event_id":"[^"]*"', '"event_id":"evt-short"'))
         .when(m == 8, swap('"ts":"[^"]*"', '"ts":"2024-01-05"'))
         .when(m == 10, swap('"schema_version"', '"attribution":{"color":"red"},"schema_version"'))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from wattledger import schemas as S
 from wattledger.functions import digest_prefix, format_ms, lookup, sanitize_id, stable_id
 from wattledger.operators.ordered import last_before, max_before, next_after
+from wattledger.session import cut
 
 # Fixed values of the contract: tool names the hook collector knows, with kind and place.
 HOOK_TOOLS = {
@@ -91,13 +92,21 @@ def hook_spans(hooks: DataFrame) -> DataFrame:
     ts_ms, arrival``.
     """
     stop = F.when(F.col("event").isin(*_STOPS), F.struct(F.col("arrival").alias("at"), F.col("ts_ms").alias("ts")))
-    relevant = hooks.where(F.col("event").isin("PreToolUse", *_CLOSES, *_STOPS))
+    # Each as-of step reads its input twice, so the parsed log and the results between steps are
+    # written once instead of being computed again for every reader.
+    relevant = cut(
+        hooks.where(F.col("event").isin("PreToolUse", *_CLOSES, *_STOPS)).select(
+            "session_id", "event", "tool_use_id", "tool_name", "is_interrupt", "ts_ms", "arrival"
+        )
+    )
     df = next_after(relevant, ["session_id"], "arrival", stop, "stop")
-    tools = df.where((F.col("tool_use_id") != "") & ~F.col("event").isin(*_STOPS)).withColumn("span_id", sanitize_id("tool_use_id"))
+    tools = cut(
+        df.where((F.col("tool_use_id") != "") & ~F.col("event").isin(*_STOPS)).withColumn("span_id", sanitize_id("tool_use_id"))
+    )
     key = ["session_id", "span_id"]
     state = F.struct("event", "ts_ms", "tool_name", F.col("stop.at").alias("stop_at"))
     tools = last_before(tools, key, "arrival", state, "prev")
-    tools = next_after(tools, key, "arrival", F.col("arrival"), "next_at")
+    tools = cut(next_after(tools, key, "arrival", F.col("arrival"), "next_at"))
 
     opened = (F.col("prev.event") == "PreToolUse") & (F.col("prev.stop_at").isNull() | (F.col("prev.stop_at") > F.col("arrival")))
     opened = F.coalesce(opened, F.lit(False))
@@ -215,7 +224,8 @@ def pair_durable(events: DataFrame) -> DataFrame:
     """
     key = ["session_id", "family", "pair_id"]
     state = F.struct("side", "at_ms", "detail")
-    df = last_before(events, key, "arrival", state, "prev").where("side = 'close'")
+    slim = cut(events.select(*key, "side", "at_ms", "detail", "source_id", "event_type", "arrival"))
+    df = last_before(slim, key, "arrival", state, "prev").where("side = 'close'")
     paired = F.coalesce(F.col("prev.side") == "open", F.lit(False))
     start = F.col("prev.detail")
     mappable = (
