@@ -33,9 +33,8 @@ def _key(row):
 
 
 def _norm(v):
-    if isinstance(v, float):
-        return 0.0 if v == 0 else v
-    return v
+    # A negative zero prints and hashes differently, so it counts as different here too.
+    return "-0.0" if isinstance(v, float) and v == 0 and math.copysign(1, v) < 0 else v
 
 
 def compare(spark_rows, spark_cols, sql_rows, sql_cols):
