@@ -24,7 +24,7 @@ def test_overlap_join_is_the_theta_join(spark):
     got = [(r.a, r.b) for r in I.overlap_join(left, right, ["k"], ("s", "e"), ("t0", "t1")).collect()]
     # A pair of two empty or inverted intervals need not meet: one side is always a real window.
     want = {(x, y) for k, x, s, e in a for q, y, t0, t1 in b if k == q and s < t1 and e > t0}
-    real = {y for _, y, t0, t1 in b if t1 > t0} | set()
+    real = {y for _, y, t0, t1 in b if t1 > t0}
     real_a = {x for _, x, s, e in a if e > s}
     assert len(got) == len(set(got))
     keep = lambda pairs: {(x, y) for x, y in pairs if y in real or x in real_a}

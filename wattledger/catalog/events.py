@@ -19,7 +19,7 @@ def lines(spark, sf):
 
     Defects by ``arrival % 40``: 0 cut short, 2 version 0.2.0, 4 no version, 6 short id, 8 bad
     timestamp, 10 extra attribution key, 12 unknown type, 14 unknown type with a short id,
-    16 numeric id, 18 negative or textual number, 20 empty session.
+    16 numeric id, 18 a payload with repeated keys.
     """
     text = X.event_lines(T.spread(T.facts(spark, sf)))
     m = F.col("arrival") % 40

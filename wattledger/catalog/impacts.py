@@ -370,7 +370,6 @@ LEFT JOIN sums w ON w.g = j.unit_key AND w.criterion = 'water' AND w.mismatches
 LEFT JOIN sums a ON a.g = j.unit_key AND a.criterion = 'adpe' AND a.mismatches = 0
 LEFT JOIN sums p ON p.g = j.unit_key AND p.criterion = 'pe' AND p.mismatches = 0
 WHERE j.level = 'session'"""
-_FULL = "j.llm_calls = j.ok_n"
 
 
 def _status_sql(missing):

@@ -94,7 +94,6 @@ def _(spark, sf):
 SELECT collector, {_AGENT} AS agent, coalesce(CASE {_AGENT} WHEN 'claude-code' THEN 'Claude Code' WHEN 'codex' THEN 'Codex' WHEN 'opencode' THEN 'OpenCode' END, 'Other') AS name,
        CAST(count(*) AS BIGINT) AS events FROM facts GROUP BY 1, 2, 3"""))
 def _(spark, sf):
-    agent = R.agent_of("collector.name")
     return T.facts(spark, sf).groupBy(F.col("collector.name").alias("collector")).agg(F.count(F.lit(1)).alias("events")).select(
         "collector", R.agent_of("collector").alias("agent"), R.agent_label(R.agent_of("collector")).alias("name"), "events"
     )

@@ -321,9 +321,8 @@ def _(spark, sf):
 @query("vw16_retained_facts", V("SELECT event_id, count(*) OVER () AS total FROM facts ORDER BY arrival DESC LIMIT 4000"))
 def _(spark, sf):
     f = T.facts(spark, sf)
-    return R.keep_newest(f, "arrival", W.RETAINED_FACTS).select("event_id", F.lit(None).cast("bigint").alias("n")).withColumn(
-        "total", f.agg(F.count(F.lit(1)).alias("n")).scalar()
-    ).drop("n")
+    total = f.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return R.keep_newest(f, "arrival", W.RETAINED_FACTS).select("event_id").withColumn("total", total)
 
 
 @query("vw17_span_upsert", V("""
