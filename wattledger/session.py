@@ -19,6 +19,10 @@ RUNTIME_CONF = {
 }
 
 
+#: Folder of each local application that names none; the setting itself cannot be changed at run time.
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to an existing session and return it."""
     for key, value in RUNTIME_CONF.items():
@@ -46,7 +50,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
     The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset, as in a local
-    test, a private temporary folder is used.
+    test, a private temporary folder is used, one for each application.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None
@@ -55,9 +59,10 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    root = tempfile.mkdtemp(prefix="spark-", dir="/tmp" if os.path.isdir("/tmp") else None)
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_DIRS:
+        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp" if os.path.isdir("/tmp") else None)
+    return _LOCAL_DIRS[app]
 
 
 def cut(df: DataFrame) -> DataFrame:
