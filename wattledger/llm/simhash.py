@@ -20,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wattledger.llm.common import fresh, map_batches, text_bytes
 from wattledger.llm.components import components
@@ -56,7 +57,7 @@ def fingerprint_bytes(text: bytes, shingle: int = 3, seed: int = 42) -> int:
 def fingerprints(df: DataFrame, text: str = "text", out: str = "fp", shingle: int = 3, seed: int = 42) -> DataFrame:
     """Replace the text by its fingerprint as a signed bigint.  Null and empty texts have fingerprint 0."""
     keep = [c for c in df.columns if c not in (text, out)]
-    fields = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in keep)
+    schema = T.StructType([*[df.schema[c] for c in keep], T.StructField(out, T.LongType())])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = np.array([fingerprint_bytes(t, shingle, seed) for t in text_bytes(batch, text)], np.uint64)
@@ -64,7 +65,7 @@ def fingerprints(df: DataFrame, text: str = "text", out: str = "fp", shingle: in
             [*[batch.column(c) for c in keep], pa.array(found.view(np.int64))], names=[*keep, out]
         )
 
-    return map_batches(df.select(text, *keep), run, f"{fields}`{out}` bigint")
+    return map_batches(df.select(text, *keep), run, schema)
 
 
 def _masks(width: int, ball: int) -> list[tuple[int, int]]:

@@ -13,8 +13,8 @@ before it in the same one.
    words and the common prefixes of neighbours, to the right and to the left of the anchor, give for each window the
    class of equal windows; all but the first of a class go.
 
-The documents' order is a dense or given integer, ``ref``; texts that occur again as a whole are removed as a whole and
-take no part in the sorting.
+The documents' order is an integer, ``ref``; texts that occur again as a whole are removed as a whole and take no part
+in the sorting.  Texts are dealt out by ``ref`` once, compressed, and that exchange serves all three steps.
 """
 
 from __future__ import annotations
@@ -23,11 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wattledger.llm.common import map_batches
+from wattledger.llm.common import map_batches, text_bytes
 from wattledger.session import cut
 
 WINDOW = 100
@@ -109,12 +110,28 @@ def _joined(texts: list[bytes], window: int, piece: int) -> Iterator[tuple[bytes
         yield b"".join(out), *(np.array(x, np.int64) for x in (who, start, at))
 
 
+def pack(rows: DataFrame) -> DataFrame:
+    """(ref, z) of (ref, text): compressed texts, which halves what the exchange holds."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        small = zstandard.ZstdCompressor(level=3)
+        z = [small.compress(t) for t in text_bytes(batch, "text")]
+        return pa.RecordBatch.from_arrays([batch.column("ref"), pa.array(z, pa.binary())], names=["ref", "z"])
+
+    return map_batches(rows.select("ref", "text"), run, "ref bigint, z binary")
+
+
+def _unpacked(batch: pa.RecordBatch) -> list[bytes]:
+    large = zstandard.ZstdDecompressor()
+    return [large.decompress(z.as_py()) for z in batch.column("z")]
+
+
 def find_anchors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(h, ref, place) of every anchor of (ref, text)."""
+    """(h, ref, place) of every anchor of (ref, z)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         refs = batch.column("ref").to_numpy()
-        texts = batch.column("text").cast(pa.binary()).to_pylist()
+        texts = _unpacked(batch)
         got = []
         for data, who, start, at in _joined(texts, window, PIECE):
             raw = np.frombuffer(data, np.uint8)
@@ -135,7 +152,7 @@ def find_anchors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
             [pa.array(np.concatenate([g[i] for g in got])) for i in range(3)], names=["h", "ref", "place"]
         )
 
-    return map_batches(docs.select("ref", "text"), run, "h bigint, ref bigint, place bigint")
+    return map_batches(docs, run, "h bigint, ref bigint, place bigint")
 
 
 def _unpack(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,12 +160,12 @@ def _unpack(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _suffixes(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(lead, off, body, ref, s0) of each suffix of (ref, text, places): its leading bytes and what its windows cover."""
+    """(lead, off, body, ref, s0) of each suffix of (ref, z, places): its leading bytes and what its windows cover."""
     half = (window - gram) // 2
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         lead, off_, body, ref_, s0_ = [], [], [], [], []
-        texts = batch.column("text").cast(pa.binary()).to_pylist()
+        texts = _unpacked(batch)
         refs = batch.column("ref").to_pylist()
         packed = batch.column("places")
         for k, text in enumerate(texts):
@@ -299,23 +316,23 @@ def _cuts(suffixes: DataFrame, window: int, chunk: int) -> DataFrame:
     return suffixes.mapInArrow(run, "ref bigint, start bigint, end bigint")
 
 
-def _numbered(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(ref, text, key, digest): ref orders the documents, and differs for different texts under one key.
+def _numbered(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame | None]:
+    """(ref, text, digest) of every row, and (ref, key) where they are not the same.
 
-    Unique keys are their own refs.  Otherwise (repeated or null keys) rows are numbered by key, nulls last, and then by
-    digest, so that repeated rows share a number.
+    Keys that are unique are the refs.  Otherwise (repeated or null keys) rows are numbered by key, nulls last, and then
+    by digest, so that repeated rows share a number.
     """
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    state = rows.agg(F.count("*").alias("n"), F.count_distinct("key").alias("d"), F.max("key").alias("x")).first()
+    state = rows.agg(F.count("*").alias("n"), F.count_distinct("key").alias("d")).first()
     rows = rows.withColumn("digest", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
     if state["n"] == state["d"]:
-        return rows.select(F.col("key").cast("bigint").alias("ref"), "text", "key", "digest")
+        return rows.select(F.col("key").cast("bigint").alias("ref"), "text", "digest"), None
     ids = rows.select("key", "digest").distinct().sort(F.col("key").asc_nulls_last(), "digest")
     schema = T.StructType([*ids.schema.fields, T.StructField("ref", T.LongType())])
     numbered = cut(ids.sparkSession.createDataFrame(ids.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), schema))
     a, b = rows.alias("a"), numbered.alias("b")
     same = F.col("a.key").eqNullSafe(F.col("b.key")) & (F.col("a.digest") == F.col("b.digest"))
-    return cut(a.join(b, same).select("b.ref", "a.text", "a.key", "a.digest"))
+    return cut(a.join(b, same).select("b.ref", "a.text", "a.digest")), numbered.select("ref", "key")
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM,
@@ -329,24 +346,25 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     """
     if not gram < window < 128 or gram < 1:
         raise ValueError("1 <= gram < window < 128")
-    rows = _numbered(docs, key, text)
-    long = rows.filter(F.octet_length("text") >= window)
+    rows, keys = _numbered(docs, key, text)
     # Whole copies: all but the first of equal texts go.
+    size = F.octet_length("text").cast("bigint")
+    long = rows.filter(size >= window).select("ref", "digest", size.alias("end"))
     first = long.groupBy("digest").agg(F.min("ref").alias("first"))
     copies = cut(
-        long.select("ref", "digest", F.octet_length("text").cast("bigint").alias("end")).join(first, "digest")
-        .filter(F.col("ref") > F.col("first")).select("ref", F.lit(0).cast("bigint").alias("start"), "end")
+        long.join(first, "digest").filter(F.col("ref") > F.col("first"))
+        .select("ref", F.lit(0).cast("bigint").alias("start"), "end")
     )
-    found = find_anchors(long.select("ref", "text"), window, gram)
+    texts = pack(rows)
+    found = find_anchors(texts.join(copies.select("ref").distinct(), "ref", "left_anti"), window, gram)
     often = found.groupBy("h").count().filter("count > 1").select(
         "h", (F.col("count") > frequent).cast("bigint").alias("often")
     )
     places = (
         found.join(often, "h").select("ref", (F.col("place") * 2 + F.col("often")).alias("place"))
-        .join(copies.select("ref").distinct(), "ref", "left_anti")
         .groupBy("ref").agg(F.array_distinct(F.collect_list("place")).alias("places"))
     )
-    suffixes = _suffixes(long.select("ref", "text").join(places, "ref"), window, gram)
+    suffixes = _suffixes(texts.join(places, "ref"), window, gram)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = suffixes.repartitionByRange(parts, "lead").sortWithinPartitions("lead", "off", "body", "ref", "s0")
     cuts = (
@@ -354,16 +372,15 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
         .groupBy("ref").agg(F.collect_list(F.struct("start", "end")).alias("cuts"))
     )
 
-    key_type = docs.schema[key].dataType
     schema = T.StructType([
-        T.StructField(key, key_type), *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")],
+        T.StructField("ref", T.LongType()), *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")],
         T.StructField("kept", T.BinaryType()),
     ])
 
     def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
         sizes, removed, spans, kept = [], [], [], []
         cuts = batch.column("cuts")
-        for k, text in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
+        for k, text in enumerate(_unpacked(batch)):
             sizes.append(len(text))
             if not cuts[k].is_valid:
                 removed.append(0)
@@ -378,7 +395,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
             removed.append(int((stop - begin).sum()))
             spans.append(len(begin))
             kept.append(b"".join(text[a:b] for a, b in zip([0, *stop.tolist()], [*begin.tolist(), len(text)])))
-        columns = [batch.column("key"), *(pa.array(x, pa.int64()) for x in (sizes, removed, spans)), pa.array(kept, pa.binary())]
+        columns = [batch.column("ref"), *(pa.array(x, pa.int64()) for x in (sizes, removed, spans)), pa.array(kept, pa.binary())]
         return pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return map_batches(rows.select("ref", "text", "key").join(cuts, "ref", "left").select("text", "key", "cuts"), apply, schema)
+    out = map_batches(texts.join(cuts, "ref", "left"), apply, schema)
+    if keys is not None:
+        return out.join(keys, "ref").select(F.col("key").alias(key), *schema.names[1:])
+    return out.withColumnRenamed("ref", key).withColumn(key, F.col(key).cast(docs.schema[key].dataType))
