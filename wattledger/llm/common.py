@@ -58,3 +58,18 @@ def text_bytes(batch: pa.RecordBatch, name: str) -> Iterator[bytes]:
     """The UTF-8 bytes of each text of a batch, one after the other; null counts as empty."""
     for value in batch.column(name).cast(pa.binary()):
         yield value.as_py() or b""
+
+
+#: Words are what stands between ASCII white space.
+WORD = r"[^\x20\x09-\x0D]+"
+
+
+def word_count(text: str):
+    """Number of words of a text column; null has none."""
+    return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint")
+
+
+def domain_of(source: str):
+    """The domain of a source: d0 to d3 by the number its name ends in, '' without one."""
+    number = F.regexp_extract(F.coalesce(F.col(source), F.lit("")), r"([0-9]{1,9})$", 1)
+    return F.when(number == "", F.lit("")).otherwise(F.concat(F.lit("d"), (number.cast("int") % 4).cast("string")))

@@ -273,21 +273,24 @@ def label_words(text: str, model: Model) -> list[tuple[str, str, float]]:
     return [(w, model.labels[b], float(p)) for w, b, p in zip(found, probs.argmax(1), probs.max(1))]
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text", label: str = "lang_pred", score: str = "score") -> DataFrame:
-    """Replace the text by its language and score; other columns stay, those named like the new ones are replaced.
+def predict(docs: DataFrame, model: Model, text: str = "text", label: str = "lang_pred", score: str = "score",
+            keep_text: bool = False) -> DataFrame:
+    """Replace the text by its language and score, or add them to it; columns named like the new ones are replaced.
 
     The model is broadcast: its size is fixed by the numbers of buckets and of lexicon entries.  A text that is null or
     has no letter is 'und' with score 0, and so is every text under a model without labels.
     """
-    keep = [f for f in docs.schema.fields if f.name not in (text, label, score)]
+    gone = (label, score) if keep_text else (text, label, score)
+    keep = [f for f in docs.schema.fields if f.name not in gone]
     schema = T.StructType([*keep, T.StructField(label, T.StringType()), T.StructField(score, T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = label_texts([v or "" for v in batch.column(0).to_pylist()], shared.value)
+        found = label_texts([v or "" for v in batch.column(text).to_pylist()], shared.value)
         return pa.RecordBatch.from_arrays(
-            [*batch.columns[1:], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())],
+            [*(batch.column(f.name) for f in keep), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())],
             names=schema.names,
         )
 
-    return map_batches(docs.select(text, *[f.name for f in keep]), run, schema)
+    used = dict.fromkeys([text, *(f.name for f in keep)])
+    return map_batches(docs.select(*[f"`{c}`" for c in used]), run, schema)

@@ -12,6 +12,7 @@ the drawn number as each range has documents, and only the range in which the bu
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -66,7 +67,6 @@ def budgets(leaves: DataFrame, path: list[str], weights: list[tuple[tuple[str, .
     spark = leaves.sparkSession
     if any(not 0 <= w <= MAX_WEIGHT for _, w in weights):
         raise ValueError(f"weights must be from 0 to {MAX_WEIGHT}")
-    total = leaves.agg(F.floor(F.sum("tokens") * F.lit(share_of_supply)).alias("all"))
     nodes = leaves.withColumn("supply", F.col("tokens") * max_epochs)
     weighed = []
     for depth in range(len(path)):
@@ -80,13 +80,14 @@ def budgets(leaves: DataFrame, path: list[str], weights: list[tuple[tuple[str, .
         )
     counts = reduce(lambda x, y: x & y, [F.col(f"w{d}") > 0 for d in range(len(path))])
     nodes = nodes.withColumn("supply", F.when(counts, F.col("supply")).otherwise(0))
+    sums = nodes.agg(F.sum("supply").alias("most"), F.sum("tokens").alias("all")).first()
+    total = min(int(sums["most"] or 0), math.floor((sums["all"] or 0) * share_of_supply))
     above = None
     for depth in range(len(path)):
         names = path[: depth + 1]
         level = nodes.groupBy(*names, F.col(f"w{depth}").alias("weight")).agg(F.sum("supply").alias("supply"))
         if above is None:
-            everything = nodes.agg(F.sum("supply").alias("most")).join(total).select(F.least("most", "all").alias("total"))
-            level = level.join(everything)
+            level = level.withColumn("total", F.lit(total).cast("bigint"))
         else:
             level = level.alias("n").join(above.alias("o"), _on("n", "o", path[:depth])).select("n.*", "o.total")
         above = share(level, path[:depth], path[depth]).select(*names, F.col("budget").alias("total"))
@@ -161,3 +162,43 @@ def selected(docs: DataFrame, path: list[str], weights: list[tuple[tuple[str, ..
     return docs.join(chosen, F.col(key).eqNullSafe(F.col(taken))).withColumn(
         times, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(times)))
     ).drop(taken, times)
+
+
+def sql(weights: list[tuple[tuple[str, ...], int]], seed: int, max_epochs: int) -> str:
+    """DuckDB SQL for the rows of ``mix`` over documents by domain, language and source, whole leaves sorted."""
+    def level(depth: int) -> str:
+        rows = ", ".join(f"({', '.join(repr(x) for x in p)}, {w})" for p, w in weights if len(p) == depth)
+        names = ", ".join(("domain", "lang", "source")[:depth])
+        if not rows:
+            return f"SELECT {names}, 1 AS weight FROM leaf WHERE false"
+        return f"SELECT * FROM (VALUES {rows}) v({names}, weight)"
+
+    def shared(name: str, parent: str, children: str, keys: str, order: str) -> str:
+        part = f"PARTITION BY {keys}" if keys else ""
+        return f"""
+{name}_a AS (SELECT *, total - coalesce(sum(supply) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+  sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS heft, row_number() OVER w AS place
+  FROM ({children}) WINDOW w AS ({part} ORDER BY supply / weight, {order})),
+{name}_b AS (SELECT *, supply * heft <= rest * weight AS done FROM {name}_a),
+{name}_c AS (SELECT *, min(CASE WHEN NOT done THEN place END) OVER ({part}) AS low FROM {name}_b),
+{name}_d AS (SELECT *, max(CASE WHEN place = low THEN rest END) OVER ({part}) AS r, max(CASE WHEN place = low THEN heft END) OVER ({part}) AS h FROM {name}_c),
+{name}_e AS (SELECT *, CASE WHEN done THEN supply ELSE (r * weight) // h END AS piece FROM {name}_d),
+{name} AS (SELECT *, piece + CASE WHEN NOT done AND place - low < total - sum(piece) OVER ({part}) THEN 1 ELSE 0 END AS budget FROM {name}_e)"""
+
+    return f"""
+WITH doc AS (SELECT doc_id, CASE WHEN digits = '' THEN '' ELSE 'd' || CAST(CAST(digits AS INTEGER) % 4 AS VARCHAR) END AS domain, lang, source, t
+  FROM (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})$', 1) AS digits,
+    CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS HUGEINT) AS t FROM documents)),
+leaf AS (SELECT domain, lang, source, sum(t) AS tokens, sum(t) * {max_epochs} AS supply FROM doc GROUP BY ALL),
+w1 AS ({level(1)}), w2 AS ({level(2)}), w3 AS ({level(3)}),
+node AS (SELECT leaf.*, CAST(coalesce(w1.weight, 1) AS HUGEINT) AS a, CAST(coalesce(w2.weight, 1) AS HUGEINT) AS b, CAST(coalesce(w3.weight, 1) AS HUGEINT) AS c
+  FROM leaf LEFT JOIN w1 USING (domain) LEFT JOIN w2 USING (domain, lang) LEFT JOIN w3 USING (domain, lang, source)),
+one AS (SELECT domain, any_value(a) AS weight, sum(supply) AS supply, (SELECT least(sum(supply), sum(tokens)) FROM node) AS total FROM node GROUP BY domain),
+{shared("x1", "", "SELECT * FROM one", "", "domain")},
+{shared("x2", "x1", "SELECT n.domain, n.lang, any_value(b) AS weight, sum(n.supply) AS supply, any_value(x1.budget) AS total FROM node n JOIN x1 USING (domain) GROUP BY ALL", "domain", "lang")},
+{shared("x3", "x2", "SELECT n.domain, n.lang, n.source, c AS weight, n.supply, x2.budget AS total FROM node n JOIN x2 USING (domain, lang)", "domain, lang", "source")},
+plan AS (SELECT domain, lang, source, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS epochs,
+  CASE WHEN tokens > 0 THEN budget % tokens ELSE 0 END AS rest FROM leaf JOIN x3 USING (domain, lang, source)),
+run AS (SELECT doc.*, epochs, rest, coalesce(sum(t) OVER (PARTITION BY domain, lang, source ORDER BY md5('{seed}:' || CAST(epochs + 1 AS VARCHAR) || ':' || coalesce(CAST(doc_id AS VARCHAR), '')), t
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM doc JOIN plan USING (domain, lang, source))
+SELECT doc_id, domain, lang, source, CAST(t AS BIGINT) AS n_tokens, CAST(epochs AS BIGINT) AS epochs, CAST(greatest(0, least(t, rest - before)) AS BIGINT) AS n_taken FROM run"""

@@ -111,14 +111,18 @@ def _joined(texts: list[bytes], window: int, piece: int) -> Iterator[tuple[bytes
 
 
 def pack(rows: DataFrame) -> DataFrame:
-    """(ref, z) of (ref, text): compressed texts, which halves what the exchange holds."""
+    """The rows with ``z`` in place of ``text``: compressed texts, which halves what the exchange holds."""
+    others = [f for f in rows.schema.fields if f.name != "text"]
+    schema = T.StructType([*others, T.StructField("z", T.BinaryType())])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         small = zstandard.ZstdCompressor(level=3)
         z = [small.compress(t) for t in text_bytes(batch, "text")]
-        return pa.RecordBatch.from_arrays([batch.column("ref"), pa.array(z, pa.binary())], names=["ref", "z"])
+        return pa.RecordBatch.from_arrays(
+            [*(batch.column(f.name) for f in others), pa.array(z, pa.binary())], names=schema.names
+        )
 
-    return map_batches(rows.select("ref", "text"), run, "ref bigint, z binary")
+    return map_batches(rows, run, schema)
 
 
 def _unpacked(batch: pa.RecordBatch) -> list[bytes]:
@@ -316,37 +320,41 @@ def _cuts(suffixes: DataFrame, window: int, chunk: int) -> DataFrame:
     return suffixes.mapInArrow(run, "ref bigint, start bigint, end bigint")
 
 
-def _numbered(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame | None]:
-    """(ref, text, digest) of every row, and (ref, key) where they are not the same.
+def _numbered(docs: DataFrame, key: str, text: str, carry: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """(ref, text, digest, c0...) of every row, the last being the columns to carry, and (ref, key) where they are not the same.
 
     Keys that are unique are the refs.  Otherwise (repeated or null keys) rows are numbered by key, nulls last, and then
     by digest, so that repeated rows share a number.
     """
-    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    others = [f"c{i}" for i in range(len(carry))]
+    rows = docs.select(
+        F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"),
+        *[F.col(c).alias(o) for c, o in zip(carry, others)],
+    )
     state = rows.agg(F.count("*").alias("n"), F.count_distinct("key").alias("d")).first()
     rows = rows.withColumn("digest", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
     if state["n"] == state["d"]:
-        return rows.select(F.col("key").cast("bigint").alias("ref"), "text", "digest"), None
+        return rows.select(F.col("key").cast("bigint").alias("ref"), "text", "digest", *others), None
     ids = rows.select("key", "digest").distinct().sort(F.col("key").asc_nulls_last(), "digest")
     schema = T.StructType([*ids.schema.fields, T.StructField("ref", T.LongType())])
     numbered = cut(ids.sparkSession.createDataFrame(ids.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), schema))
     a, b = rows.alias("a"), numbered.alias("b")
     same = F.col("a.key").eqNullSafe(F.col("b.key")) & (F.col("a.digest") == F.col("b.digest"))
-    return cut(a.join(b, same).select("b.ref", "a.text", "a.digest")), numbered.select("ref", "key")
+    return cut(a.join(b, same).select("b.ref", "a.text", "a.digest", *[f"a.{o}" for o in others])), numbered.select("ref", "key")
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM,
-                   frequent: int = FREQUENT, chunk: int = CHUNK) -> DataFrame:
-    """(key, n_bytes, n_removed, n_spans, kept) of every row; kept has the remaining bytes.
+                   frequent: int = FREQUENT, chunk: int = CHUNK, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, n_bytes, n_removed, n_spans, kept, carry...) of every row; kept has the remaining bytes.
 
     A null text counts as empty; texts shorter than a window keep everything.  A null key counts as larger than all
     others.  Different texts under one key are ordered by their SHA-256; repeated rows (same key and text) are one
     document and each get its result.  An empty table gives no rows.  Column names of ``docs`` do not matter beyond
-    ``key`` and ``text``.
+    ``key`` and ``text``; those named in ``carry`` come along.
     """
     if not gram < window < 128 or gram < 1:
         raise ValueError("1 <= gram < window < 128")
-    rows, keys = _numbered(docs, key, text)
+    rows, keys = _numbered(docs, key, text, list(carry))
     # Whole copies: all but the first of equal texts go.
     size = F.octet_length("text").cast("bigint")
     long = rows.filter(size >= window).select("ref", "digest", size.alias("end"))
@@ -355,7 +363,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
         long.join(first, "digest").filter(F.col("ref") > F.col("first"))
         .select("ref", F.lit(0).cast("bigint").alias("start"), "end")
     )
-    texts = pack(rows)
+    others = [f"c{i}" for i in range(len(carry))]
+    texts = pack(rows.select("ref", "text", *others))
     found = find_anchors(texts.join(copies.select("ref").distinct(), "ref", "left_anti"), window, gram)
     often = found.groupBy("h").count().filter("count > 1").select(
         "h", (F.col("count") > frequent).cast("bigint").alias("often")
@@ -374,7 +383,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
 
     schema = T.StructType([
         T.StructField("ref", T.LongType()), *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")],
-        T.StructField("kept", T.BinaryType()),
+        T.StructField("kept", T.BinaryType()), *[rows.schema[o] for o in others],
     ])
 
     def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -396,9 +405,27 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
             spans.append(len(begin))
             kept.append(b"".join(text[a:b] for a, b in zip([0, *stop.tolist()], [*begin.tolist(), len(text)])))
         columns = [batch.column("ref"), *(pa.array(x, pa.int64()) for x in (sizes, removed, spans)), pa.array(kept, pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, names=schema.names)
+        return pa.RecordBatch.from_arrays([*columns, *(batch.column(o) for o in others)], names=schema.names)
 
     out = map_batches(texts.join(cuts, "ref", "left"), apply, schema)
-    if keys is not None:
-        return out.join(keys, "ref").select(F.col("key").alias(key), *schema.names[1:])
-    return out.withColumnRenamed("ref", key).withColumn(key, F.col(key).cast(docs.schema[key].dataType))
+    if keys is None:
+        named = F.col("ref").cast(docs.schema[key].dataType)
+    else:
+        out, named = out.join(keys, "ref"), F.col("key")
+    return out.select(
+        named.alias(key), "n_bytes", "n_removed", "n_spans", "kept", *[F.col(o).alias(c) for o, c in zip(others, carry)]
+    )
+
+
+def as_text(df: DataFrame, kept: str, text: str) -> DataFrame:
+    """Replace a binary column by a text column without the characters that lost some of their bytes."""
+    others = [f for f in df.schema.fields if f.name not in (kept, text)]
+    schema = T.StructType([*others, T.StructField(text, T.StringType())])
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = [(v.as_py() or b"").decode("utf-8", "ignore") for v in batch.column(kept)]
+        return pa.RecordBatch.from_arrays(
+            [*(batch.column(f.name) for f in others), pa.array(texts, pa.string())], names=schema.names
+        )
+
+    return map_batches(df, run, schema)
