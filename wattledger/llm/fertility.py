@@ -31,8 +31,10 @@ SCRIPTS = (
     ("arabic", 0x600, 0x6FF), ("devanagari", 0x900, 0x97F), ("thai", 0xE00, 0xE7F), ("kana", 0x3040, 0x30FF),
     ("han", 0x3400, 0x9FFF), ("hangul", 0xAC00, 0xD7AF),
 )
+#: Entropy does not grow with a text beyond so many pieces.
+ENOUGH = 1024
 #: Bands by script: characters per piece from and to, characters per byte-level token from and to, largest share of
-#: byte-fallback pieces, least entropy of pieces in bits per doubling of their number.
+#: byte-fallback pieces, least entropy of pieces as a share of what it could be.
 BANDS = {
     "latin": (1.15, 8.0, 1.15, 9.0, 0.25, 0.35),
     "greek": (0.7, 5.0, 0.5, 4.0, 0.5, 0.35),
@@ -88,11 +90,11 @@ def repeated_words(codes: np.ndarray) -> int:
 
 
 def _entropy(ids: np.ndarray) -> float:
-    """Entropy of the ids, in bits, over the logarithm of their number; 1 for fewer than two."""
+    """Entropy of the ids in bits, over what so many ids, or ENOUGH of them, could have at most; 1 for fewer than two."""
     if len(ids) < 2:
         return 1.0
     share = np.unique(ids, return_counts=True)[1] / len(ids)
-    return float(-(share * np.log2(share)).sum() / np.log2(len(ids)))
+    return min(1.0, float(-(share * np.log2(share)).sum() / np.log2(min(len(ids), ENOUGH))))
 
 
 def _verdict(script: str, piece: float, token: float, share: float, entropy: float) -> bool:
