@@ -366,9 +366,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     others = [f"c{i}" for i in range(len(carry))]
     texts = pack(rows.select("ref", "text", *others))
     found = find_anchors(texts.join(copies.select("ref").distinct(), "ref", "left_anti"), window, gram)
-    often = found.groupBy("h").count().filter("count > 1").select(
+    # Written, so that Spark can split the join by what it finds frequent.
+    often = cut(found.groupBy("h").count().filter("count > 1").select(
         "h", (F.col("count") > frequent).cast("bigint").alias("often")
-    )
+    ))
     places = (
         found.join(often, "h").select("ref", (F.col("place") * 2 + F.col("often")).alias("place"))
         .groupBy("ref").agg(F.array_distinct(F.collect_list("place")).alias("places"))
