@@ -7,6 +7,7 @@ A text's words are encoded one by one, so a batch encodes each different word on
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -59,13 +60,13 @@ def _pieces(path: str) -> tuple[sentencepiece.SentencePieceProcessor, np.ndarray
 
 def script_of(words: list[str]) -> str:
     """The script of most letters of some words; 'none' without letters, 'other' for one that is not listed."""
-    codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
-    alpha = codes[(codes >= 0x41) & ~((codes > 0x5A) & (codes < 0x61)) & ~((codes > 0x7A) & (codes < 0xAA))]
-    if not len(alpha):
+    letters = [(ord(c), n) for c, n in Counter("".join(words)).items() if c.isalpha()]
+    total = sum(n for _, n in letters)
+    if not total:
         return "none"
-    counts = {name: int(((alpha >= a) & (alpha <= b)).sum()) for name, a, b in SCRIPTS}
+    counts = {name: sum(n for c, n in letters if a <= c <= b) for name, a, b in SCRIPTS}
     name = max(counts, key=lambda s: counts[s])
-    return name if 2 * counts[name] >= len(alpha) else "other"
+    return name if 2 * counts[name] >= total else "other"
 
 
 def repeated_lines(text: str) -> int:
