@@ -64,22 +64,18 @@ def budgets(leaves: DataFrame, path: list[str], weights: list[tuple[tuple[str, .
     nothing.  The budget of the whole is ``share_of_supply`` of all tokens, rounded down, at most ``max_epochs`` times
     what leaves of positive weight have.
     """
-    spark = leaves.sparkSession
     if any(not 0 <= w <= MAX_WEIGHT for _, w in weights):
         raise ValueError(f"weights must be from 0 to {MAX_WEIGHT}")
     nodes = leaves.withColumn("supply", F.col("tokens") * max_epochs)
-    weighed = []
+    counts = F.lit(True)
     for depth in range(len(path)):
-        given = [(*p, w) for p, w in weights if len(p) == depth + 1]
-        names = path[: depth + 1]
-        schema = "".join(f"`{c}` string, " for c in names) + "weight bigint"
-        weighed.append(spark.createDataFrame(given, schema))
-        own = weighed[-1].withColumnRenamed("weight", f"w{depth}")
-        nodes = nodes.alias("n").join(own.alias("o"), _on("n", "o", names), "left").select(
-            "n.*", F.coalesce("o." + f"w{depth}", F.lit(1)).cast("bigint").alias(f"w{depth}")
-        )
-    counts = reduce(lambda x, y: x & y, [F.col(f"w{d}") > 0 for d in range(len(path))])
-    nodes = nodes.withColumn("supply", F.when(counts, F.col("supply")).otherwise(0))
+        given = [x for p, w in weights if len(p) == depth + 1 for x in (F.array(*map(F.lit, p)), F.lit(w).cast("bigint"))]
+        weight = F.lit(1).cast("bigint")
+        if given:
+            weight = F.coalesce(F.try_element_at(F.create_map(*given), F.array(*path[: depth + 1])), weight)
+        nodes = nodes.withColumn(f"w{depth}", weight)
+        counts = counts & (F.col(f"w{depth}") > 0)
+    nodes = cut(nodes.withColumn("supply", F.when(counts, F.col("supply")).otherwise(0)))
     sums = nodes.agg(F.sum("supply").alias("most"), F.sum("tokens").alias("all")).first()
     total = min(int(sums["most"] or 0), math.floor((sums["all"] or 0) * share_of_supply))
     above = None
