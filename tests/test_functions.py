@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,7 +48,24 @@ def test_exact_sum_ignores_order(spark):
     assert huge == 2e200
 
 
+def test_exact_sum_keeps_small_values(spark):
+    for values in ([3.3e-19, 4e-21], [1e-30, 2e-30, 3e-30], [1e12, 1e-3], [5e20, 7e19, -2.5], [-1e-9] * 3):
+        got = spark.createDataFrame([(v,) for v in values], "v double").agg(fn.exact_sum("v")).first()[0]
+        assert math.isclose(got, math.fsum(values), rel_tol=1e-15)
+    assert spark.createDataFrame([(None,)], "v double").agg(fn.exact_sum("v")).first()[0] is None
+
+
+def test_crlf_frames(spark, folder):
+    from wattledger.sources import frames
+
+    for name, end in (("lf", "\n"), ("crlf", "\r\n")):
+        with open(f"{folder}/{name}", "w", newline="") as f:
+            f.write(end.join(['data: {"id":"a"}', "", ": note", 'data: {"id":', 'data: "b"}', "", ""]))
+        got = frames.read_frames(spark, f"{folder}/{name}").where("v is not null").selectExpr("try_variant_get(v, '$.id', 'string') id")
+        assert sorted(r.id for r in got.collect()) == ["a", "b"]
+
+
 def test_stable_ids_tell_null_from_empty(spark):
     df = spark.createDataFrame([("a", None), ("a", ""), ("a", None)], "x string, y string")
     ids = [r[0] for r in df.select(fn.stable_id("p", "x", "y")).collect()]
-    assert ids[0] == ids[2] != ids[1] and len(ids[0]) == len("p-") + 16
+    assert ids[0] == ids[2] != ids[1] and len(ids[0]) == len("p-") + 32

@@ -105,7 +105,7 @@ def test_batch_scan(spark, ingested):
 
 
 def read_all(folder, start, max_read):
-    reader = SpoolTailReader(folder, max_read)
+    reader = SpoolTailReader(folder, max_read, numbered=True)
     end = reader.latestOffset()
     return [row for piece in reader.partitions(start, end) for row in reader.read(piece)], end
 
@@ -136,11 +136,89 @@ def test_long_lines_and_truncation(folder):
     assert [(r[6], r[8]) for r in rows] == [("new", True)]
 
 
-def test_reject_ring_keeps_the_newest(spark, folder):
+def test_limited_batches_take_whole_lines(folder):
+    with open(os.path.join(folder, "c.s.jsonl"), "w") as f:
+        f.write("".join(f"line-{i}\n" for i in range(40)) + "z" * 100 + "\nend\n")
+    reader = SpoolTailReader(folder, 1000, limit=30)
+    start, got, steps = reader.initialOffset(), [], 0
+    while (end := reader.latestOffset()) != start:
+        got += [row for piece in reader.partitions(start, end) for row in reader.read(piece)]
+        start, steps = end, steps + 1
+    assert [r[6] for r in got] == [f"line-{i}" for i in range(40)] + ["z" * 100, "end"] and steps > 10
+
+
+def test_oversized_lines_are_rejects_of_their_own(spark, folder):
+    from wattledger.operators import validate as X
+
+    with open(os.path.join(folder, "c.s.jsonl"), "w") as f:
+        f.write("z" * 5000 + "\n")
+    rows, _ = read_all(folder, {}, 1000)
+    lines = spark.createDataFrame(rows, SpoolTail({}).schema()).withColumnRenamed("byte_offset", "arrival")
+    got = X.reject_rows(X.classify(lines)).collect()
+    assert [(r.reason_kind, r.bytes) for r in got] == [("oversized", 5000)]
+
+
+REJECT = "id long, source string, origin string, reason_kind string, reason string, attribute_keys array<string>, bytes long, digest string"
+
+
+def test_rejects_are_all_kept(spark, folder):
+    from wattledger.plans import reads
+
+    store = Store(spark, folder)
+
+    def batch(origin, ids, digest="a"):
+        return spark.createDataFrame([(i, "spool", origin, "json", "r", [], 1, digest) for i in ids], REJECT)
+
+    assert store.insert_rejects(batch("o", range(2000)), 1_000) == 2000
+    assert store.insert_rejects(batch("p", range(10)), 2_000) == 10
+    assert store.insert_rejects(batch("p", range(10)), 3_000) == 0  # the same lines again
+    assert store.insert_rejects(batch("p", [3], "b"), 4_000) == 1  # another line at that place
+    newest = reads.recent_rejects(store.read("rejects"), 11).collect()
+    assert [(r.origin, r.id) for r in newest] == [("p", 3)] + [("p", i) for i in range(9, -1, -1)]
+    assert newest[0].ts.startswith("1970-01-01T00:00:04") and store.read("rejects").count() == 2011
+
+
+def test_one_commit_for_all_tables(spark, folder):
+    store, other = Store(spark, folder), Store(spark, folder)
+    joins = spark.createDataFrame([("u", "s", "{}")], "unit_key string, session_id string, json string")
+    with store.commit("w", 0) as fresh:
+        assert fresh
+        store.append("joins", joins)
+        store.replace("joins", joins.withColumnRenamed("unit_key", "unit_key"))
+        assert other.read("joins").count() == 0  # not before the commit
+    assert other.read("joins").count() == 1
+    with store.commit("w", 0) as fresh:
+        assert not fresh  # delivered again
+    with pytest.raises(RuntimeError, match="another writer"):
+        with store.commit():
+            store.append("joins", joins)
+            other.append("joins", joins)
+    assert store.read("joins").count() == 2
+    with pytest.raises(ZeroDivisionError):
+        with store.commit():
+            store.append("joins", joins)
+            raise ZeroDivisionError
+    assert store.read("joins").count() == 2
+
+
+def test_small_parts_are_merged(spark, folder, monkeypatch):
+    from wattledger.plans import store as module
+
+    monkeypatch.setattr(module, "MERGE", 3)
+    store = Store(spark, folder)
+    for i in range(9):
+        store.append("joins", spark.createDataFrame([(str(i), "s", "{}")], "unit_key string, session_id string, json string"))
+    assert store._parts("joins")[0].startswith("level2-") and len(store._parts("joins")) == 1
+    store.vacuum(1)
+    assert sorted(r.unit_key for r in store.read("joins").collect()) == [str(i) for i in range(9)]
+    assert len([n for n in os.listdir(f"{folder}/joins") if n.startswith("level")]) == 1
+
+
+def test_last_estimate_of_a_batch_stays(spark, folder):
     store = Store(spark, folder)
-    rows = spark.range(30).selectExpr(
-        "id", "'spool' AS source", "'o' AS origin", "'json' AS reason_kind", "'r' AS reason", "array() AS attribute_keys", "1L AS bytes"
-    ).selectExpr("id", "source", "origin", "reason_kind", "reason", "CAST(attribute_keys AS array<string>) AS attribute_keys", "bytes")
-    store.insert_rejects(rows.where("id < 20"), keep=10)
-    store.insert_rejects(rows.where("id >= 20 and id < 25"), keep=10)
-    assert sorted(r.id for r in store.read("rejects").collect()) == list(range(15, 25))
+    empty = store.read("estimates")
+    rows = spark.createDataFrame([("e", "s", "error"), ("e", "s", "ok"), ("f", "s", "ok")], "event_id string, session_id string, status string").coalesce(1)
+    for c in empty.columns[3:]:
+        rows = rows.selectExpr("*", f"CAST(NULL AS {empty.schema[c].dataType.simpleString()}) AS {c}")
+    store.upsert_estimates(rows)
+    assert sorted((r.event_id, r.status) for r in store.read("estimates").collect()) == [("e", "ok"), ("f", "ok")]

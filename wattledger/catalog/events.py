@@ -21,7 +21,7 @@ def lines(spark, sf):
     timestamp, 10 extra attribution key, 12 unknown type, 14 unknown type with a short id,
     16 numeric id, 18 a payload with repeated keys.
     """
-    text = X.event_lines(T.spread(T.facts(spark, sf)))
+    text = X.event_lines(T.balanced(T.facts(spark, sf)))
     m = F.col("arrival") % 40
     v = F.col("value")
     swap = lambda pattern, new: F.regexp_replace(v, pattern, new)

@@ -110,7 +110,7 @@ _X = dict(rec=_REC, claim=_CLAIM)
 
 
 def _records(spark, sf):
-    return O.decode(T.spread(bodies(spark, sf)))[0]
+    return O.decode(T.balanced(bodies(spark, sf)))[0]
 
 
 def _claimed(spark, sf):

@@ -87,12 +87,14 @@ def safe_component(text: ColumnOrName) -> Column:
 
 
 def stable_id(prefix: str, *parts: ColumnOrName) -> Column:
-    """``prefix-<16 hex digits>`` from a tuple; null and empty parts hash differently."""
+    """``prefix-<32 hex digits>`` from a tuple; null and empty parts hash differently.
+
+    128 bits of SHA-256, so that no two of very many records are taken for one.
+    """
     tagged = [
         F.coalesce(F.concat(F.lit("v"), as_col(p).cast("string")), F.lit("n")) for p in parts
     ]
-    digest = F.lower(F.hex(F.xxhash64(F.concat_ws("\u001f", *tagged))))
-    return F.concat(F.lit(prefix + "-"), F.lpad(digest, 16, "0"))
+    return F.concat(F.lit(prefix + "-"), digest_prefix(F.concat_ws("\u001f", *tagged), 32))
 
 
 def provider_id(text: ColumnOrName) -> Column:
@@ -179,18 +181,31 @@ def joules_to_kwh(joules: ColumnOrName) -> Column:
     return as_col(joules) / F.lit(S.J_PER_KWH)
 
 
+#: Binary exponents of a band of ``exact_sum``, and its first and last band: 2^-180 to 2^144.
+_BAND, _BANDS = 36, range(-5, 4)
+
+
 def exact_sum(value: ColumnOrName) -> Column:
-    """Sum of doubles that does not depend on the order rows arrive in.
+    """Sum of doubles that does not depend on the order rows arrive in; null when there is no value.
 
-    A plain double sum changes in its last bits with the shuffle order, which would make a
-    rebuild of unchanged facts look like a change.  Fixed-point addition is associative, so it
-    merges map-side and always gives the same double.  Magnitudes outside the fixed-point range
-    fall back to the plain sum.
+    A plain double sum changes in its last bits with the shuffle order, which would make a rebuild of unchanged facts
+    look like a change.  Here each value goes to the band of its size, is scaled by a power of two to between 1 and
+    2^36 and added in fixed point with 17 fraction digits, which keeps all its digits, is associative and merges
+    map-side.  The bands' sums are then added from small to large.  Sizes beyond all bands (2^144 and more, under
+    2^-180, infinities and NaN) are added as they come.
     """
     value = as_col(value)
-    fixed = F.try_sum(value.try_cast("decimal(38,20)")).cast("double")
-    in_range = F.coalesce(F.max(F.abs(value)), F.lit(0.0)) < F.lit(1e12)
-    return F.coalesce(F.when(in_range, fixed), F.sum(value))
+    size = F.abs(value)
+    edges = [F.lit(2.0 ** (_BAND * j)) for j in (*_BANDS, _BANDS.stop)]
+    parts = []
+    for low, high, j in zip(edges, edges[1:], _BANDS):
+        scaled = F.when((size >= low) & (size < high), value * F.lit(2.0 ** (-_BAND * j)))
+        parts.append(F.try_sum(scaled.cast("decimal(38,17)")).cast("double") * F.lit(2.0 ** (_BAND * j)))
+    parts.append(F.sum(F.when(~((size >= edges[0]) & (size < edges[-1])), value)))
+    total = F.lit(0.0)
+    for part in parts:
+        total = total + F.coalesce(part, F.lit(0.0))
+    return F.when(F.count(value) > 0, total)
 
 
 def ordered_counts(entries: ColumnOrName) -> Column:

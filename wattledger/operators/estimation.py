@@ -117,7 +117,9 @@ def factor_estimator(model_factors: DataFrame, zones: DataFrame, methodology: st
     known_zones = zones.select(F.col("zone").alias("region"), F.lit(True).alias("__zone_known"))
 
     def run(reqs: DataFrame) -> DataFrame:
-        asked = reqs.select("provider", "model", "output_tokens", "region").distinct()
+        # Generated, not projected: a region that is one literal for all would turn the zone join into a nested loop.
+        region = F.explode(F.array("region")).alias("region")
+        asked = reqs.select("provider", "model", "output_tokens", region).distinct()
         answered = asked.join(per_model, ["provider", "model"], "left").join(known_zones, "region", "left")
         status = (
             F.when(F.col("factors").isNull(), "unknown_model")

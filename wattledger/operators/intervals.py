@@ -63,19 +63,14 @@ def overlap_join(
     keys: Sequence[str],
     left_bounds: tuple[str, str],
     right_bounds: tuple[str, str],
-    levels: Sequence[int] | None = None,
 ) -> DataFrame:
     """Every pair of equal ``keys`` with ``left.start < right.end and left.end > right.start``.
 
     Bounds are half-open epoch milliseconds.  Columns other than the keys must have distinct
-    names.  ``levels`` may name the level indexes both sides can use, which saves the two small
-    look-ahead scans; it must then cover every level that occurs.
+    names.
     """
     keys = list(keys)
-    if levels is None:
-        left_levels, right_levels = _levels_used(left, left_bounds), _levels_used(right, right_bounds)
-    else:
-        left_levels = right_levels = F.array(*[F.lit(int(l)) for l in levels])
+    left_levels, right_levels = _levels_used(left, left_bounds), _levels_used(right, right_bounds)
     a = _to_cells(left, left_bounds, right_levels, "a")
     b = _to_cells(right, right_bounds, left_levels, "b")
     (ls, le), (rs, re) = left_bounds, right_bounds
@@ -90,23 +85,6 @@ def overlap_join(
     )
 
 
-def near_join(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: str, right_at: str, within_ms: int
-) -> DataFrame:
-    """Pairs of instants at most ``within_ms`` apart, both ends included.
-
-    Cells are as wide as the radius, so a left row looks into three of them.
-    """
-    width = F.lit(max(int(within_ms), 1))
-    cell = "__cell"
-    home = F.floor(F.col(left_at) / width).cast("bigint")
-    a = left.withColumn(cell, F.explode(F.array(home - 1, home, home + 1)))
-    b = right.withColumn(cell, F.floor(F.col(right_at) / width).cast("bigint"))
-    return a.join(b, list(keys) + [cell]).where(
-        F.abs(F.col(left_at) - F.col(right_at)) <= within_ms
-    ).drop(cell)
-
-
 # ---------------------------------------------------------------- merged windows
 
 # Windows are merged inside time slices first; a merged piece that reaches no slice border is final.

@@ -18,6 +18,7 @@ from wattledger.functions import canonical_json, is_rfc3339, parse_ms
 ATTRIBUTION_KEYS = ("agent_id", "subagent_id", "task_id", "tool_call_id")
 USAGE_KEYS = ("input_tokens", "output_tokens", "thought_tokens", "cached_read_tokens", "cached_write_tokens")
 REASON_TEXT = {
+    "oversized": "line too long: ",
     "json": "invalid JSON: ",
     "schema": "schema violation: ",
     "unknown_version": "unsupported schema_version: ",
@@ -223,7 +224,10 @@ def bad_version(v: Column) -> Column:
 
 
 def classify(lines: DataFrame, line: str = "line") -> DataFrame:
-    """Add ``v``, ``type``, ``outcome`` (known / opaque / rejected), ``reason_kind`` and ``reason``."""
+    """Add ``v``, ``type``, ``outcome`` (known / opaque / rejected), ``reason_kind`` and ``reason``.
+
+    A source may mark lines as ``oversized``: of those it has only a sample, so they are rejected as such.
+    """
     v = F.col("v")
     # Generating the checked columns, rather than projecting them, keeps the optimizer from copying
     # the long rule expressions into every later use of their result.
@@ -241,11 +245,14 @@ def classify(lines: DataFrame, line: str = "line") -> DataFrame:
         .alias("violation"),
     )
     df = parsed.withColumn("c", F.explode(F.array(checked)))
+    oversized = F.col("oversized") if "oversized" in lines.columns else F.lit(False)
     reason_kind = (
-        F.when(v.isNull(), "json").when(F.col("c.version").isNotNull(), "unknown_version").when(F.col("c.violation").isNotNull(), "schema")
+        F.when(oversized, "oversized").when(v.isNull(), "json").when(F.col("c.version").isNotNull(), "unknown_version").when(F.col("c.violation").isNotNull(), "schema")
     )
     df = df.withColumn("reason_kind", reason_kind)
-    detail = F.when(F.col("reason_kind") == "json", F.lit("not a JSON value")).otherwise(F.coalesce("c.version", "c.violation"))
+    detail = F.when(F.col("reason_kind") == "oversized", F.lit("longer than the source reads")).when(
+        F.col("reason_kind") == "json", F.lit("not a JSON value")
+    ).otherwise(F.coalesce("c.version", "c.violation"))
     prefix = F.coalesce(*[F.when(F.col("reason_kind") == k, F.lit(t)) for k, t in REASON_TEXT.items()])
     return df.withColumns(
         {
@@ -293,13 +300,18 @@ def opaque_events(classified: DataFrame, arrival: str = "arrival") -> DataFrame:
 
 
 def reject_rows(classified: DataFrame, line: str = "line", arrival: str = "arrival", origin: str = "origin") -> DataFrame:
-    """Metadata of rejected lines: the reason and the size, never the content."""
+    """Metadata of rejected lines: the reason, a digest and the size, never the content.
+
+    The size is the source's ``bytes`` where it gives one, as it does for lines of which it has only a sample.
+    """
+    size = F.octet_length(line).cast("bigint")
     return classified.where("outcome = 'rejected'").select(
         F.col(arrival).cast("bigint").alias("id"),
         F.lit("spool").alias("source"),
         (F.col(origin) if origin in classified.columns else F.lit(None).cast("string")).alias("origin"),
         "reason_kind", "reason", F.array().cast("array<string>").alias("attribute_keys"),
-        F.octet_length(line).cast("bigint").alias("bytes"),
+        (F.coalesce("bytes", size) if "bytes" in classified.columns else size).alias("bytes"),
+        F.sha2(F.col(line).cast("binary"), 256).alias("digest"),
     )
 
 

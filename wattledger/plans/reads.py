@@ -124,16 +124,14 @@ def recent_activity(facts: DataFrame, since: str) -> DataFrame:
     return sessions.join(agents, "agent")
 
 
-def join_by_key(joins: DataFrame, unit_key: str) -> DataFrame:
-    return joins.where(F.col("unit_key") == unit_key)
-
-
 def joins_of_session(joins: DataFrame, session_id: str) -> DataFrame:
     return joins.where(F.col("session_id") == session_id).orderBy("unit_key")
 
 
 def recent_rejects(rejects: DataFrame, limit: int) -> DataFrame:
-    return rejects.orderBy(F.desc("id")).limit(limit)
+    """The newest rejects: of stored ones by batch and place in it, else by arrival."""
+    order = [c for c in ("batch", "id") if c in rejects.columns]
+    return rejects.orderBy(*[F.desc(c) for c in order], *[c for c in ("origin",) if "batch" in rejects.columns]).limit(limit)
 
 
 def keep_newest(df: DataFrame, order: str, n: int) -> DataFrame:

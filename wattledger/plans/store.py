@@ -1,30 +1,34 @@
-"""Keeping the stored tables: deduplicating appends, change-only upserts, rings."""
+"""Keeping the stored tables: deduplicating appends, change-only upserts, one commit for all tables."""
 
 from __future__ import annotations
 
+import contextlib
+import json
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattledger import schemas as S
-from wattledger.functions import ordered_counts
+from wattledger.functions import format_ms, ordered_counts, stable_id
 from wattledger.operators.validate import event_lines
 
 
 def first_wins(batch: DataFrame, key: str = "event_id", arrival: str = "arrival") -> DataFrame:
-    """One row per key, the earliest to arrive.
+    """One row per key, the earliest to arrive; of equally early ones the one with the smallest JSON.
 
     An aggregate rather than a window: copies collapse on the map side, so a key with very many
     copies is not gathered anywhere.
     """
     others = [c for c in batch.columns if c != key]
-    firsts = batch.groupBy(key).agg(F.min_by(F.struct(*others), F.col(arrival)).alias("__row"))
+    order = F.struct(arrival, "json") if "json" in others else F.col(arrival)
+    firsts = batch.groupBy(key).agg(F.min_by(F.struct(*others), order).alias("__row"))
     return firsts.select(key, "__row.*").select(*batch.columns)
 
 
 def last_wins(batch: DataFrame, key: str, order: str) -> DataFrame:
+    """One row per key, the last in ``order``."""
     others = [c for c in batch.columns if c != key]
     lasts = batch.groupBy(key).agg(F.max_by(F.struct(*others), F.col(order)).alias("__row"))
     return lasts.select(key, "__row.*").select(*batch.columns)
@@ -52,11 +56,17 @@ def changed_joins(stored: DataFrame, fresh: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- Parquet tables
 
 
+#: Parts of one level that are merged into one of the next.
+MERGE = 16
+
+
 class Store:
-    """Parquet tables under one root, each kept as numbered generations behind a pointer.
+    """Parquet tables under one root; a commit names the parts of all of them.
 
-    A write goes to a new folder and then moves the pointer, so readers see the old or the new
-    generation and a job that dies half-way leaves the old one in force.
+    Writes go to new folders.  ``commit`` publishes one manifest with every table's parts and the last batch of each
+    writer, so readers see all of a batch or nothing of it, and a batch that is delivered again is skipped.  Of two
+    writers that start from the same manifest the second fails and changes nothing.  Small parts are merged into larger
+    ones as they gather, each row about once per factor of ``MERGE``.
     """
 
     TABLES = {
@@ -64,60 +74,121 @@ class Store:
         "opaque": "schema_version string, event_id string, ts string, collector string, session_id string, type string, arrival bigint, json string",
         "estimates": S.ESTIMATES,
         "joins": "unit_key string, session_id string, json string",
-        "rejects": "id bigint, source string, origin string, reason_kind string, reason string, attribute_keys array<string>, bytes bigint",
-        "batches": "batch_id bigint, part string, rows bigint",
+        "rejects": S.REJECTS,
     }
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self._fs_path = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
         self._fs = self._fs_path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._open: dict | None = None
 
-    def _parts(self, name: str) -> list[str]:
-        """Folders that make up the table now, from the newest pointer file."""
-        folder = self._fs_path(f"{self.root}/{name}/_pointers")
-        if not self._fs.exists(folder):
-            return []
-        newest = max((s.getPath().getName() for s in self._fs.listStatus(folder)), default=None)
-        if newest is None:
-            return []
-        lines = self.spark.read.text(f"{self.root}/{name}/_pointers/{newest}").collect()
-        return [row.value for row in lines if row.value]
-
-    def _point(self, name: str, parts: Sequence[str]) -> None:
-        folder = self._fs_path(f"{self.root}/{name}/_pointers")
+    # -- manifests
+
+    def _manifests(self) -> list[str]:
+        folder = self._fs_path(f"{self.root}/_commits")
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(folder)) if self._fs.exists(folder) else []
+
+    def _manifest(self, name: str | None = None) -> dict:
+        name = name or max(self._manifests(), default=None)
+        if name is None:
+            return {"number": 0, "tables": {}, "batches": {}}
+        return json.loads("".join(r.value for r in self.spark.read.text(f"{self.root}/_commits/{name}", wholetext=True).collect()))
+
+    def _state(self) -> dict:
+        return self._open if self._open is not None else self._manifest()
+
+    def _publish(self, state: dict) -> None:
+        folder = self._fs_path(f"{self.root}/_commits")
         self._fs.mkdirs(folder)
-        seen = [s.getPath().getName() for s in self._fs.listStatus(folder)]
-        number = int(max(seen, default="0")) + 1
-        hidden = self._fs_path(f"{self.root}/{name}/_pointers_{uuid.uuid4().hex}")
-        stream = self._fs.create(hidden, True)
-        stream.write(bytearray(("\n".join(parts) + "\n").encode()))
+        hidden = self._fs_path(f"{self.root}/_commit_{uuid.uuid4().hex}")
+        stream = self._fs.create(hidden, False)
+        stream.write(bytearray(json.dumps(state).encode()))
         stream.close()
-        if not self._fs.rename(hidden, self._fs_path(f"{self.root}/{name}/_pointers/{number:012d}")):
-            raise RuntimeError(f"another writer moved {name}")
+        jvm = self.spark._jvm
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        kind = jvm.org.apache.hadoop.fs.Options.Rename
+        never = self.spark.sparkContext._gateway.new_array(kind, 1)
+        never[0] = kind.NONE
+        try:
+            # Fails where the number is taken, so the second of two writers does not win.
+            files.rename(hidden, self._fs_path(f"{self.root}/_commits/{state['number']:012d}"), never)
+        except Exception as error:
+            self._fs.delete(hidden, False)
+            raise RuntimeError("another writer committed first; read again and repeat") from error
+
+    @contextlib.contextmanager
+    def commit(self, writer: str = "", batch_id: int | None = None) -> Iterator[bool]:
+        """Publish all writes inside as one commit.  Gives False, and nothing should be written, for a batch that the
+        writer has committed already.  Inside another commit it is part of that one.
+        """
+        if self._open is not None:
+            yield True
+            return
+        state = self._manifest()
+        if batch_id is not None and state["batches"].get(writer, -1) >= batch_id:
+            yield False
+            return
+        before = json.dumps(state["tables"], sort_keys=True)
+        self._open = state | {"number": state["number"] + 1}
+        try:
+            yield True
+            if batch_id is not None:
+                self._open["batches"][writer] = batch_id
+            if batch_id is not None or json.dumps(self._open["tables"], sort_keys=True) != before:
+                self._publish(self._open)
+        finally:
+            self._open = None
+
+    def vacuum(self, keep: int = 2) -> None:
+        """Delete manifests but the last ``keep``, and parts that none of those names."""
+        names = self._manifests()
+        held = {(t, p) for n in names[-keep:] for t, parts in self._manifest(n)["tables"].items() for p in parts}
+        for name in names[:-keep]:
+            self._fs.delete(self._fs_path(f"{self.root}/_commits/{name}"), False)
+        for table in self.TABLES:
+            folder = self._fs_path(f"{self.root}/{table}")
+            for status in self._fs.listStatus(folder) if self._fs.exists(folder) else []:
+                if (table, status.getPath().getName()) not in held:
+                    self._fs.delete(status.getPath(), True)
+
+    # -- tables
 
-    def read(self, name: str) -> DataFrame:
-        parts = self._parts(name)
-        ddl = self.TABLES[name]
+    def _parts(self, name: str) -> list[str]:
+        return self._state()["tables"].get(name, [])
+
+    def _read_parts(self, name: str, parts: list[str]) -> DataFrame:
         if not parts:
-            return self.spark.createDataFrame([], ddl)
-        return self.spark.read.schema(ddl).parquet(*[f"{self.root}/{name}/{p}" for p in parts])
+            return self.spark.createDataFrame([], self.TABLES[name])
+        return self.spark.read.schema(self.TABLES[name]).parquet(*[f"{self.root}/{name}/{p}" for p in parts])
 
-    def _write(self, name: str, df: DataFrame) -> str:
-        part = f"part-{uuid.uuid4().hex}"
+    def read(self, name: str) -> DataFrame:
+        return self._read_parts(name, self._parts(name))
+
+    def _write(self, name: str, df: DataFrame, level: int = 0) -> str:
+        part = f"level{level}-{uuid.uuid4().hex}"
         columns = self.spark.createDataFrame([], self.TABLES[name]).columns
         df.select(*columns).write.parquet(f"{self.root}/{name}/{part}")
         return part
 
     def append(self, name: str, df: DataFrame) -> int:
-        part = self._write(name, df)
-        rows = self.spark.read.schema(self.TABLES[name]).parquet(f"{self.root}/{name}/{part}").count()
-        if rows:
-            self._point(name, [*self._parts(name), part])
+        with self.commit():
+            part = self._write(name, df)
+            rows = self._read_parts(name, [part]).count()
+            if rows:
+                self._state()["tables"][name] = self._merged(name, [*self._parts(name), part])
         return rows
 
+    def _merged(self, name: str, parts: list[str], level: int = 0) -> list[str]:
+        small = [p for p in parts if p.startswith(f"level{level}-")]
+        if len(small) < MERGE:
+            return parts
+        whole = self._write(name, self._read_parts(name, small), level + 1)
+        return self._merged(name, [*(p for p in parts if p not in small), whole], level + 1)
+
     def replace(self, name: str, df: DataFrame) -> None:
-        self._point(name, [self._write(name, df)])
+        with self.commit():
+            self._state()["tables"][name] = [self._write(name, df)]
 
     # -- sinks
 
@@ -128,7 +199,9 @@ class Store:
         return self.append("opaque", new_rows(events, self.read("opaque")))
 
     def upsert_estimates(self, batch: DataFrame) -> None:
-        self.replace("estimates", upserted(self.read("estimates"), batch))
+        """Put the batch's estimates in place of stored ones; of several for one call the last in the batch stays."""
+        last = last_wins(batch.withColumn("__at", F.monotonically_increasing_id()), "event_id", "__at").drop("__at")
+        self.replace("estimates", upserted(self.read("estimates"), last))
 
     def upsert_joins(self, records: DataFrame) -> int:
         """Write the records that changed and return how many did; no change writes nothing."""
@@ -141,13 +214,23 @@ class Store:
             self.replace("joins", upserted(stored, rows.drop("changed"), "unit_key"))
         return counts.changed
 
-    def insert_rejects(self, rows: DataFrame, keep: int = S.REJECT_RING) -> None:
-        ring = self.read("rejects").unionByName(rows).orderBy(F.desc("id")).limit(keep)
-        self.replace("rejects", ring)
+    def insert_rejects(self, rows: DataFrame, now_ms: int) -> int:
+        """Add rejects to those stored; all are kept, and the newest are a read (``reads.recent_rejects``).
+
+        A reject is one line: the same line at the same place is stored once, another line there is another reject.
+        ``batch`` and ``id`` give the order of arrival.
+        """
+        with self.commit():
+            keyed = rows.withColumns({
+                "key": stable_id("reject", "origin", "id", "reason", "bytes", "digest"),
+                "batch": F.lit(self._state()["number"]).cast("bigint"), "ts": format_ms(F.lit(now_ms).cast("bigint")),
+            })
+            return self.append("rejects", new_rows(keyed, self.read("rejects"), "key", "id"))
 
     def wipe_derived(self) -> None:
-        for name in ("estimates", "joins"):
-            self.replace(name, self.spark.createDataFrame([], self.TABLES[name]))
+        with self.commit():
+            for name in ("estimates", "joins"):
+                self.replace(name, self.spark.createDataFrame([], self.TABLES[name]))
 
 
 # ---------------------------------------------------------------- documents

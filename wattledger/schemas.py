@@ -105,6 +105,6 @@ ESTIMATES = (
     f"region_id string, region_source string, latency_missing boolean, impacts {IMPACTS}"
 )
 REJECTS = (
-    "id bigint, ts string, source string, origin string, reason string, "
+    "key string, batch bigint, id bigint, ts string, source string, origin string, reason_kind string, reason string, "
     "attribute_keys array<string>, bytes bigint"
 )

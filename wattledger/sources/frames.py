@@ -17,9 +17,13 @@ def frame_data(frame: Column) -> Column:
 
 
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
-    """Frames of an event-stream log, one row each; the last one may lack its blank line."""
+    """Frames of an event-stream log, one row each; the last one may lack its blank line.
+
+    Lines may end in LF or CRLF.  A log with LF is read in splits; one with CRLF has no LF LF in it, so each of its
+    files is one row until it is split here.
+    """
     raw = spark.read.text(path, lineSep="\n\n")
-    return parse_frames(raw.withColumnRenamed("value", "frame"))
+    return parse_frames(raw.select(F.explode(F.split("value", r"\r?\n\r?\n")).alias("frame")))
 
 
 def parse_frames(frames: DataFrame, frame: str = "frame") -> DataFrame:

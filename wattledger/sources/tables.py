@@ -28,13 +28,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Divide work that is heavy per row over all cores when the input has too few files for that.
-
-    A large table comes in enough splits already and is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+def balanced(df: DataFrame) -> DataFrame:
+    """Deal rows out evenly before work that is heavy per row; Spark sets the number of partitions by size."""
+    return df.hint("rebalance")
 
 
 def pick(values, index: Column) -> Column:

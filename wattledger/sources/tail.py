@@ -1,14 +1,18 @@
 """Streaming source over growing spool files: only appended, complete lines are read.
 
 Spark's file source tracks whole files; event spools are appended to.  Offsets here are bytes per
-file.  The driver only looks at sizes and finds each file's last newline; the byte ranges are cut
-into pieces of bounded size and read by executors, each piece taking the lines that start in it.
+file.  The driver lists sizes and looks for the last newline of files that grew; the byte ranges are
+cut into pieces of bounded size and read by executors, once and in order, each piece taking the
+lines that start in it.
 
     spark.dataSource.register(SpoolTail)
     spark.readStream.format("spool_tail").load("/shared/spool")
 
-A line longer than ``maxReadBytes`` is reported with a short sample and ``oversized`` set.  A file
-that shrank is read again from its start, with ``truncated`` set.
+Options: ``maxReadBytes`` (longest line; a longer one comes as a short sample with ``oversized`` set
+and its true size in ``bytes``), ``maxBytesPerTrigger`` (of each batch; not for drains, which take
+one batch; after a restart the first batch is not limited), ``lineNumbers`` (true also numbers lines,
+for which the file is read up to each piece).  A file that shrank is read again from its start, with
+``truncated`` set.
 """
 
 from __future__ import annotations
@@ -23,8 +27,9 @@ from wattledger.sources.spool import FILE_PATTERN
 
 SCHEMA = (
     "file_name string, collector_file string, session_file string, origin string, byte_offset bigint, "
-    "line_number bigint, line string, oversized boolean, truncated boolean"
+    "line_number bigint, line string, oversized boolean, truncated boolean, bytes bigint"
 )
+BLOCK = 1 << 20
 
 
 class SpoolTail(DataSource):
@@ -36,7 +41,11 @@ class SpoolTail(DataSource):
         return SCHEMA
 
     def streamReader(self, schema) -> "SpoolTailReader":
-        return SpoolTailReader(self.options["path"], int(self.options.get("maxReadBytes", MAX_READ_BYTES)))
+        limit = self.options.get("maxBytesPerTrigger")
+        return SpoolTailReader(
+            self.options["path"], int(self.options.get("maxReadBytes", MAX_READ_BYTES)), int(limit) if limit else None,
+            self.options.get("lineNumbers", "false").lower() == "true",
+        )
 
 
 class Piece(InputPartition):
@@ -45,8 +54,10 @@ class Piece(InputPartition):
 
 
 class SpoolTailReader(DataSourceStreamReader):
-    def __init__(self, path: str, max_read: int):
-        self.path, self.max_read = path, max_read
+    def __init__(self, path: str, max_read: int, limit: int | None = None, numbered: bool = False):
+        self.path, self.max_read, self.limit, self.numbered = path, max_read, limit, numbered
+        self.seen: dict[str, tuple[int, int]] = {}  # size of each file and the end of its last whole line
+        self.reached: dict[str, int] | None = None  # where the last batch ended, once that is known
 
     def _open(self):
         from pyarrow import fs
@@ -72,21 +83,57 @@ class SpoolTailReader(DataSourceStreamReader):
         return 0
 
     def initialOffset(self) -> dict:
+        self.reached = {}
         return {}
 
     def latestOffset(self) -> dict:
+        from concurrent.futures import ThreadPoolExecutor
+
         from pyarrow import fs
 
         filesystem, root = self._open()
-        listed = filesystem.get_file_info(fs.FileSelector(root, allow_not_found=True))
-        offsets = {}
-        for info in sorted(listed, key=lambda i: i.base_name):
-            if info.type == fs.FileType.File and re.match(FILE_PATTERN, info.base_name):
-                offsets[info.base_name] = self._complete_end(filesystem, info.path, info.size)
+        listed = [
+            i for i in filesystem.get_file_info(fs.FileSelector(root, allow_not_found=True))
+            if i.type == fs.FileType.File and re.match(FILE_PATTERN, i.base_name)
+        ]
+        grown = [i for i in listed if self.seen.get(i.base_name, (None, 0))[0] != i.size]
+        with ThreadPoolExecutor(16) as pool:
+            ends = pool.map(lambda i: self._complete_end(filesystem, i.path, i.size), grown)
+            self.seen.update({i.base_name: (i.size, end) for i, end in zip(grown, ends)})
+        offsets = {i.base_name: self.seen[i.base_name][1] for i in sorted(listed, key=lambda i: i.base_name)}
+        if self.limit and self.reached is not None:
+            offsets = self._limited(filesystem, root, offsets)
+        self.reached = offsets
         return offsets
 
+    def _limited(self, filesystem, root: str, offsets: dict) -> dict:
+        """Ends that take no more than the limit, but at least one line, beyond the last ones; files by name."""
+        left, out = self.limit, {}
+        for name, end in offsets.items():
+            since = self.reached.get(name, 0)
+            if end > since:
+                if left <= 0:
+                    end = since
+                elif end - since > left:
+                    whole = self._complete_end(filesystem, f"{root}/{name}", since + left)
+                    end = whole if whole > since else self._next_line(filesystem, f"{root}/{name}", since + left)
+                left -= end - since
+            out[name] = end
+        return out
+
+    def _next_line(self, filesystem, path: str, at: int) -> int:
+        with filesystem.open_input_file(path) as f:
+            f.seek(at)
+            while block := f.read(BLOCK):
+                cut = block.find(b"\n")
+                if cut >= 0:
+                    return at + cut + 1
+                at += len(block)
+        return at
+
     def partitions(self, start: dict, end: dict) -> list[Piece]:
         pieces = []
+        self.reached = dict(end)
         for name, to in end.items():
             since = start.get(name, 0)
             truncated = to < since
@@ -102,54 +149,40 @@ class SpoolTailReader(DataSourceStreamReader):
         collector, session = re.match(FILE_PATTERN, piece.name).groups()
         head = (piece.name, collector, session, f"{collector}:{session}")
         with filesystem.open_input_file(f"{root}/{piece.name}") as f:
-            # A line belongs to the piece its first byte is in.
-            at, number = piece.start, 1 + self._newlines(f, piece.start)
-            if piece.start > piece.first:
-                f.seek(piece.start - 1)
-                at, cut = self._skip_line(f, piece.start - 1)
-                number += cut if at > piece.start else 0
-            while at < piece.end:
-                f.seek(at)
-                line, following = self._line(f, at)
-                if following is None:
-                    return
-                if line is None:
-                    f.seek(at)
-                    sample = f.read(REJECT_SAMPLE_BYTES).decode("utf-8", "replace") + "…"
-                    yield (*head, at, number, sample, True, piece.truncated)
-                elif line:
-                    yield (*head, at, number, line.decode("utf-8", "replace"), False, piece.truncated)
-                at, number = following, number + 1
+            # A line belongs to the piece its first byte is in; the byte before says whether one begins here.
+            inside = piece.start > piece.first
+            number = 1 + self._newlines(f, piece.start - inside) if self.numbered else None
+            f.seek(piece.start - inside)
+            for at, size, line in self._lines(f, piece.start - inside, piece.end):
+                if inside:  # the end of a line that an earlier piece has
+                    inside = False
+                elif size:
+                    oversized = size > self.max_read
+                    text = line.decode("utf-8", "replace") + ("…" if oversized else "")
+                    yield (*head, at, number, text, oversized, piece.truncated, size)
+                number = number + 1 if self.numbered else None
 
     def _newlines(self, f, until: int) -> int:
         f.seek(0)
-        seen, left = 0, until
-        while left > 0:
-            block = f.read(min(left, 1 << 20))
-            if not block:
-                break
+        seen = 0
+        while until > 0 and (block := f.read(min(until, BLOCK))):
             seen += block.count(b"\n")
-            left -= len(block)
+            until -= len(block)
         return seen
 
-    def _skip_line(self, f, at: int) -> tuple[int, int]:
-        """Start of the next line after the one running through ``at``, and newlines passed from ``at + 1``."""
-        while block := f.read(1 << 16):
-            cut = block.find(b"\n")
-            if cut >= 0:
-                return at + cut + 1, int(cut > 0)
-            at += len(block)
-        return at, 0
-
-    def _line(self, f, at: int) -> tuple[bytes | None, int | None]:
-        """(line, start of the next); a line above the limit is (None, start of the next)."""
-        kept, length = [], 0
-        while block := f.read(1 << 16):
-            cut = block.find(b"\n")
-            part = block if cut < 0 else block[:cut]
-            length += len(part)
-            if length <= self.max_read:
-                kept.append(part)
-            if cut >= 0:
-                return (b"".join(kept) if length <= self.max_read else None), at + length + 1
-        return None, None
+    def _lines(self, f, at: int, end: int) -> Iterator[tuple[int, int, bytes]]:
+        """(start, size, line) of the lines that start before ``end``, from one pass; of too long ones a sample."""
+        kept, size = [], 0
+        while at < end and (block := f.read(BLOCK)):
+            begin = 0
+            while at < end:
+                cut = block.find(b"\n", begin)
+                part = block[begin : cut if cut >= 0 else len(block)]
+                if size <= self.max_read:
+                    kept.append(part)
+                size += len(part)
+                if cut < 0:
+                    break
+                line = b"".join(kept)
+                yield at, size, line if size <= self.max_read else line[:REJECT_SAMPLE_BYTES]
+                at, begin, kept, size = at + size + 1, cut + 1, [], 0

@@ -1,55 +1,70 @@
 """Resident ingest: stream -> validate -> deduplicating append -> rebuild of touched sessions.
 
-Delivery is at least once and the appends are idempotent, so the effect is once.  Late events are
+Delivery is at least once; a batch is one commit and is skipped when it comes again, so the effect is once.  Late events are
 never dropped: they mark their session, which is rebuilt from all its facts.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from wattledger.operators.estimation import Estimator
 from wattledger.operators.validate import classify, known_facts, opaque_events, reject_rows
-from wattledger.plans.rebuild import Settings, rebuild_stored
+from wattledger.plans.rebuild import Settings, rebuild
 from wattledger.plans.store import Store
-from wattledger.session import cut
+from wattledger.session import cut, scratch
 
 FLUSH = "60 seconds"
 
 
 def with_arrival(lines: DataFrame) -> DataFrame:
-    """Arrival order inside a batch: file, then position in it; stable when a batch is replayed."""
+    """Arrival order inside a file; events of two files at one place are told apart by their JSON (``first_wins``)."""
     return lines.withColumn("arrival", F.col("byte_offset"))
 
 
-def ingest_batch(store: Store, lines: DataFrame, batch_id: int, settings: Settings | None = None) -> dict[str, int]:
-    """Commit one micro-batch.  Running it again with the same lines changes nothing."""
-    checked = cut(classify(with_arrival(lines)).drop("v").select("line", "arrival", "origin", "type", "outcome", "reason_kind", "reason"))
-    # VARIANT columns are parsed again from the kept text, which is cheaper than storing both.
-    again = checked.withColumn("v", F.try_parse_json("line"))
-    inserted = store.insert_events(known_facts(again))
-    opaque = store.insert_opaque(opaque_events(again))
-    rejected = reject_rows(checked).withColumn("id", F.abs(F.xxhash64("origin", "id")))
-    if not rejected.isEmpty():
-        store.insert_rejects(rejected.join(store.read("rejects").select("id"), "id", "left_anti"))
-    if settings is not None:
-        touched = known_facts(again).select("session_id").distinct()
-        if not touched.isEmpty():
-            rebuild_stored(store, settings, touched)
-    return {"inserted": inserted, "opaque": opaque}
+def ingest_batch(
+    store: Store, lines: DataFrame, batch_id: int, settings: Settings | None = None, writer: str = "ingest",
+    estimator: Estimator | None = None,
+) -> dict[str, int]:
+    """Commit one micro-batch: facts, opaque rows, rejects and joins together, or nothing of it.
+
+    A batch that the writer committed already is skipped.  Its intermediate results are deleted at the end.
+    """
+    counts = {"inserted": 0, "opaque": 0, "rejected": 0}
+    with scratch(lines.sparkSession), store.commit(writer, batch_id) as fresh:
+        if fresh:
+            keep = [c for c in ("line", "arrival", "origin", "type", "outcome", "reason_kind", "reason", "bytes")]
+            checked = classify(with_arrival(lines)).drop("v")
+            checked = cut(checked.select(*[c for c in keep if c in checked.columns]))
+            # VARIANT columns are parsed again from the kept text, which is cheaper than storing both.
+            again = checked.withColumn("v", F.try_parse_json("line"))
+            counts["inserted"] = store.insert_events(known_facts(again))
+            counts["opaque"] = store.insert_opaque(opaque_events(again))
+            counts["rejected"] = store.insert_rejects(reject_rows(checked), int(time.time() * 1000))
+            if settings is not None:
+                touched = cut(known_facts(again).select("session_id").distinct())
+                if not touched.isEmpty():
+                    rebuild(store, settings, estimator, touched)
+    return counts
 
 
 def start(
     lines: DataFrame, store: Store, checkpoint: str, settings: Settings | None = None, every: str | None = FLUSH,
-    on_batch: Callable[[dict[str, int]], None] | None = None,
+    on_batch: Callable[[dict[str, int]], None] | None = None, estimator: Estimator | None = None,
 ) -> StreamingQuery:
-    """Start the resident ingest; ``every=None`` drains what is there and stops."""
+    """Start the resident ingest; ``every=None`` drains what is there and stops.
+
+    The checkpoint names the writer, so a restarted query does not commit a batch twice.  With an estimator the calls
+    of touched sessions are estimated in the same commit.
+    """
 
     def flush(batch: DataFrame, batch_id: int) -> None:
-        counts = ingest_batch(store, batch, batch_id, settings)
+        counts = ingest_batch(store, batch, batch_id, settings, checkpoint, estimator)
         if on_batch:
             on_batch(counts)
 
