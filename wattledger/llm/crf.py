@@ -223,16 +223,23 @@ def _expected(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray)
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", docs_each: int = TRAIN_DOCS,
           words_each: int = TRAIN_WORDS, **how) -> Model:
-    """Fit on a bounded sample: ``docs_each`` documents of each label in an order drawn by the key's hash, and up to
-    ``words_each`` words from the middle of each.  Rows without label or text do not count.
+    """Fit on a bounded sample: up to ``docs_each`` documents of each label in an order drawn by the key's hash, and up
+    to ``words_each`` words from the middle of each.  Rows without label or text do not count.
+
+    Labels are counted first and the hash then thinned to about four times what is wanted, so the one task of a label
+    that sorts its candidates gets as many rows from a large table as from a small one.
     """
-    order = W.partitionBy("y").orderBy(F.xxhash64("k"), "k")
+    order = W.partitionBy("y").orderBy("h", "k")
     part = F.split(F.trim("x"), r"\s+", -1)
     begin = F.greatest(F.lit(1), F.floor((F.size("w") - words_each) / 2).cast("int") + 1)
+    labelled = docs.select(
+        F.col(key).alias("k"), F.col(label).cast("string").alias("y"), F.col(text).alias("x"), F.xxhash64(key).alias("h")
+    ).filter("y is not null and x is not null and length(x) > 0")
+    counts = labelled.groupBy("y").count()
+    thin = F.pmod("h", F.lit(1 << 31)) * F.col("count") < F.lit(4.0 * docs_each * (1 << 31))
     sample = (
-        docs.select(F.col(key).alias("k"), F.col(label).cast("string").alias("y"), F.col(text).alias("x"))
-        .filter("y is not null and x is not null and length(x) > 0")
-        .withColumn("w", part).select("k", "y", F.slice("w", begin, F.lit(words_each)).alias("w"))
+        labelled.join(counts, "y").filter(thin)
+        .withColumn("w", part).select("k", "y", "h", F.slice("w", begin, F.lit(words_each)).alias("w"))
         .withColumn("n", F.row_number().over(order)).filter(F.col("n") <= docs_each).select("k", "y", "w")
     )
     rows = sorted(sample.collect(), key=lambda r: (r["y"], str(r["k"]), r["w"]))
