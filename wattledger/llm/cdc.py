@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wattledger.llm.common import pack, unpacked
+
 #: Least, wanted and largest bytes of a chunk; bytes that the hash of a place looks back on.
 LEAST, WANTED, MOST, SPAN = 32, 96, 512, 32
 #: Bits that must be zero before and after the wanted size: 1 in 256 and 1 in 32 places.
@@ -114,7 +116,8 @@ def _placed(docs: DataFrame, key: str, text: str) -> DataFrame:
     schema = "bucket int, k bigint, th bigint, other int"
     heads = spark.createDataFrame([(r["bucket"], *r["first"], follows[r["bucket"]]) for r in first], schema)
     near = rows.withColumn("bucket", bucket("k"))
-    guests = near.join(heads, ["bucket", "k", "th"]).select(
+    # One row per bucket, and there are four times as many buckets as partitions.
+    guests = near.join(F.broadcast(heads), ["bucket", "k", "th"]).select(
         F.col("other").alias("bucket"), F.lit(True).alias("guest"), "k", "th", "key", "text"
     )
     return near.select("bucket", F.lit(False).alias("guest"), "k", "th", "key", "text").union(guests)
@@ -128,11 +131,11 @@ def compare(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     the first, so a single document follows itself.  A null text is empty.  Null keys come last; repeated keys are
     ordered by a hash of their texts, and a repeated row follows its double.
     """
-    rows = _placed(docs, key, text)
+    rows = pack(_placed(docs, key, text))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ready = rows.repartition(parts, "bucket").sortWithinPartitions(
         "bucket", "guest", F.col("k").desc(), F.col("th").desc()
-    ).select("bucket", "guest", "key", "text")
+    ).select("bucket", "guest", "key", "z")
     schema = T.StructType([
         T.StructField(key, docs.schema[key].dataType), T.StructField("n_chars", T.LongType()),
         *[T.StructField(c, T.StringType()) for c in ("edited", "fingerprint", "edited_fingerprint")],
@@ -143,14 +146,14 @@ def compare(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         held = None  # bucket, key, text, chunks of the row before
         for batch in batches:
             out = []
-            for bucket, guest, own, body in zip(*(batch.column(c).to_pylist() for c in ("bucket", "guest", "key", "text"))):
+            for bucket, guest, own, body in zip(*(batch.column(c).to_pylist() for c in ("bucket", "guest", "key")), unpacked(batch)):
                 if guest and (held is None or held[0] != bucket):
                     continue  # a repeated guest
-                now = (bucket, own, body, chunks(body.encode()))
+                now = (bucket, own, body.decode(), chunks(body))
                 if held is not None:
                     _, before, old, mine = held
                     half = len(old) // 2
-                    edited = old[: len(old) - half] + body[:half]
+                    edited = old[: len(old) - half] + now[2][:half]
                     other = chunks(edited.encode())
                     out.append((before, len(old), edited, fingerprint(mine), fingerprint(other),
                                 containment(mine, other), containment(mine, now[3])))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,3 +74,24 @@ def domain_of(source: str):
     """The domain of a source: d0 to d3 by the number its name ends in, '' without one."""
     number = F.regexp_extract(F.coalesce(F.col(source), F.lit("")), r"([0-9]{1,9})$", 1)
     return F.when(number == "", F.lit("")).otherwise(F.concat(F.lit("d"), (number.cast("int") % 4).cast("string")))
+
+
+def pack(rows: DataFrame) -> DataFrame:
+    """The rows with ``z`` in place of ``text``: compressed texts, which halves what an exchange holds of them."""
+    others = [f for f in rows.schema.fields if f.name != "text"]
+    schema = T.StructType([*others, T.StructField("z", T.BinaryType())])
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        small = zstandard.ZstdCompressor(level=3)
+        z = [small.compress(t) for t in text_bytes(batch, "text")]
+        return pa.RecordBatch.from_arrays(
+            [*(batch.column(f.name) for f in others), pa.array(z, pa.binary())], names=schema.names
+        )
+
+    return map_batches(rows, run, schema)
+
+
+def unpacked(batch: pa.RecordBatch) -> list[bytes]:
+    """The texts of a batch of packed rows, as UTF-8 bytes."""
+    large = zstandard.ZstdDecompressor()
+    return [large.decompress(z.as_py()) for z in batch.column("z")]

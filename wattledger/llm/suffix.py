@@ -23,12 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wattledger.llm.common import map_batches, text_bytes
+from wattledger.llm.common import map_batches, pack, unpacked
 from wattledger.session import cut
 
 WINDOW = 100
@@ -110,32 +109,12 @@ def _joined(texts: list[bytes], window: int, piece: int) -> Iterator[tuple[bytes
         yield b"".join(out), *(np.array(x, np.int64) for x in (who, start, at))
 
 
-def pack(rows: DataFrame) -> DataFrame:
-    """The rows with ``z`` in place of ``text``: compressed texts, which halves what the exchange holds."""
-    others = [f for f in rows.schema.fields if f.name != "text"]
-    schema = T.StructType([*others, T.StructField("z", T.BinaryType())])
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        small = zstandard.ZstdCompressor(level=3)
-        z = [small.compress(t) for t in text_bytes(batch, "text")]
-        return pa.RecordBatch.from_arrays(
-            [*(batch.column(f.name) for f in others), pa.array(z, pa.binary())], names=schema.names
-        )
-
-    return map_batches(rows, run, schema)
-
-
-def _unpacked(batch: pa.RecordBatch) -> list[bytes]:
-    large = zstandard.ZstdDecompressor()
-    return [large.decompress(z.as_py()) for z in batch.column("z")]
-
-
 def find_anchors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(h, ref, place) of every anchor of (ref, z)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         refs = batch.column("ref").to_numpy()
-        texts = _unpacked(batch)
+        texts = unpacked(batch)
         got = []
         for data, who, start, at in _joined(texts, window, PIECE):
             raw = np.frombuffer(data, np.uint8)
@@ -169,7 +148,7 @@ def _suffixes(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         lead, off_, body, ref_, s0_ = [], [], [], [], []
-        texts = _unpacked(batch)
+        texts = unpacked(batch)
         refs = batch.column("ref").to_pylist()
         packed = batch.column("places")
         for k, text in enumerate(texts):
@@ -390,7 +369,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
         sizes, removed, spans, kept = [], [], [], []
         cuts = batch.column("cuts")
-        for k, text in enumerate(_unpacked(batch)):
+        for k, text in enumerate(unpacked(batch)):
             sizes.append(len(text))
             if not cuts[k].is_valid:
                 removed.append(0)
