@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from wattledger import schemas as S
 from wattledger.functions import format_ms, parse_ms, provider_id, sanitize_id, stable_id
 from wattledger.operators.ordered import last_before
 from wattledger.operators.validate import field, kind, text
+from wattledger.session import cut
 
 # Fixed values of the contract: names the exporters use.
 VENDOR_A_BODY = "claude_code.api_request"
@@ -181,15 +183,61 @@ def nano_text(nano: Column) -> Column:
 
 @dataclass(frozen=True)
 class Normalizer:
-    """``applies``: whether a record is its business.  ``event``: the mapped event, null when it cannot
-    be mapped.  ``drops``: whether an unmappable record is dropped (else it stays unclaimed)."""
+    """``applies``: whether a record is its business.  ``maps``: whether it can be mapped; ``event``: the mapped event.
+    ``drops``: whether an unmappable record is dropped (else it stays unclaimed).  All read typed attributes."""
 
     name: str
     applies: Callable[[], Column]
+    maps: Callable[[], Column]
     event: Callable[[], Column]
     drops: Callable[[], Column] = lambda: F.lit(True)
 
 
+# Attributes the normalisers read, by type: each is looked up once per record.
+STRINGS = (
+    "model", "session.id", "request_id", "conversation.id", "event.name", "event.kind", "event.timestamp", "app.version",
+    "provider_name", "tool_name", "call_id", "gen_ai.provider.name", "gen_ai.request.model", "gen_ai.response.model",
+    "gen_ai.conversation.id", "gen_ai.response.id", "server.address", "error.type",
+)
+COUNTS = (
+    "input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens", "duration_ms", *VENDOR_B_USAGE,
+    "gen_ai.usage.input_tokens", "gen_ai.usage.output_tokens", "gen_ai.usage.cache_read.input_tokens",
+    "gen_ai.usage.cache_creation.input_tokens",
+)
+FLAGS = ("success", "gen_ai.request.stream")
+PRESENT = ("gen_ai.provider.name", "gen_ai.request.model", "gen_ai.response.model")
+
+
+def _name(kind_: str, key: str) -> str:
+    return f"{kind_}_{key.replace('.', '_')}"
+
+
+def typed_attributes(records: DataFrame) -> DataFrame:
+    """The records with one column for each attribute that a normaliser reads, in place of the attribute map.
+
+    Generated rather than projected, so that no later use copies the look-ups.
+    """
+    readers = [(STRINGS, "text", get_string), (COUNTS, "count", get_u64), (FLAGS, "flag", get_bool), (PRESENT, "has", has)]
+    typed = F.struct(*[read(k).alias(_name(kind_, k)) for keys, kind_, read in readers for k in keys])
+    return records.withColumn("x", F.explode(F.array(typed))).drop("attrs").select("*", "x.*").drop("x")
+
+
+def _text(key: str) -> Column:
+    return F.col(_name("text", key))
+
+
+def _count(key: str) -> Column:
+    return F.col(_name("count", key))
+
+
+def _flag(key: str) -> Column:
+    return F.col(_name("flag", key))
+
+
+def _has(key: str) -> Column:
+    return F.col(_name("has", key))
+
+
 def _event(event_id, ts, ts_ms, collector, session_id, kind_, tool_call_id=None, **payloads) -> Column:
     null = lambda ddl: F.lit(None).cast(ddl)
     attribution = null(S.ATTRIBUTION) if tool_call_id is None else F.struct(
@@ -213,34 +261,35 @@ def _call(provider, requested, served, endpoint, usage, duration, status, stream
 
 
 def _session(*keys: str) -> Column:
-    return F.coalesce(*[sanitize_id(get_string(k)) for k in keys], F.lit("unknown"))
+    return F.coalesce(*[sanitize_id(_text(k)) for k in keys], F.lit("unknown"))
 
 
 def _vendor_a_event() -> Column:
-    nano, model = F.col("time_nano"), get_string("model")
-    session, request = _session("session.id"), get_string("request_id")
-    tokens_in, tokens_out = get_u64("input_tokens"), get_u64("output_tokens")
+    nano, model = F.col("time_nano"), _text("model")
+    session, request = _session("session.id"), _text("request_id")
+    tokens_in, tokens_out = _count("input_tokens"), _count("output_tokens")
     given = F.concat(F.lit("otlp-"), request)
     event_id = (
         F.when(request.isNull(), stable_id("otlp", session, nano, model, tokens_in, tokens_out, F.col("index")))
         .when(F.octet_length(given) >= S.MIN_EVENT_ID_LEN, given)
         .otherwise(F.concat(given, F.substring(stable_id("", request), 1, 17)))
     )
-    usage = [tokens_in, tokens_out, F.lit(None).cast("bigint"), get_u64("cache_read_tokens"), get_u64("cache_creation_tokens")]
-    call = _call(F.lit("anthropic"), model, None, None, usage, get_u64("duration_ms"), None, None)
-    return F.when(
-        model.isNotNull() & nano.isNotNull(),
-        _event(event_id, nano_text(nano), nano_ms(nano), "otlp-cc", session, "llm_call", llm_call=call),
-    )
+    usage = [tokens_in, tokens_out, F.lit(None).cast("bigint"), _count("cache_read_tokens"), _count("cache_creation_tokens")]
+    call = _call(F.lit("anthropic"), model, None, None, usage, _count("duration_ms"), None, None)
+    return _event(event_id, nano_text(nano), nano_ms(nano), "otlp-cc", session, "llm_call", llm_call=call)
+
+
+def _vendor_a_maps() -> Column:
+    return _text("model").isNotNull() & F.col("time_nano").isNotNull()
 
 
 def _conversation() -> Column:
-    return sanitize_id(get_string("conversation.id"))
+    return sanitize_id(_text("conversation.id"))
 
 
 def _vendor_b_time() -> tuple[Column, Column]:
     """(text, epoch ms): a positive ``timeUnixNano``, else the record's own timestamp kept as text."""
-    nano, stamp = F.col("time_nano"), get_string("event.timestamp")
+    nano, stamp = F.col("time_nano"), _text("event.timestamp")
     return (
         F.when(nano > 0, nano_text(nano)).when(parse_ms(stamp).isNotNull(), stamp),
         F.when(nano > 0, nano_ms(nano)).otherwise(parse_ms(stamp)),
@@ -250,30 +299,35 @@ def _vendor_b_time() -> tuple[Column, Column]:
 def _vendor_b_session() -> Column:
     ts, ms = _vendor_b_time()
     null = F.lit(None)
-    meta = F.struct(F.struct(F.lit("codex"), get_string("app.version")), null, null, null, null).cast(S.SESSION_META)
+    meta = F.struct(F.struct(F.lit("codex"), _text("app.version")), null, null, null, null).cast(S.SESSION_META)
     event_id = stable_id("otlp-codex-session", _conversation(), ms, F.col("index"))
-    return F.when(
-        _conversation().isNotNull() & ts.isNotNull(),
-        _event(event_id, ts, ms, "otlp-codex", _conversation(), "session_meta", session_meta=meta),
-    )
+    return _event(event_id, ts, ms, "otlp-codex", _conversation(), "session_meta", session_meta=meta)
+
+
+def _vendor_b_session_maps() -> Column:
+    return _conversation().isNotNull() & _vendor_b_time()[0].isNotNull()
 
 
 def _vendor_b_usage() -> list[Column]:
-    return [get_u64(k) for k in VENDOR_B_USAGE]
+    return [_count(k) for k in VENDOR_B_USAGE]
 
 
 def _vendor_b_call() -> Column:
     ts, ms = _vendor_b_time()
-    model = get_string("model")
+    model = _text("model")
     tokens_in, tokens_out, cached, written, thought = _vendor_b_usage()
     provider = F.coalesce("carried_provider", F.lit("unknown"))
     call = _call(provider, model, None, None, [tokens_in, tokens_out, thought, cached, written], None, F.lit("ok"), F.lit(True))
     event_id = stable_id("otlp-codex", _conversation(), ms, model, tokens_in, tokens_out, cached, thought, F.col("index"))
-    any_usage = F.coalesce(*_vendor_b_usage()).isNotNull()
-    return F.when(
-        _conversation().isNotNull() & model.isNotNull() & any_usage & ts.isNotNull(),
-        _event(event_id, ts, ms, "otlp-codex", _conversation(), "llm_call", llm_call=call),
-    )
+    return _event(event_id, ts, ms, "otlp-codex", _conversation(), "llm_call", llm_call=call)
+
+
+def _any_usage() -> Column:
+    return F.coalesce(*_vendor_b_usage()).isNotNull()
+
+
+def _vendor_b_call_maps() -> Column:
+    return _vendor_b_session_maps() & _text("model").isNotNull() & _any_usage()
 
 
 def vendor_b_tool_kind(name: Column) -> Column:
@@ -286,68 +340,74 @@ def _vendor_b_tool() -> Column:
     from wattledger.functions import lookup
 
     _, ms = _vendor_b_time()
-    name, call_id, duration = get_string("tool_name"), get_string("call_id"), get_u64("duration_ms")
+    name, call_id, duration = _text("tool_name"), _text("call_id"), _count("duration_ms")
     tool = vendor_b_tool_kind(name)
     span_id = F.coalesce(call_id, stable_id("codex-call", _conversation(), ms, name, duration, F.col("index")))
-    success = get_bool("success")
+    success = _flag("success")
     span = F.struct(
         span_id, name, tool, lookup(tool, LOCUS_OF_KIND), format_ms(ms - duration), format_ms(ms),
         F.lit(None), F.lit(None), F.when(success, "ok").when(~success, "error").otherwise("unknown"),
     ).cast(S.ACTION_SPAN)
-    return F.when(
-        _conversation().isNotNull() & name.isNotNull() & duration.isNotNull() & ms.isNotNull(),
-        _event(stable_id("otlp-codex-tool", span_id), format_ms(ms), ms, "otlp-codex", _conversation(), "action_span", span_id, action_span=span),
-    )
+    event_id = stable_id("otlp-codex-tool", span_id)
+    return _event(event_id, format_ms(ms), ms, "otlp-codex", _conversation(), "action_span", span_id, action_span=span)
+
+
+def _vendor_b_tool_maps() -> Column:
+    needed = (_conversation(), _text("tool_name"), _count("duration_ms"), _vendor_b_time()[1])
+    return reduce(lambda a, b: a & b, [c.isNotNull() for c in needed])
 
 
 def _genai_applies() -> Column:
     scoped = F.coalesce(F.col("scope_name").startswith(GENAI_SCOPE), F.lit(False))
-    model = has("gen_ai.request.model") | has("gen_ai.response.model")
-    return F.coalesce(F.col("record_body") == GENAI_BODY, F.lit(False)) | (scoped & has("gen_ai.provider.name") & model)
+    model = _has("gen_ai.request.model") | _has("gen_ai.response.model")
+    return F.coalesce(F.col("record_body") == GENAI_BODY, F.lit(False)) | (scoped & _has("gen_ai.provider.name") & model)
 
 
 def _genai_event() -> Column:
-    nano, provider = F.col("time_nano"), get_string("gen_ai.provider.name")
-    served = get_string("gen_ai.response.model")
-    requested = F.coalesce(get_string("gen_ai.request.model"), served)
-    session, response = _session("session.id", "gen_ai.conversation.id"), get_string("gen_ai.response.id")
+    nano, provider = F.col("time_nano"), _text("gen_ai.provider.name")
+    served = _text("gen_ai.response.model")
+    requested = F.coalesce(_text("gen_ai.request.model"), served)
+    session, response = _session("session.id", "gen_ai.conversation.id"), _text("gen_ai.response.id")
     event_id = F.when(response.isNotNull(), stable_id("otlp-genai", response)).otherwise(
         stable_id("otlp-genai", session, nano, provider, requested, F.col("index"))
     )
     usage = [
-        get_u64("gen_ai.usage.input_tokens"), get_u64("gen_ai.usage.output_tokens"), F.lit(None).cast("bigint"),
-        get_u64("gen_ai.usage.cache_read.input_tokens"), get_u64("gen_ai.usage.cache_creation.input_tokens"),
+        _count("gen_ai.usage.input_tokens"), _count("gen_ai.usage.output_tokens"), F.lit(None).cast("bigint"),
+        _count("gen_ai.usage.cache_read.input_tokens"), _count("gen_ai.usage.cache_creation.input_tokens"),
     ]
-    status = F.when(get_string("error.type").isNotNull(), "error")
-    call = _call(provider, requested, served, get_string("server.address"), usage, None, status, get_bool("gen_ai.request.stream"))
-    return F.when(
-        provider.isNotNull() & requested.isNotNull() & nano.isNotNull(),
-        _event(event_id, nano_text(nano), nano_ms(nano), "otlp-genai", session, "llm_call", llm_call=call),
-    )
+    status = F.when(_text("error.type").isNotNull(), "error")
+    call = _call(provider, requested, served, _text("server.address"), usage, None, status, _flag("gen_ai.request.stream"))
+    return _event(event_id, nano_text(nano), nano_ms(nano), "otlp-genai", session, "llm_call", llm_call=call)
+
+
+def _genai_maps() -> Column:
+    model = F.coalesce(_text("gen_ai.request.model"), _text("gen_ai.response.model"))
+    return _text("gen_ai.provider.name").isNotNull() & model.isNotNull() & F.col("time_nano").isNotNull()
 
 
 def _named(name: str) -> Column:
-    return F.coalesce(get_string("event.name") == name, F.lit(False))
+    return F.coalesce(_text("event.name") == name, F.lit(False))
 
 
 # First match wins.
 NORMALIZERS: tuple[Normalizer, ...] = (
-    Normalizer("vendor_a", lambda: F.coalesce(F.col("record_body") == VENDOR_A_BODY, F.lit(False)), _vendor_a_event),
-    Normalizer("vendor_b_session", lambda: _named(VENDOR_B_SESSION), _vendor_b_session),
+    Normalizer(
+        "vendor_a", lambda: F.coalesce(F.col("record_body") == VENDOR_A_BODY, F.lit(False)), _vendor_a_maps, _vendor_a_event
+    ),
+    Normalizer("vendor_b_session", lambda: _named(VENDOR_B_SESSION), _vendor_b_session_maps, _vendor_b_session),
     Normalizer(
         "vendor_b_call",
-        lambda: _named(VENDOR_B_CALL) & F.coalesce(get_string("event.kind") == VENDOR_B_CALL_KIND, F.lit(False)),
-        _vendor_b_call,
-        lambda: F.coalesce(*_vendor_b_usage()).isNotNull(),
+        lambda: _named(VENDOR_B_CALL) & F.coalesce(_text("event.kind") == VENDOR_B_CALL_KIND, F.lit(False)),
+        _vendor_b_call_maps, _vendor_b_call, _any_usage,
     ),
-    Normalizer("vendor_b_tool", lambda: _named(VENDOR_B_TOOL), _vendor_b_tool),
-    Normalizer("gen_ai", _genai_applies, _genai_event),
+    Normalizer("vendor_b_tool", lambda: _named(VENDOR_B_TOOL), _vendor_b_tool_maps, _vendor_b_tool),
+    Normalizer("gen_ai", _genai_applies, _genai_maps, _genai_event),
 )
 
 
 def with_provider(records: DataFrame) -> DataFrame:
     """Provider named by the latest earlier start of the same conversation, in arrival order."""
-    named = F.when(_named(VENDOR_B_SESSION), provider_id(get_string("provider_name")))
+    named = F.when(_named(VENDOR_B_SESSION), provider_id(_text("provider_name")))
     keyed = records.withColumns(
         {
             "conversation": _conversation(),
@@ -361,30 +421,28 @@ def with_provider(records: DataFrame) -> DataFrame:
 def normalize(records: DataFrame, normalizers: Sequence[Normalizer] = NORMALIZERS) -> DataFrame:
     """Claim every record: ``normalizer``, ``outcome`` (event / dropped / unclaimed) and ``event``.
 
-    An unmappable record its normaliser does not drop is offered to the next one.
+    An unmappable record its normaliser does not drop is offered to the next one.  The typed attributes are written
+    once; each normaliser then maps the records it has claimed in a branch of its own.
     """
-    df = with_provider(records)
-    for i, n in enumerate(normalizers):
-        claim = F.struct(n.applies().alias("applies"), n.event().alias("event"), n.drops().alias("drops"))
-        # Computed once per record, and only for records nobody has claimed yet.
-        free = F.lit(True) if i == 0 else F.col("claim.normalizer").isNull()
-        answer = F.when(free & n.applies(), claim)
-        df = df.withColumn("try", F.explode(F.array(answer)))
-        taken = F.col("try").isNotNull() & (F.col("try.event").isNotNull() | F.col("try.drops"))
-        mine = F.struct(
-            F.lit(n.name).alias("normalizer"),
-            F.when(F.col("try.event").isNotNull(), "event").otherwise("dropped").alias("outcome"),
-            F.col("try.event").alias("event"),
-        )
-        if i == 0:
-            nobody = F.struct(
-                F.lit(None).cast("string").alias("normalizer"), F.lit("unclaimed").alias("outcome"),
-                F.lit(None).cast(df.select("try.event").schema[0].dataType).alias("event"),
-            )
-            df = df.withColumn("claim", F.when(taken, mine).otherwise(nobody)).drop("try")
-        else:
-            df = df.withColumn("claim", F.when(taken, mine).otherwise(F.col("claim"))).drop("try")
-    return df.select("body_id", "arrival", "index", "record_seq", "own_keys", "attrs", "carried_provider", "claim.*")
+    typed = cut(with_provider(cut(typed_attributes(records))).withColumn("claim", _claim(normalizers)))
+    out = ["body_id", "arrival", "index", "record_seq", "own_keys", "carried_provider", "normalizer", "outcome"]
+    claimed = typed.withColumns({"normalizer": F.col("claim.name"), "outcome": F.col("claim.outcome")})
+    mapped = [
+        claimed.where((F.col("normalizer") == n.name) & (F.col("outcome") == "event")).select(*out, n.event().alias("event"))
+        for n in normalizers
+    ]
+    kind_ = mapped[0].schema["event"].dataType
+    rest = claimed.where("outcome <> 'event'").select(*out, F.lit(None).cast(kind_).alias("event"))
+    return reduce(DataFrame.unionByName, mapped, rest)
+
+
+def _claim(normalizers: Sequence[Normalizer]) -> Column:
+    """(name, outcome) by the first normaliser that applies and maps or drops the record."""
+    claim = F.struct(F.lit(None).cast("string").alias("name"), F.lit("unclaimed").alias("outcome"))
+    for n in reversed(normalizers):
+        outcome = F.when(n.maps(), "event").otherwise("dropped")
+        claim = F.when(n.applies() & (n.maps() | n.drops()), F.struct(F.lit(n.name).alias("name"), outcome.alias("outcome"))).otherwise(claim)
+    return claim
 
 
 def events_of(claimed: DataFrame) -> DataFrame:
