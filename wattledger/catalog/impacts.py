@@ -342,17 +342,25 @@ def _(spark, sf):
 
 
 @query("ij14_call_order", V(f"""
-SELECT session_id, event_id, CAST(row_number() OVER (PARTITION BY session_id, day ORDER BY ts, event_id) AS BIGINT) AS position
-FROM (SELECT session_id, event_id, {iso('ts_ms')} AS ts, ts_ms // 86400000 AS day FROM calls)"""))
+SELECT session_id, event_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY ts, event_id) AS BIGINT) AS position
+FROM (SELECT session_id, event_id, {iso('ts_ms')} AS ts FROM calls)"""))
 def _(spark, sf):
-    """Calls numbered in event order inside each session day."""
+    """Calls numbered in event order inside each session.
+
+    Numbered inside each session day, plus the calls of the session's earlier days, so no session is sorted in one task.
+    """
     from pyspark.sql import Window
 
     from wattledger.functions import local_day
 
     calls = _calls(spark, sf).withColumn("day", local_day("ts_ms"))
-    order = Window.partitionBy("session_id", "day").orderBy(*R.EVENT_ORDER)
-    return calls.select("session_id", "event_id", F.row_number().over(order).cast("bigint").alias("position"))
+    inside = F.row_number().over(Window.partitionBy("session_id", "day").orderBy(*R.EVENT_ORDER))
+    earlier = F.sum("n").over(Window.partitionBy("session_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1))
+    days = calls.groupBy("session_id", "day").agg(F.count(F.lit(1)).alias("n")).select(
+        "session_id", "day", F.coalesce(earlier, F.lit(0)).alias("before")
+    )
+    numbered = calls.select("session_id", "event_id", "day", inside.alias("place")).join(days, ["session_id", "day"])
+    return numbered.select("session_id", "event_id", (F.col("place") + F.col("before")).alias("position"))
 
 
 @query("rq10_joins_of_session", V("SELECT unit_key, level FROM units WHERE session_id = 'u7'", **_ctes("units")))

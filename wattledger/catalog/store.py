@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from wattledger.catalog import query
@@ -14,17 +16,19 @@ from wattledger.operators import validate as X
 from wattledger.plans import reads as R
 from wattledger.plans import rebuild as B
 from wattledger.plans import store as P
+from wattledger.session import cut, shared_dir
 from wattledger.sources import tables as T
 
 _TS = iso("ts_ms")
 
 
-@query("snk1_new_facts", V("SELECT event_id, type, arrival FROM facts WHERE arrival >= 8000"))
+@query("snk1_new_facts", V("SELECT event_id, type, arrival FROM facts WHERE arrival >= (SELECT max(arrival) // 2 FROM facts)"))
 def _(spark, sf):
-    """A batch of late and repeated facts against a store that has the first ones: each event once, earliest first."""
+    """A batch of late and repeated facts against a store that has the first half: each event once, earliest first."""
     facts = T.facts(spark, sf)
+    half = facts.agg(F.expr("max(arrival) div 2")).scalar()
     again = facts.withColumn("arrival", F.col("arrival") + 1_000_000)
-    stored = facts.where("arrival < 8000")
+    stored = facts.where(F.col("arrival") < half)
     return P.new_rows(facts.unionByName(again), stored).select("event_id", "type", "arrival")
 
 
@@ -69,11 +73,42 @@ def _(spark, sf):
 _REJ = "SELECT arrival AS id FROM c WHERE outcome = 'rejected'"
 
 
-@query("snk6_reject_ring", V("SELECT id FROM rej ORDER BY id DESC LIMIT 1000", o=_OUTCOME, c=_CLASS, rej=_REJ))
+@query("snk6_stored_rejects", V("SELECT id, origin, reason_kind FROM (SELECT arrival AS id, collector || ':' || session_id AS origin, reason_kind FROM c WHERE outcome = 'rejected')", o=_OUTCOME, c=_CLASS))
+def _(spark, sf):
+    """Rejects in two batches of one store, the second with the first's rows again: all are kept, each once."""
+    store = P.Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    rows = cut(X.reject_rows(_classified(spark, sf)))
+    half = rows.agg(F.expr("max(id) div 2")).first()[0] or 0
+    store.insert_rejects(rows.where(F.col("id") < half), 1_000)
+    store.insert_rejects(rows, 2_000)
+    return store.read("rejects").select("id", "origin", "reason_kind")
+
+
+@query("snk6_newest_rejects", V("SELECT id FROM rej ORDER BY id DESC LIMIT 1000", o=_OUTCOME, c=_CLASS, rej=_REJ))
 def _(spark, sf):
     return R.keep_newest(X.reject_rows(_classified(spark, sf)), "id", 1000).select("id")
 
 
+@query("snk8_one_commit", V("""
+SELECT 'facts' AS name, count(*) AS rows FROM c WHERE outcome = 'known' UNION ALL SELECT 'opaque', count(*) FROM c WHERE outcome = 'opaque'
+UNION ALL SELECT 'rejects', count(*) FROM c WHERE outcome = 'rejected'""", o=_OUTCOME, c=_CLASS))
+def _(spark, sf):
+    """Two batches of lines through the ingest, the second delivered three times, once under a new number: no row twice."""
+    from wattledger.catalog.events import lines
+    from wattledger.sources import spool
+    from wattledger.streaming import ingest
+
+    store = P.Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    rows = cut(spool.with_origin(lines(spark, sf)).withColumnRenamed("arrival", "byte_offset"))
+    half = rows.agg(F.expr("max(byte_offset) div 2")).first()[0] or 0
+    ingest.ingest_batch(store, rows.where(F.col("byte_offset") < half), 0)
+    second = rows.where(F.col("byte_offset") >= half)
+    for batch in (1, 1, 2):
+        ingest.ingest_batch(store, second, batch)
+    counts = [store.read(n).agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("rows")) for n in ("facts", "opaque", "rejects")]
+    return counts[0].union(counts[1]).union(counts[2])
+
+
 @query("rq11_recent_rejects", V("SELECT id FROM rej ORDER BY id DESC LIMIT 20", o=_OUTCOME, c=_CLASS, rej=_REJ))
 def _(spark, sf):
     return R.recent_rejects(X.reject_rows(_classified(spark, sf)), 20).select("id")
@@ -103,9 +138,18 @@ def _(spark, sf):
 SELECT event_id, '{{"collector":{{"name":"' || collector || '","version":"0.1.0"}},"event_id":"' || event_id || '","payload":{{"agent_app":{{"name":"' || ['claude-code','codex','opencode'][k % 3 + 1] || '","version":"1.0"}}' ||
   CASE k % 4 WHEN 0 THEN ',"geo_zone":""' WHEN 1 THEN ',"geo_zone":"FRA"' WHEN 2 THEN ',"geo_zone":"DEU"' ELSE '' END || ',"hardware":{{"cpu_model":"cpu","gpu_models":[],"ram_gb":' || CAST(k AS VARCHAR) || '}},"os":"' || ['linux','macos'][k % 2 + 1] ||
   '","power_source":"' || ['ac','battery','unknown'][k % 3 + 1] || '"}},"schema_version":"0.1.0","session_id":"' || session_id || '","ts":"' || {_TS} || '","type":"session_meta"}}' AS value
-FROM facts WHERE type = 'session_meta'"""))
-def _(spark, sf):
-    return X.event_lines(T.facts(spark, sf).where("type = 'session_meta'")).select("event_id", "value")
+FROM facts WHERE type = 'session_meta'
+UNION ALL SELECT event_id, '{{"session_id":"' || session_id || '","ts":"' || {_TS} || '","type":"' || type || '"}}' FROM facts WHERE type <> 'session_meta'"""))
+def _(spark, sf):
+    """Whole lines of session records, and the fields all lines share of the others."""
+    out = X.event_lines(T.facts(spark, sf))
+    v = F.try_parse_json("value")
+    kind = F.try_variant_get(v, "$.type", "string")
+    shared = F.concat(
+        F.lit('{"session_id":"'), F.try_variant_get(v, "$.session_id", "string"), F.lit('","ts":"'), F.try_variant_get(v, "$.ts", "string"),
+        F.lit('","type":"'), kind, F.lit('"}'),
+    )
+    return out.select("event_id", F.when(kind == "session_meta", F.col("value")).otherwise(shared).alias("value"))
 
 
 # ---------------------------------------------------------------- rebuild

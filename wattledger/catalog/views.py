@@ -311,10 +311,10 @@ def _(spark, sf):
     return W.rail(T.facts(spark, sf), NOW_MS - 300_000)
 
 
-@query("vw15_orphans", V("SELECT session_id, count(*) AS orphans, string_agg(DISTINCT orphan_of, ', ' ORDER BY orphan_of) AS spans FROM procs WHERE orphan_of IS NOT NULL AND k = 50 GROUP BY 1"))
+@query("vw15_orphans", V("SELECT session_id, count(*) AS orphans, string_agg(DISTINCT orphan_of, ', ' ORDER BY orphan_of) AS spans FROM procs WHERE orphan_of IS NOT NULL GROUP BY 1"))
 def _(spark, sf):
     procs = T.facts(spark, sf).where("type = 'process_sample'").select("session_id", F.inline("process_sample.processes"))
-    lost = procs.where("orphan_of is not null and memory_rss_bytes = 50 * 4096")
+    lost = procs.where("orphan_of is not null")
     return lost.groupBy("session_id").agg(F.count(F.lit(1)).alias("orphans"), F.array_join(F.array_sort(F.collect_set("orphan_of")), ", ").alias("spans"))
 
 
@@ -335,11 +335,11 @@ def _(spark, sf):
     return W.latest_span_state(updates).drop("seq")
 
 
-@query("vw18_spans_in_hours", V("SELECT h.hour, p.event_id FROM (SELECT DISTINCT ts_ms // 3600000 AS hour FROM ev WHERE event_type = 'purchase' AND k < 10) h JOIN spans p ON p.s < (h.hour + 1) * 3600000 AND p.e > h.hour * 3600000"))
+@query("vw18_spans_in_hours", V("SELECT h.hour, p.event_id FROM (SELECT DISTINCT ts_ms // 3600000 AS hour FROM ev WHERE event_type = 'purchase') h JOIN spans p ON p.s < (h.hour + 1) * 3600000 AND p.e > h.hour * 3600000"))
 def _(spark, sf):
-    """Spans overlapping chosen hours, over all sessions."""
+    """Spans overlapping each hour that has a sample, over all sessions."""
     lane = F.lit(0).alias("lane")
-    hours = T.event_log(spark, sf).where("event_type = 'purchase' and k < 10").select(F.floor(F.col("ts_ms") / 3_600_000).alias("hour")).distinct()
+    hours = T.event_log(spark, sf).where("event_type = 'purchase'").select(F.floor(F.col("ts_ms") / 3_600_000).alias("hour")).distinct()
     windows = hours.select(lane, "hour", (F.col("hour") * 3_600_000).alias("h0"), ((F.col("hour") + 1) * 3_600_000).alias("h1"))
     spans = A.spans_of(T.facts(spark, sf)).select(lane, "event_id", "span_start", "span_end")
     return I.overlap_join(windows, spans, ["lane"], ("h0", "h1"), ("span_start", "span_end")).select("hour", "event_id")
@@ -378,9 +378,23 @@ def _(spark, sf):
 SELECT event_id, model_requested || ' · in ' || CAST(input_tokens AS VARCHAR) || ' · out ' || CAST(coalesce(output_tokens, 0) AS VARCHAR)
    || CASE WHEN thought_tokens > 0 THEN ' · think ' || CAST(thought_tokens AS VARCHAR) ELSE '' END || CASE WHEN duration_ms IS NOT NULL THEN ' · ' || CAST(duration_ms AS VARCHAR) || ' ms' ELSE '' END AS facts, usage_source AS source, status FROM calls
 UNION ALL SELECT event_id, tool_name || ' · ' || CAST(e - s AS VARCHAR) || ' ms · ' || tool_kind || '/' || locus, '—', status FROM spans
-UNION ALL SELECT window_id, CASE WHEN k % 13 = 0 THEN '0 processes' ELSE '2 processes' END, '—', '—' FROM wins"""))
+UNION ALL SELECT window_id, CASE WHEN k % 13 = 0 THEN '0 processes' ELSE '2 processes' END, '—', '—' FROM wins
+UNION ALL SELECT event_id, ['claude-code','codex','opencode'][k % 3 + 1] || ' 1.0', '—', '—' FROM ev WHERE event_type = 'signup'
+UNION ALL SELECT event_id, NULL, NULL, '—' FROM ev WHERE event_type = 'purchase'"""))
 def _(spark, sf):
-    return W.fact_texts(T.facts(spark, sf)).where("type in ('llm_call', 'action_span', 'process_sample')").drop("type")
+    """Texts of all facts; those of energy samples hold rounded joules and are compared in ``vw26_sample_texts``."""
+    texts = W.fact_texts(T.facts(spark, sf))
+    energy = F.col("type") == "energy_sample"
+    return texts.select("event_id", *[F.when(~energy, F.col(c)).alias(c) for c in ("facts", "source")], "status")
+
+
+@query("vw26_sample_texts", V("""
+SELECT event_id, CAST(end_ms - ts_ms AS VARCHAR) || ' ms' AS length, CASE k % 3 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 1 END AS parts FROM ev WHERE event_type = 'purchase'"""))
+def _(spark, sf):
+    """Length and number of components in the texts of energy samples."""
+    texts = W.fact_texts(T.facts(spark, sf)).where("type = 'energy_sample'")
+    words = F.split("facts", " · ")
+    return texts.select("event_id", words[0].alias("length"), (F.size(words) - 2).cast("bigint").alias("parts"))
 
 
 @query("vw27_agent_recency", V("""
