@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +12,10 @@ from wattledger.catalog import query
 from wattledger.catalog.lifecycle import _HX, hooks
 from wattledger.catalog.prelude import with_views as V
 from wattledger.functions import sanitize_id
-from wattledger.session import shared_dir
+from wattledger.operators import validate as X
+from wattledger.session import cut, shared_dir
 from wattledger.sources import tables as T
+from wattledger.sources.tail import SpoolTail
 from wattledger.streaming import ingest as I
 from wattledger.streaming import stateful as K
 
@@ -50,6 +53,37 @@ def _log(spark: SparkSession, sf: str) -> DataFrame:
     return T.event_log(spark, sf).withColumn("event_time", F.timestamp_millis("ts_ms"))
 
 
+def _appended(lines: DataFrame, folder: str, files: int) -> None:
+    """Append (arrival, value) lines to spool files, each file by one task."""
+    def write(rows):
+        for row in rows:
+            with open(f"{folder}/spool.{row.file:03d}.jsonl", "a", encoding="utf-8") as out:
+                out.write(row.value + "\n")
+
+    dealt = lines.withColumn("file", F.pmod("arrival", F.lit(files)).cast("int")).repartition("file").sortWithinPartitions("file", "arrival")
+    dealt.foreachPartition(write)
+
+
+@query("src3_growing_files", V("SELECT event_id FROM facts"))
+def _(spark, sf):
+    """Every event line as spool files that grow between two drains of one tail: each line arrives once."""
+    shared = shared_dir(spark)
+    if "://" in shared and not shared.startswith("file://"):
+        raise RuntimeError("this query appends to files in place, which needs a shared folder that is mounted")
+    base = f"{shared.removeprefix('file://')}/spool-{uuid.uuid4().hex}"
+    os.makedirs(f"{base}/in")
+    spark.dataSource.register(SpoolTail)
+    lines = cut(X.event_lines(T.facts(spark, sf)).select("arrival", "value"))
+    half = lines.agg(F.expr("max(arrival) div 2")).first()[0] or 0
+    for part in (lines.where(F.col("arrival") < half), lines.where(F.col("arrival") >= half)):
+        _appended(part, f"{base}/in", 16)
+        stream = spark.readStream.format("spool_tail").load(f"{base}/in").select("line")
+        stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(
+            availableNow=True).start().awaitTermination()
+    got = spark.read.schema("line string").parquet(f"{base}/out")
+    return got.select(F.try_variant_get(F.try_parse_json("line"), "$.event_id", "string").alias("event_id"))
+
+
 @query("st5_sampling_windows", V("""
 SELECT ts_ms // 5000 * 5000 AS window_start, session_id, round(sum(value * 10), 6) AS energy_j, count(*) AS readings FROM ev WHERE event_type = 'purchase'
 GROUP BY 1, 2"""))
