@@ -32,14 +32,14 @@ def op1_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, counted in flat token files by their separators."""
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    ids = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), path)
+    docs = documents(spark, sf_dir)
+    ids = bpe.encode(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
     def narrow(batch: pa.RecordBatch) -> pa.RecordBatch:
         small = [np.frombuffer(v.as_py(), "<u4").astype("<u2").tobytes() for v in batch.column("ids")]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(small, pa.binary())], names=["doc_id", "ids"])
 
-    return separators.count_documents(map_batches(ids, narrow, ids.schema))
+    return separators.count_documents(map_batches(ids, narrow, ids.schema), keys=docs)
 
 
 def op3_content_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

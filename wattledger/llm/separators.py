@@ -84,16 +84,19 @@ def scan(spark: SparkSession, path: str, end: int = 50256, width: int = 2, block
     )
 
 
-def count_documents(df: DataFrame, key: str = "doc_id", ids: str = "ids", end: int = 50256, width: int = 2) -> DataFrame:
+def count_documents(df: DataFrame, key: str = "doc_id", ids: str = "ids", end: int = 50256, width: int = 2,
+                    keys: DataFrame | None = None) -> DataFrame:
     """(key, n_tokens) of each row of (key, ids): its ids are written to flat files in the shared folder and counted there.
 
     The files hold no keys.  Rows are matched by their place: the part that wrote them and their number in it.
+    ``keys`` may give the keys by a plan that is cheaper than ``df`` and has the same rows in the same places, such as
+    the scan that ``df`` maps row by row.  Null and repeated keys come back as often as they occur.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     write(df, path, ids, end, width)
     place = F.monotonically_increasing_id()
-    rows = df.select(key).withColumn("part", F.shiftright(place, 33).cast("int")).withColumn(
+    rows = (df if keys is None else keys).select(key).withColumn("part", F.shiftright(place, 33).cast("int")).withColumn(
         "doc", place.bitwiseAND(F.lit((1 << 33) - 1))
     )
     found = scan(spark, path, end, width).select(
