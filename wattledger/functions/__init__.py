@@ -181,8 +181,8 @@ def joules_to_kwh(joules: ColumnOrName) -> Column:
     return as_col(joules) / F.lit(S.J_PER_KWH)
 
 
-#: Binary exponents of a band of ``exact_sum``, and its first and last band: 2^-180 to 2^144.
-_BAND, _BANDS = 36, range(-5, 4)
+#: Binary exponents of a band of ``exact_sum``, and its first and last band: 2^-108 to 2^108.
+_BAND, _BANDS = 36, range(-3, 3)
 
 
 def exact_sum(value: ColumnOrName) -> Column:
@@ -191,8 +191,8 @@ def exact_sum(value: ColumnOrName) -> Column:
     A plain double sum changes in its last bits with the shuffle order, which would make a rebuild of unchanged facts
     look like a change.  Here each value goes to the band of its size, is scaled by a power of two to between 1 and
     2^36 and added in fixed point with 17 fraction digits, which keeps all its digits, is associative and merges
-    map-side.  The bands' sums are then added from small to large.  Sizes beyond all bands (2^144 and more, under
-    2^-180, infinities and NaN) are added as they come.
+    map-side.  The bands' sums are then added from small to large.  Sizes beyond all bands (2^108 and more, under
+    2^-108, infinities and NaN) are added as they come.
     """
     value = as_col(value)
     size = F.abs(value)
