@@ -1,8 +1,9 @@
 """Meter windows and process counters to energy and process samples.
 
-Inputs: ``meter(window_id, t_start_ms, t_end_ms, cpu_kwh, ram_kwh, gpu_kwh, total_kwh, ok)`` in window
-order, ``proc(window_id, session_id, span_id, pid, cpu_seconds, rss_bytes, alive, is_baseline)`` and
-``ops(ts_ms, session_id, span_id, op)``.
+Inputs: ``meter(host_id, window_id, t_start_ms, t_end_ms, cpu_kwh, ram_kwh, gpu_kwh, total_kwh, ok)`` in window
+order, ``proc(host_id, window_id, session_id, span_id, pid, cpu_seconds, rss_bytes, alive, is_baseline)`` and
+``ops(host_id, ts_ms, session_id, span_id, op)``.  Windows and pids are those of one machine: nothing of one host
+meets anything of another.
 """
 
 from __future__ import annotations
@@ -14,7 +15,9 @@ from wattledger import schemas as S
 from wattledger.functions import kwh_to_joules, lookup
 from wattledger.operators.ordered import last_before, next_after
 
-WATCH = ["session_id", "span_id", "pid"]
+SPAN = ["host_id", "session_id", "span_id"]
+WATCH = [*SPAN, "pid"]
+WINDOW = ["host_id", "window_id"]
 
 
 def cpu_deltas(proc: DataFrame) -> DataFrame:
@@ -32,18 +35,17 @@ def cpu_deltas(proc: DataFrame) -> DataFrame:
 
 
 def effective_ops(ops: DataFrame, meter: DataFrame) -> DataFrame:
-    """Ops with the start of the first window that begins at or after them."""
-    marks = ops.select("ts_ms", "session_id", "span_id", "op", F.lit(None).cast("bigint").alias("starts")).unionByName(
+    """Ops with the start of the first window of their host that begins at or after them."""
+    marks = ops.select("host_id", "ts_ms", "session_id", "span_id", "op", F.lit(None).cast("bigint").alias("starts")).unionByName(
         meter.select(
-            (F.col("t_start_ms")).alias("ts_ms"), F.lit(None).cast("string").alias("session_id"),
+            "host_id", (F.col("t_start_ms")).alias("ts_ms"), F.lit(None).cast("string").alias("session_id"),
             F.lit(None).cast("string").alias("span_id"), F.lit(None).cast("string").alias("op"), F.col("t_start_ms").alias("starts"),
         )
     )
     # At one instant ops come before windows, so an op on a window's start takes effect in it.
     ordered = marks.withColumn("at", F.col("ts_ms") * 2 + F.when(F.col("starts").isNotNull(), 1).otherwise(0))
-    day = ordered.withColumn("lane", F.lit(0))
-    placed = next_after(day, ["lane"], "at", F.col("starts"), "effective_ms", block=2 * 3_600_000)
-    return placed.where("op is not null").select("ts_ms", "session_id", "span_id", "op", "effective_ms")
+    placed = next_after(ordered, ["host_id"], "at", F.col("starts"), "effective_ms", block=2 * 3_600_000)
+    return placed.where("op is not null").select("host_id", "ts_ms", "session_id", "span_id", "op", "effective_ms")
 
 
 def orphan_tail(deltas: DataFrame, proc: DataFrame, meter: DataFrame, ops: DataFrame, tail_ms: int = S.ORPHAN_TAIL_MS) -> DataFrame:
@@ -54,18 +56,18 @@ def orphan_tail(deltas: DataFrame, proc: DataFrame, meter: DataFrame, ops: DataF
     unwatch = (
         effective_ops(ops.where("op = 'unwatch'"), meter)
         .where("effective_ms is not null")
-        .groupBy("session_id", "span_id").agg(F.min("effective_ms").alias("orphan_since"))
+        .groupBy(*SPAN).agg(F.min("effective_ms").alias("orphan_since"))
     )
-    times = meter.select("window_id", "t_start_ms", "t_end_ms")
+    times = meter.select(*WINDOW, "t_start_ms", "t_end_ms")
     # Only windows inside the tail can end it, so this side is as small as the tails are short.
     dead = (
-        proc.where(~F.col("is_baseline")).join(unwatch, ["session_id", "span_id"]).join(times, "window_id")
+        proc.where(~F.col("is_baseline")).join(unwatch, SPAN).join(times, WINDOW)
         .where((F.col("t_start_ms") >= F.col("orphan_since")) & (F.col("t_end_ms") - F.col("orphan_since") < tail_ms))
-        .groupBy("session_id", "span_id", "window_id").agg(F.bool_or("alive").alias("any_alive"))
+        .groupBy(*SPAN, "window_id").agg(F.bool_or("alive").alias("any_alive"))
         .where("not any_alive")
-        .groupBy("session_id", "span_id").agg(F.min("window_id").alias("ended_at"))
+        .groupBy(*SPAN).agg(F.min("window_id").alias("ended_at"))
     )
-    df = deltas.join(times, "window_id").join(unwatch, ["session_id", "span_id"], "left").join(dead, ["session_id", "span_id"], "left")
+    df = deltas.join(times, WINDOW).join(unwatch, SPAN, "left").join(dead, SPAN, "left")
     tail = F.coalesce(F.col("t_start_ms") >= F.col("orphan_since"), F.lit(False))
     expired = F.col("t_end_ms") - F.col("orphan_since") >= tail_ms
     over = F.coalesce(F.col("window_id") >= F.col("ended_at"), F.lit(False))
@@ -76,10 +78,10 @@ def orphan_tail(deltas: DataFrame, proc: DataFrame, meter: DataFrame, ops: DataF
 
 def session_shares(deltas: DataFrame) -> DataFrame:
     """Share of each session in a window: its CPU over all sessions' CPU, equal parts when there is none."""
-    per_session = deltas.groupBy("window_id", "session_id").agg(F.sum("cpu_time_delta_ms").alias("cpu_ms"))
-    totals = per_session.groupBy("window_id").agg(F.sum("cpu_ms").alias("total_ms"), F.count(F.lit(1)).alias("sessions"))
+    per_session = deltas.groupBy(*WINDOW, "session_id").agg(F.sum("cpu_time_delta_ms").alias("cpu_ms"))
+    totals = per_session.groupBy(*WINDOW).agg(F.sum("cpu_ms").alias("total_ms"), F.count(F.lit(1)).alias("sessions"))
     share = F.when(F.col("total_ms") > 0, F.col("cpu_ms") / F.col("total_ms")).otherwise(1.0 / F.col("sessions"))
-    return per_session.join(totals, "window_id").withColumn("share", share)
+    return per_session.join(totals, WINDOW).withColumn("share", share)
 
 
 def meter_method(mode: Column) -> Column:
@@ -101,28 +103,27 @@ def components(share: Column, cpu_method: Column, has_gpu: Column) -> Column:
 def energy_samples(meter: DataFrame, deltas: DataFrame, cpu_mode: str = "rapl", has_gpu: bool = False) -> DataFrame:
     """One energy sample per session and good meter window; a failed reading yields none."""
     method = meter_method(F.lit(cpu_mode))
-    return session_shares(deltas).join(meter.where("ok"), "window_id").select(
-        "window_id", "session_id", "t_start_ms", "t_end_ms", "share", components(F.col("share"), method, F.lit(has_gpu)).alias("components")
+    return session_shares(deltas).join(meter.where("ok"), WINDOW).select(
+        *WINDOW, "session_id", "t_start_ms", "t_end_ms", "share", components(F.col("share"), method, F.lit(has_gpu)).alias("components")
     )
 
 
 def process_samples(meter: DataFrame, deltas: DataFrame, sessions: DataFrame) -> DataFrame:
     """One process sample per watched session and window, whatever the meter did, also when empty.
 
-    ``sessions(session_id, from_ms, to_ms)`` says when each session was watched.
+    ``sessions(host_id, session_id, from_ms, to_ms)`` says when each session was watched on each host.
     """
     from wattledger.operators.intervals import overlap_join
 
     # The list is one machine's watched pids of one window.
-    listed = deltas.groupBy("window_id", "session_id").agg(
+    listed = deltas.groupBy(*WINDOW, "session_id").agg(
         F.array_sort(F.collect_list(F.struct("pid", "cpu_time_delta_ms", "rss_bytes"))).alias("processes")
     )
-    lane = F.lit(0).alias("lane")
     watched = overlap_join(
-        meter.select(lane, "window_id", "t_start_ms", "t_end_ms"), sessions.select(lane, "session_id", "from_ms", "to_ms"),
-        ["lane"], ("t_start_ms", "t_end_ms"), ("from_ms", "to_ms"),
+        meter.select(*WINDOW, "t_start_ms", "t_end_ms"), sessions.select("host_id", "session_id", "from_ms", "to_ms"),
+        ["host_id"], ("t_start_ms", "t_end_ms"), ("from_ms", "to_ms"),
     )
     empty = F.array().cast("array<struct<pid:bigint,cpu_time_delta_ms:bigint,rss_bytes:bigint>>")
-    return watched.join(listed, ["window_id", "session_id"], "left").select(
-        "window_id", "session_id", "t_start_ms", "t_end_ms", F.coalesce("processes", empty).alias("processes")
+    return watched.join(listed, [*WINDOW, "session_id"], "left").select(
+        *WINDOW, "session_id", "t_start_ms", "t_end_ms", F.coalesce("processes", empty).alias("processes")
     )
