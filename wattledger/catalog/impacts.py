@@ -217,13 +217,13 @@ def joins(spark, sf):
 
 
 @query("ij1_session_units", V("""
-SELECT s.session_id, round(s.a, 6) AS attributed_j, round(s.o, 6) AS orphaned_j, round(s.b, 6) AS baseline_idle_j, round(s.e, 6) AS total_j,
+SELECT u.session_id, round(s.a, 6) AS attributed_j, round(s.o, 6) AS orphaned_j, round(s.b, 6) AS baseline_idle_j, round(s.e, 6) AS total_j,
        coalesce(r.n, 0) AS unmeasured_remote_spans
-FROM (SELECT session_id, sum(attributed_j) AS a, sum(orphaned_j) AS o, sum(baseline_j) AS b, sum(energy_j) AS e FROM split GROUP BY 1) s
+FROM (SELECT session_id FROM units WHERE level = 'session') u LEFT JOIN (SELECT session_id, sum(attributed_j) AS a, sum(orphaned_j) AS o, sum(baseline_j) AS b, sum(energy_j) AS e FROM split GROUP BY 1) s USING (session_id)
 LEFT JOIN (SELECT s.session_id, count(DISTINCT p.span_id) AS n FROM samples s JOIN spans p
-  ON p.session_id = s.session_id AND p.locus = 'remote' AND p.s < s.t1 AND p.e > s.t0 GROUP BY 1) r USING (session_id)"""))
+  ON p.session_id = s.session_id AND p.locus = 'remote' AND p.s < s.t1 AND p.e > s.t0 GROUP BY 1) r USING (session_id)""", **_ctes("units")))
 def _(spark, sf):
-    return joins(spark, sf).where("level = 'session' and measured").select(
+    return joins(spark, sf).where("level = 'session'").select(
         "session_id", r("attributed_j").alias("attributed_j"), r("orphaned_j").alias("orphaned_j"),
         r("baseline_j").alias("baseline_idle_j"), r("joules").alias("total_j"),
         F.coalesce("unmeasured_remote_spans", F.lit(0)).alias("unmeasured_remote_spans"),

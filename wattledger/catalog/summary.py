@@ -71,13 +71,11 @@ def _(spark, sf):
 
 
 @query("sm3_group_figures", V(f"""
-SELECT label AS model, g_agent AS agent, count(*) FILTER (reason IS NOT NULL) AS unestimated_calls, any_value(t.t) AS unestimated_by_reason
-FROM gr JOIN (SELECT g_agent AS a, label AS l, string_agg(reason || '=' || CAST(n AS VARCHAR), ',' ORDER BY reason) AS t
-  FROM (SELECT g_agent, label, reason, count(*) AS n FROM gr WHERE level = 'model' AND reason IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1, 2) t
-  ON t.a = gr.g_agent AND t.l = gr.label WHERE level = 'model' GROUP BY 1, 2""", lab=_LABELLED, gr=_ROWS))
+SELECT level, label, g_agent AS agent, CAST(sum(n) AS BIGINT) AS unestimated_calls, string_agg(reason || '=' || CAST(n AS VARCHAR), ',' ORDER BY reason) AS unestimated_by_reason
+FROM (SELECT level, label, g_agent, reason, count(*) AS n FROM gr WHERE reason IS NOT NULL GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3""", lab=_LABELLED, gr=_ROWS))
 def _(spark, sf):
-    return M.figures(_labelled(spark, sf)).where("level = 'model' and unestimated_calls > 0").select(
-        F.col("label").alias("model"), "agent", "unestimated_calls", ordered_counts("unestimated_by_reason").alias("unestimated_by_reason")
+    return M.figures(_labelled(spark, sf)).where("unestimated_calls > 0").select(
+        "level", "label", "agent", "unestimated_calls", ordered_counts("unestimated_by_reason").alias("unestimated_by_reason")
     )
 
 

@@ -149,11 +149,16 @@ def _(spark, sf):
 
 @query("ob9_ingest_lines", V(f"""
 SELECT event_id AS ref, 'llm_call ' || model_requested || ' in=' || CAST(input_tokens AS VARCHAR) || ' out=' || coalesce(CAST(output_tokens AS VARCHAR), '?') || ' src=' || usage_source || ' session=' || session_id AS text FROM calls
-UNION ALL SELECT event_id, 'action_span ' || tool_name || ' (' || tool_kind || ') ' || {iso('s')} || '→' || {iso('e')} || ' session=' || session_id FROM spans"""))
+UNION ALL SELECT event_id, 'action_span ' || tool_name || ' (' || tool_kind || ') ' || {iso('s')} || '→' || {iso('e')} || ' session=' || session_id FROM spans
+UNION ALL SELECT sample_id, 'energy_sample J over ' || {iso('t0')} || '→' || {iso('t1')} || ' session=' || session_id FROM samples
+UNION ALL SELECT window_id, 'process_sample ' || CASE WHEN k % 13 = 0 THEN '0' ELSE '2' END || ' tree(s) over ' || {iso('w0')} || '→' || {iso('w1')} || ' session=' || session_id FROM wins
+UNION ALL SELECT event_id, 'session_meta ' || ['claude-code','codex','opencode'][k % 3 + 1] || ' ' || ['linux','macos'][k % 2 + 1] || ' session=' || session_id FROM ev WHERE event_type = 'signup'"""))
 def _(spark, sf):
-    f = T.facts(spark, sf).where("type in ('llm_call', 'action_span')")
-    log = OBS.decision_log(f, A.apportion_facts(T.facts(spark, sf)), A.trace_rows(A.apportion_facts(f), A.samples_of(f), A.spans_of(f)))
-    return log.where("kind = 'ingest'").select("ref", "text")
+    """Ingest lines of all facts; the joules of samples, rounded for display, are left out of the comparison."""
+    f = T.facts(spark, sf)
+    app = A.apportion_facts(f)
+    log = OBS.decision_log(f, app, A.trace_rows(app, A.samples_of(f), A.spans_of(f)))
+    return log.where("kind = 'ingest'").select("ref", F.regexp_replace("text", "^energy_sample -?[0-9.]+J", "energy_sample J").alias("text"))
 
 
 @query("ob10_session_headers", V(f"""
