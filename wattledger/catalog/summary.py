@@ -138,7 +138,22 @@ def _(spark, sf):
     return M.header(T.facts(spark, sf), PERIOD)
 
 
-@query("snk11_summary_document")
+@query("snk11_summary_document", V("""
+SELECT level, CASE WHEN level IN ('agent', 'model') THEN row_number() OVER (PARTITION BY level ORDER BY total DESC, agent, label) END AS place, agent, label, calls, sessions, total, estimated_calls
+FROM (""" + _FIGURES + """ FROM gr GROUP BY 1, 2, 3)""", lab=_LABELLED, gr=_ROWS))
 def _(spark, sf):
+    """Every entry of the document that has calls, read back from its JSON, ranked ones with their place."""
     f = T.facts(spark, sf)
-    return M.document(E.calls_of(f), T.estimates(spark, sf), f, PERIOD)
+    doc = M.document(E.calls_of(f), T.estimates(spark, sf), f, PERIOD)
+    v = F.try_parse_json(F.col(doc.columns[0]))
+    entry = "struct<agent:string,name:string,model:string,date:string,calls:bigint,sessions:bigint,tokens:struct<total:bigint>,estimated_calls:bigint>"
+    out = None
+    for level, path, label in (("total", "totals", None), ("agent", "by_agent", "name"), ("model", "by_model", "model"), ("day", "by_day", "date")):
+        listed = F.try_variant_get(v, f"$.{path}", f"array<{entry}>") if label else F.array(F.try_variant_get(v, f"$.{path}", entry))
+        rows = doc.select(F.posexplode(listed).alias("i", "e")).where("e.calls > 0").select(
+            F.lit(level).alias("level"), (F.col("i") + 1 if level in ("agent", "model") else F.lit(None)).cast("bigint").alias("place"),
+            F.coalesce("e.agent", F.lit("")).alias("agent"), (F.col(f"e.{label}") if label else F.lit("")).alias("label"),
+            "e.calls", "e.sessions", F.col("e.tokens.total").alias("total"), "e.estimated_calls",
+        )
+        out = rows if out is None else out.unionByName(rows)
+    return out
