@@ -187,7 +187,8 @@ def group(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int =
         fp, F.coalesce("component", fp).alias("root"), "least"
     )
     least = named.groupBy("root").agg(F.min("least").alias(component))
-    labels = named.join(least, "root").select(fp, component)
+    # Written, so that Spark can split the join where one fingerprint has very many rows.
+    labels = cut(named.join(least, "root").select(fp, component))
     return rows.join(labels, fp).select(F.col(id_).alias(key), fp, component)
 
 

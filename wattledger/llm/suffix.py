@@ -337,7 +337,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     # Whole copies: all but the first of equal texts go.
     size = F.octet_length("text").cast("bigint")
     long = rows.filter(size >= window).select("ref", "digest", size.alias("end"))
-    first = long.groupBy("digest").agg(F.min("ref").alias("first"))
+    # Written, so that Spark can split the join where one text has very many copies.
+    first = cut(
+        long.groupBy("digest").agg(F.min("ref").alias("first"), F.max("ref").alias("last")).filter("last > first")
+        .select("digest", "first")
+    )
     copies = cut(
         long.join(first, "digest").filter(F.col("ref") > F.col("first"))
         .select("ref", F.lit(0).cast("bigint").alias("start"), "end")
