@@ -291,17 +291,21 @@ def _(spark, sf):
     )
 
 
+_GROUPED = """
+  SELECT g.call_group, CASE WHEN e.event_id IS NULL THEN 'pending' ELSE coalesce(e.status, 'error') END AS st, e.has_impacts, e.region_id FROM (
+    SELECT 'session:' || session_id AS call_group, event_id FROM calls
+    UNION ALL SELECT 'task:' || session_id || ':' || task_id, event_id FROM calls WHERE task_id IS NOT NULL
+    UNION ALL SELECT 'tool_call:' || session_id || ':' || tool_call_id, event_id FROM calls WHERE tool_call_id IS NOT NULL) g
+  LEFT JOIN ests e USING (event_id)"""
+
+
 @query("ij10_remote_estimated", V("""
-SELECT 'session:' || c.session_id AS call_group, count(*) AS llm_calls, count(*) FILTER (c.st = 'ok' AND c.has_impacts) AS ok_estimates,
+SELECT c.call_group, count(*) AS llm_calls, count(*) FILTER (c.st = 'ok' AND c.has_impacts) AS ok_estimates,
        count(*) FILTER (c.region_id <> 'FRA') AS stale_zone_estimates, any_value(t.t) AS status_counts
-FROM (SELECT c.session_id, CASE WHEN e.event_id IS NULL THEN 'pending' ELSE coalesce(e.status, 'error') END AS st, e.has_impacts, e.region_id
-      FROM calls c LEFT JOIN ests e USING (event_id)) c
-JOIN (SELECT session_id, string_agg(st || '=' || CAST(n AS VARCHAR), ',' ORDER BY st) AS t FROM (
-        SELECT c.session_id, CASE WHEN e.event_id IS NULL THEN 'pending' ELSE coalesce(e.status, 'error') END AS st, count(*) AS n
-        FROM calls c LEFT JOIN ests e USING (event_id) GROUP BY 1, 2) GROUP BY 1) t ON t.session_id = c.session_id GROUP BY 1"""))
+FROM grouped c JOIN (SELECT call_group, string_agg(st || '=' || CAST(n AS VARCHAR), ',' ORDER BY st) AS t FROM (
+        SELECT call_group, st, count(*) AS n FROM grouped GROUP BY 1, 2) GROUP BY 1) t USING (call_group) GROUP BY 1""", grouped=_GROUPED))
 def _(spark, sf):
-    groups = J.call_groups(_calls(spark, sf)).where(F.col("call_group").startswith("session:"))
-    counts, _ = J.remote_estimated(groups, T.estimates(spark, sf), "FRA")
+    counts, _ = J.remote_estimated(J.call_groups(_calls(spark, sf)), T.estimates(spark, sf), "FRA")
     return counts.withColumn("status_counts", ordered_counts("status_counts"))
 
 
