@@ -122,20 +122,18 @@ def mix(docs: DataFrame, path: list[str], weights: list[tuple[tuple[str, ...], i
         .withColumn("range", F.shiftright(F.conv(F.substring("drawn", 1, 8), 16, 10).cast("bigint") * F.col("ranges"), 32))
     )
     running = W.partitionBy(*names).orderBy("range").rowsBetween(W.unboundedPreceding, -1)
-    ends = (
-        placed.groupBy(*names, "range", "rest").agg(F.sum("t").alias("sum"))
+    spans = (
+        placed.groupBy(*names, "range").agg(F.sum("t").alias("sum"))
         .withColumn("before", F.coalesce(F.sum("sum").over(running), F.lit(0)))
-        .filter("before < rest and before + sum >= rest").select(*names, F.col("range").alias("last"), "before")
     )
-    # Every leaf with a rest has one range in which it ends; a leaf without takes nothing more.
-    ready = placed.alias("n").join(ends.alias("o"), _on("n", "o", names), "left").select("n.*", "o.last", "o.before")
-    inside = W.partitionBy(*names).orderBy("drawn", "t").rowsBetween(W.unboundedPreceding, -1)
-    ending = ready.filter("range = last").withColumn(
+    # Joined by leaf and range, so a large leaf is dealt over its ranges.
+    ready = placed.join(spans, [*names, "range"])
+    ends = (F.col("before") < F.col("rest")) & (F.col("before") + F.col("sum") > F.col("rest"))
+    inside = W.partitionBy(*names, "range").orderBy("drawn", "t").rowsBetween(W.unboundedPreceding, -1)
+    ending = ready.filter(ends).withColumn(
         "so_far", F.col("before") + F.coalesce(F.sum("t").over(inside), F.lit(0))
     ).withColumn("taken", F.greatest(F.lit(0), F.least("t", F.col("rest") - F.col("so_far"))))
-    others = ready.filter("last is null or range <> last").withColumn(
-        "taken", F.when(F.col("range") < F.col("last"), F.col("t")).otherwise(0)
-    )
+    others = ready.filter(~ends).withColumn("taken", F.when(F.col("before") < F.col("rest"), F.col("t")).otherwise(0))
     columns = [
         F.col("k").alias(key), *[F.col(n).alias(c) for n, c in zip(names, path)], F.col("t").alias("n_tokens"),
         F.col("epochs"), F.col("taken").cast("bigint").alias("n_taken"),
