@@ -235,10 +235,14 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str =
     labelled = docs.select(
         F.col(key).alias("k"), F.col(label).cast("string").alias("y"), F.col(text).alias("x"), F.xxhash64(key).alias("h")
     ).filter("y is not null and x is not null and length(x) > 0")
-    counts = labelled.groupBy("y").count()
-    thin = F.pmod("h", F.lit(1 << 31)) * F.col("count") < F.lit(4.0 * docs_each * (1 << 31))
+    # One row per label, as many as the model has anyway.
+    counts = {r["y"]: r["count"] for r in labelled.groupBy("y").count().collect()}
+    if not counts:
+        return fit([])
+    share = F.create_map(*[F.lit(x) for y, n in sorted(counts.items()) for x in (y, min(1.0, 4.0 * docs_each / n))])
+    thin = F.pmod("h", F.lit(1 << 31)) < F.element_at(share, F.col("y")) * F.lit(1 << 31)
     sample = (
-        labelled.join(counts, "y").filter(thin)
+        labelled.filter(thin)
         .withColumn("w", part).select("k", "y", "h", F.slice("w", begin, F.lit(words_each)).alias("w"))
         .withColumn("n", F.row_number().over(order)).filter(F.col("n") <= docs_each).select("k", "y", "w")
     )
