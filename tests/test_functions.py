@@ -55,6 +55,13 @@ def test_exact_sum_keeps_small_values(spark):
     assert spark.createDataFrame([(None,)], "v double").agg(fn.exact_sum("v")).first()[0] is None
 
 
+def test_exact_sum_of_an_overflowing_band(spark, monkeypatch):
+    monkeypatch.setattr(fn, "_BAND", 60)  # wide bands overflow with few rows
+    monkeypatch.setattr(fn, "_BANDS", range(2))
+    rows = spark.range(2000).selectExpr("1e18D AS v").union(spark.createDataFrame([(2.0**70,)], "v double"))
+    assert rows.agg(fn.exact_sum("v")).first()[0] == pytest.approx(2e21 + 2.0**70, rel=1e-12)
+
+
 def test_crlf_frames(spark, folder):
     from wattledger.sources import frames
 

@@ -192,15 +192,18 @@ def exact_sum(value: ColumnOrName) -> Column:
     look like a change.  Here each value goes to the band of its size, is scaled by a power of two to between 1 and
     2^36 and added in fixed point with 17 fraction digits, which keeps all its digits, is associative and merges
     map-side.  The bands' sums are then added from small to large.  Sizes beyond all bands (2^108 and more, under
-    2^-108, infinities and NaN) are added as they come.
+    2^-108, infinities and NaN) are added as they come, and so is a band whose fixed-point sum has more than 21 whole
+    digits (1.4e10 values at its upper edge or more).
     """
     value = as_col(value)
     size = F.abs(value)
     edges = [F.lit(2.0 ** (_BAND * j)) for j in (*_BANDS, _BANDS.stop)]
     parts = []
     for low, high, j in zip(edges, edges[1:], _BANDS):
-        scaled = F.when((size >= low) & (size < high), value * F.lit(2.0 ** (-_BAND * j)))
-        parts.append(F.try_sum(scaled.cast("decimal(38,17)")).cast("double") * F.lit(2.0 ** (_BAND * j)))
+        inside = (size >= low) & (size < high)
+        scaled = F.when(inside, value * F.lit(2.0 ** (-_BAND * j)))
+        exact = F.try_sum(scaled.cast("decimal(38,17)")).cast("double") * F.lit(2.0 ** (_BAND * j))
+        parts.append(F.coalesce(exact, F.sum(F.when(inside, value))))
     parts.append(F.sum(F.when(~((size >= edges[0]) & (size < edges[-1])), value)))
     total = F.lit(0.0)
     for part in parts:
