@@ -74,3 +74,26 @@ def test_odd_tables(odd, make):
 def test_cut_characters_go(make):
     df = suffix.as_text(make([(1, "x")]).selectExpr("doc_id", "unhex('C3A9C3') AS kept"), "kept", "text")
     assert [tuple(r) for r in df.collect()] == [(1, "é")]
+
+
+def test_frequent_passages_are_not_held(make, monkeypatch):
+    """A passage in very many texts, with other text around it in each: no bucket holds more than ``frequent`` of a lead."""
+    rng = random.Random(8)
+    own = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    footer = own(300)
+    rows = [(k, own(rng.randint(0, 150)) + footer[: rng.randint(120, 300)] + own(rng.randint(0, 150))) for k in range(150)]
+    rows += [(200 + k, footer[k:] + own(40) + footer) for k in range(5)] + [(300, rows[3][1]), (301, rows[3][1])]
+    held, whole = [], suffix._suffixes
+
+    def watched(docs, window, gram):
+        out = whole(docs, window, gram)
+        held.extend(r["count"] for r in out.groupBy("lead").count().collect())
+        return out
+
+    monkeypatch.setattr(suffix, "_suffixes", watched)
+    got = {
+        r["doc_id"]: (r["n_removed"], r["n_spans"], bytes(r["kept"]))
+        for r in suffix.remove_repeats(make(rows).repartition(5), frequent=20).collect()
+    }
+    assert got == dict(zip((k for k, _ in rows), plain([(k, t.encode()) for k, t in rows], 100)))
+    assert max(held, default=0) <= 20

@@ -8,7 +8,8 @@ before it in the same one.
    bytes.  Anchors whose gram occurs once in the corpus cannot be repeats and are left out.
 2. Each remaining suffix carries the bytes that its windows cover.  Sampled splitters deal the suffixes out by their
    leading bytes (``repartitionByRange``); equal leading bytes never lie on two sides of a splitter, so what a bucket
-   has to compare is inside it.  Suffixes under a very frequent gram are split in two kinds with longer leading bytes.
+   has to compare is inside it.  No group of equal leading bytes is larger than ``frequent``: runs of windows under
+   more frequent grams are not sorted but grouped, and divided where they differ (``_frequent_cuts``).
 3. Each bucket is sorted.  Equal neighbours are folded as they stream by.  For the others a multikey sort by 8-byte
    words and the common prefixes of neighbours, to the right and to the left of the anchor, give for each window the
    class of equal windows; all but the first of a class go.
@@ -20,6 +21,7 @@ in the sorting.  Texts are dealt out by ``ref`` once, compressed, and that excha
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,15 +29,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wattledger.llm.common import map_batches, pack, unpacked
+from wattledger.llm.common import map_batches, pack, text_bytes, unpacked
 from wattledger.session import cut
 
 WINDOW = 100
 GRAM = 20
 #: Window starts that are looked at in one go.
 PIECE = 1 << 20
-#: A gram with more anchors than this has its suffixes split by longer leading bytes.
+#: The suffixes of a gram with more anchors than this are not sorted; their windows are judged by groupings.
 FREQUENT = 20_000
+#: Those windows are divided by so many bytes left of the anchor, and so on.
+STEPS = (16, 4, 1)
 #: Suffixes that a bucket compares in one go, at least; a group of equal leading bytes is never divided.
 CHUNK = 20_000
 
@@ -109,26 +113,31 @@ def _joined(texts: list[bytes], window: int, piece: int) -> Iterator[tuple[bytes
         yield b"".join(out), *(np.array(x, np.int64) for x in (who, start, at))
 
 
+def _anchored(texts: list[bytes], window: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(hash, text's number, first window, windows, distance) of every anchor, several texts at a time."""
+    for data, who, start, at in _joined(texts, window, PIECE):
+        raw = np.frombuffer(data, np.uint8)
+        h, first, n, off = anchors(raw, window, gram)
+        # Windows over the border of two parts do not count.  A run of windows is shorter than a part, so it
+        # crosses one border at most: what lies before it and what lies after it are runs of their own.
+        part = np.searchsorted(at, first, "right") - 1
+        end = np.append(at[1:], len(raw))[part]
+        stop = first + n
+        before, after = np.minimum(stop, end - window + 1) - first, stop - end
+        for ok, f, m, p in ((before > 0, first, before, part), (after > 0, end, after, part + 1)):
+            f, m, p = f[ok], m[ok], p[ok]
+            yield h[ok], who[p], f - at[p] + start[p], m, (first + off)[ok] - f
+
+
 def find_anchors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(h, ref, place) of every anchor of (ref, z)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         refs = batch.column("ref").to_numpy()
-        texts = unpacked(batch)
-        got = []
-        for data, who, start, at in _joined(texts, window, PIECE):
-            raw = np.frombuffer(data, np.uint8)
-            h, first, n, off = anchors(raw, window, gram)
-            # Windows over the border of two parts do not count.  A run of windows is shorter than a part, so it
-            # crosses one border at most: what lies before it and what lies after it are runs of their own.
-            part = np.searchsorted(at, first, "right") - 1
-            end = np.append(at[1:], len(raw))[part]
-            stop = first + n
-            before, after = np.minimum(stop, end - window + 1) - first, stop - end
-            for ok, f, m, p in ((before > 0, first, before, part), (after > 0, end, after, part + 1)):
-                f, m, p = f[ok], m[ok], p[ok]
-                off_ = (first + off)[ok] - f
-                got.append((h[ok], refs[who[p]], ((f - at[p] + start[p]) * _N + m) * _N + off_))
+        got = [
+            (h, refs[who], (s0 * _N + n) * _N + off)
+            for h, who, s0, n, off in _anchored(unpacked(batch), window, gram)
+        ]
         if not got:
             return None
         return pa.RecordBatch.from_arrays(
@@ -144,7 +153,6 @@ def _unpack(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _suffixes(docs: DataFrame, window: int, gram: int) -> DataFrame:
     """(lead, off, body, ref, s0) of each suffix of (ref, z, places): its leading bytes and what its windows cover."""
-    half = (window - gram) // 2
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         lead, off_, body, ref_, s0_ = [], [], [], [], []
@@ -152,22 +160,12 @@ def _suffixes(docs: DataFrame, window: int, gram: int) -> DataFrame:
         refs = batch.column("ref").to_pylist()
         packed = batch.column("places")
         for k, text in enumerate(texts):
-            places = packed[k].values.to_numpy()
-            frequent = (places & 1).astype(bool).tolist()
-            for s0, n, off, often in zip(*(x.tolist() for x in _unpack(places >> 1)), frequent):
-                a = s0 + off
-                if not often:
-                    runs = ((s0, n, text[a : a + gram]),)
-                else:  # windows with many bytes left of the anchor, and the others
-                    left = max(0, min(n, off - half))
-                    runs = ((s0, left, text[a - half - 1 : a + gram]), (s0 + left, n - left, text[a : a + window - half]))
-                for s, m, head in runs:
-                    if m:
-                        lead.append(head)
-                        off_.append(a - s)
-                        body.append(text[s : s + m - 1 + window])
-                        ref_.append(refs[k])
-                        s0_.append(s)
+            for s0, n, off in zip(*(x.tolist() for x in _unpack(packed[k].values.to_numpy()))):
+                lead.append(text[s0 + off : s0 + off + gram])
+                off_.append(off)
+                body.append(text[s0 : s0 + n - 1 + window])
+                ref_.append(refs[k])
+                s0_.append(s0)
         if not lead:
             return None
         return pa.RecordBatch.from_arrays(
@@ -179,6 +177,62 @@ def _suffixes(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return map_batches(docs, run, "lead binary, off int, body binary, ref bigint, s0 bigint")
 
 
+def _frequent(rows: DataFrame, often: np.ndarray, window: int, gram: int) -> DataFrame:
+    """(off, body, ref, s0) of each run of windows of (ref, text) whose anchor's hash is in ``often`` (sorted)."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        refs, texts = batch.column("ref").to_pylist(), list(text_bytes(batch, "text"))
+        off_, body, ref_, s0_ = [], [], [], []
+        for h, who, s0, n, off in _anchored(texts, window, gram):
+            at = np.flatnonzero(often[np.minimum(np.searchsorted(often, h), len(often) - 1)] == h)
+            for k, s, m, o in zip(*(x[at].tolist() for x in (who, s0, n, off))):
+                off_.append(o)
+                body.append(texts[k][s : s + m - 1 + window])
+                ref_.append(refs[k])
+                s0_.append(s)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(off_, pa.int32()), pa.array(body, pa.binary()), pa.array(ref_, pa.int64()), pa.array(s0_, pa.int64())],
+            names=["off", "body", "ref", "s0"],
+        )
+
+    return map_batches(rows, run, "off int, body binary, ref bigint, s0 bigint")
+
+
+def _frequent_cuts(runs: DataFrame, window: int) -> DataFrame:
+    """(ref, start, end) of bytes to remove, from runs of windows under frequent grams; groupings and joins only.
+
+    Of equal runs all but the first go.  The different ones that are left are divided by the bytes left of the anchor,
+    and again, down to single windows.  A part goes on only if the bytes that all its windows share stand in another
+    one too, so where a passage ends and the documents' own texts begin a document keeps a part or two at each step.
+    """
+    done = []
+    for wide in (*STEPS, None):
+        first = cut(
+            runs.groupBy("off", "body").agg(F.min(F.struct("ref", "s0")).alias("first"), F.max(F.struct("ref", "s0")).alias("last"))
+        )
+        # Written, so that Spark can split the joins where one passage has very many copies.
+        again = runs.join(first.filter("last > first").select("off", "body", "first"), ["off", "body"])
+        done.append(cut(again.filter(F.struct("ref", "s0") > F.col("first")).select(
+            "ref", F.col("s0").alias("start"), (F.col("s0") + F.octet_length("body")).alias("end")
+        )))
+        if wide is None:
+            return reduce(DataFrame.union, done)
+        least = F.expr(f"off - octet_length(body) + {window}")  # bytes left of the anchor in the last window
+        parts = (
+            first.select("off", "body", "first.ref", "first.s0", least.alias("least"))
+            .withColumn("part", F.explode(F.expr(f"sequence(least div {wide}, off div {wide})")))
+            .withColumn("low", F.expr(f"greatest(least, part * {wide})"))
+            .withColumn("high", F.expr(f"least(off, part * {wide} + {wide - 1})"))
+            .select(
+                "part", F.col("high").alias("off"), F.expr(f"substring(body, off - high + 1, high - low + {window})").alias("body"),
+                "ref", F.expr("s0 + off - high").alias("s0"),
+            )
+            .withColumn("core", F.expr(f"substring(body, off - part * {wide} + 1, {window - wide + 1})"))
+        )
+        shared = cut(parts.groupBy("part", "core").count().filter("count > 1").select("part", "core"))
+        runs = cut(parts.join(shared, ["part", "core"]).select("off", "body", "ref", "s0"))
+
+
 def _order(rows: np.ndarray) -> np.ndarray:
     """Multikey sort of equally long byte rows: by 8-byte words, going on only among rows that are still equal."""
     n, width = rows.shape
@@ -350,11 +404,14 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     texts = pack(rows.select("ref", "text", *others))
     found = find_anchors(texts.join(copies.select("ref").distinct(), "ref", "left_anti"), window, gram)
     # Written, so that Spark can split the join by what it finds frequent.
-    often = cut(found.groupBy("h").count().filter("count > 1").select(
-        "h", (F.col("count") > frequent).cast("bigint").alias("often")
-    ))
+    twice = cut(found.groupBy("h").count().filter("count > 1").select("h", (F.col("count") > frequent).alias("often")))
+    # At most 8 bytes for each ``frequent`` anchors, that is for about 0.8 MB of text.
+    often = np.sort(twice.filter("often").select("h").toArrow().column("h").to_numpy())
+    if len(often):
+        runs = _frequent(rows.filter(size >= window).select("ref", "text"), often, window, gram)
+        copies = copies.union(_frequent_cuts(cut(runs.join(copies.select("ref").distinct(), "ref", "left_anti")), window))
     places = (
-        found.join(often, "h").select("ref", (F.col("place") * 2 + F.col("often")).alias("place"))
+        found.join(twice.filter("not often").select("h"), "h").select("ref", "place")
         .groupBy("ref").agg(F.array_distinct(F.collect_list("place")).alias("places"))
     )
     suffixes = _suffixes(texts.join(places, "ref"), window, gram)
