@@ -83,3 +83,9 @@ def test_odd_tables(odd, make, model):
     assert empty.labels == [] and crf.predict(odd.select("text"), empty).distinct().count() == 1
     kept = crf.predict(odd, model, label="a", score="b", keep_text=True)
     assert kept.columns == [*odd.columns, "a", "b"] and kept.filter("text is null").count() == 1
+
+
+def test_numerals_alone_are_no_words():
+    for n in (1, 63, 64, 200):
+        assert crf.words("½ ² " * n) == []
+        assert len(crf.words("½ ² " * n + "a")) == 2 * n + 1

@@ -40,10 +40,8 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 def words(text: str) -> list[str]:
     """The runs of letters of a text, lower-cased; none if it has no letter."""
-    found = _WORD.findall(text.lower())
-    if len(found) < 64 and not any(c.isalpha() for w in found for c in w):
-        return []
-    return found
+    # The pattern also meets numerals such as ½; the search stops at the first letter.
+    return _WORD.findall(text.lower()) if any(c.isalpha() for c in text) else []
 
 
 @dataclass
