@@ -52,3 +52,11 @@ def test_written_and_counted(spark, make):
     got = sorted((tuple(r) for r in separators.count_documents(df).collect()), key=str)
     assert got == sorted([(k, len(v or b"") // 2) for k, v in rows], key=str)
     assert separators.count_documents(spark.createDataFrame([], df.schema)).count() == 0
+
+
+def test_document_over_whole_blocks(spark, make):
+    """At the real block size: texts that cover one block, several blocks and exactly one block."""
+    sizes = {1: 3, 2: 600_000, 3: 1_700_000, 4: separators.BLOCK // 2 - 1, 5: separators.BLOCK // 2, 6: 0, 7: 1}
+    rows = [(k, np.full(n, 7, "<u2").tobytes()) for k, n in sizes.items()]
+    df = spark.createDataFrame(rows, "doc_id long, ids binary").coalesce(1)
+    assert {tuple(r) for r in separators.count_documents(df).collect()} == set(sizes.items())

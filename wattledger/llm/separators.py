@@ -66,12 +66,12 @@ def scan(spark: SparkSession, path: str, end: int = 50256, width: int = 2, block
 
     searched = map_batches(blocks, search, "file string, length bigint, at bigint, ends array<bigint>")
     before = W.partitionBy("file").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
-    stitched = searched.withColumn("open", F.coalesce(F.max(F.element_at("ends", -1)).over(before), F.lit(-1).cast("bigint"))).withColumn(
+    stitched = searched.withColumn("open", F.coalesce(F.max(F.try_element_at("ends", F.lit(-1))).over(before), F.lit(-1).cast("bigint"))).withColumn(
         "docs", F.coalesce(F.sum(F.size("ends").cast("bigint")).over(before), F.lit(0).cast("bigint"))
     )
     last = F.col("at") + block >= F.col("length")
     tokens = (F.col("length") / width).cast("bigint")
-    final = F.coalesce(F.element_at(F.when(F.size("ends") > 0, F.col("ends")), -1), F.col("open"))
+    final = F.coalesce(F.try_element_at("ends", F.lit(-1)), F.col("open"))
     rest = last & (final < tokens - 1)
     ends = F.when(rest, F.array_append("ends", tokens)).otherwise(F.col("ends"))
     return (
