@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from wattledger.llm import bpe, cdc, crf, fertility, licenses, mixing, packing, separators, simhash, suffix
-from wattledger.llm.common import documents, domain_of, map_batches, word_count
+from wattledger.llm import bpe, cdc, crf, fertility, licenses, mixing, negatives, packing, separators, simhash, suffix
+from wattledger.llm.common import documents, domain_of, map_batches, prepare, word_count
 from wattledger.session import configure
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -99,6 +99,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector against all; every seventh has its label moved on by one."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("bigint") + 1) % 10).otherwise(F.col("label"))
+    vectors = prepare(spark).read.parquet(f"{sf_dir}/embeddings.parquet").withColumn("label", moved)
+    return negatives.mine(vectors, F.col("vec_id") % 100 == 0)
+
+
 _QUERIES: dict[str, QueryFn] = {
     "pipeline": corpus_pipeline.run,
     "op1_crf_language": op1_crf_language,
@@ -111,11 +118,13 @@ _QUERIES: dict[str, QueryFn] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_mixing": op9_mixing,
     "op10_simhash": op10_simhash,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 _SQL: dict[str, str] = {
     "op5_license_join": licenses.sql(),
     "op9_mixing": mixing.sql(corpus_pipeline.WEIGHTS, corpus_pipeline.SEED, corpus_pipeline.MAX_EPOCHS),
+    "op13_hard_negatives": negatives.sql(),
 }
 
 
