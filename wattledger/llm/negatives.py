@@ -112,6 +112,8 @@ def _held(kind: str, width: int, judge):
     """A function of cogrouped tables that holds the anchors of a block, some at a time, against the rows of a slice."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return judge.table([])
         turn = rotation(width)
         a_label, r_label = left.column("label").to_numpy(), right.column("label").to_numpy()
         a_vec, r_vec = (_matrix(t, "vec", kind).astype(np.float64) for t in (left, right))
