@@ -62,7 +62,7 @@ def compare(spark_rows, spark_cols, sql_rows, sql_cols):
 
 
 def main(names):
-    from wattledger import catalog
+    import __spark_entry__ as catalog
     from wattledger.session import local_session
 
     sf_dir = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
