@@ -75,9 +75,10 @@ def test_intervals_hold_the_scores_and_leave_rows_out():
         vectors = np.floor(256 * rng.standard_normal((500, width)))
         vectors[:9] = vectors[0] + np.floor(20 * rng.standard_normal((9, width)))
         vectors[9] = 0
+        vectors[100:300] = -vectors[0] + np.floor(20 * rng.standard_normal((200, width)))
         codes, align, norm2 = negatives.encode(vectors, turn)
         low, high = negatives.intervals(vectors[:20], codes, align, norm2, turn)
         exact = negatives.scores(vectors[:20], vectors)
         assert (low <= exact).all() and (exact <= high).all()
-        # The ninth best of the near group leaves out nearly all that are not near.
-        assert (high[0] >= np.sort(low[0])[-9]).sum() < 450
+        # The ninth best lower bound leaves out what points the other way.
+        assert not (high[0, 100:300] >= np.sort(low[0])[-9]).any()

@@ -7,11 +7,11 @@ from collections.abc import Callable
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from wattledger.llm import bpe, cdc, crf, fertility, licenses, mixing, negatives, packing, separators, simhash, suffix
+from wattledger.llm import bpe, cdc, crf, fertility, licenses, linecrf, mixing, negatives, packing, separators, simhash, suffix
 from wattledger.llm.common import documents, domain_of, map_batches, prepare, word_count
 from wattledger.session import configure
 
@@ -21,11 +21,14 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 FOLDS, HELD_OUT = 4, 2
 
 
+def held_out() -> Column:
+    """Whether a document takes no part in learning; one without an id does."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
+
+
 def op1_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every text, learned from three quarters of the labelled documents."""
-    docs = documents(spark, sf_dir).withColumn(
-        "held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
-    )
+    docs = documents(spark, sf_dir).withColumn("held_out", held_out())
     model = crf.train(docs.filter("not held_out"))
     return crf.predict(docs.select("doc_id", "held_out", "text"), model)
 
@@ -99,6 +102,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every text by its lines, learned from three quarters of the labels."""
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~held_out())
+    model = linecrf.train(docs, labels)
+    return linecrf.predict(docs.select("doc_id", held_out().alias("held_out"), "text"), model)
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives of every hundredth vector against all; every seventh has its label moved on by one."""
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("bigint") + 1) % 10).otherwise(F.col("label"))
@@ -118,6 +129,7 @@ _QUERIES: dict[str, QueryFn] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_mixing": op9_mixing,
     "op10_simhash": op10_simhash,
+    "op11_line_quality": op11_line_quality,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
