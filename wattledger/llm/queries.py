@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from wattledger.llm import bpe, cdc, crf, fertility, licenses, linecrf, mixing, negatives, packing, separators, simhash, suffix
+from wattledger.llm import alignment, bpe, cdc, crf, fertility, licenses, linecrf, mixing, negatives, packing, separators, simhash, suffix
 from wattledger.llm.common import documents, domain_of, map_batches, prepare, word_count
 from wattledger.session import configure
 
@@ -110,6 +110,11 @@ def op11_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linecrf.predict(docs.select("doc_id", held_out().alias("held_out"), "text"), model)
 
 
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups, links and corpus-wide link counts of every text's tokens under two tokenizers."""
+    return alignment.alignments(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives of every hundredth vector against all; every seventh has its label moved on by one."""
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("bigint") + 1) % 10).otherwise(F.col("label"))
@@ -130,6 +135,7 @@ _QUERIES: dict[str, QueryFn] = {
     "op9_mixing": op9_mixing,
     "op10_simhash": op10_simhash,
     "op11_line_quality": op11_line_quality,
+    "op12_tokenizer_alignment": op12_tokenizer_alignment,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
