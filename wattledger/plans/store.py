@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import contextlib
+import itertools
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from wattledger import schemas as S
 from wattledger.functions import format_ms, ordered_counts, stable_id
 from wattledger.operators.validate import event_lines
+from wattledger.session import cut
 
 
 def first_wins(batch: DataFrame, key: str = "event_id", arrival: str = "arrival") -> DataFrame:
@@ -58,6 +63,64 @@ def changed_joins(stored: DataFrame, fresh: DataFrame) -> DataFrame:
 
 #: Parts of one level that are merged into one of the next.
 MERGE = 16
+#: Rows of a bucket of a keyed table, and ids under one filter of an append-only one, about.
+BUCKET_ROWS, FILTER_ROWS = 1_000_000, 500_000
+#: A filter's bits per id and probes.
+FILTER_BITS, PROBES = 32, 12
+#: Ids of a batch that are held against a filter by one task, about.
+TOGETHER = 1_000_000
+
+
+def key_digits(key: str):
+    """Hexadecimal digits that spread keys evenly; a bucket holds the keys whose digits begin with its name."""
+    return F.md5(F.col(key).cast("string").cast("binary"))
+
+
+def digits_for(rows: int, most: int) -> int:
+    """How many digits divide so many rows into buckets of ``most`` or fewer, if they spread evenly."""
+    digits = 0
+    while rows > most * 16**digits:
+        digits += 1
+    return digits
+
+
+def _probes(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Places of each hash's bits, one row for each probe."""
+    step = (hashes >> np.uint64(32)) | np.uint64(1)
+    turns = np.arange(PROBES, dtype=np.uint64)[:, None]
+    return ((hashes & np.uint64(0xFFFFFFFF)) + turns * step) % np.uint64(bits)
+
+
+def _filter_of(table: pa.Table) -> pa.Table:
+    """One row with the filter and the range of a bucket's ids."""
+    hashes = table.column("h").to_numpy().view(np.uint64)
+    bits = np.zeros(max(64, FILTER_BITS * len(hashes)), bool)
+    bits[_probes(hashes, len(bits)).ravel()] = True
+    ids = table.column("id")
+    return pa.table({
+        "bucket": table.column("bucket").slice(0, 1), "rows": pa.array([len(hashes)], pa.int64()), "bits": pa.array([len(bits)], pa.int64()),
+        "low": pa.array([pc.min(ids).as_py()], pa.string()), "high": pa.array([pc.max(ids).as_py()], pa.string()),
+        "filter": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary()),
+    })
+
+
+def _named_by_filters(ids: pa.Table, filters: pa.Table) -> pa.Table:
+    """(part, bucket) of the filters that may hold one of the ids."""
+    named = []
+    if ids.num_rows and filters.num_rows:
+        hashes = ids.column("h").to_numpy().view(np.uint64)
+        values = ids.column("id")
+        low, high = pc.min(values).as_py(), pc.max(values).as_py()
+        for part, bucket, bits, first, last, packed in zip(*(filters.column(c).to_pylist() for c in ("part", "bucket", "bits", "low", "high", "filter"))):
+            if first > high or last < low:
+                continue
+            inside = np.array(pc.and_(pc.greater_equal(values, first), pc.less_equal(values, last)))
+            data, may = np.frombuffer(packed, np.uint8), np.ones(int(inside.sum()), bool)
+            for at in _probes(hashes[inside], bits):
+                may &= (data[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+            if may.any():
+                named.append((part, bucket))
+    return pa.table({"part": pa.array([p for p, _ in named], pa.string()), "bucket": pa.array([b for _, b in named], pa.string())})
 
 
 class Store:
@@ -65,8 +128,16 @@ class Store:
 
     Writes go to new folders.  ``commit`` publishes one manifest with every table's parts and the last batch of each
     writer, so readers see all of a batch or nothing of it, and a batch that is delivered again is skipped.  Of two
-    writers that start from the same manifest the second fails and changes nothing.  Small parts are merged into larger
-    ones as they gather, each row about once per factor of ``MERGE``.
+    writers that start from the same manifest the second fails and changes nothing.
+
+    Append-only tables (facts, opaque, rejects) are lists of parts.  Beside each part lie its ids, in buckets by their
+    digits, and for every bucket the range of its ids and a Bloom filter.  A batch is held against the filters, and only
+    the buckets that these name are opened to see which of its ids are stored.  Small parts are merged into larger ones
+    as they gather, each row about once per factor of ``MERGE``; merged facts are ordered by session and time.
+
+    Keyed tables (estimates, joins) are buckets by the keys' digits, which the manifest maps to folders.  A merge
+    rewrites the buckets that its keys fall into and no others; one that grows beyond ``bucket_rows`` is divided by
+    further digits.
     """
 
     TABLES = {
@@ -75,13 +146,21 @@ class Store:
         "estimates": S.ESTIMATES,
         "joins": "unit_key string, session_id string, json string",
         "rejects": S.REJECTS,
+        "dirty": "session_id string, since_ms bigint, samples_only boolean, zone string, dirty boolean",
     }
+    #: The id of append-only tables and the key of keyed ones.
+    IDS = {"facts": "event_id", "opaque": "event_id", "rejects": "key"}
+    KEYS = {"estimates": "event_id", "joins": "unit_key", "dirty": "session_id"}
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, bucket_rows: int = BUCKET_ROWS, filter_rows: int = FILTER_ROWS):
         self.spark, self.root = spark, root.rstrip("/")
+        self.bucket_rows, self.filter_rows = bucket_rows, filter_rows
         self._fs_path = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
         self._fs = self._fs_path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
         self._open: dict | None = None
+        #: What the last append of each table opened, as (part, bucket), and which buckets the last merge rewrote.
+        self.opened: dict[str, list[tuple[str, str]]] = {}
+        self.rewritten: dict[str, list[str]] = {}
 
     # -- manifests
 
@@ -92,8 +171,9 @@ class Store:
     def _manifest(self, name: str | None = None) -> dict:
         name = name or max(self._manifests(), default=None)
         if name is None:
-            return {"number": 0, "tables": {}, "batches": {}}
-        return json.loads("".join(r.value for r in self.spark.read.text(f"{self.root}/_commits/{name}", wholetext=True).collect()))
+            return {"number": 0, "tables": {}, "batches": {}, "buckets": {}}
+        found = json.loads("".join(r.value for r in self.spark.read.text(f"{self.root}/_commits/{name}", wholetext=True).collect()))
+        return {"buckets": {}} | found
 
     def _state(self) -> dict:
         return self._open if self._open is not None else self._manifest()
@@ -129,27 +209,40 @@ class Store:
         if batch_id is not None and state["batches"].get(writer, -1) >= batch_id:
             yield False
             return
-        before = json.dumps(state["tables"], sort_keys=True)
+        shown = lambda s: json.dumps([s["tables"], s["buckets"]], sort_keys=True)
+        before = shown(state)
         self._open = state | {"number": state["number"] + 1}
         try:
             yield True
             if batch_id is not None:
                 self._open["batches"][writer] = batch_id
-            if batch_id is not None or json.dumps(self._open["tables"], sort_keys=True) != before:
+            if batch_id is not None or shown(self._open) != before:
                 self._publish(self._open)
         finally:
             self._open = None
 
     def vacuum(self, keep: int = 2) -> None:
-        """Delete manifests but the last ``keep``, and parts that none of those names."""
+        """Delete manifests but the last ``keep``, and parts and buckets that none of those names."""
         names = self._manifests()
-        held = {(t, p) for n in names[-keep:] for t, parts in self._manifest(n)["tables"].items() for p in parts}
+        held = set()
+        for n in names[-keep:]:
+            state = self._manifest(n)
+            held |= {(t, p) for t, parts in state["tables"].items() for p in parts}
+            held |= {(t, b["path"]) for t, buckets in state["buckets"].items() for b in buckets.values() if b["path"]}
         for name in names[:-keep]:
             self._fs.delete(self._fs_path(f"{self.root}/_commits/{name}"), False)
-        for table in self.TABLES:
-            folder = self._fs_path(f"{self.root}/{table}")
+        kinds = [(t, f"{self.root}/{t}{suffix}") for t in self.TABLES for suffix in ("", ".ids", ".filters")]
+        for table, place in kinds:
+            folder = self._fs_path(place)
             for status in self._fs.listStatus(folder) if self._fs.exists(folder) else []:
-                if (table, status.getPath().getName()) not in held:
+                part = status.getPath().getName()
+                inside = {p for t, p in held if t == table and p.startswith(f"{part}/")}
+                if inside:  # a merge, some of whose buckets may be out of use
+                    for bucket in self._fs.listStatus(status.getPath()):
+                        name = bucket.getPath().getName()
+                        if name.startswith("bucket=") and f"{part}/{name}" not in inside:
+                            self._fs.delete(bucket.getPath(), True)
+                elif (table, part) not in held:
                     self._fs.delete(status.getPath(), True)
 
     # -- tables
@@ -157,25 +250,41 @@ class Store:
     def _parts(self, name: str) -> list[str]:
         return self._state()["tables"].get(name, [])
 
+    def _buckets(self, name: str) -> dict[str, dict]:
+        return self._state()["buckets"].get(name, {})
+
     def _read_parts(self, name: str, parts: list[str]) -> DataFrame:
         if not parts:
             return self.spark.createDataFrame([], self.TABLES[name])
         return self.spark.read.schema(self.TABLES[name]).parquet(*[f"{self.root}/{name}/{p}" for p in parts])
 
-    def read(self, name: str) -> DataFrame:
-        return self._read_parts(name, self._parts(name))
+    def _read_buckets(self, name: str, buckets: Iterable[str]) -> DataFrame:
+        known = self._buckets(name)
+        return self._read_parts(name, [known[b]["path"] for b in buckets if known[b]["path"]])
 
-    def _write(self, name: str, df: DataFrame, level: int = 0) -> str:
-        part = f"level{level}-{uuid.uuid4().hex}"
-        columns = self.spark.createDataFrame([], self.TABLES[name]).columns
-        df.select(*columns).write.parquet(f"{self.root}/{name}/{part}")
-        return part
+    def read(self, name: str) -> DataFrame:
+        return self._read_parts(name, [*self._parts(name), *(b["path"] for b in self._buckets(name).values() if b["path"])])
+
+    def _columns(self, name: str) -> list[str]:
+        return self.spark.createDataFrame([], self.TABLES[name]).columns
+
+    def _write(self, name: str, df: DataFrame, level: int = 0) -> tuple[str, int]:
+        """The new part's name and its rows."""
+        part, seen = f"level{level}-{uuid.uuid4().hex}", Observation()
+        rows = df.select(*self._columns(name)).observe(seen, F.count(F.lit(1)).alias("rows"))
+        if level and name == "facts":
+            # Ranges of session and time: a session is together, and a very large one is still many tasks.
+            rows = rows.repartitionByRange("session_id", "ts_ms").sortWithinPartitions("session_id", "ts_ms")
+            rows.write.parquet(f"{self.root}/{name}/{part}")
+            return part, self._read_parts(name, [part]).count()
+        rows.write.parquet(f"{self.root}/{name}/{part}")
+        return part, seen.get["rows"]
 
     def append(self, name: str, df: DataFrame) -> int:
         with self.commit():
-            part = self._write(name, df)
-            rows = self._read_parts(name, [part]).count()
+            part, rows = self._write(name, df)
             if rows:
+                self._index(name, part, rows)
                 self._state()["tables"][name] = self._merged(name, [*self._parts(name), part])
         return rows
 
@@ -183,36 +292,153 @@ class Store:
         small = [p for p in parts if p.startswith(f"level{level}-")]
         if len(small) < MERGE:
             return parts
-        whole = self._write(name, self._read_parts(name, small), level + 1)
+        whole, rows = self._write(name, self._read_parts(name, small), level + 1)
+        self._index(name, whole, rows)
         return self._merged(name, [*(p for p in parts if p not in small), whole], level + 1)
 
     def replace(self, name: str, df: DataFrame) -> None:
         with self.commit():
-            self._state()["tables"][name] = [self._write(name, df)]
+            self._state()["tables"][name] = [self._write(name, df)[0]]
+            self._state()["buckets"].pop(name, None)
+
+    # -- which ids are stored
+
+    def _index(self, name: str, part: str, rows: int) -> None:
+        """Write a part's ids in buckets, and a filter of each bucket."""
+        if name not in self.IDS:
+            return
+        digits = digits_for(rows, self.filter_rows)
+        ids = self._read_parts(name, [part]).select(F.col(self.IDS[name]).cast("string").alias("id")).filter("id is not null")
+        bucket = F.concat(F.lit("b"), F.substring(key_digits("id"), 1, digits))
+        ids.withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("bucket", "id").write.partitionBy("bucket").parquet(
+            f"{self.root}/{name}.ids/{part}"
+        )
+        stored = self.spark.read.schema("id string, bucket string").option("basePath", f"{self.root}/{name}.ids/{part}").parquet(
+            f"{self.root}/{name}.ids/{part}"
+        )
+        filters = stored.withColumn("h", F.xxhash64("id")).groupBy("bucket").applyInArrow(
+            _filter_of, "bucket string, rows bigint, bits bigint, low string, high string, filter binary"
+        )
+        filters.select(F.lit(part).alias("part"), "*").write.parquet(f"{self.root}/{name}.filters/{part}")
+
+    def stored_among(self, name: str, ids: DataFrame) -> DataFrame:
+        """The stored ids (``id``) of the buckets that may hold some of ``ids``, whose one column is called ``id``.
+
+        ``opened`` tells which buckets those are.  Parts without filters are read whole.
+        """
+        parts = self._parts(name)
+        exists = lambda p: self._fs.exists(self._fs_path(f"{self.root}/{name}.filters/{p}"))
+        known = [p for p in parts if exists(p)]
+        plain = [p for p in parts if p not in known]
+        whole = self._read_parts(name, plain).select(F.col(self.IDS[name]).cast("string").alias("id"))
+        self.opened[name] = [(p, "") for p in plain]
+        if not known:
+            return whole
+        filters = self.spark.read.parquet(*[f"{self.root}/{name}.filters/{p}" for p in known])
+        kinds = [r[0] for r in filters.select(F.length("bucket")).distinct().collect()]
+        seen = cut(ids.withColumn("h", F.xxhash64("id")).withColumn("digits", key_digits("id")))
+        salts = max(1, -(-seen.count() // TOGETHER))
+        asked = seen.withColumn("width", F.explode(F.array(*[F.lit(k) for k in kinds]))).select(
+            F.expr("concat('b', substring(digits, 1, width - 1))").alias("bucket"), F.pmod("h", F.lit(salts)).alias("salt"), "id", "h"
+        )
+        spread = filters.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+        named = asked.groupBy("bucket", "salt").cogroup(spread.groupBy("bucket", "salt")).applyInArrow(
+            _named_by_filters, "part string, bucket string"
+        )
+        hits = sorted((r.part, r.bucket) for r in named.distinct().collect())
+        self.opened[name] += hits
+        if not hits:
+            return whole
+        return whole.union(self.spark.read.schema("id string").parquet(*[f"{self.root}/{name}.ids/{p}/bucket={b}" for p, b in hits]))
+
+    def append_new(self, name: str, batch: DataFrame, arrival: str = "arrival") -> int:
+        """Append the first row of each id that is not stored yet; rows that come again change nothing."""
+        with self.commit():
+            key = self.IDS[name]
+            first = cut(first_wins(batch, key, arrival))
+            stored = self.stored_among(name, first.select(F.col(key).cast("string").alias("id")))
+            return self.append(name, first.join(stored.withColumnRenamed("id", key), key, "left_anti"))
+
+    # -- keyed tables
+
+    def _in_buckets(self, rows: DataFrame, key: str, buckets: Iterable[str]) -> DataFrame:
+        """The rows with the bucket that holds each one's key, of buckets none of which begins with another."""
+        names = list(buckets)
+        widths = sorted({len(b) for b in names})
+        if widths == [0]:
+            return rows.withColumn("bucket", F.lit(""))
+        listed = self.spark.createDataFrame([(b,) for b in names], "bucket string")
+        return (
+            rows.withColumn("__digits", key_digits(key)).withColumn("__width", F.explode(F.array(*[F.lit(w) for w in widths])))
+            .withColumn("bucket", F.expr("substring(__digits, 1, __width)")).drop("__digits", "__width").join(listed, "bucket")
+        )
+
+    def touched(self, name: str, rows: DataFrame) -> dict[str, int]:
+        """The buckets that rows fall into, and how many rows each gets."""
+        known = self._buckets(name) or {"": None}
+        counts = self._in_buckets(rows.select(self.KEYS[name]), self.KEYS[name], known).groupBy("bucket").count()
+        return {r["bucket"]: r["count"] for r in counts.collect()}
+
+    def stored_near(self, name: str, rows: DataFrame) -> DataFrame:
+        """The stored rows of the buckets that ``rows`` fall into."""
+        if self._parts(name) or not self._buckets(name):
+            return self.read(name)
+        return self._read_buckets(name, self.touched(name, rows))
+
+    def merge(self, name: str, rows: DataFrame) -> list[str]:
+        """Put rows, one per key, in place of stored ones of the same key; gives the buckets that were rewritten."""
+        key = self.KEYS[name]
+        with self.commit():
+            rows = cut(rows.select(*self._columns(name)))
+            counts = self.touched(name, rows)
+            known = dict(self._buckets(name))
+            plain = self._parts(name)
+            if plain:  # a table that was written as a whole: everything goes into buckets
+                old = self.read(name)
+                sizes = {"": old.count() + rows.count()}
+                known = {}
+            else:
+                sizes = {b: n + (known[b]["rows"] if b in known else 0) for b, n in counts.items()}
+                old = self._read_buckets(name, [b for b in counts if b in known])
+            if not sizes:
+                self.rewritten[name] = []
+                return []
+            fresh = {}
+            for bucket, size in sizes.items():
+                more = digits_for(size, self.bucket_rows)
+                fresh |= {bucket + "".join(d): {"path": None, "rows": 0} for d in itertools.product("0123456789abcdef", repeat=more)}
+            folder = f"merge-{uuid.uuid4().hex}"
+            whole = self._in_buckets(upserted(old, rows, key), key, fresh).withColumn("bucket", F.concat(F.lit("b"), "bucket"))
+            whole.repartition("bucket").sortWithinPartitions("bucket", key).write.partitionBy("bucket").parquet(f"{self.root}/{name}/{folder}")
+            written = self.spark.read.schema(f"{self.TABLES[name]}, bucket string").parquet(f"{self.root}/{name}/{folder}")
+            for r in written.groupBy("bucket").count().collect():
+                fresh[r["bucket"][1:]] = {"path": f"{folder}/bucket={r['bucket']}", "rows": r["count"]}
+            self._state()["tables"][name] = []
+            self._state()["buckets"][name] = {b: v for b, v in known.items() if b not in sizes} | fresh
+            self.rewritten[name] = sorted(sizes)
+            return self.rewritten[name]
 
     # -- sinks
 
     def insert_events(self, facts: DataFrame) -> int:
-        return self.append("facts", new_rows(facts, self.read("facts")))
+        return self.append_new("facts", facts)
 
     def insert_opaque(self, events: DataFrame) -> int:
-        return self.append("opaque", new_rows(events, self.read("opaque")))
+        return self.append_new("opaque", events)
 
     def upsert_estimates(self, batch: DataFrame) -> None:
         """Put the batch's estimates in place of stored ones; of several for one call the last in the batch stays."""
         last = last_wins(batch.withColumn("__at", F.monotonically_increasing_id()), "event_id", "__at").drop("__at")
-        self.replace("estimates", upserted(self.read("estimates"), last))
+        self.merge("estimates", last)
 
     def upsert_joins(self, records: DataFrame) -> int:
         """Write the records that changed and return how many did; no change writes nothing."""
-        from wattledger.session import cut
-
-        stored = self.read("joins")
-        rows = cut(changed_joins(stored, records))
-        counts = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("changed").alias("changed")).first()
-        if counts.n:
-            self.replace("joins", upserted(stored, rows.drop("changed"), "unit_key"))
-        return counts.changed
+        with self.commit():
+            rows = cut(changed_joins(self.stored_near("joins", records), records))
+            counts = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("changed").alias("changed")).first()
+            if counts.n:
+                self.merge("joins", rows.drop("changed"))
+            return counts.changed
 
     def insert_rejects(self, rows: DataFrame, now_ms: int) -> int:
         """Add rejects to those stored; all are kept, and the newest are a read (``reads.recent_rejects``).
@@ -225,7 +451,7 @@ class Store:
                 "key": stable_id("reject", "origin", "id", "reason", "bytes", "digest"),
                 "batch": F.lit(self._state()["number"]).cast("bigint"), "ts": format_ms(F.lit(now_ms).cast("bigint")),
             })
-            return self.append("rejects", new_rows(keyed, self.read("rejects"), "key", "id"))
+            return self.append_new("rejects", keyed, "id")
 
     def wipe_derived(self) -> None:
         with self.commit():
