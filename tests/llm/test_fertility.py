@@ -1,3 +1,4 @@
+import base64
 import math
 import random
 from collections import Counter
@@ -80,3 +81,78 @@ def test_odd_tables(odd, make):
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == plain_base(text)
         assert not (r["base_failed"] and r["kept"])
     assert fertility.measure(make([])).count() == 0
+
+
+#: Article 1 of the Universal Declaration of Human Rights in languages of each script.
+CLEAN = {
+    "latin": "All human beings are born free and equal in dignity and rights. They are endowed with reason and conscience and should act towards one another in a spirit of brotherhood.",
+    "greek": "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα. Είναι προικισμένοι με λογική και συνείδηση, και οφείλουν να συμπεριφέρονται μεταξύ τους με πνεύμα αδελφοσύνης.",
+    "cyrillic": "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства.",
+    "hebrew": "כל בני האדם נולדו בני חורין ושווים בערכם ובזכויותיהם. כולם חוננו בתבונה ובמצפון, לפיכך חובה עליהם לנהוג איש ברעהו ברוח של אחווה.",
+    "arabic": "يولد جميع الناس أحرارا متساوين في الكرامة والحقوق. وقد وهبوا عقلا وضميرا وعليهم أن يعامل بعضهم بعضا بروح الإخاء.",
+    "devanagari": "सभी मनुष्यों को गौरव और अधिकारों के मामले में जन्मजात स्वतन्त्रता और समानता प्राप्त है। उन्हें बुद्धि और अन्तरात्मा की देन प्राप्त है और परस्पर उन्हें भाईचारे के भाव से बर्ताव करना चाहिए।",
+    "thai": "มนุษย์ทั้งหลายเกิดมามีอิสระและเสมอภาคกันในเกียรติศักดิ์และสิทธิ ต่างมีเหตุผลและมโนธรรม และควรปฏิบัติต่อกันด้วยเจตนารมณ์แห่งภราดรภาพ",
+    "kana": "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。人間は、理性と良心とを授けられており、互いに同胞の精神をもって行動しなければならない。",
+    "han": "人人生而自由，在尊严和权利上一律平等。他们赋有理性和良心，并应以兄弟关系的精神相对待。",
+    "hangul": "모든 인간은 태어날 때부터 자유로우며 그 존엄과 권리에 있어 동등하다. 인간은 천부적으로 이성과 양심을 부여받았으며 서로 형제애의 정신으로 행동하여야 한다.",
+}
+LETTERS = {"greek": (0x3B1, 0x3C9), "cyrillic": (0x430, 0x44F), "hebrew": (0x5D0, 0x5EA), "arabic": (0x627, 0x64A), "devanagari": (0x905, 0x939),
+           "thai": (0xE01, 0xE2E), "kana": (0x3041, 0x3093), "han": (0x4E00, 0x9FA5), "hangul": (0xAC00, 0xD7A3)}
+
+
+def shuffled(text, n=120):
+    """Words of a text in pieces of up to 12 characters, drawn so that no rule on repeats fails."""
+    words = [w[i : i + 12] for w in text.split() for i in range(0, len(w), 12)]
+    rng = random.Random(5)
+    return " ".join(rng.choice(words) + ("" if i % 3 else ".") for i in range(n))
+
+
+def random_words(letters, n=200, seed=7):
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choice(letters) for _ in range(rng.randint(3, 8))) for _ in range(n))
+
+
+def verdicts(texts):
+    return [(r[7], r[5], r[6]) for r in fertility.measure_texts(texts, PIECES, RANKS)]
+
+
+def test_each_script_has_a_band_between_clean_text_and_noise():
+    assert {s for s, _, _ in fertility.SCRIPTS} | {"none", "other"} == set(fertility.BANDS) and set(CLEAN) == {s for s, _, _ in fertility.SCRIPTS}
+    for script, text in CLEAN.items():
+        (found, _, _), = verdicts([text])
+        row = fertility.measure_texts([text], PIECES, RANKS)[0]
+        assert found == script and fertility._verdict(script, row[8], row[9], row[12], row[10], row[11]), script
+    for script, (a, b) in LETTERS.items():
+        letters = [chr(c) for c in range(a, b + 1) if chr(c).isalpha()]
+        assert verdicts([random_words(letters)]) == [(script, False, False)], script
+
+
+def test_latin_noise_is_rejected_and_prose_is_kept():
+    rng = random.Random(9)
+    noise = [
+        random_words("bcdfghjklmnpqrstvwxz"), random_words("abcdefghijklmnopqrstuvwxyz"),
+        random_words("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
+        " ".join(base64.b64encode(rng.randbytes(57)).decode() for _ in range(60)), " ".join(rng.randbytes(8).hex() for _ in range(200)),
+    ]
+    assert [v[1:] for v in verdicts(noise)] == [(False, False)] * 5
+    assert verdicts([shuffled(CLEAN["latin"])])[0] == ("latin", False, True)
+
+
+def test_clean_documents_stay_and_spreads(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").join(
+        spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").filter("quality = 1 and toxic = 0")
+    got = fertility.measure(docs.select("doc_id", "lang", "text"))
+    left = got.filter("not base_failed and n_repeat_words = 0")
+    assert left.count() > 100 and left.filter("not kept").count() == 0
+    row = fertility.spread(got, "lang", (0.0, 1.0)).filter("lang = 'en'").first()
+    assert row["n"] > 50 and 1.5 < row["chars_per_wide_token"][0] <= row["chars_per_wide_token"][1]
+
+
+def test_measures_do_not_depend_on_what_a_worker_keeps(monkeypatch):
+    texts = [random_words("abcdefg", 60, k) + " " + CLEAN["greek"] for k in range(6)] + ["", "x" * 3000]
+    fertility._words.cache_clear()
+    alone = [fertility.measure_texts([t], PIECES, RANKS)[0] for t in texts]
+    monkeypatch.setattr(fertility, "KEEP", 400)
+    fertility._words.cache_clear()
+    assert [fertility.measure_texts([t], PIECES, RANKS)[0] for t in texts] == alone == fertility.measure_texts(texts, PIECES, RANKS)
+    fertility._words.cache_clear()
