@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from wattledger.llm import suffix
@@ -76,24 +77,41 @@ def test_cut_characters_go(make):
     assert [tuple(r) for r in df.collect()] == [(1, "é")]
 
 
-def test_frequent_passages_are_not_held(make, monkeypatch):
-    """A passage in very many texts, with other text around it in each: no bucket holds more than ``frequent`` of a lead."""
+def test_order_of_rows():
+    rng = np.random.default_rng(2)
+    for shape, high in (((3000, 100), 3), ((500, 9), 256), ((1, 8), 4), ((400, 30), 1)):
+        rows = rng.integers(0, high, shape).astype(np.uint8)
+        rows[shape[0] // 2 :] = rows[0]
+        order = suffix._order(rows)
+        assert sorted(order.tolist()) == list(range(shape[0]))
+        assert [rows[k].tobytes() for k in order] == sorted(r.tobytes() for r in rows)
+
+
+@pytest.mark.parametrize("frequent,parts", [(20, 4), (3, 7), (400, 23)])
+def test_frequent_passages_are_split_over_buckets(spark, make, monkeypatch, frequent, parts):
+    """A passage in very many texts, with other text around it in each, over many buckets: no group larger than ``frequent`` is compared in one go."""
     rng = random.Random(8)
     own = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
     footer = own(300)
     rows = [(k, own(rng.randint(0, 150)) + footer[: rng.randint(120, 300)] + own(rng.randint(0, 150))) for k in range(150)]
     rows += [(200 + k, footer[k:] + own(40) + footer) for k in range(5)] + [(300, rows[3][1]), (301, rows[3][1])]
-    held, whole = [], suffix._suffixes
+    levels, whole = [], suffix._bucketed
 
-    def watched(docs, window, gram):
-        out = whole(docs, window, gram)
-        held.extend(r["count"] for r in out.groupBy("lead").count().collect())
+    def watched(*how):
+        out = suffix.cut(whole(*how))
+        levels.append(out)
         return out
 
-    monkeypatch.setattr(suffix, "_suffixes", watched)
-    got = {
-        r["doc_id"]: (r["n_removed"], r["n_spans"], bytes(r["kept"]))
-        for r in suffix.remove_repeats(make(rows).repartition(5), frequent=20).collect()
-    }
+    monkeypatch.setattr(suffix, "_bucketed", watched)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = {
+            r["doc_id"]: (r["n_removed"], r["n_spans"], bytes(r["kept"]))
+            for r in suffix.remove_repeats(make(rows).repartition(5), frequent=frequent).collect()
+        }
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     assert got == dict(zip((k for k, _ in rows), plain([(k, t.encode()) for k, t in rows], 100)))
-    assert max(held, default=0) <= 20
+    kinds = {r["kind"] for level in levels for r in level.select("kind").distinct().collect()}
+    assert kinds == ({0, 1, 2} if frequent < 100 else {0, 1}) and (len(levels) > 2) == (frequent < 100)

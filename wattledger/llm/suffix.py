@@ -6,13 +6,16 @@ before it in the same one.
 1. Every window is represented by an anchor: the place in it whose ``gram`` bytes have the smallest hash.  Equal
    windows have their anchor at the same place, so only suffixes that start at anchors need sorting, one for about 40
    bytes.  Anchors whose gram occurs once in the corpus cannot be repeats and are left out.
-2. Each remaining suffix carries the bytes that its windows cover.  Sampled splitters deal the suffixes out by their
-   leading bytes (``repartitionByRange``); equal leading bytes never lie on two sides of a splitter, so what a bucket
-   has to compare is inside it.  No group of equal leading bytes is larger than ``frequent``: runs of windows under
-   more frequent grams are not sorted but grouped, and divided where they differ (``_frequent_cuts``).
-3. Each bucket is sorted.  Equal neighbours are folded as they stream by.  For the others a multikey sort by 8-byte
-   words and the common prefixes of neighbours, to the right and to the left of the anchor, give for each window the
-   class of equal windows; all but the first of a class go.
+2. Each remaining suffix carries the bytes that its windows cover.  Sampled splitters range-partition the suffixes by
+   their bytes and then their place, so suffixes of one passage, however many, are spread over as many buckets as it
+   takes.  Each bucket is sorted.
+3. Equal neighbours are folded as a bucket streams by: all but the first go.  For the different ones under equal leading
+   bytes a multikey quicksort and the common prefixes of neighbours, to the right and to the left of the anchor, give
+   for each window the class of equal windows; all but the first of a class go.
+4. The groups at a bucket's two ends may go on in the buckets beside it: they are handed out and compared across the
+   borders.  A group of more than ``frequent`` different suffixes is split by further leading bytes: its suffixes are
+   divided into runs of fewer windows, whose leading bytes are all that these windows share, and sorted into buckets
+   again, down to single windows, of which only equal ones share their leading bytes.
 
 The documents' order is an integer, ``ref``; texts that occur again as a whole are removed as a whole and take no part
 in the sorting.  Texts are dealt out by ``ref`` once, compressed, and that exchange serves all three steps.
@@ -29,19 +32,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wattledger.llm.common import map_batches, pack, text_bytes, unpacked
+from wattledger.llm.common import map_batches, pack, unpacked
 from wattledger.session import cut
 
 WINDOW = 100
 GRAM = 20
 #: Window starts that are looked at in one go.
 PIECE = 1 << 20
-#: The suffixes of a gram with more anchors than this are not sorted; their windows are judged by groupings.
-FREQUENT = 20_000
-#: Those windows are divided by so many bytes left of the anchor, and so on.
+#: Different suffixes under equal leading bytes that are compared in one go, at most.
+FREQUENT = 5_000
+#: Larger groups are divided into runs of so many windows, and so on.
 STEPS = (16, 4, 1)
-#: Suffixes that a bucket compares in one go, at least; a group of equal leading bytes is never divided.
+#: Suffixes of small groups that a bucket compares in one go, about.
 CHUNK = 20_000
+#: Rows that the quicksort hands to a plain sort.
+SMALL = 48
 
 #: An anchor's place in its document: start of its first window, number of windows, distance to the anchor.
 _N, _OFF = 1 << 7, 1 << 14
@@ -177,81 +182,30 @@ def _suffixes(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return map_batches(docs, run, "lead binary, off int, body binary, ref bigint, s0 bigint")
 
 
-def _frequent(rows: DataFrame, often: np.ndarray, window: int, gram: int) -> DataFrame:
-    """(off, body, ref, s0) of each run of windows of (ref, text) whose anchor's hash is in ``often`` (sorted)."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        refs, texts = batch.column("ref").to_pylist(), list(text_bytes(batch, "text"))
-        off_, body, ref_, s0_ = [], [], [], []
-        for h, who, s0, n, off in _anchored(texts, window, gram):
-            at = np.flatnonzero(often[np.minimum(np.searchsorted(often, h), len(often) - 1)] == h)
-            for k, s, m, o in zip(*(x[at].tolist() for x in (who, s0, n, off))):
-                off_.append(o)
-                body.append(texts[k][s : s + m - 1 + window])
-                ref_.append(refs[k])
-                s0_.append(s)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(off_, pa.int32()), pa.array(body, pa.binary()), pa.array(ref_, pa.int64()), pa.array(s0_, pa.int64())],
-            names=["off", "body", "ref", "s0"],
-        )
-
-    return map_batches(rows, run, "off int, body binary, ref bigint, s0 bigint")
-
-
-def _frequent_cuts(runs: DataFrame, window: int) -> DataFrame:
-    """(ref, start, end) of bytes to remove, from runs of windows under frequent grams; groupings and joins only.
+def _order(rows: np.ndarray) -> np.ndarray:
+    """Multikey quicksort of equally long byte rows, by words of 8 bytes.
 
-    Of equal runs all but the first go.  The different ones that are left are divided by the bytes left of the anchor,
-    and again, down to single windows.  A part goes on only if the bytes that all its windows share stand in another
-    one too, so where a passage ends and the documents' own texts begin a document keeps a part or two at each step.
+    The rows of a part are divided at a pivot into those with a smaller, the same and a larger word; those with the
+    same one go on with the next word.
     """
-    done = []
-    for wide in (*STEPS, None):
-        first = cut(
-            runs.groupBy("off", "body").agg(F.min(F.struct("ref", "s0")).alias("first"), F.max(F.struct("ref", "s0")).alias("last"))
-        )
-        # Written, so that Spark can split the joins where one passage has very many copies.
-        again = runs.join(first.filter("last > first").select("off", "body", "first"), ["off", "body"])
-        done.append(cut(again.filter(F.struct("ref", "s0") > F.col("first")).select(
-            "ref", F.col("s0").alias("start"), (F.col("s0") + F.octet_length("body")).alias("end")
-        )))
-        if wide is None:
-            return reduce(DataFrame.union, done)
-        least = F.expr(f"off - octet_length(body) + {window}")  # bytes left of the anchor in the last window
-        parts = (
-            first.select("off", "body", "first.ref", "first.s0", least.alias("least"))
-            .withColumn("part", F.explode(F.expr(f"sequence(least div {wide}, off div {wide})")))
-            .withColumn("low", F.expr(f"greatest(least, part * {wide})"))
-            .withColumn("high", F.expr(f"least(off, part * {wide} + {wide - 1})"))
-            .select(
-                "part", F.col("high").alias("off"), F.expr(f"substring(body, off - high + 1, high - low + {window})").alias("body"),
-                "ref", F.expr("s0 + off - high").alias("s0"),
-            )
-            .withColumn("core", F.expr(f"substring(body, off - part * {wide} + 1, {window - wide + 1})"))
-        )
-        shared = cut(parts.groupBy("part", "core").count().filter("count > 1").select("part", "core"))
-        runs = cut(parts.join(shared, ["part", "core"]).select("off", "body", "ref", "s0"))
-
-
-def _order(rows: np.ndarray) -> np.ndarray:
-    """Multikey sort of equally long byte rows: by 8-byte words, going on only among rows that are still equal."""
     n, width = rows.shape
     words = np.ascontiguousarray(np.pad(rows, ((0, 0), (0, -width % 8)))).view(">u8").astype(np.uint64)
-    order, group = np.arange(n), np.zeros(n, np.int64)
-    open_ = np.arange(n)  # places in the order that are not settled
-    for d in range(words.shape[1]):
-        if not len(open_):
-            break
-        here = order[open_]
-        sub = np.lexsort((words[here, d], group[open_]))
-        order[open_] = here[sub]
-        key = words[order[open_], d]
-        g = group[open_]
-        new = np.concatenate(([True], (g[1:] != g[:-1]) | (key[1:] != key[:-1])))
-        ids = np.cumsum(new) - 1
-        group[open_] = open_[new][ids]
-        size = np.bincount(ids)
-        open_ = open_[size[ids] > 1]
+    order, open_ = np.arange(n), [(0, n, 0)]
+    while open_:
+        start, stop, d = open_.pop()
+        if stop - start < 2 or d == words.shape[1]:
+            continue
+        here = order[start:stop]
+        if stop - start <= SMALL:
+            order[start:stop] = here[np.lexsort(words[here, d:].T[::-1])]
+            continue
+        key = words[here, d]
+        pivot = np.sort(key[:: max(1, len(key) // 9)])[4]
+        less, more = key < pivot, key > pivot
+        same = ~(less | more)
+        order[start:stop] = np.concatenate((here[less], here[same], here[more]))
+        low, high = start + int(less.sum()), stop - int(more.sum())
+        open_ += [(start, low, d), (low, high, d + 1), (high, stop, d)]
     return order
 
 
@@ -299,58 +253,151 @@ def repeats(lead: np.ndarray, off: np.ndarray, n: np.ndarray, body: list[bytes],
     return gone
 
 
-def _cuts(suffixes: DataFrame, window: int, chunk: int) -> DataFrame:
-    """(ref, start, end) of runs of bytes to remove, from sorted buckets of suffixes."""
-
-    def judge(held: list[tuple]) -> Iterator[tuple]:
-        """held: (lead, off, body, ref, s0) of different suffixes under whole leads."""
-        lead_ids: dict[bytes, int] = {}
-        lead = np.array([lead_ids.setdefault(x[0], len(lead_ids)) for x in held])
-        keep = np.flatnonzero(np.bincount(lead)[lead] > 1)
-        if len(keep) < 2:
-            return
-        held, lead = [held[k] for k in keep.tolist()], lead[keep]
-        off = np.array([x[1] for x in held])
-        n = np.array([len(x[2]) - window + 1 for x in held])
-        ref, s0 = np.array([x[3] for x in held], np.int64), np.array([x[4] for x in held], np.int64)
-        rank = np.empty(len(held), np.int64)
-        rank[np.lexsort((s0 + off, ref))] = np.arange(len(held))
-        gone = repeats(lead, off, n, [x[2] for x in held], rank, window)
-        # From few bytes left of the anchor to many is from late to early starts.
-        flat = np.pad(gone[:, ::-1].astype(np.int8), ((0, 0), (1, 1)))
-        step = np.diff(flat, axis=1)
-        row, begin = np.nonzero(step == 1)
-        _, end = np.nonzero(step == -1)
-        shift = s0[row] + off[row] - (gone.shape[1] - 1)
-        yield ref[row], shift + begin, shift + end - 1 + window
+def _judged(held: list[tuple], window: int) -> tuple[np.ndarray, ...] | None:
+    """(ref, start, end) to remove among different suffixes (lead, off, body, ref, s0) under whole leads."""
+    lead_ids: dict[bytes, int] = {}
+    lead = np.array([lead_ids.setdefault(x[0], len(lead_ids)) for x in held], np.int64)
+    keep = np.flatnonzero(np.bincount(lead, minlength=1)[lead] > 1)
+    if len(keep) < 2:
+        return None
+    held, lead = [held[k] for k in keep.tolist()], lead[keep]
+    off = np.array([x[1] for x in held])
+    n = np.array([len(x[2]) - window + 1 for x in held])
+    ref, s0 = np.array([x[3] for x in held], np.int64), np.array([x[4] for x in held], np.int64)
+    rank = np.empty(len(held), np.int64)
+    rank[np.lexsort((s0 + off, ref))] = np.arange(len(held))
+    gone = repeats(lead, off, n, [x[2] for x in held], rank, window)
+    # From few bytes left of the anchor to many is from late to early starts.
+    flat = np.pad(gone[:, ::-1].astype(np.int8), ((0, 0), (1, 1)))
+    step = np.diff(flat, axis=1)
+    row, begin = np.nonzero(step == 1)
+    _, end = np.nonzero(step == -1)
+    shift = s0[row] + off[row] - (gone.shape[1] - 1)
+    return ref[row], shift + begin, shift + end - 1 + window
+
+
+_SUFFIX = ("lead", "off", "body", "ref", "s0")
+#: What a bucket puts out: bytes to remove, suffixes of the groups at its ends, suffixes of groups that are too large.
+_CUT, _BORDER, _LARGE = 0, 1, 2
+_BUCKET = "kind int, lead binary, off int, body binary, ref bigint, s0 bigint, end bigint"
+
+
+def _bucketed(suffixes: DataFrame, window: int, frequent: int, chunk: int) -> DataFrame:
+    """Rows of _BUCKET from sorted buckets of suffixes; a cut has its start in s0."""
+    arrow = pa.schema([
+        ("kind", pa.int32()), ("lead", pa.binary()), ("off", pa.int32()), ("body", pa.binary()), ("ref", pa.int64()),
+        ("s0", pa.int64()), ("end", pa.int64()),
+    ])
+
+    def cuts(ref, start, end) -> pa.RecordBatch:
+        n = len(ref)
+        return pa.RecordBatch.from_arrays([
+            pa.array(np.full(n, _CUT, np.int32)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()),
+            pa.array(ref, pa.int64()), pa.array(start, pa.int64()), pa.array(end, pa.int64()),
+        ], schema=arrow)
+
+    def passed(kind: int, rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([
+            pa.array(np.full(len(rows), kind, np.int32)), *(pa.array(x, t.type) for x, t in zip(zip(*rows), list(arrow)[1:6])),
+            pa.nulls(len(rows), pa.int64()),
+        ], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        last, first = None, None
+        held: list[tuple] = []  # small groups that lie inside the bucket
+        group: list[tuple] = []  # the group that streams by
+        last, first, at_start, large = None, None, True, False
 
-        def out(parts):
-            for ref, start, end in parts:
-                if len(ref):
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ref, start, end)], names=["ref", "start", "end"])
+        def judge() -> Iterator[pa.RecordBatch]:
+            found = _judged(held, window) if len(held) > 1 else None
+            if found is not None and len(found[0]):
+                yield cuts(*found)
+            held.clear()
 
         for batch in batches:
             folded: list[tuple[int, int, int]] = []
-            for row in zip(*(batch.column(c).to_pylist() for c in ("lead", "off", "body", "ref", "s0"))):
+            for row in zip(*(batch.column(c).to_pylist() for c in _SUFFIX)):
                 if last is not None and row[:3] == last:
                     if row[3:] != first:  # else a repeated row of the table
                         folded.append((row[3], row[4], row[4] + len(row[2])))
                     continue
-                if len(held) >= chunk and row[0] != last[0]:
-                    yield from out(judge(held))
-                    held = []
+                if last is not None and row[0] != last[0]:
+                    if large:
+                        if group:
+                            yield passed(_LARGE, group)
+                    elif at_start:
+                        yield passed(_BORDER, group)
+                    else:
+                        held += group
+                    if len(held) >= chunk:
+                        yield from judge()
+                    group, large, at_start = [], False, False
+                elif len(group) >= frequent:
+                    yield passed(_LARGE, group)
+                    group, large = [], True
                 last, first = row[:3], row[3:]
-                held.append(row)
+                group.append(row)
             if folded:
-                yield from out([tuple(np.array(x, np.int64) for x in zip(*folded))])
-        if held:
-            yield from out(judge(held))
+                yield cuts(*zip(*folded))
+        if group:
+            yield passed(_LARGE if large else _BORDER, group)
+        yield from judge()
+
+    parts = int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = suffixes.repartitionByRange(parts, *_SUFFIX).sortWithinPartitions(*_SUFFIX)
+    return buckets.mapInArrow(run, _BUCKET)
+
+
+def _over_borders(border: DataFrame, window: int) -> DataFrame:
+    """(ref, start, end) to remove among the groups that lie at the ends of buckets."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(set(zip(*(table.column(c).to_pylist() for c in _SUFFIX))))
+        found = _judged(rows, window) or ((), (), ())
+        return pa.table({n: pa.array(x, pa.int64()) for n, x in zip(("ref", "start", "end"), found)})
+
+    return border.groupBy("lead").applyInArrow(run, "ref bigint, start bigint, end bigint")
+
+
+def _divided(rows: DataFrame, wide: int, window: int) -> DataFrame:
+    """The suffixes as runs of up to ``wide`` windows each, led by the bytes that all windows of such a run share."""
+    least = F.expr(f"off - octet_length(body) + {window}")  # bytes left of the anchor in the last window
+    return (
+        rows.withColumn("least", least)
+        .withColumn("part", F.explode(F.expr(f"sequence(least div {wide}, off div {wide})")))
+        .withColumn("low", F.expr(f"greatest(least, part * {wide})"))
+        .withColumn("high", F.expr(f"least(off, part * {wide} + {wide - 1})"))
+        .select(
+            "part", F.col("high").cast("int").alias("off"),
+            F.expr(f"substring(body, int(off - high + 1), int(high - low + {window}))").alias("body"),
+            "ref", F.expr("s0 + off - high").alias("s0"),
+        )
+        .select(
+            F.concat(F.unhex(F.lpad(F.hex("part"), 2, "0")), F.expr(f"substring(body, int(off - part * {wide} + 1), {window - wide + 1})")).alias("lead"),
+            "off", "body", "ref", "s0",
+        )
+    )
+
 
-    return suffixes.mapInArrow(run, "ref bigint, start bigint, end bigint")
+def _cuts(suffixes: DataFrame, window: int, frequent: int, chunk: int) -> DataFrame:
+    """(ref, start, end) of runs of bytes to remove."""
+    done = []
+    for wide in (*STEPS, None):
+        level = cut(_bucketed(suffixes, window, frequent, chunk))
+        done.append(level.filter(f"kind = {_CUT}").select("ref", F.col("s0").alias("start"), "end"))
+        border = level.filter(f"kind = {_BORDER}").select(*_SUFFIX)
+        large = level.filter(f"kind = {_LARGE}").select(*_SUFFIX)
+        if wide is None:
+            done.append(_over_borders(border, window))
+            break
+        # A group that is too large in a bucket, or in all of them together, goes on with all its suffixes.
+        over = cut(
+            border.groupBy("lead").count().filter(F.col("count") > frequent).select("lead").union(large.select("lead")).distinct()
+        )
+        done.append(_over_borders(border.join(over, "lead", "left_anti"), window))
+        if over.isEmpty():
+            break
+        suffixes = _divided(border.join(over, "lead", "left_semi").union(large), wide, window)
+    return reduce(DataFrame.union, done)
 
 
 def _numbered(docs: DataFrame, key: str, text: str, carry: list[str]) -> tuple[DataFrame, DataFrame | None]:
@@ -403,22 +450,14 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     others = [f"c{i}" for i in range(len(carry))]
     texts = pack(rows.select("ref", "text", *others))
     found = find_anchors(texts.join(copies.select("ref").distinct(), "ref", "left_anti"), window, gram)
-    # Written, so that Spark can split the join by what it finds frequent.
-    twice = cut(found.groupBy("h").count().filter("count > 1").select("h", (F.col("count") > frequent).alias("often")))
-    # At most 8 bytes for each ``frequent`` anchors, that is for about 0.8 MB of text.
-    often = np.sort(twice.filter("often").select("h").toArrow().column("h").to_numpy())
-    if len(often):
-        runs = _frequent(rows.filter(size >= window).select("ref", "text"), often, window, gram)
-        copies = copies.union(_frequent_cuts(cut(runs.join(copies.select("ref").distinct(), "ref", "left_anti")), window))
+    # Written, so that Spark can split the join where one gram has very many anchors.
+    twice = cut(found.groupBy("h").count().filter("count > 1").select("h"))
     places = (
-        found.join(twice.filter("not often").select("h"), "h").select("ref", "place")
-        .groupBy("ref").agg(F.array_distinct(F.collect_list("place")).alias("places"))
+        found.join(twice, "h").select("ref", "place").groupBy("ref").agg(F.array_distinct(F.collect_list("place")).alias("places"))
     )
     suffixes = _suffixes(texts.join(places, "ref"), window, gram)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = suffixes.repartitionByRange(parts, "lead").sortWithinPartitions("lead", "off", "body", "ref", "s0")
     cuts = (
-        _cuts(buckets, window, chunk).union(copies)
+        _cuts(suffixes, window, frequent, chunk).union(copies)
         .groupBy("ref").agg(F.collect_list(F.struct("start", "end")).alias("cuts"))
     )
 
