@@ -106,3 +106,13 @@ def test_query_on_whole_table(spark, libraries):
     got = queries.queries()["op12_tokenizer_alignment"](spark, "/root/testdata/sf0.001").collect()
     want = plain(rows, libraries)
     assert sorted((tuple(r) for r in got), key=str) == want
+
+
+def test_both_libraries_give_the_same_ids(libraries):
+    tok, _ = libraries
+    side = alignment.byte_side(public_tokenizers.path("byte_bpe_50k.json"))
+    settled = "".join(chr(c) for c in range(1, 0x250))
+    rng = np.random.default_rng(8)
+    texts = ["".join(settled[i] for i in rng.integers(0, len(settled), 40)) for _ in range(300)] + [settled, "", " ", "x\u3000y", "<|endoftext|>"]
+    texts += ["".join("a1 .\n\x85\xa0'st"[i] for i in rng.integers(0, 10, 30)) for _ in range(300)]
+    assert side.encode(texts) == [tok.encode(t, add_special_tokens=False).ids for t in texts]
