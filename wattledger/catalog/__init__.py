@@ -14,7 +14,7 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, QueryFn] = {}
 _SQL: dict[str, str] = {}
 
-_MODULES = ("attribution", "reads", "impacts", "summary", "events", "logs", "lifecycle", "meters", "views", "store", "streams")
+_MODULES = ("attribution", "reads", "impacts", "summary", "events", "logs", "lifecycle", "meters", "views", "store", "streams", "resident")
 
 
 def query(name: str, sql: str | None = None):

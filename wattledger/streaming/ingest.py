@@ -15,11 +15,16 @@ from pyspark.sql.streaming import StreamingQuery
 
 from wattledger.operators.estimation import Estimator
 from wattledger.operators.validate import classify, known_facts, opaque_events, reject_rows
-from wattledger.plans.rebuild import Settings, rebuild
+from wattledger.plans import ledger
+from wattledger.plans.rebuild import Outcome, Settings
 from wattledger.plans.store import Store
 from wattledger.session import cut, scratch
 
 FLUSH = "60 seconds"
+#: Samples alone wait for six of these.
+INTERVAL_MS = 60_000
+#: Batches from one cleaning of the store to the next, and commits whose parts stay readable.
+VACUUM_EVERY, KEEP_COMMITS = 64, 128
 
 
 def with_arrival(lines: DataFrame) -> DataFrame:
@@ -29,13 +34,16 @@ def with_arrival(lines: DataFrame) -> DataFrame:
 
 def ingest_batch(
     store: Store, lines: DataFrame, batch_id: int, settings: Settings | None = None, writer: str = "ingest",
-    estimator: Estimator | None = None,
+    estimator: Estimator | None = None, now_ms: int | None = None, interval_ms: int = INTERVAL_MS,
 ) -> dict[str, int]:
-    """Commit one micro-batch: facts, opaque rows, rejects and joins together, or nothing of it.
+    """Commit one micro-batch: facts, opaque rows, rejects, the ledger and joins together, or nothing of it.
 
-    A batch that the writer committed already is skipped.  Its intermediate results are deleted at the end.
+    A batch that the writer committed already is skipped.  Sessions with new facts are rebuilt in the batch, but for
+    those known ones that brought samples only: they wait for some intervals (``plans.ledger``), as the ledger says even
+    after a restart.  Intermediate results are deleted at the end.
     """
     counts = {"inserted": 0, "opaque": 0, "rejected": 0}
+    now_ms = int(time.time() * 1000) if now_ms is None else now_ms
     with scratch(lines.sparkSession), store.commit(writer, batch_id) as fresh:
         if fresh:
             keep = [c for c in ("line", "arrival", "origin", "type", "outcome", "reason_kind", "reason", "bytes")]
@@ -45,26 +53,27 @@ def ingest_batch(
             again = checked.withColumn("v", F.try_parse_json("line"))
             counts["inserted"] = store.insert_events(known_facts(again))
             counts["opaque"] = store.insert_opaque(opaque_events(again))
-            counts["rejected"] = store.insert_rejects(reject_rows(checked), int(time.time() * 1000))
+            counts["rejected"] = store.insert_rejects(reject_rows(checked), now_ms)
             if settings is not None:
-                touched = cut(known_facts(again).select("session_id").distinct())
-                if not touched.isEmpty():
-                    rebuild(store, settings, estimator, touched)
+                ledger.mark_facts(store, known_facts(again), now_ms)
+                ledger.catch_up(store, settings, now_ms, interval_ms, estimator)
+    if batch_id % VACUUM_EVERY == VACUUM_EVERY - 1:
+        store.vacuum(KEEP_COMMITS)
     return counts
 
 
 def start(
     lines: DataFrame, store: Store, checkpoint: str, settings: Settings | None = None, every: str | None = FLUSH,
-    on_batch: Callable[[dict[str, int]], None] | None = None, estimator: Estimator | None = None,
+    on_batch: Callable[[dict[str, int]], None] | None = None, estimator: Estimator | None = None, interval_ms: int = INTERVAL_MS,
 ) -> StreamingQuery:
     """Start the resident ingest; ``every=None`` drains what is there and stops.
 
     The checkpoint names the writer, so a restarted query does not commit a batch twice.  With an estimator the calls
-    of touched sessions are estimated in the same commit.
+    of touched sessions are estimated in the same commit.  After a clean stop ``drain`` rebuilds what still waits.
     """
 
     def flush(batch: DataFrame, batch_id: int) -> None:
-        counts = ingest_batch(store, batch, batch_id, settings, checkpoint, estimator)
+        counts = ingest_batch(store, batch, batch_id, settings, checkpoint, estimator, interval_ms=interval_ms)
         if on_batch:
             on_batch(counts)
 
@@ -73,6 +82,13 @@ def start(
     return writer.trigger(**trigger).start()
 
 
+def drain(store: Store, settings: Settings, estimator: Estimator | None = None, now_ms: int | None = None) -> Outcome:
+    """Rebuild everything that is dirty, as a clean stop does."""
+    now_ms = int(time.time() * 1000) if now_ms is None else now_ms
+    with scratch(store.spark):
+        return ledger.catch_up(store, settings, now_ms, 0, estimator, everything=True)
+
+
 def announce_once(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Each event id once within the watermark, for notifications (not for the stored facts)."""
     return events.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["event_id"])
