@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from wattledger.catalog import query
 from wattledger.catalog.attribution import r
 from wattledger.catalog.prelude import iso, with_views as V
 from wattledger.operators import otlp as O
+from wattledger.sources import bodies as EB
 from wattledger.sources import tables as T
 
 PER_BODY = 50
@@ -117,9 +120,23 @@ def _claimed(spark, sf):
     return O.normalize(_records(spark, sf))
 
 
-@query("src7_log_bodies", V("SELECT body_id, count(*) AS records FROM rec GROUP BY 1", rec=_REC))
+@query("src7_log_bodies", V("""
+SELECT 'fine' AS outcome, records, count(*) AS bodies FROM (SELECT body_id, count(*) AS records FROM rec WHERE body_id % 20 <> 0 AND body_id % 7 <> 3 GROUP BY 1) GROUP BY 2
+UNION ALL SELECT CASE WHEN body_id % 20 = 0 THEN 'over capacity' ELSE 'not JSON' END, CAST(NULL AS BIGINT), count(DISTINCT body_id) FROM rec WHERE body_id % 20 = 0 OR body_id % 7 = 3 GROUP BY 1""", rec=_REC))
 def _(spark, sf):
-    return bodies(spark, sf).select("body_id", O.record_count(F.try_parse_json("body")).cast("bigint").alias("records"))
+    """Bodies written out one per line, some torn and some too large, streamed back by the reader, and put in quarantine or flattened."""
+    from wattledger.catalog.streams import drain
+    from wattledger.session import shared_dir
+
+    folder = f"{shared_dir(spark)}/bodies-{uuid.uuid4().hex}"
+    body = F.col("body")
+    torn = F.when((F.col("body_id") % 20 != 0) & (F.col("body_id") % 7 == 3), F.substring(body, F.lit(1), (F.length(body) / 2).cast("int"))).otherwise(body)
+    _with_large(bodies(spark, sf)).select(torn.alias("value")).repartition(4).write.text(folder)
+    got = drain(EB.stream_bodies(spark, folder, per="line"))
+    records, refused = O.decode(got)
+    counts = records.groupBy("body_id").agg(F.count(F.lit(1)).alias("records")).groupBy("records").agg(F.count(F.lit(1)).alias("bodies"))
+    bad = EB.quarantine(got, refused).groupBy("reason").agg(F.count(F.lit(1)).alias("bodies"))
+    return counts.select(F.lit("fine").alias("outcome"), "records", "bodies").union(bad.select("reason", F.lit(None).cast("bigint"), "bodies"))
 
 
 @query("ot1_flatten", V("SELECT body_id, idx AS index, CASE WHEN who = 'vendor_a' THEN 'claude_code.api_request' WHEN who = 'gen_ai' THEN 'gen_ai.client.inference.operation.details' ELSE 'log' END AS record_body FROM rec", rec=_REC))
@@ -127,14 +144,18 @@ def _(spark, sf):
     return _records(spark, sf).select("body_id", F.col("index").cast("bigint").alias("index"), "record_body")
 
 
+def _with_large(b):
+    """Bodies of which every twentieth is above the record limit."""
+    repeated = F.format_string(
+        '{"id":%d,"resourceLogs":[{"scopeLogs":[{"logRecords":[%s]}]}]}', F.col("body_id"), F.concat(F.repeat(F.lit("{},"), 10_000), F.lit("{}"))
+    )
+    return b.withColumn("body", F.when(F.col("body_id") % 20 == 0, repeated).otherwise(F.col("body")))
+
+
 @query("ot2_over_capacity", V("SELECT body_id, 'over capacity' AS reason FROM rec WHERE body_id % 20 = 0 GROUP BY 1", rec=_REC))
 def _(spark, sf):
     """Every twentieth body is repeated until it is above the record limit."""
-    repeated = F.format_string(
-        '{"resourceLogs":[{"scopeLogs":[{"logRecords":[%s]}]}]}', F.concat(F.repeat(F.lit("{},"), 10_000), F.lit("{}"))
-    )
-    big = bodies(spark, sf).withColumn("body", F.when(F.col("body_id") % 20 == 0, repeated).otherwise(F.col("body")))
-    return O.decode(big)[1].select("body_id", "reason")
+    return O.decode(_with_large(bodies(spark, sf)))[1].select("body_id", "reason")
 
 
 @query("ot3_attribute_caps", """
@@ -267,10 +288,12 @@ def _(spark, sf):
 
 
 @query("ot19_receiver_counters", V("""
-SELECT count(*) FILTER (outcome = 'event') AS accepted, count(*) FILTER (outcome = 'dropped') AS dropped, count(*) FILTER (outcome = 'unclaimed') AS unclaimed,
-       count(DISTINCT body_id) AS requests, CAST(0 AS BIGINT) AS bodies_refused, count(DISTINCT CASE WHEN event_type = 'purchase' THEN body_id END) AS metrics_discarded FROM claim""", **_X))
+SELECT count(*) FILTER (outcome = 'event' AND body_id % 20 <> 0) AS accepted, count(*) FILTER (outcome = 'dropped' AND body_id % 20 <> 0) AS dropped,
+       count(*) FILTER (outcome = 'unclaimed' AND body_id % 20 <> 0) AS unclaimed, count(DISTINCT body_id) AS requests,
+       count(DISTINCT CASE WHEN body_id % 20 = 0 THEN body_id END) AS bodies_refused, count(DISTINCT CASE WHEN event_type = 'purchase' THEN body_id END) AS metrics_discarded FROM claim""", **_X))
 def _(spark, sf):
-    b = bodies(spark, sf)
-    records, refused = O.decode(b)
+    """Every twentieth body is above the record limit and refused whole."""
+    b = _with_large(bodies(spark, sf))
+    records, refused = O.decode(T.balanced(b))
     metrics = T.event_log(spark, sf).where("event_type = 'purchase'").select(F.floor(F.col("arrival") / PER_BODY).alias("body_id")).distinct()
     return O.receiver_counters(b, O.normalize(records), refused, metrics)

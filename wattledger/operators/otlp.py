@@ -125,20 +125,23 @@ def has(key: str) -> Column:
     return F.map_contains_key("attrs", key)
 
 
+def _string(v: Column) -> Column:
+    return text(v, "$.stringValue")
+
+
 def get_string(key: str) -> Column:
-    return text(_attr(key), "$.stringValue")
+    return _string(_attr(key))
 
 
 def _digits(value: Column) -> Column:
     return F.when(value.rlike(r"^\+?[0-9]+$"), value.try_cast("bigint"))
 
 
-def get_u64(key: str) -> Column:
+def _u64(v: Column) -> Column:
     """Count from ``intValue`` (number or digits), else digits in ``stringValue``, else a whole ``doubleValue``.
 
     An ``intValue`` that is there but unusable does not fall through.
     """
-    v = _attr(key)
     int_kind = kind(v, "$.intValue")
     whole = F.try_variant_get(v, "$.intValue", "bigint")
     from_int = F.when(int_kind == "BIGINT", F.when(whole >= 0, whole)).when(
@@ -157,11 +160,18 @@ def get_u64(key: str) -> Column:
     )
 
 
-def get_bool(key: str) -> Column:
-    v = _attr(key)
+def get_u64(key: str) -> Column:
+    return _u64(_attr(key))
+
+
+def _bool(v: Column) -> Column:
     return F.when(kind(v, "$.boolValue") == "BOOLEAN", F.try_variant_get(v, "$.boolValue", "boolean"))
 
 
+def get_bool(key: str) -> Column:
+    return _bool(_attr(key))
+
+
 def nano_ms(nano: Column) -> Column:
     return F.floor(nano / F.lit(1_000_000)).cast("bigint")
 
@@ -212,14 +222,30 @@ def _name(kind_: str, key: str) -> str:
     return f"{kind_}_{key.replace('.', '_')}"
 
 
+def _settled(df: DataFrame, **columns: Column) -> DataFrame:
+    """The rows with new columns, generated rather than projected, so that no later use computes them again."""
+    made = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.withColumn("x", F.explode(F.array(made))).select("*", "x.*").drop("x")
+
+
 def typed_attributes(records: DataFrame) -> DataFrame:
     """The records with one column for each attribute that a normaliser reads, in place of the attribute map.
 
-    Generated rather than projected, so that no later use copies the look-ups.
+    Each value is read once as text, count and flag by one expression for all keys; what the normalisers share, the
+    sanitised conversation and the record's time, becomes columns too.  So the code that is generated stays short.
     """
-    readers = [(STRINGS, "text", get_string), (COUNTS, "count", get_u64), (FLAGS, "flag", get_bool), (PRESENT, "has", has)]
-    typed = F.struct(*[read(k).alias(_name(kind_, k)) for keys, kind_, read in readers for k in keys])
-    return records.withColumn("x", F.explode(F.array(typed))).drop("attrs").select("*", "x.*").drop("x")
+    readers = {"text": (STRINGS, _string), "count": (COUNTS, _u64), "flag": (FLAGS, _bool)}
+    value = lambda _, v: F.struct(*[read(v).alias(n) for n, (_, read) in readers.items()])
+    typed = _settled(records, typed=F.transform_values("attrs", value))
+    found = {_name(n, k): F.try_element_at("typed", F.lit(k))[n] for n, (keys, _) in readers.items() for k in keys}
+    there = {_name("has", k): F.map_contains_key("typed", F.lit(k)) for k in PRESENT}
+    flat = _settled(typed, **found, **there).drop("attrs", "typed")
+    nano, stamp = F.col("time_nano"), parse_ms(_text("event.timestamp"))
+    timed = _settled(flat, conversation=sanitize_id(_text("conversation.id")), stamp_ms=stamp)
+    return timed.withColumns({
+        "record_ts": F.when(nano > 0, nano_text(nano)).when(F.col("stamp_ms").isNotNull(), _text("event.timestamp")),
+        "record_ms": F.when(nano > 0, nano_ms(nano)).otherwise(F.col("stamp_ms")),
+    }).drop("stamp_ms")
 
 
 def _text(key: str) -> Column:
@@ -284,16 +310,12 @@ def _vendor_a_maps() -> Column:
 
 
 def _conversation() -> Column:
-    return sanitize_id(_text("conversation.id"))
+    return F.col("conversation")
 
 
 def _vendor_b_time() -> tuple[Column, Column]:
     """(text, epoch ms): a positive ``timeUnixNano``, else the record's own timestamp kept as text."""
-    nano, stamp = F.col("time_nano"), _text("event.timestamp")
-    return (
-        F.when(nano > 0, nano_text(nano)).when(parse_ms(stamp).isNotNull(), stamp),
-        F.when(nano > 0, nano_ms(nano)).otherwise(parse_ms(stamp)),
-    )
+    return F.col("record_ts"), F.col("record_ms")
 
 
 def _vendor_b_session() -> Column:
@@ -410,7 +432,6 @@ def with_provider(records: DataFrame) -> DataFrame:
     named = F.when(_named(VENDOR_B_SESSION), provider_id(_text("provider_name")))
     keyed = records.withColumns(
         {
-            "conversation": _conversation(),
             "record_seq": F.col("arrival") * S.MAX_LOG_RECORDS + F.col("index"),
             "named_provider": F.when(_conversation().isNotNull(), named),
         }
