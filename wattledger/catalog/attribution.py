@@ -65,6 +65,16 @@ def _(spark, sf):
     return pairs.where("a_id < b_id").select("a_id", "b_id")
 
 
+@query("at6_sample_spans", V("""
+SELECT a.sample_id, b.event_id FROM samples a JOIN spans b ON a.session_id = b.session_id AND a.t0 < b.e AND a.t1 > b.s"""))
+def _(spark, sf):
+    """Every span that a sample overlaps."""
+    f = T.facts(spark, sf)
+    samples = A.samples_of(f).select("session_id", "sample_id", F.col("sample_start").alias("a0"), F.col("sample_end").alias("a1"))
+    spans = A.spans_of(f).select("session_id", "event_id", F.col("span_start").alias("b0"), F.col("span_end").alias("b1"))
+    return I.overlap_join(samples, spans, ["session_id"], ("a0", "a1"), ("b0", "b1")).select("sample_id", "event_id")
+
+
 @query("at7_covering_windows", V("SELECT sample_id, window_id, round(fraction, 8) AS fraction FROM cover"))
 def _(spark, sf):
     f = T.facts(spark, sf)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from wattledger import functions as fn
@@ -10,6 +12,7 @@ from wattledger.catalog.attribution import r
 from wattledger.catalog.prelude import iso, with_views as V
 from wattledger.operators import attribution as A
 from wattledger.operators import validate as X
+from wattledger.session import shared_dir
 from wattledger.sources import frames, spool
 from wattledger.sources import tables as T
 
@@ -198,19 +201,40 @@ def _(spark, sf):
     return out.withColumn("pct", r("pct"))
 
 
+def spooled(spark, sf) -> str:
+    """A folder of the event lines as spool files, with files beside them that are none."""
+    folder = f"{shared_dir(spark)}/spool-{uuid.uuid4().hex}"
+    text = X.event_lines(T.balanced(T.facts(spark, sf)))
+    name = F.concat("collector", F.lit("."), "session_id", F.lit(".jsonl"))
+    # Every fiftieth session also has a file without a session and one with another ending.
+    stray = text.where("arrival % 50 = 0").select(
+        F.explode(F.array(F.concat("collector", F.lit(".jsonl")), F.concat("collector", F.lit("."), "session_id", F.lit(".txt")))).alias("file_name"),
+        F.col("value").alias("line"), "arrival",
+    )
+    spool.write_spool(text.select(name.alias("file_name"), F.col("value").alias("line"), "arrival").union(stray), folder)
+    return folder
+
+
 @query("src1_spool_names", V("""
 SELECT collector AS collector_file, session_id AS session_file, count(*) AS lines FROM facts GROUP BY 1, 2"""))
 def _(spark, sf):
-    named = spool.with_origin(lines(spark, sf))
-    return named.groupBy("collector_file", "session_file").agg(F.count(F.lit(1)).alias("lines"))
+    """Event lines written out as spool files and scanned; files of other names are left out."""
+    return spool.scan(spark, spooled(spark, sf)).groupBy("collector_file", "session_file").agg(F.count(F.lit(1)).alias("lines"))
+
 
+_DATA = """'{"id":"' || event_id || '",' || chr(10) || '"k":' || CAST(k AS VARCHAR) || '}'"""
 
-@query("src8_event_frames", V("SELECT event_id, '{\"id\":\"' || event_id || '\",' || chr(10) || '\"k\":' || CAST(k AS VARCHAR) || '}' AS data FROM ev"))
+
+@query("src8_event_frames", V(f"SELECT event_id, {_DATA} AS data FROM ev"))
 def _(spark, sf):
-    log = T.event_log(spark, sf)
-    frame = F.format_string(': keep-alive\r\nevent: message\r\ndata: {"id":"%s",\r\ndata: "k":%d}\r\n', "event_id", "k")
-    parsed = frames.parse_frames(log.select("event_id", frame.alias("frame")))
-    return parsed.where("v is not null").select("event_id", "data")
+    """Event streams written to logs, some with LF and some with CRLF, and read back frame by frame."""
+    folder = f"{shared_dir(spark)}/frames-{uuid.uuid4().hex}"
+    log = T.event_log(spark, sf).repartition(8, "event_id")
+    for name, end, part in (("unix", "\n", 0), ("dos", "\r\n", 1)):
+        frame = F.format_string(f': keep-alive{end}event: message{end}data: {{"id":"%s",{end}data: "k":%d}}', "event_id", "k")
+        log.where(F.col("arrival") % 2 == part).select(frame.alias("value")).write.option("lineSep", end * 2).text(f"{folder}/{name}")
+    parsed = [frames.read_frames(spark, f"{folder}/{name}") for name in ("unix", "dos")]
+    return parsed[0].union(parsed[1]).where("v is not null").select(F.try_variant_get("v", "$.id", "string").alias("event_id"), "data")
 
 
 @query("src12_parquet_scan", V("SELECT type, count(*) AS events, count(DISTINCT session_id) AS sessions FROM facts GROUP BY 1"))

@@ -210,11 +210,16 @@ def _(spark, sf):
     return L.missing_session_meta(T.event_log(spark, sf), known)
 
 
-@query("src2_targeted_scan", V("SELECT session_id, count(*) AS lines FROM facts WHERE session_id IN ('u1','u2','u3') AND collector = 'cc-hooks' GROUP BY 1"))
+@query("src2_targeted_scan", V("""
+SELECT collector AS collector_file, session_id, count(*) AS lines FROM facts WHERE session_id IN (SELECT session_id FROM calls WHERE k = 10) GROUP BY 1, 2"""))
 def _(spark, sf):
-    """Lines of the named files only."""
-    from wattledger.catalog.events import lines
+    """Of all spool files those of the sessions that are due, named one by one."""
+    from wattledger.catalog.events import spooled
     from wattledger.sources import spool
 
-    named = spool.with_origin(lines(spark, sf)).where(F.col("file_name").isin(*[f"cc-hooks.u{i}.jsonl" for i in (1, 2, 3)]))
-    return named.groupBy(F.col("session_file").alias("session_id")).agg(F.count(F.lit(1)).alias("lines"))
+    folder = spooled(spark, sf)
+    facts = T.facts(spark, sf)
+    due = facts.where("type = 'llm_call' and llm_call.usage.output_tokens = 100").select("session_id").distinct()
+    names = facts.join(due, "session_id").select(F.concat(F.col("collector.name"), F.lit("."), "session_id", F.lit(".jsonl"))).distinct()
+    got = spool.scan_paths(spark, [f"{folder}/{r[0]}" for r in names.collect()])
+    return got.groupBy("collector_file", F.col("session_file").alias("session_id")).agg(F.count(F.lit(1)).alias("lines"))

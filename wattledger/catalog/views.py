@@ -207,11 +207,11 @@ def _(spark, sf):
 @query("vw2_neighbourhood", V("""
 SELECT event_id, row_number() OVER (PARTITION BY event_id ORDER BY d, o_arrival) AS rank, other_id, offset_ms FROM (
   SELECT a.event_id, b.event_id AS other_id, b.ts_ms - a.ts_ms AS offset_ms, abs(b.ts_ms - a.ts_ms) AS d, b.arrival AS o_arrival
-  FROM facts a JOIN facts b ON b.ts_ms BETWEEN a.ts_ms - 600000 AND a.ts_ms + 600000 AND a.event_id <> b.event_id)
-QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY d, o_arrival) <= 5"""))
+  FROM facts a JOIN facts b ON b.ts_ms BETWEEN a.ts_ms - 6000 AND a.ts_ms + 6000 AND a.event_id <> b.event_id)
+QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY d, o_arrival) <= 20"""))
 def _(spark, sf):
-    """The five nearest facts within ten minutes of each fact."""
-    return W.neighbours(T.facts(spark, sf), 600_000, 5, cell_ms=6_000_000)
+    """The twenty nearest facts within six seconds of each fact."""
+    return W.neighbours(T.facts(spark, sf))
 
 
 @query("vw3_samples_of_spans", V("SELECT p.event_id, s.sample_id, s.t0 AS sample_start FROM spans p JOIN samples s ON s.session_id = p.session_id AND p.s < s.t1 AND p.e > s.t0"))
@@ -235,6 +235,16 @@ def _(spark, sf):
     return parts.groupBy("kind").agg(F.count(F.lit(1)).alias("parts"), F.round(F.sum("value_j"), 3).alias("value_j"))
 
 
+@query("vw5_segment_values", V("""
+SELECT sample_id, kind, CASE WHEN abs(j) < 5e-7 THEN 0.0 ELSE round(j, 6) END AS value_j FROM (
+  SELECT sample_id, 'row' AS kind, allocated_j AS j FROM tr
+  UNION ALL SELECT sample_id, 'agent', orphaned_j FROM split UNION ALL SELECT sample_id, 'baseline', baseline_j FROM split)""", tr=_TRACE))
+def _(spark, sf):
+    """Every part of every sample."""
+    parts = W.share_segments(*_trace(spark, sf))
+    return parts.select("sample_id", "kind", F.when(F.abs("value_j") < 5e-7, 0.0).otherwise(r("value_j")).alias("value_j"))
+
+
 _LIST = """
 SELECT s.sample_id, coalesce(x.n, 0) AS n_rows, coalesce(x.ex, 0) AS n_excluded, round(coalesce(x.j, 0), 6) AS rows_j, round(s.energy_j / greatest(0.001, (s.t1 - s.t0) / 1000.0), 9) AS avg_watts,
        round(CASE WHEN s.energy_j > 0 THEN abs(s.baseline_j) / s.energy_j ELSE 0 END, 6) AS baseline_share, s.shadow > 1 AS over_attributes
@@ -259,6 +269,12 @@ def _(spark, sf):
     return _list(spark, sf).groupBy("over_attributes").agg(F.count(F.lit(1)).alias("samples"), F.sum("n_rows").alias("span_rows"))
 
 
+@query("vw7_sample_figures", V(f"SELECT sample_id, avg_watts, rows_j, baseline_share, n_excluded FROM ({_LIST})", tr=_TRACE))
+def _(spark, sf):
+    """Watts, attributed joules and baseline share of every sample."""
+    return _list(spark, sf).select("sample_id", "avg_watts", "rows_j", "baseline_share", "n_excluded")
+
+
 @query("vw8_largest_share", V("""
 SELECT sample_id, arg_min(span_id, (CASE WHEN excluded THEN 0 ELSE 1 END, event_id)) AS span_id, round(any_value(j), 6) AS share FROM (
   SELECT t.*, round(t.allocated_j / s.energy_j, 9) AS j, max(round(t.allocated_j / s.energy_j, 9)) OVER (PARTITION BY sample_id) AS top FROM tr t JOIN samples s USING (sample_id)) WHERE j = top GROUP BY 1""", tr=_TRACE))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,3 +58,48 @@ def scan(spark: SparkSession, directory: str) -> DataFrame:
 def scan_paths(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Lines of the named files only, under the same name grammar."""
     return _read(spark, list(paths))
+
+
+def _folder(path: str):
+    """The file system of a folder, and the folder's name in it."""
+    from pyarrow import fs
+
+    if "://" in path or path.startswith("file:"):
+        filesystem, root = fs.FileSystem.from_uri(path)
+    else:
+        filesystem, root = fs.LocalFileSystem(), path
+    return filesystem, root.rstrip("/")
+
+
+def write_spool(lines: DataFrame, directory: str, order: str = "arrival") -> int:
+    """Write (file_name, line) rows as spool files, each whole and in ``order``; gives the number of files.
+
+    A file is streamed by one task under a name of its own and renamed when it is complete, so a task that is tried
+    again leaves the same file and no half of one.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filesystem, root = _folder(directory)
+        name, out, hidden, written = None, None, None, []
+
+        def finish():
+            if out is not None:
+                out.close()
+                filesystem.move(hidden, f"{root}/{name}")
+                written.append(name)
+
+        for batch in batches:
+            for file_name, line in zip(batch.column("file_name").to_pylist(), batch.column("line").to_pylist()):
+                if file_name != name:
+                    finish()
+                    name, hidden = file_name, f"{root}/_{uuid.uuid4().hex}"
+                    out = filesystem.open_output_stream(hidden)
+                out.write(line.encode() + b"\n")
+        finish()
+        if written:
+            yield pa.RecordBatch.from_arrays([pa.array(written)], names=["file_name"])
+
+    filesystem, root = _folder(directory)
+    filesystem.create_dir(root, recursive=True)
+    rows = lines.select("file_name", "line", F.col(order).alias("at")).where("file_name is not null and line is not null")
+    dealt = rows.repartition("file_name").sortWithinPartitions("file_name", "at")
+    return dealt.mapInArrow(run, "file_name string").count()
