@@ -1,6 +1,6 @@
 """Licence scan: phrases that stand word for word, and an exact set-similarity join with licence templates.
 
-Text blocks are windows of words.  A block meets a template when it has at least ``threshold`` of the template's
+Text blocks are windows of words, as long as two of the longest template.  A block meets a template when it has at least ``threshold`` of the template's
 different words.  Tokens are ordered by their frequency in the whole corpus, rarest first.  A block that meets a
 template shares one of the template's first |T| - need + 1 tokens (prefix filter), has at least ``need`` words of the
 templates' vocabulary (length filter), and after the first shared token enough of both are left (positional filter).
@@ -23,22 +23,35 @@ from wattledger.session import cut
 PHRASES = (
     ("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"),
 )
-#: Opening words of common licences and notices, as their publishers print them.
+#: Notices of common licences and of their neighbours, as their publishers print them.
 TEMPLATES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
-    ("mit", "released under the mit license"),
-    ("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
-    ("apache-2", "licensed under the apache license version 2 0"),
-    ("gpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license"),
-    ("gpl-3", "this work is licensed under the gnu general public license version 3"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0"),
+    ("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
+    ("gpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("gpl-2", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at"),
     ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
+    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
+    ("lgpl-2", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"),
+    ("agpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software"),
 )
+#: Licences whose notices differ in a word or two.  Of such neighbours only those with the largest share
+#: of their words in a block label it, of these those with the most words.
+FAMILIES = {"gpl-2": "gnu", "gpl-3": "gnu", "lgpl-2": "gnu", "agpl-3": "gnu", "cc-by": "cc", "cc-by-nc": "cc", "cc-by-sa": "cc"}
 THRESHOLD = 0.8
-#: Words of a block and from one block to the next; a stretch of up to BLOCK - STEP + 1 words is inside one block.
-BLOCK, STEP = 128, 64
+
+
+def step_of(templates=TEMPLATES) -> int:
+    """Words from one block to the next: as many as the longest template has.  A block is two steps long, so that every
+    stretch of a template's length lies whole in one."""
+    return max(len(text.split()) for _, text in templates)
+
 
 #: What lies between words, and a word's pattern: letters, digits and everything beyond ASCII.
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -101,11 +114,11 @@ def token_ranks(docs: DataFrame, text: str, templates=TEMPLATES) -> list[str]:
 
 
 def containments(rows: DataFrame, order: list[str], templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(rid, labels, best): the labels of templates that a block of the row meets, and the largest containment.
+    """(rid, met, best): the labels of templates that a block of the row meets, and the largest containment.
 
-    ``rows`` has rid and padded.  Rows that meet no template are not in the result.
+    ``rows`` has rid and padded.  Rows that meet no template are not in the result.  Of a family the nearest count.
     """
-    spark = rows.sparkSession
+    spark, step = rows.sparkSession, step_of(templates)
     rank = {w: i for i, w in enumerate(order)}
     entries = []
     for number, label, words in template_words(templates):
@@ -119,7 +132,7 @@ def containments(rows: DataFrame, order: list[str], templates=TEMPLATES, thresho
         rows.select("rid", F.posexplode(F.split(F.trim("padded"), " ")).alias("pos", "word"))
         .join(F.broadcast(ranks), "word")
         .select("rid", "token", F.explode(F.filter(
-            F.array(F.floor(F.col("pos") / STEP).cast("int"), F.floor(F.col("pos") / STEP).cast("int") - 1), lambda b: b >= 0
+            F.array(F.floor(F.col("pos") / step).cast("int"), F.floor(F.col("pos") / step).cast("int") - 1), lambda b: b >= 0
         )).alias("block"))
         .distinct()
     )
@@ -137,9 +150,11 @@ def containments(rows: DataFrame, order: list[str], templates=TEMPLATES, thresho
         .groupBy("rid", "block", "template", "label", "size", "need").agg(F.count("*").alias("overlap"))
         .filter("overlap >= need")
     )
-    return shared.groupBy("rid").agg(
-        F.collect_set("label").alias("met"), F.max(F.col("overlap") / F.col("size")).alias("best")
-    )
+    family = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in sorted(FAMILIES.items()) for x in pair]), F.col("label")), F.col("label"))
+    share = F.col("overlap") / F.col("size")
+    nearest = W.partitionBy("rid", "block", "family").orderBy(share.desc(), F.col("size").desc())
+    kept = shared.withColumn("family", family).withColumn("place", F.rank().over(nearest)).filter("place = 1")
+    return kept.groupBy("rid").agg(F.collect_set("label").alias("met"), F.max(share).alias("best"))
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", phrases=PHRASES, templates=TEMPLATES,
@@ -148,7 +163,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", phrases=PHRAS
 
     Words are runs of a-z, A-Z lower-cased, digits and all beyond ASCII; a null text has none.  ``score`` is 1 where a
     phrase stands, else the largest containment that meets the threshold, else 0.  Repeated rows and null keys are rows
-    of their own.  A template longer than BLOCK - STEP + 1 words need not lie in one block.
+    of their own.
     """
     order = token_ranks(docs, text, templates)
     rank = {w: i for i, w in enumerate(order)}
@@ -172,6 +187,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", phrases=PHRAS
 def sql(phrases=PHRASES, templates=TEMPLATES, threshold: float = THRESHOLD) -> str:
     """DuckDB SQL for the rows of ``scan`` over documents, by plain word positions and plain set overlaps."""
     phrase_rows = ", ".join(f"('{p}', '{label}', {len(p.split())})" for p, label in phrases)
+    step = step_of(templates)
+    kinds = " ".join(f"WHEN '{label}' THEN '{family}'" for label, family in sorted(FAMILIES.items()))
     template_rows = ", ".join(
         f"({i}, '{label}', '{w}', {len(ws)}, {math.ceil(round(threshold * len(ws), 9))})"
         for i, label, ws in template_words(templates) for w in ws
@@ -184,9 +201,10 @@ d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(c
 p AS (SELECT rid, w, unnest(range(1, len(w) + 1)) AS i FROM d),
 hit AS (SELECT rid, i, label FROM p, phrases WHERE phrase = CASE n {length} END),
 base AS (SELECT rid, count(*) AS n_base, min(i) - 1 AS first_word, max(i) - 1 AS last_word, list(DISTINCT label) AS labels FROM hit GROUP BY rid),
-tok AS (SELECT rid, w[i] AS word, (i - 1) // {STEP} AS b FROM p WHERE w[i] IN (SELECT word FROM templates)),
+tok AS (SELECT rid, w[i] AS word, (i - 1) // {step} AS b FROM p WHERE w[i] IN (SELECT word FROM templates)),
 blocks AS (SELECT rid, word, b FROM tok UNION SELECT rid, word, b - 1 FROM tok WHERE b > 0),
-met AS (SELECT rid, t, label, size, need, b, count(*) AS overlap FROM blocks JOIN templates USING (word) GROUP BY ALL HAVING count(*) >= need),
+hits AS (SELECT rid, t, label, size, need, b, count(*) AS overlap FROM blocks JOIN templates USING (word) GROUP BY ALL HAVING count(*) >= need),
+met AS (SELECT * FROM hits QUALIFY rank() OVER (PARTITION BY rid, b, CASE label {kinds} ELSE label END ORDER BY overlap / size DESC, size DESC) = 1),
 best AS (SELECT rid, max(overlap / size) AS best, list(DISTINCT label) AS labels FROM met GROUP BY rid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
   array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,
