@@ -24,6 +24,12 @@ from wattledger.session import cut
 
 #: Weights are whole numbers up to this, so that weight times tokens stays within 63 bits.
 MAX_WEIGHT = 10_000
+#: The mixture of query and pipeline: whole weights of domains, and of languages in each domain; others weigh 1.
+WEIGHTS = [
+    (("d0",), 4), (("d1",), 3), (("d2",), 2), (("d3",), 1),
+    *[((d, lang), w) for d in ("d0", "d1", "d2", "d3") for lang, w in (("en", 5), ("de", 2), ("fr", 2), ("es", 1))],
+]
+PATH, SEED, MAX_EPOCHS = ["domain", "lang", "source"], 17, 2
 
 
 def _on(a: str, b: str, columns: list[str]):

@@ -91,8 +91,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select(
         "doc_id", "lang", "source", domain_of("source").alias("domain"), word_count("text").alias("n_tokens")
     )
-    how = corpus_pipeline
-    return mixing.mix(docs, how.PATH, how.WEIGHTS, seed=how.SEED, max_epochs=how.MAX_EPOCHS)
+    return mixing.mix(docs, mixing.PATH, mixing.WEIGHTS, seed=mixing.SEED, max_epochs=mixing.MAX_EPOCHS)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,7 +140,7 @@ _QUERIES: dict[str, QueryFn] = {
 
 _SQL: dict[str, str] = {
     "op5_license_join": licenses.sql(),
-    "op9_mixing": mixing.sql(corpus_pipeline.WEIGHTS, corpus_pipeline.SEED, corpus_pipeline.MAX_EPOCHS),
+    "op9_mixing": mixing.sql(mixing.WEIGHTS, mixing.SEED, mixing.MAX_EPOCHS),
     "op13_hard_negatives": negatives.sql(),
 }
 
