@@ -124,6 +124,46 @@ def test_pieces_give_every_line_once(folder, max_read):
     assert [(r[5], r[7]) for r in rows] == [(8, len("partial done") > max_read)]
 
 
+@pytest.mark.parametrize("max_read", [7, 16, 1000])
+def test_lines_are_numbered_from_pieces(spark, folder, max_read):
+    from wattledger.sources.tail import number_lines
+
+    def batch(start):
+        reader = SpoolTailReader(folder, max_read, pieces=True)
+        end = reader.latestOffset()
+        rows = [row for piece in reader.partitions(start, end) for row in reader.read(piece)]
+        return spark.createDataFrame(rows, SpoolTail({}).schema()), end
+
+    first = ["a", "bb", "", "", "cccc", "d" * 30, "é"]
+    for name in ("c.s.jsonl", "c.t.jsonl"):
+        with open(os.path.join(folder, name), "w") as f:
+            f.write("\n".join(first) + "\n")
+    known = spark.createDataFrame([], "file_name string, lines bigint")
+    lines, known = number_lines(batch({})[0], known)
+    end = batch({})[1]
+    want = [(i + 1, t[:7]) for i, t in enumerate(first) if t]
+    got = sorted((r.file_name, r.line_number, r.line[:7]) for r in lines.collect())
+    assert [g[1:] for g in got if g[0] == "c.s.jsonl"] == want and len(got) == 2 * len(want)
+    assert {(r.file_name, r.lines) for r in known.collect()} == {("c.s.jsonl", 7), ("c.t.jsonl", 7)}
+    with open(os.path.join(folder, "c.s.jsonl"), "a") as f:
+        f.write("\nmore\nlast\n")
+    with open(os.path.join(folder, "c.t.jsonl"), "w") as f:
+        f.write("new\n")  # begins again
+    lines, counts = number_lines(batch(end)[0], known)
+    assert sorted((r.file_name, r.line_number, r.line) for r in lines.collect()) == [("c.s.jsonl", 9, "more"), ("c.s.jsonl", 10, "last"), ("c.t.jsonl", 1, "new")]
+    assert {(r.file_name, r.lines) for r in counts.collect()} == {("c.s.jsonl", 10), ("c.t.jsonl", 1)}
+
+
+def test_spool_files_are_whole(spark, folder):
+    rows = [(f"c.s{k % 3}.jsonl", f"line {k}", k) for k in range(50)] + [(None, "x", 0), ("c.s0.jsonl", None, 1)]
+    df = spark.createDataFrame(rows, "file_name string, line string, arrival int").repartition(5)
+    for _ in range(2):  # written again: the same files
+        assert spool.write_spool(df, folder) == 3
+    assert sorted(os.listdir(folder)) == ["c.s0.jsonl", "c.s1.jsonl", "c.s2.jsonl"]
+    with open(os.path.join(folder, "c.s1.jsonl")) as f:
+        assert f.read() == "".join(f"line {k}\n" for k in range(1, 50, 3))
+
+
 def test_long_lines_and_truncation(folder):
     path = os.path.join(folder, "c.s.jsonl")
     with open(path, "w") as f:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +12,11 @@ from wattledger.catalog.lifecycle import _HX, hooks
 from wattledger.catalog.prelude import with_views as V
 from wattledger.functions import sanitize_id
 from wattledger.operators import validate as X
+from wattledger.plans.store import Store
 from wattledger.session import cut, shared_dir
+from wattledger.sources import spool
 from wattledger.sources import tables as T
-from wattledger.sources.tail import SpoolTail
+from wattledger.sources.tail import SpoolTail, number_lines
 from wattledger.streaming import ingest as I
 from wattledger.streaming import stateful as K
 
@@ -53,30 +54,23 @@ def _log(spark: SparkSession, sf: str) -> DataFrame:
     return T.event_log(spark, sf).withColumn("event_time", F.timestamp_millis("ts_ms"))
 
 
-def _appended(lines: DataFrame, folder: str, files: int) -> None:
-    """Append (arrival, value) lines to spool files, each file by one task."""
-    def write(rows):
-        for row in rows:
-            with open(f"{folder}/spool.{row.file:03d}.jsonl", "a", encoding="utf-8") as out:
-                out.write(row.value + "\n")
-
-    dealt = lines.withColumn("file", F.pmod("arrival", F.lit(files)).cast("int")).repartition("file").sortWithinPartitions("file", "arrival")
-    dealt.foreachPartition(write)
+def _growing(lines: DataFrame, files: int = 16) -> tuple[DataFrame, DataFrame]:
+    """(file_name, line, arrival) lines over some spool files, and what the files hold when they are half written."""
+    named = cut(lines.select(
+        F.format_string("spool.%03d.jsonl", F.pmod(F.floor("arrival"), F.lit(files)).cast("int")).alias("file_name"), "line", "arrival"
+    ))
+    half = named.agg(F.expr("floor(max(arrival) / 2)")).first()[0] or 0
+    return named, named.where(F.col("arrival") < half)
 
 
 @query("src3_growing_files", V("SELECT event_id FROM facts"))
 def _(spark, sf):
     """Every event line as spool files that grow between two drains of one tail: each line arrives once."""
-    shared = shared_dir(spark)
-    if "://" in shared and not shared.startswith("file://"):
-        raise RuntimeError("this query appends to files in place, which needs a shared folder that is mounted")
-    base = f"{shared.removeprefix('file://')}/spool-{uuid.uuid4().hex}"
-    os.makedirs(f"{base}/in")
+    base = f"{shared_dir(spark)}/spool-{uuid.uuid4().hex}"
     spark.dataSource.register(SpoolTail)
-    lines = cut(X.event_lines(T.facts(spark, sf)).select("arrival", "value"))
-    half = lines.agg(F.expr("max(arrival) div 2")).first()[0] or 0
-    for part in (lines.where(F.col("arrival") < half), lines.where(F.col("arrival") >= half)):
-        _appended(part, f"{base}/in", 16)
+    whole, first = _growing(X.event_lines(T.facts(spark, sf)).select(F.col("value").alias("line"), "arrival"))
+    for part in (first, whole):
+        spool.write_spool(part, f"{base}/in")
         stream = spark.readStream.format("spool_tail").load(f"{base}/in").select("line")
         stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(
             availableNow=True).start().awaitTermination()
@@ -84,6 +78,37 @@ def _(spark, sf):
     return got.select(F.try_variant_get(F.try_parse_json("line"), "$.event_id", "string").alias("event_id"))
 
 
+@query("src5_line_numbers", V("""
+SELECT event_id, n AS line_number FROM (
+  SELECT event_id, row_number() OVER (PARTITION BY CAST(floor(place) AS BIGINT) % 16 ORDER BY place) AS n FROM (
+    SELECT event_id, CAST(arrival AS DOUBLE) AS place FROM facts UNION ALL SELECT NULL, arrival + 0.5 FROM facts WHERE arrival % 10 = 3))
+WHERE event_id IS NOT NULL"""))
+def _(spark, sf):
+    """Lines numbered over two drains of files in many pieces, with blank lines between them; counts are kept in the store."""
+    base = f"{shared_dir(spark)}/spool-{uuid.uuid4().hex}"
+    spark.dataSource.register(SpoolTail)
+    store = Store(spark, f"{base}/store")
+    lines = X.event_lines(T.facts(spark, sf)).select(F.col("value").alias("line"), F.col("arrival").cast("double").alias("arrival"))
+    blank = lines.where("arrival % 10 = 3").select(F.lit("").alias("line"), F.col("arrival") + 0.5)
+    whole, first = _growing(lines.union(blank))
+
+    def numbered(batch: DataFrame, batch_id: int) -> None:
+        with store.commit("tail", batch_id) as fresh:
+            if fresh:
+                rows = cut(batch)
+                found, counts = number_lines(rows, store.stored_near("line_counts", rows.select("file_name").distinct()))
+                found.select("line", "line_number").write.mode("overwrite").parquet(f"{base}/out/{batch_id}")
+                store.merge("line_counts", counts)
+
+    for part in (first, whole):
+        spool.write_spool(part, f"{base}/in")
+        stream = spark.readStream.format("spool_tail").option("lineNumbers", "pieces").option("maxReadBytes", 16_384).load(f"{base}/in")
+        stream.writeStream.foreachBatch(numbered).option("checkpointLocation", f"{base}/checkpoint").trigger(
+            availableNow=True).start().awaitTermination()
+    got = spark.read.option("recursiveFileLookup", "true").schema("line string, line_number bigint").parquet(f"{base}/out")
+    return got.select(F.try_variant_get(F.try_parse_json("line"), "$.event_id", "string").alias("event_id"), "line_number")
+
+
 @query("st5_sampling_windows", V("""
 SELECT ts_ms // 5000 * 5000 AS window_start, session_id, round(sum(value * 10), 6) AS energy_j, count(*) AS readings FROM ev WHERE event_type = 'purchase'
 GROUP BY 1, 2"""))

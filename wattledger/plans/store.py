@@ -146,11 +146,12 @@ class Store:
         "estimates": S.ESTIMATES,
         "joins": "unit_key string, session_id string, json string",
         "rejects": S.REJECTS,
+        "line_counts": "file_name string, lines bigint",
         "dirty": "session_id string, since_ms bigint, samples_only boolean, zone string, dirty boolean",
     }
     #: The id of append-only tables and the key of keyed ones.
     IDS = {"facts": "event_id", "opaque": "event_id", "rejects": "key"}
-    KEYS = {"estimates": "event_id", "joins": "unit_key", "dirty": "session_id"}
+    KEYS = {"estimates": "event_id", "joins": "unit_key", "dirty": "session_id", "line_counts": "file_name"}
 
     def __init__(self, spark: SparkSession, root: str, bucket_rows: int = BUCKET_ROWS, filter_rows: int = FILTER_ROWS):
         self.spark, self.root = spark, root.rstrip("/")

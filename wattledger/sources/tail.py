@@ -10,8 +10,10 @@ lines that start in it.
 
 Options: ``maxReadBytes`` (longest line; a longer one comes as a short sample with ``oversized`` set
 and its true size in ``bytes``), ``maxBytesPerTrigger`` (of each batch; not for drains, which take
-one batch; after a restart the first batch is not limited), ``lineNumbers`` (true also numbers lines,
-for which the file is read up to each piece).  A file that shrank is read again from its start, with
+one batch; after a restart the first batch is not limited), ``lineNumbers`` (``true`` also numbers lines,
+for which the file is read up to each piece; ``pieces`` numbers them inside their piece and adds a row
+without a line for each piece, with its number of lines, from which ``number_lines`` makes numbers of
+the file without reading anything twice).  A file that shrank is read again from its start, with
 ``truncated`` set.
 """
 
@@ -20,6 +22,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from wattledger.schemas import MAX_READ_BYTES, REJECT_SAMPLE_BYTES
@@ -27,7 +31,7 @@ from wattledger.sources.spool import FILE_PATTERN
 
 SCHEMA = (
     "file_name string, collector_file string, session_file string, origin string, byte_offset bigint, "
-    "line_number bigint, line string, oversized boolean, truncated boolean, bytes bigint"
+    "line_number bigint, line string, oversized boolean, truncated boolean, bytes bigint, piece_offset bigint"
 )
 BLOCK = 1 << 20
 
@@ -44,7 +48,7 @@ class SpoolTail(DataSource):
         limit = self.options.get("maxBytesPerTrigger")
         return SpoolTailReader(
             self.options["path"], int(self.options.get("maxReadBytes", MAX_READ_BYTES)), int(limit) if limit else None,
-            self.options.get("lineNumbers", "false").lower() == "true",
+            self.options.get("lineNumbers", "false").lower() == "true", self.options.get("lineNumbers", "").lower() == "pieces",
         )
 
 
@@ -54,8 +58,8 @@ class Piece(InputPartition):
 
 
 class SpoolTailReader(DataSourceStreamReader):
-    def __init__(self, path: str, max_read: int, limit: int | None = None, numbered: bool = False):
-        self.path, self.max_read, self.limit, self.numbered = path, max_read, limit, numbered
+    def __init__(self, path: str, max_read: int, limit: int | None = None, numbered: bool = False, pieces: bool = False):
+        self.path, self.max_read, self.limit, self.numbered, self.pieces = path, max_read, limit, numbered, pieces
         self.seen: dict[str, tuple[int, int]] = {}  # size of each file and the end of its last whole line
         self.reached: dict[str, int] | None = None  # where the last batch ended, once that is known
 
@@ -153,14 +157,19 @@ class SpoolTailReader(DataSourceStreamReader):
             inside = piece.start > piece.first
             number = 1 + self._newlines(f, piece.start - inside) if self.numbered else None
             f.seek(piece.start - inside)
+            lines = 0
             for at, size, line in self._lines(f, piece.start - inside, piece.end):
                 if inside:  # the end of a line that an earlier piece has
                     inside = False
-                elif size:
-                    oversized = size > self.max_read
-                    text = line.decode("utf-8", "replace") + ("…" if oversized else "")
-                    yield (*head, at, number, text, oversized, piece.truncated, size)
+                else:
+                    lines += 1
+                    if size:
+                        oversized = size > self.max_read
+                        text = line.decode("utf-8", "replace") + ("…" if oversized else "")
+                        yield (*head, at, lines if self.pieces else number, text, oversized, piece.truncated, size, piece.start)
                 number = number + 1 if self.numbered else None
+            if self.pieces:
+                yield (*head, piece.start, lines, None, False, piece.truncated, 0, piece.start)
 
     def _newlines(self, f, until: int) -> int:
         f.seek(0)
@@ -186,3 +195,22 @@ class SpoolTailReader(DataSourceStreamReader):
                 line = b"".join(kept)
                 yield at, size, line if size <= self.max_read else line[:REJECT_SAMPLE_BYTES]
                 at, begin, kept, size = at + size + 1, cut + 1, [], 0
+
+
+def number_lines(batch: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lines, counts) of a batch read with ``lineNumbers=pieces``: each line's number in its file, and the files' lines so far.
+
+    ``known`` has (file_name, lines) of what earlier batches read; a prefix sum over the batch's pieces does the rest.
+    Blank lines count, though they are not rows.  A file that is read again from its start begins at 1.
+    """
+    earlier = Window.partitionBy("file_name").orderBy("piece_offset").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = batch.where("line is null").groupBy("file_name", "piece_offset").agg(
+        F.max("line_number").alias("lines"), F.bool_or("truncated").alias("anew")
+    )
+    before = F.when(F.col("anew"), F.lit(0)).otherwise(F.coalesce("known", F.lit(0)))
+    placed = pieces.join(known.select("file_name", F.col("lines").alias("known")), "file_name", "left").withColumn(
+        "before", (before + F.coalesce(F.sum("lines").over(earlier), F.lit(0))).cast("bigint")
+    )
+    lines = batch.where("line is not null").join(placed.select("file_name", "piece_offset", "before"), ["file_name", "piece_offset"])
+    counts = placed.groupBy("file_name").agg(F.max(F.col("before") + F.col("lines")).alias("lines"))
+    return lines.withColumn("line_number", F.col("line_number") + F.col("before")).drop("before"), counts
