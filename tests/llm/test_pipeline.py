@@ -43,4 +43,5 @@ def test_whole_pipeline(spark):
 def test_every_query_has_its_number():
     names = list(queries.queries())
     assert [n for n in names if n.startswith("op")] == sorted((n for n in names if n.startswith("op")), key=lambda n: int(n[2:].split("_")[0]))
-    assert len(names) == 11 and set(queries.oracle_sql()) <= set(names)
+    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 14))
+    assert len(names) == 14 and set(queries.oracle_sql()) <= set(names)
