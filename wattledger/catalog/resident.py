@@ -132,7 +132,9 @@ def _(spark, sf):
         steps[3].select(F.lit(3), "session_id"))
 
 
-@query("rb8_resident_rebuild", V("SELECT unit_key, coalesce(llm_calls, 0) AS llm_calls, ok_n AS ok_estimates, 'FRA' AS zone FROM joined", **_ALL))
+@query("rb8_resident_rebuild", V("""
+SELECT u.unit_key, coalesce(n.n, 0) AS llm_calls, coalesce(n.ok, 0) AS ok_estimates, 'FRA' AS zone FROM units u LEFT JOIN (
+  SELECT p.unit_key, count(*) AS n, count(*) FILTER (e.status = 'ok') AS ok FROM pairs p LEFT JOIN ests e USING (event_id) GROUP BY 1) n USING (unit_key)""", **_ALL))
 def _(spark, sf):
     """Two batches under one zone, then estimates, another zone and a clean stop: the stored joins are those of a full rebuild."""
     store = _store(spark)
