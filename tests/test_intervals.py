@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from wattledger.operators import intervals as I
@@ -91,15 +92,39 @@ def test_neighbours_in_a_burst(spark):
         assert len(got.get(e, {})) == len(near)
 
 
-def test_tracks_are_first_fit(spark):
+def first_fit(rows, lanes):
+    """Lane of each (key, id, start, end), one key after the other."""
+    out, ends = {}, {}
+    for k, i, s, e in sorted((r for r in rows if r[2] is not None), key=lambda r: (r[2], r[1])):
+        busy = ends.setdefault(k, [None] * lanes)
+        free = next((n for n, x in enumerate(busy) if x is None or x <= s), None)
+        if free is not None:
+            busy[free] = s if e is None else e
+        out[i] = free
+    return out
+
+
+@pytest.mark.parametrize("slices", [1, 5, 16])
+def test_tracks_are_first_fit(spark, slices):
     rng = random.Random(2)
-    rows = [("k", f"s{i:03d}", s, s + rng.choice((0, 500, 4000, 30_000))) for i, s in enumerate(rng.randrange(0, 200_000) for _ in range(120))]
+    # One key holds most rows and fills many slices; lanes stay busy over several, and idle times come between.
+    at = lambda: rng.randrange(0, 100_000) + rng.choice((0, 0, 500_000))
+    rows = [(rng.choice(("k", "k", "k", "k", "m", None)), f"s{i:03d}", s, s + rng.choice((0, 500, 4000, 30_000))) for i, s in enumerate(at() for _ in range(300))]
+    rows += [("k", "long", 10, 90_000), ("k", "tie", rows[0][2], rows[0][3]), ("x", "endless", 5, None), ("x", "after", 6, 9), ("x", "lost", None, 3)]
     df = spark.createDataFrame(rows, "k string, id string, s bigint, e bigint")
-    got = {r.id: r.track for r in I.assign_tracks(df, ["k"], "s", "e", "id", tracks=4).collect()}
-    ends = [None] * 4
-    for _, i, s, e in sorted(rows, key=lambda r: (r[2], r[1])):
-        free = next((n for n, x in enumerate(ends) if x is None or x <= s), None)
-        if free is not None:
-            ends[free] = e
-        assert got[i] == free
-    assert None in got.values()
+    found = I.assign_tracks(df, ["k"], "s", "e", "id", tracks=4, slices=slices)
+    assert found.columns == ["k", "id", "s", "e", "track"]
+    got = {r.id: r.track for r in found.collect()}
+    assert got == first_fit(rows, 4)
+    assert None in got.values() and got["endless"] == 0 == got["after"]
+
+
+def test_tracks_of_nothing(spark):
+    df = spark.createDataFrame([], "k string, id string, s bigint, e bigint")
+    assert I.assign_tracks(df, ["k"], "s", "e", "id").count() == 0
+
+
+def test_lanes_that_never_come_free_are_handed_through_all_slices(spark):
+    rows = [("k", f"l{i}", i, 10**6) for i in range(3)] + [("k", f"s{i:03d}", 10 + i * 100, 60 + i * 100) for i in range(120)]
+    df = spark.createDataFrame(rows, "k string, id string, s bigint, e bigint")
+    assert {r.id: r.track for r in I.assign_tracks(df, ["k"], "s", "e", "id", tracks=4, slices=8).collect()} == first_fit(rows, 4)

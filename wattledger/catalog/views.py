@@ -309,10 +309,25 @@ def _(spark, sf):
     return W.normalised_levels(view, watts).select("event_id", r("level", 9).alias("level"), r("normalised").alias("normalised"))
 
 
-@query("vw12_span_tracks")
+# Lane by lane: the recursion carries the ends of a session's seven lanes from span to span.
+_FREE = "list_position(list_transform(ends, lambda x: x <= o.s), true)"
+_LANE_STEPS = f"""
+  SELECT session_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS event_id, CAST(NULL AS INTEGER) AS track,
+    [CAST(-9000000000000000 AS BIGINT) FOR x IN range(7)] AS ends FROM ordered WHERE n = 1
+  UNION ALL
+  SELECT o.session_id, o.n, o.event_id, {_FREE} - 1, [CASE WHEN i = {_FREE} THEN o.e ELSE ends[i] END FOR i IN range(1, 8)]
+  FROM laned l JOIN ordered o ON o.session_id = l.session_id AND o.n = l.n + 1"""
+_ORDERED = "SELECT session_id, event_id, s, e, row_number() OVER (PARTITION BY session_id ORDER BY s, event_id) AS n FROM spans WHERE tool_name <> '__session__'"
+
+
+_LANED = V("SELECT event_id, session_id, track FROM laned WHERE n > 0", ordered=_ORDERED, laned=_LANE_STEPS)
+
+
+@query("vw12_span_tracks", _LANED.replace("WITH", "WITH RECURSIVE", 1))
 def _(spark, sf):
+    """Lanes of all spans, with as many slices as a few thousand spans ask for, so that lane ends are handed on."""
     spans = A.spans_of(T.facts(spark, sf)).where("tool_name <> '__session__'")
-    return I.assign_tracks(spans, ["session_id"], "span_start", "span_end", "event_id")
+    return I.assign_tracks(spans, ["session_id"], "span_start", "span_end", "event_id", slices=24).select("event_id", "session_id", "track")
 
 
 @query("vw13_decision_caps", V(f"""

@@ -191,13 +191,10 @@ def coverage_gaps(islands: DataFrame, keys: Sequence[str], start: str, end: str)
     )
 
 
-def assign_tracks(df: DataFrame, keys: Sequence[str], start: str, end: str, item: str, tracks: int = 7) -> DataFrame:
-    """First-fit lane per interval in start order; ``track`` is null when every lane is busy.
-
-    The placement of an interval depends on all earlier ones of its key.  An interval can only
-    meet others of its own connected cluster, so the greedy pass runs per island of overlapping
-    intervals: separate islands start with every lane free.
-    """
+def assign_tracks(
+    df: DataFrame, keys: Sequence[str], start: str, end: str, item: str, tracks: int = 7, slices: int | None = None
+) -> DataFrame:
+    """First-fit lane per interval in start order; ``track`` is null when every lane is busy (``operators.tracks``)."""
     from wattledger.operators import tracks as placement
 
-    return placement.assign(df, list(keys), start, end, item, tracks)
+    return placement.assign(df, list(keys), start, end, item, tracks, slices)
