@@ -14,6 +14,7 @@ from wattledger.catalog.store import SETTINGS
 from wattledger.catalog.streams import _STATE_STORE, _log, closed, drain, stream_of
 from wattledger.operators import estimation as E
 from wattledger.operators import impacts as J
+from wattledger.operators import validate as X
 from wattledger.plans import ledger as L
 from wattledger.plans import rebuild as B
 from wattledger.plans.store import Store
@@ -21,6 +22,7 @@ from wattledger.session import cut, shared_dir
 from wattledger.sources import tables as T
 from wattledger.streaming import ingest as I
 from wattledger.streaming import retire as K
+from wattledger.streaming.hold import Hold
 
 #: Small buckets, so that tables of any size have many.
 BUCKET_ROWS = 512
@@ -159,6 +161,55 @@ def _(spark, sf):
     )
 
 
+# ---------------------------------------------------------------- a store that refuses
+
+
+class _Refusing(Store):
+    """Refuses some of its commits, counted from the first that is tried."""
+
+    def __init__(self, spark: SparkSession, root: str, refused: range):
+        super().__init__(spark, root)
+        self.refused, self.tried = refused, 0
+
+    def _publish(self, state: dict) -> None:
+        self.tried += 1
+        if self.tried - 1 in self.refused:
+            raise RuntimeError("refused")
+        super()._publish(state)
+
+
+def _held(spark: SparkSession, sf: str, refused: range, keep=None) -> tuple[Store, dict[str, int]]:
+    """Four batches of event lines through a hold, each delivered after the one before; the store and the last counts."""
+    base = f"{shared_dir(spark)}/hold-{uuid.uuid4().hex}"
+    lines = cut(X.event_lines(T.facts(spark, sf)).select(F.col("value").alias("line"), F.col("arrival").alias("byte_offset")))
+    most = lines.agg(F.max("byte_offset") + 1).first()[0] or 1
+    store, counts = _Refusing(spark, f"{base}/store", refused), {}
+    write, rows = I.writing(store, "job"), lines.count()
+    for k in range(4):
+        hold = Hold(spark, f"{base}/queue", **({} if keep is None else {"keep": keep(rows)}))
+        counts = hold.deliver(lines.where(F.least(F.lit(3), F.expr(f"byte_offset * 4 div {most}")) == k), k, write)
+    return store, counts
+
+
+@query("st8_retry_hold", V("SELECT event_id, arrival, 0 AS waiting, 0 AS lost FROM facts"))
+def _(spark, sf):
+    """Two commits refused, then taken: every fact is stored once, in the order of its batch."""
+    store, counts = _held(spark, sf, range(1, 3), lambda rows: rows)
+    return store.read("facts").select("event_id", "arrival", F.lit(counts["waiting"]).alias("waiting"), F.lit(counts["lost"]).alias("lost"))
+
+
+@query("st8_bounded_hold", V("""
+SELECT event_id, (SELECT count(*) FROM early) - (SELECT count(*) // 3 FROM facts) AS lost FROM (
+  SELECT event_id FROM late UNION ALL SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY arrival DESC) AS n FROM early) WHERE n <= (SELECT count(*) // 3 FROM facts))""",
+    quarters="SELECT event_id, arrival, least(3, arrival * 4 // (SELECT max(arrival) + 1 FROM facts)) AS part FROM facts",
+    early="SELECT * FROM quarters WHERE part < 3", late="SELECT * FROM quarters WHERE part = 3"))
+def _(spark, sf):
+    """Three batches refused, of which the hold keeps the newest third of all lines: what it drops is counted."""
+    # The first three deliveries try one commit each: the oldest batch that waits.
+    store, counts = _held(spark, sf, range(0, 3), lambda rows: rows // 3)
+    return store.read("facts").select("event_id", F.lit(counts["lost"]).cast("bigint").alias("lost"))
+
+
 # ---------------------------------------------------------------- keyed state that ends
 
 

@@ -19,6 +19,7 @@ from wattledger.plans import ledger
 from wattledger.plans.rebuild import Outcome, Settings
 from wattledger.plans.store import Store
 from wattledger.session import cut, scratch
+from wattledger.streaming.hold import Hold
 
 FLUSH = "60 seconds"
 #: Samples alone wait for six of these.
@@ -62,18 +63,31 @@ def ingest_batch(
     return counts
 
 
+def writing(
+    store: Store, writer: str, settings: Settings | None = None, estimator: Estimator | None = None, interval_ms: int = INTERVAL_MS,
+) -> Callable[[DataFrame, int], dict[str, int]]:
+    """Commits of one writer by batch number; a clean stop gives it to ``Hold.drain`` with the checkpoint as the writer."""
+    return lambda batch, number: ingest_batch(store, batch, number, settings, writer, estimator, interval_ms=interval_ms)
+
+
 def start(
     lines: DataFrame, store: Store, checkpoint: str, settings: Settings | None = None, every: str | None = FLUSH,
     on_batch: Callable[[dict[str, int]], None] | None = None, estimator: Estimator | None = None, interval_ms: int = INTERVAL_MS,
+    hold: Hold | None = None,
 ) -> StreamingQuery:
     """Start the resident ingest; ``every=None`` drains what is there and stops.
 
+    Batches that the store refuses fail the query, unless there is a ``hold``, in which they wait for the next batch.
+    For flushes by rows or new files give the source ``flushRows`` and ``flushSeconds``, and a trigger of a second here.
+
     The checkpoint names the writer, so a restarted query does not commit a batch twice.  With an estimator the calls
     of touched sessions are estimated in the same commit.  After a clean stop ``drain`` rebuilds what still waits.
     """
 
+    write = writing(store, checkpoint, settings, estimator, interval_ms)
+
     def flush(batch: DataFrame, batch_id: int) -> None:
-        counts = ingest_batch(store, batch, batch_id, settings, checkpoint, estimator, interval_ms=interval_ms)
+        counts = hold.deliver(batch, batch_id, write) if hold else write(batch, batch_id)
         if on_batch:
             on_batch(counts)
 
