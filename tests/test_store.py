@@ -187,6 +187,73 @@ def test_limited_batches_take_whole_lines(folder):
     assert [r[6] for r in got] == [f"line-{i}" for i in range(40)] + ["z" * 100, "end"] and steps > 10
 
 
+def tail_of(folder, **how):
+    """A reader with a clock that is set by hand, and a way to append to its files."""
+    reader = SpoolTailReader(folder, 1 << 20, **how)
+    now = [0.0]
+    reader.clock = lambda: now[0]
+    reader.initialOffset()
+
+    def add(name, lines, rest=""):
+        with open(f"{folder}/{name}.jsonl", "a") as f:
+            f.write("x\n" * lines + rest)
+
+    return reader, now, add
+
+
+def test_lines_gather_until_a_flush(folder):
+    reader, now, add = tail_of(folder, flush_rows=10, flush_seconds=60)
+    add("c.a", 1)
+    first = reader.latestOffset()
+    assert first == {"c.a.jsonl": 2}  # the first batch does not wait
+    add("c.a", 8, "half")
+    assert reader.latestOffset() == first and reader.latestOffset() == first
+    add("c.a", 1)  # ends the half line: nine lines
+    assert reader.latestOffset() == first
+    add("c.a", 1)
+    tenth = reader.latestOffset()
+    assert tenth == {"c.a.jsonl": 26}
+    add("c.a", 1)
+    assert reader.latestOffset() == tenth
+    now[0] = 59
+    assert reader.latestOffset() == tenth
+    now[0] = 60
+    assert reader.latestOffset() == {"c.a.jsonl": 28}
+    now[0] = 500  # nothing new is no batch
+    assert reader.latestOffset() == {"c.a.jsonl": 28}
+    now[0] = 60
+    add("c.a", 1)
+    add("c.b", 0, "no line yet")
+    assert reader.latestOffset() == {"c.a.jsonl": 28}  # a file without a whole line is not new
+    add("c.c", 1)  # a new file brings everything along
+    assert reader.latestOffset() == {"c.a.jsonl": 30, "c.b.jsonl": 0, "c.c.jsonl": 2}
+    add("c.b", 1)  # its first whole line
+    assert reader.latestOffset()["c.b.jsonl"] == len("no line yet") + 2
+
+
+def test_each_waiting_byte_is_counted_once(folder, monkeypatch):
+    reader, now, add = tail_of(folder, flush_rows=1_000)
+    for name in ("c.a", "c.b"):
+        add(name, 1)
+    reader.latestOffset()
+    for k in range(1, 10):
+        add("c.a", 60)
+        add("c.b", 50)
+        reader.latestOffset()
+        assert reader.gathered == {"c.a.jsonl": (2 + 120 * k, 60 * k), "c.b.jsonl": (2 + 100 * k, 50 * k)}
+    add("c.b", 10)
+    assert reader.latestOffset() == {"c.a.jsonl": 2 + 120 * 9, "c.b.jsonl": 2 + 100 * 9 + 20} and reader.gathered == {}
+
+
+def test_what_a_limit_keeps_back_does_not_wait(folder):
+    reader, now, add = tail_of(folder, flush_rows=10, limit=10)
+    add("c.a", 12)
+    ends = []
+    for _ in range(4):
+        ends.append(reader.latestOffset()["c.a.jsonl"])
+    assert ends == [10, 20, 24, 24]
+
+
 def test_oversized_lines_are_rejects_of_their_own(spark, folder):
     from wattledger.operators import validate as X
 

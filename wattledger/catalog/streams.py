@@ -109,6 +109,53 @@ def _(spark, sf):
     return got.select(F.try_variant_get(F.try_parse_json("line"), "$.event_id", "string").alias("event_id"), "line_number")
 
 
+#: The arrival pattern: six steps, four files from the first one and a fifth from the fourth, and lines that are a batch.
+_STEP, _STEPS = "least(5, arrival * 6 {div} {most})", 6
+_FLUSH_SQL = f"""
+SELECT event_id, CAST((SELECT min(k) FROM flushes f WHERE f.step >= s.step) AS BIGINT) AS batch FROM stepped s"""
+
+
+@query("st1_flush_borders", V(_FLUSH_SQL,
+    stepped=f"SELECT event_id, {_STEP.format(div='//', most='(SELECT max(arrival) + 1 FROM facts)')} AS step FROM facts",
+    sizes="SELECT step, count(*) AS n FROM stepped GROUP BY 1",
+    waits="""SELECT 0 AS step, CAST(0 AS HUGEINT) AS waiting, true AS flushed UNION ALL
+      SELECT w.step + 1, CASE WHEN w.flushed THEN 0 ELSE w.waiting END + n,
+        w.step + 1 IN (3, 5) OR CASE WHEN w.flushed THEN 0 ELSE w.waiting END + n >= (SELECT count(*) // 4 FROM stepped)
+      FROM waits w JOIN sizes z ON z.step = w.step + 1""",
+    flushes="SELECT step, row_number() OVER (ORDER BY step) - 1 AS k FROM waits WHERE flushed").replace("WITH", "WITH RECURSIVE", 1))
+def _(spark, sf):
+    """Lines gather until they are a quarter of all or a new file comes; a drain takes the rest."""
+    base = f"{shared_dir(spark)}/spool-{uuid.uuid4().hex}"
+    spark.dataSource.register(SpoolTail)
+    facts = X.event_lines(T.facts(spark, sf)).select(F.col("value").alias("line"), "arrival")
+    most = facts.agg(F.max("arrival") + 1).first()[0] or 1
+    step = F.expr(_STEP.format(div="div", most=most))
+    files = F.when(step < 3, 4).otherwise(5)
+    lines = cut(facts.withColumn("step", step).withColumn("file_name", F.format_string("spool.%d.jsonl", F.pmod("arrival", files))))
+    source = lambda: spark.readStream.format("spool_tail").option("flushRows", lines.count() // 4).option(
+        "flushSeconds", 86_400).load(f"{base}/in").select("line")
+
+    def kept(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(f"{base}/out/{batch_id}")
+
+    def run(**trigger):
+        return source().writeStream.foreachBatch(kept).option("checkpointLocation", f"{base}/checkpoint").trigger(**trigger).start()
+
+    spool.write_spool(lines.where("step = 0"), f"{base}/in")
+    resident = run(processingTime="200 milliseconds")
+    try:
+        for k in range(_STEPS - 1):
+            if k:
+                spool.write_spool(lines.where(F.col("step") <= k), f"{base}/in")
+            resident.processAllAvailable()
+    finally:
+        resident.stop()
+    spool.write_spool(lines, f"{base}/in")
+    run(availableNow=True).awaitTermination()
+    got = spark.read.option("recursiveFileLookup", "true").schema("line string, batch bigint").parquet(f"{base}/out")
+    return got.select(F.try_variant_get(F.try_parse_json("line"), "$.event_id", "string").alias("event_id"), "batch")
+
+
 @query("st5_sampling_windows", V("""
 SELECT ts_ms // 5000 * 5000 AS window_start, session_id, round(sum(value * 10), 6) AS energy_j, count(*) AS readings FROM ev WHERE event_type = 'purchase'
 GROUP BY 1, 2"""))

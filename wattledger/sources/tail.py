@@ -13,13 +13,17 @@ and its true size in ``bytes``), ``maxBytesPerTrigger`` (of each batch; not for
 one batch; after a restart the first batch is not limited), ``lineNumbers`` (``true`` also numbers lines,
 for which the file is read up to each piece; ``pieces`` numbers them inside their piece and adds a row
 without a line for each piece, with its number of lines, from which ``number_lines`` makes numbers of
-the file without reading anything twice).  A file that shrank is read again from its start, with
+the file without reading anything twice), ``flushRows`` and ``flushSeconds`` (with either, new lines wait
+until so many have gathered, so many seconds have passed since the last batch, or a file is there that no
+batch has had; the first batch after a start does not wait.  The trigger then only sets how often the
+source looks).  A file that shrank is read again from its start, with
 ``truncated`` set.
 """
 
 from __future__ import annotations
 
 import re
+import time
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Window
@@ -46,9 +50,11 @@ class SpoolTail(DataSource):
 
     def streamReader(self, schema) -> "SpoolTailReader":
         limit = self.options.get("maxBytesPerTrigger")
+        rows, seconds = self.options.get("flushRows"), self.options.get("flushSeconds")
         return SpoolTailReader(
             self.options["path"], int(self.options.get("maxReadBytes", MAX_READ_BYTES)), int(limit) if limit else None,
             self.options.get("lineNumbers", "false").lower() == "true", self.options.get("lineNumbers", "").lower() == "pieces",
+            int(rows) if rows else None, float(seconds) if seconds else None,
         )
 
 
@@ -58,8 +64,15 @@ class Piece(InputPartition):
 
 
 class SpoolTailReader(DataSourceStreamReader):
-    def __init__(self, path: str, max_read: int, limit: int | None = None, numbered: bool = False, pieces: bool = False):
+    def __init__(
+        self, path: str, max_read: int, limit: int | None = None, numbered: bool = False, pieces: bool = False,
+        flush_rows: int | None = None, flush_seconds: float | None = None,
+    ):
         self.path, self.max_read, self.limit, self.numbered, self.pieces = path, max_read, limit, numbered, pieces
+        self.flush_rows, self.flush_seconds, self.clock = flush_rows, flush_seconds, time.monotonic
+        self.flushed: float | None = None  # when the last batch was let through
+        self.behind = False  # whether a limit kept back some of that batch, which does not wait then
+        self.gathered: dict[str, tuple[int, int]] = {}  # how far each file's waiting lines are counted, and how many they are
         self.seen: dict[str, tuple[int, int]] = {}  # size of each file and the end of its last whole line
         self.reached: dict[str, int] | None = None  # where the last batch ended, once that is known
 
@@ -105,11 +118,43 @@ class SpoolTailReader(DataSourceStreamReader):
             ends = pool.map(lambda i: self._complete_end(filesystem, i.path, i.size), grown)
             self.seen.update({i.base_name: (i.size, end) for i, end in zip(grown, ends)})
         offsets = {i.base_name: self.seen[i.base_name][1] for i in sorted(listed, key=lambda i: i.base_name)}
+        if self.flush_rows is not None or self.flush_seconds is not None:
+            if not self._due(filesystem, root, offsets):
+                return self.reached
+            self.flushed, self.gathered = self.clock(), {}
         if self.limit and self.reached is not None:
-            offsets = self._limited(filesystem, root, offsets)
+            limited = self._limited(filesystem, root, offsets)
+            self.behind, offsets = limited != offsets, limited
         self.reached = offsets
         return offsets
 
+    def _due(self, filesystem, root: str, offsets: dict) -> bool:
+        """Whether what is new should be a batch now."""
+        if self.reached is None or self.flushed is None or self.behind:
+            return True
+        new = {name: end for name, end in offsets.items() if end != self.reached.get(name, 0)}
+        if not new:
+            return False
+        if any(not self.reached.get(name) or end < self.reached[name] for name, end in new.items()):
+            return True
+        if self.flush_seconds is not None and self.clock() - self.flushed >= self.flush_seconds:
+            return True
+        return self.flush_rows is not None and self._gather(filesystem, root, new) >= self.flush_rows
+
+    def _gather(self, filesystem, root: str, new: dict) -> int:
+        """Lines that wait.  Each byte is counted once, and no more of them than it takes to reach ``flushRows``."""
+        total = sum(lines for _, lines in self.gathered.values())
+        for name, end in new.items():
+            at, lines = self.gathered.get(name, (self.reached[name], 0))
+            if at < end and total < self.flush_rows:
+                with filesystem.open_input_file(f"{root}/{name}") as f:
+                    f.seek(at)
+                    while at < end and total < self.flush_rows and (block := f.read(min(BLOCK, end - at))):
+                        found = block.count(b"\n")
+                        at, lines, total = at + len(block), lines + found, total + found
+                self.gathered[name] = (at, lines)
+        return total
+
     def _limited(self, filesystem, root: str, offsets: dict) -> dict:
         """Ends that take no more than the limit, but at least one line, beyond the last ones; files by name."""
         left, out = self.limit, {}
