@@ -98,6 +98,50 @@ def test_merged_parts_keep_their_filters(spark, folder, monkeypatch):
     assert sorted(os.listdir(f"{folder}/opaque")) == sorted(os.listdir(f"{folder}/opaque.filters")) == sorted(store._parts("opaque"))
 
 
+def facts(spark, rows):
+    """Facts of (event, session, time)."""
+    known = {"event_id", "session_id", "ts_ms", "arrival"}
+    empty = spark.createDataFrame([], Store.TABLES["facts"])
+    given = spark.createDataFrame([(e, s, t, k) for k, (e, s, t) in enumerate(rows)], "event_id string, session_id string, ts_ms bigint, arrival bigint")
+    return given.select(*[F.col(f.name) if f.name in known else F.lit(None).cast(f.dataType).alias(f.name) for f in empty.schema.fields])
+
+
+def asked(spark, store, *sessions):
+    found = store.facts_of(spark.createDataFrame([(s,) for s in sessions], "session_id string"))
+    return sorted(r.event_id for r in found.collect())
+
+
+def test_facts_of_sessions_come_from_their_buckets(spark, folder):
+    store, rng, every = Store(spark, folder, bucket_rows=8, merge_parts=3), random.Random(3), []
+    assert asked(spark, store, "s1") == []
+    for k in range(7):
+        # One session has a third of all, and each batch some sessions of its own.
+        rows = [(f"e{k}-{i}", rng.choice(("hot", f"s{k}-{i % 9}", f"s{k}-{i % 9}")), rng.randrange(1000)) for i in range(60)]
+        assert store.insert_events(facts(spark, rows)) == 60
+        every += rows
+    assert [p.split("-")[0] for p in store._parts("facts")] == ["level1", "level1", "level0"]
+    assert sorted(r.event_id for r in store.read("facts").collect()) == sorted(e for e, *_ in every)
+    for wanted in (("hot",), ("s0-1",), ("s4-2", "s6-3", "hot", "hot", None), ("nobody",), ()):
+        assert asked(spark, store, *wanted) == sorted(e for e, s, _ in every if s in wanted and s is not None)
+    assert asked(spark, store, "s4-2", "s6-3") and len(store.visited) == 2
+    assert {p.split("-")[0] for p, _ in store.visited} == {"level1", "level0"}
+    asked(spark, store, "hot")
+    assert len(store.visited) == 3
+    # Ids of merged parts are known as before, and cleaning leaves what is in use.
+    store.vacuum(1)
+    assert sorted(os.listdir(f"{folder}/facts.sessions")) == sorted(os.listdir(f"{folder}/facts")) == sorted(store._parts("facts"))
+    assert store.insert_events(facts(spark, every[:5] + [("new", "s0-1", 5)])) == 1
+    assert "new" in asked(spark, store, "s0-1")
+
+
+def test_parts_without_session_filters_are_read_whole(spark, folder):
+    store = Store(spark, folder)
+    with store.commit():
+        store._state()["tables"]["facts"] = [store._write("facts", facts(spark, [("a", "s", 1), ("b", "t", 2), ("c", None, 3)]))[0]]
+    store.insert_events(facts(spark, [("d", "t", 4), ("e", None, 5)]))
+    assert asked(spark, store, "t") == ["b", "d"] and store.read("facts").count() == 5
+
+
 def marked(spark, store, rows, now):
     L.mark(store, spark.createDataFrame(rows, "session_id string, samples_only boolean"), now)
 

@@ -100,6 +100,24 @@ def _(spark, sf):
     return store.read("facts").select("event_id", "type", "arrival", F.lit(opened).cast("bigint").alias("opened"))
 
 
+_EIGHTH = "CAST(substr(session_id, 2) AS BIGINT) % 8"
+_ASKED = "CAST(substr(session_id, 2) AS BIGINT) % 24 IN (1, 3)"
+
+
+@query("src12_facts_of_sessions", V(f"""
+SELECT event_id, session_id, type, (SELECT count(DISTINCT substr(md5(session_id), 1, (SELECT {_digits('count(*)')} FROM facts WHERE {_EIGHTH} < 4)))
+  FROM facts WHERE {_ASKED}) AS visited FROM facts WHERE {_ASKED}"""))
+def _(spark, sf):
+    """Facts stored in eight batches of other sessions each, of which every four are merged: some sessions of one merged
+    part are read, and no bucket is opened but theirs."""
+    store = _store(spark, bucket_rows=BUCKET_ROWS, merge_parts=4)
+    facts = cut(T.facts(spark, sf).withColumn("json", F.lit(None).cast("string")))
+    for k in range(8):
+        store.insert_events(facts.where(f"{_EIGHTH} = {k}"))
+    found = store.facts_of(facts.where(_ASKED))
+    return found.select("event_id", "session_id", "type", F.lit(len(store.visited)).cast("bigint").alias("visited"))
+
+
 # ---------------------------------------------------------------- the ledger
 
 _THIRD = "least(2, arrival * 3 // (SELECT max(arrival) + 1 FROM facts))"

@@ -63,8 +63,9 @@ def rebuild(
         store.wipe_derived()
     if settings.zone_gwp is None:
         out.notes.append("no grid factors: local gwp is not reported")
-    facts = store.read("facts")
-    calls = calls_of(in_scope(facts, sessions))
+    # Several plans below read the facts of a scope, which are few of the store's.
+    facts = store.read("facts") if sessions is None else cut(store.facts_of(sessions))
+    calls = calls_of(facts)
     if estimator is None:
         out.notes.append("no estimator: calls without an estimate stay pending")
     else:
@@ -73,7 +74,7 @@ def rebuild(
         if not fresh.isEmpty():
             store.upsert_estimates(fresh)
     estimates = store.read("estimates")
-    built = cut(records(facts, estimates, settings, sessions))
+    built = cut(records(facts, in_scope(estimates, sessions), settings))
     counts = built.agg(
         F.count(F.lit(1)).alias("joins"), F.countDistinct("session_id").alias("sessions")
     ).first()

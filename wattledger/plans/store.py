@@ -133,7 +133,11 @@ class Store:
     Append-only tables (facts, opaque, rejects) are lists of parts.  Beside each part lie its ids, in buckets by their
     digits, and for every bucket the range of its ids and a Bloom filter.  A batch is held against the filters, and only
     the buckets that these name are opened to see which of its ids are stored.  Small parts are merged into larger ones
-    as they gather, each row about once per factor of ``MERGE``; merged facts are ordered by session and time.
+    as they gather, each row about once per factor of ``merge_parts``.
+
+    Merged facts lie in buckets by their session's digits, ordered by session and time; parts and buckets have filters of
+    their sessions too, so a rebuild of some sessions (``facts_of``) opens what may hold them and nothing else.  A bucket
+    is cut into files by ranges, so a very large session is read and written by many tasks.
 
     Keyed tables (estimates, joins) are buckets by the keys' digits, which the manifest maps to folders.  A merge
     rewrites the buckets that its keys fall into and no others; one that grows beyond ``bucket_rows`` is divided by
@@ -153,14 +157,18 @@ class Store:
     IDS = {"facts": "event_id", "opaque": "event_id", "rejects": "key"}
     KEYS = {"estimates": "event_id", "joins": "unit_key", "dirty": "session_id", "line_counts": "file_name"}
 
-    def __init__(self, spark: SparkSession, root: str, bucket_rows: int = BUCKET_ROWS, filter_rows: int = FILTER_ROWS):
+    def __init__(
+        self, spark: SparkSession, root: str, bucket_rows: int = BUCKET_ROWS, filter_rows: int = FILTER_ROWS, merge_parts: int | None = None,
+    ):
         self.spark, self.root = spark, root.rstrip("/")
-        self.bucket_rows, self.filter_rows = bucket_rows, filter_rows
+        self.bucket_rows, self.filter_rows, self.merge_parts = bucket_rows, filter_rows, merge_parts or MERGE
         self._fs_path = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
         self._fs = self._fs_path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
         self._open: dict | None = None
         #: What the last append of each table opened, as (part, bucket), and which buckets the last merge rewrote.
         self.opened: dict[str, list[tuple[str, str]]] = {}
+        #: What the last ``facts_of`` opened, as (part, bucket).
+        self.visited: list[tuple[str, str]] = []
         self.rewritten: dict[str, list[str]] = {}
 
     # -- manifests
@@ -232,7 +240,7 @@ class Store:
             held |= {(t, b["path"]) for t, buckets in state["buckets"].items() for b in buckets.values() if b["path"]}
         for name in names[:-keep]:
             self._fs.delete(self._fs_path(f"{self.root}/_commits/{name}"), False)
-        kinds = [(t, f"{self.root}/{t}{suffix}") for t in self.TABLES for suffix in ("", ".ids", ".filters")]
+        kinds = [(t, f"{self.root}/{t}{suffix}") for t in self.TABLES for suffix in ("", ".ids", ".filters", ".sessions")]
         for table, place in kinds:
             folder = self._fs_path(place)
             for status in self._fs.listStatus(folder) if self._fs.exists(folder) else []:
@@ -257,7 +265,9 @@ class Store:
     def _read_parts(self, name: str, parts: list[str]) -> DataFrame:
         if not parts:
             return self.spark.createDataFrame([], self.TABLES[name])
-        return self.spark.read.schema(self.TABLES[name]).parquet(*[f"{self.root}/{name}/{p}" for p in parts])
+        # Buckets are names of folders and no columns.
+        reader = self.spark.read.schema(self.TABLES[name]).option("recursiveFileLookup", "true")
+        return reader.parquet(*[f"{self.root}/{name}/{p}" for p in parts])
 
     def _read_buckets(self, name: str, buckets: Iterable[str]) -> DataFrame:
         known = self._buckets(name)
@@ -274,10 +284,12 @@ class Store:
         part, seen = f"level{level}-{uuid.uuid4().hex}", Observation()
         rows = df.select(*self._columns(name)).observe(seen, F.count(F.lit(1)).alias("rows"))
         if level and name == "facts":
-            # Ranges of session and time: a session is together, and a very large one is still many tasks.
-            rows = rows.repartitionByRange("session_id", "ts_ms").sortWithinPartitions("session_id", "ts_ms")
-            rows.write.parquet(f"{self.root}/{name}/{part}")
-            return part, self._read_parts(name, [part]).count()
+            total = df.count()
+            bucket = F.substring(F.coalesce(key_digits("session_id"), F.lit("0" * 32)), 1, digits_for(total, self.bucket_rows))
+            order = ("in_bucket", "session_id", "ts_ms")
+            rows = df.select(*self._columns(name)).withColumn("in_bucket", F.concat(F.lit("b"), bucket))
+            rows.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("in_bucket").parquet(f"{self.root}/{name}/{part}")
+            return part, total
         rows.write.parquet(f"{self.root}/{name}/{part}")
         return part, seen.get["rows"]
 
@@ -291,7 +303,7 @@ class Store:
 
     def _merged(self, name: str, parts: list[str], level: int = 0) -> list[str]:
         small = [p for p in parts if p.startswith(f"level{level}-")]
-        if len(small) < MERGE:
+        if len(small) < self.merge_parts:
             return parts
         whole, rows = self._write(name, self._read_parts(name, small), level + 1)
         self._index(name, whole, rows)
@@ -308,34 +320,33 @@ class Store:
         """Write a part's ids in buckets, and a filter of each bucket."""
         if name not in self.IDS:
             return
-        digits = digits_for(rows, self.filter_rows)
         ids = self._read_parts(name, [part]).select(F.col(self.IDS[name]).cast("string").alias("id")).filter("id is not null")
-        bucket = F.concat(F.lit("b"), F.substring(key_digits("id"), 1, digits))
+        bucket = F.concat(F.lit("b"), F.substring(key_digits("id"), 1, digits_for(rows, self.filter_rows)))
         ids.withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("bucket", "id").write.partitionBy("bucket").parquet(
             f"{self.root}/{name}.ids/{part}"
         )
         stored = self.spark.read.schema("id string, bucket string").option("basePath", f"{self.root}/{name}.ids/{part}").parquet(
             f"{self.root}/{name}.ids/{part}"
         )
-        filters = stored.withColumn("h", F.xxhash64("id")).groupBy("bucket").applyInArrow(
+        self._write_filters(f"{name}.filters", part, stored)
+        if name == "facts":
+            digits = 0 if part.startswith("level0-") else digits_for(rows, self.bucket_rows)
+            sessions = self._read_parts(name, [part]).select(F.col("session_id").alias("id")).filter("id is not null").distinct()
+            self._write_filters("facts.sessions", part, sessions.withColumn("bucket", F.concat(F.lit("b"), F.substring(key_digits("id"), 1, digits))))
+
+    def _write_filters(self, folder: str, part: str, ids: DataFrame) -> None:
+        filters = ids.withColumn("h", F.xxhash64("id")).groupBy("bucket").applyInArrow(
             _filter_of, "bucket string, rows bigint, bits bigint, low string, high string, filter binary"
         )
-        filters.select(F.lit(part).alias("part"), "*").write.parquet(f"{self.root}/{name}.filters/{part}")
-
-    def stored_among(self, name: str, ids: DataFrame) -> DataFrame:
-        """The stored ids (``id``) of the buckets that may hold some of ``ids``, whose one column is called ``id``.
+        filters.select(F.lit(part).alias("part"), "*").write.parquet(f"{self.root}/{folder}/{part}")
 
-        ``opened`` tells which buckets those are.  Parts without filters are read whole.
-        """
-        parts = self._parts(name)
-        exists = lambda p: self._fs.exists(self._fs_path(f"{self.root}/{name}.filters/{p}"))
-        known = [p for p in parts if exists(p)]
-        plain = [p for p in parts if p not in known]
-        whole = self._read_parts(name, plain).select(F.col(self.IDS[name]).cast("string").alias("id"))
-        self.opened[name] = [(p, "") for p in plain]
+    def _named(self, folder: str, parts: list[str], ids: DataFrame) -> list[tuple[str, str]]:
+        """The (part, bucket) whose filters in a folder may hold some of ``ids``; parts without filters with an empty bucket."""
+        known = [p for p in parts if self._fs.exists(self._fs_path(f"{self.root}/{folder}/{p}"))]
+        plain = [(p, "") for p in parts if p not in known]
         if not known:
-            return whole
-        filters = self.spark.read.parquet(*[f"{self.root}/{name}.filters/{p}" for p in known])
+            return plain
+        filters = self.spark.read.parquet(*[f"{self.root}/{folder}/{p}" for p in known])
         kinds = [r[0] for r in filters.select(F.length("bucket")).distinct().collect()]
         seen = cut(ids.withColumn("h", F.xxhash64("id")).withColumn("digits", key_digits("id")))
         salts = max(1, -(-seen.count() // TOGETHER))
@@ -346,12 +357,30 @@ class Store:
         named = asked.groupBy("bucket", "salt").cogroup(spread.groupBy("bucket", "salt")).applyInArrow(
             _named_by_filters, "part string, bucket string"
         )
-        hits = sorted((r.part, r.bucket) for r in named.distinct().collect())
-        self.opened[name] += hits
+        return plain + sorted((r.part, r.bucket) for r in named.distinct().collect())
+
+    def stored_among(self, name: str, ids: DataFrame) -> DataFrame:
+        """The stored ids (``id``) of the buckets that may hold some of ``ids``, whose one column is called ``id``.
+
+        ``opened`` tells which buckets those are.  Parts without filters are read whole.
+        """
+        self.opened[name] = self._named(f"{name}.filters", self._parts(name), ids)
+        plain, hits = [p for p, b in self.opened[name] if not b], [(p, b) for p, b in self.opened[name] if b]
+        whole = self._read_parts(name, plain).select(F.col(self.IDS[name]).cast("string").alias("id"))
         if not hits:
             return whole
         return whole.union(self.spark.read.schema("id string").parquet(*[f"{self.root}/{name}.ids/{p}/bucket={b}" for p, b in hits]))
 
+    def facts_of(self, sessions: DataFrame) -> DataFrame:
+        """The facts of some sessions (``session_id``), from the parts and buckets that may hold them."""
+        wanted = sessions.select("session_id").where("session_id is not null").distinct()
+        self.visited = self._named("facts.sessions", self._parts("facts"), wanted.select(F.col("session_id").alias("id")))
+        paths = set()
+        for part, bucket in self.visited:
+            inside = f"{part}/in_bucket={bucket}"
+            paths.add(inside if bucket and self._fs.exists(self._fs_path(f"{self.root}/facts/{inside}")) else part)
+        return self._read_parts("facts", sorted(paths)).join(wanted, "session_id", "left_semi")
+
     def append_new(self, name: str, batch: DataFrame, arrival: str = "arrival") -> int:
         """Append the first row of each id that is not stored yet; rows that come again change nothing."""
         with self.commit():
