@@ -191,6 +191,16 @@ def degenerate_overlaps(samples: DataFrame, spans: DataFrame) -> DataFrame:
     return _overlapping(samples, spans.where(is_degenerate()))
 
 
+def unmeasured_spans(samples: DataFrame, spans: DataFrame) -> DataFrame:
+    """Per session: remote spans and local ones without duration that overlap samples, from one join; null for none."""
+    remote = F.col("locus") == "remote"
+    pairs = _overlapping(samples, spans.where(remote | is_degenerate())).select("session_id", remote.alias("remote"), "span_id").where("span_id is not null").distinct()
+    return pairs.groupBy("session_id").agg(
+        F.nullif(F.count_if("remote"), F.lit(0)).alias("unmeasured_remote_spans"),
+        F.nullif(F.count_if(~F.col("remote")), F.lit(0)).alias("degenerate_spans"),
+    )
+
+
 def distinct_spans_per_session(pairs: DataFrame, name: str) -> DataFrame:
     return pairs.groupBy("session_id").agg(F.countDistinct("span_id").alias(name))
 

@@ -196,13 +196,10 @@ def build_joins(
     counts, sums = remote_estimated(call_groups(calls_of(facts)), estimates, region)
     spans = A.spans_of(facts)
     samples = A.samples_of(facts)
-    remote_spans = A.distinct_spans_per_session(A.remote_overlaps(samples, spans), "unmeasured_remote_spans")
-    flat_spans = A.distinct_spans_per_session(A.degenerate_overlaps(samples, spans), "degenerate_spans")
     session_cols = (
         A.session_energy(app)
         .drop("energy_j", "samples")
-        .join(remote_spans, "session_id", "left")
-        .join(flat_spans, "session_id", "left")
+        .join(A.unmeasured_spans(samples, spans), "session_id", "left")
         .join(A.skipped_events(facts), "session_id", "left")
     )
     out = combined_total(
