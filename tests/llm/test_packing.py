@@ -1,4 +1,7 @@
+import os
+
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -51,3 +54,36 @@ def test_lossless(spark):
             assert whole[-1] == 50256 and whole[:-1].tolist() == docs.get(k, np.array([], int)).tolist()
             assert sorted(parts) == list(range(0, len(whole), 32))
     assert packing.pack(spark.createDataFrame([], df.schema)).count() == 0
+
+
+def test_matrices_are_read_back(spark, folder, monkeypatch):
+    monkeypatch.setattr(packing, "ROWS", 3)
+    rng = np.random.default_rng(2)
+    docs = [(k, rng.integers(0, 50_000, int(n)).astype("<u4").tobytes()) for k, n in enumerate(rng.integers(0, 90, 60))]
+    packed = packing.pack(spark.createDataFrame([*docs, (99, None)], "doc_id long, ids binary").repartition(3), length=32)
+    for _ in range(2):  # written twice, it is there once
+        manifest = packing.write(packed, folder)
+    want = sorted(map(tuple, packed.collect()))
+    names = packed.columns
+    assert sorted(map(tuple, packing.read(spark, folder, 32).select(*names).collect())) == want
+    parts = {r.part: r for r in manifest.collect()}
+    assert sum(r.rows for r in parts.values()) == len(want)
+    places = sum(len(b) // 4 + 1 for _, b in docs) + 1
+    (whole,) = packing.fill(packed, 32).collect()
+    assert whole.rows == len(want) and whole.filled == places == sum(r.filled for r in parts.values())
+    assert whole.fill == places / (32 * len(want)) > 0.9
+    # Flat files that can be mapped: a row begins every 32 ids.
+    for part, r in parts.items():
+        ids = np.memmap(f"{folder}/ids/part-{part:05d}.u32", "<u4", "r").reshape(-1, 32)
+        assert len(ids) == r.rows
+        assert [row.tobytes() for row in ids] == [w[names.index("ids")] for w in want if w[0] == part]
+    assert not [f for f in os.listdir(f"{folder}/ids") if f.startswith("_")]
+    with pytest.raises(Exception, match="rows of 16"):
+        packing.read(spark, folder, 16).collect()
+
+
+def test_no_rows_are_no_matrices(spark, folder):
+    packed = packing.pack(spark.createDataFrame([], "doc_id long, ids binary"), length=32)
+    assert packing.write(packed, folder).count() == 0 and packing.read(spark, folder, 32).count() == 0
+    (whole,) = packing.fill(packed, 32).collect()
+    assert tuple(whole) == (0, 0, None)
