@@ -80,3 +80,30 @@ def test_drain_raises_and_keeps_the_rest(spark, folder):
     with pytest.raises(OSError):
         hold.drain(LINES, sink)
     assert sink.got == ["a"] and [w[0] for w in hold.state()["waiting"]] == [1]
+
+
+def test_the_resident_ingest_goes_on_while_the_store_refuses(spark, folder):
+    import json
+    import os
+
+    from wattledger.plans.store import Store
+    from wattledger.sources.tail import SpoolTail
+    from wattledger.streaming import ingest
+
+    spark.dataSource.register(SpoolTail)
+    store, seen, publish = Store(spark, f"{folder}/store"), [], Store._publish
+    hold = Hold(spark, f"{folder}/queue")
+    os.mkdir(f"{folder}/in")
+
+    def refuse(state):
+        raise OSError("read-only")
+
+    for k, refused in enumerate((True, False)):
+        store._publish = refuse if refused else publish.__get__(store)
+        with open(f"{folder}/in/c.s.jsonl", "a") as f:
+            event = {"schema_version": "9", "event_id": f"event-{k:016d}", "ts": "t", "collector": "c", "session_id": "s", "type": "x"}
+            f.write(json.dumps(event) + "\n")
+        lines = spark.readStream.format("spool_tail").load(f"{folder}/in")
+        ingest.start(lines, store, f"{folder}/checkpoint", every=None, on_batch=seen.append, hold=hold).awaitTermination()
+    assert [(c["waiting"], c["lost"]) for c in seen] == [(1, 0), (0, 0)]
+    assert seen[1]["opaque"] + seen[1]["rejected"] + seen[1]["inserted"] == 2
