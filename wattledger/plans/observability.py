@@ -138,6 +138,7 @@ def watchdog(facts: DataFrame) -> DataFrame:
         F.when(orphan, "orphaned").when(F.coalesce("is_root", F.lit(False)) & F.col("owner").isNull(), "agent").otherwise("open").alias("state"),
         F.when(late.isNotNull(), format_ms("owner.span_end")).alias("orphaned_since"),
         late.alias("outlived_span_by_ms"),
+        F.col("cpu_time_delta_ms").alias("cpu_ms"), window.alias("window_ms"),
     )
 
 
