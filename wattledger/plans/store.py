@@ -65,8 +65,8 @@ def changed_joins(stored: DataFrame, fresh: DataFrame) -> DataFrame:
 MERGE = 16
 #: Rows of a bucket of a keyed table, and ids under one filter of an append-only one, about.
 BUCKET_ROWS, FILTER_ROWS = 1_000_000, 500_000
-#: A filter's bits per id and probes.
-FILTER_BITS, PROBES = 32, 12
+#: Probes of the Bloom filters that earlier versions wrote.
+PROBES = 12
 #: Ids of a batch that are held against a filter by one task, about.
 TOGETHER = 1_000_000
 
@@ -92,18 +92,32 @@ def _probes(hashes: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _filter_of(table: pa.Table) -> pa.Table:
-    """One row with the filter and the range of a bucket's ids."""
-    hashes = table.column("h").to_numpy().view(np.uint64)
-    bits = np.zeros(max(64, FILTER_BITS * len(hashes)), bool)
-    bits[_probes(hashes, len(bits)).ravel()] = True
+    """One row with the filter and the range of a bucket's ids.
+
+    The filter is the ids' hashes in order, with ``bits`` 0: at 64 bits an id it names a bucket in vain about once in
+    2^64 pairs of ids, where a Bloom filter's rate would open some bucket of nearly every large batch.
+    """
+    hashes = np.unique(table.column("h").to_numpy().view(np.uint64))
     ids = table.column("id")
     return pa.table({
-        "bucket": table.column("bucket").slice(0, 1), "rows": pa.array([len(hashes)], pa.int64()), "bits": pa.array([len(bits)], pa.int64()),
+        "bucket": table.column("bucket").slice(0, 1), "rows": pa.array([table.num_rows], pa.int64()), "bits": pa.array([0], pa.int64()),
         "low": pa.array([pc.min(ids).as_py()], pa.string()), "high": pa.array([pc.max(ids).as_py()], pa.string()),
-        "filter": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary()),
+        "filter": pa.array([hashes.astype("<u8").tobytes()], pa.binary()),
     })
 
 
+def _may_hold(packed: bytes, bits: int, hashes: np.ndarray) -> bool:
+    """Whether a filter may hold one of the hashes; with ``bits`` it is a Bloom filter of that size."""
+    if not bits:
+        held = np.frombuffer(packed, "<u8")
+        at = np.minimum(np.searchsorted(held, hashes), len(held) - 1)
+        return bool((held[at] == hashes).any())
+    data, may = np.frombuffer(packed, np.uint8), np.ones(len(hashes), bool)
+    for at in _probes(hashes, bits):
+        may &= (data[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+    return bool(may.any())
+
+
 def _named_by_filters(ids: pa.Table, filters: pa.Table) -> pa.Table:
     """(part, bucket) of the filters that may hold one of the ids."""
     named = []
@@ -115,10 +129,7 @@ def _named_by_filters(ids: pa.Table, filters: pa.Table) -> pa.Table:
             if first > high or last < low:
                 continue
             inside = np.array(pc.and_(pc.greater_equal(values, first), pc.less_equal(values, last)))
-            data, may = np.frombuffer(packed, np.uint8), np.ones(int(inside.sum()), bool)
-            for at in _probes(hashes[inside], bits):
-                may &= (data[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-            if may.any():
+            if _may_hold(packed, bits, hashes[inside]):
                 named.append((part, bucket))
     return pa.table({"part": pa.array([p for p, _ in named], pa.string()), "bucket": pa.array([b for _, b in named], pa.string())})
 
@@ -131,7 +142,7 @@ class Store:
     writers that start from the same manifest the second fails and changes nothing.
 
     Append-only tables (facts, opaque, rejects) are lists of parts.  Beside each part lie its ids, in buckets by their
-    digits, and for every bucket the range of its ids and a Bloom filter.  A batch is held against the filters, and only
+    digits, and for every bucket the range of its ids and a filter, their hashes.  A batch is held against the filters, and only
     the buckets that these name are opened to see which of its ids are stored.  Small parts are merged into larger ones
     as they gather, each row about once per factor of ``merge_parts``.
 
