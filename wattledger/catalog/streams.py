@@ -133,7 +133,9 @@ def _(spark, sf):
     files = F.when(step < 3, 4).otherwise(5)
     lines = cut(facts.withColumn("step", step).withColumn("file_name", F.format_string("spool.%d.jsonl", F.pmod("arrival", files))))
     source = lambda: spark.readStream.format("spool_tail").option("flushRows", lines.count() // 4).option(
-        "flushSeconds", 86_400).load(f"{base}/in").select("line")
+        "flushSeconds", 86_400).option("published", f"{base}/published").load(f"{base}/in").select("line")
+    # The files of a step are announced together, or a look between two of them would be a border of its own.
+    write = lambda rows: spool.write_spool(rows, f"{base}/in", publish=f"{base}/published")
 
     def kept(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(f"{base}/out/{batch_id}")
@@ -141,16 +143,16 @@ def _(spark, sf):
     def run(**trigger):
         return source().writeStream.foreachBatch(kept).option("checkpointLocation", f"{base}/checkpoint").trigger(**trigger).start()
 
-    spool.write_spool(lines.where("step = 0"), f"{base}/in")
+    write(lines.where("step = 0"))
     resident = run(processingTime="200 milliseconds")
     try:
         for k in range(_STEPS - 1):
             if k:
-                spool.write_spool(lines.where(F.col("step") <= k), f"{base}/in")
+                write(lines.where(F.col("step") <= k))
             resident.processAllAvailable()
     finally:
         resident.stop()
-    spool.write_spool(lines, f"{base}/in")
+    write(lines)
     run(availableNow=True).awaitTermination()
     got = spark.read.option("recursiveFileLookup", "true").schema("line string, batch bigint").parquet(f"{base}/out")
     return got.select(F.try_variant_get(F.try_parse_json("line"), "$.event_id", "string").alias("event_id"), "batch")

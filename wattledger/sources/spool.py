@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator, Sequence
 
@@ -71,11 +72,34 @@ def _folder(path: str):
     return filesystem, root.rstrip("/")
 
 
-def write_spool(lines: DataFrame, directory: str, order: str = "arrival") -> int:
+def published_sizes(path: str) -> dict[str, int]:
+    """Names and sizes of the files that a writer has announced; none before its first announcement."""
+    from pyarrow import fs
+
+    filesystem, place = _folder(path)
+    if filesystem.get_file_info(place).type == fs.FileType.NotFound:
+        return {}
+    with filesystem.open_input_stream(place) as f:
+        return json.loads(f.read())
+
+
+def _publish(directory: str, names: Sequence[str], path: str) -> None:
+    """Announce the present sizes of some files, beside those announced before, by a file that is renamed into place."""
+    filesystem, root = _folder(directory)
+    sizes = {i.base_name: i.size for i in filesystem.get_file_info([f"{root}/{n}" for n in names])}
+    other, place = _folder(path)
+    hidden = f"{place}_{uuid.uuid4().hex}"
+    with other.open_output_stream(hidden) as f:
+        f.write(json.dumps(published_sizes(path) | sizes).encode())
+    other.move(hidden, place)
+
+
+def write_spool(lines: DataFrame, directory: str, order: str = "arrival", publish: str | None = None) -> int:
     """Write (file_name, line) rows as spool files, each whole and in ``order``; gives the number of files.
 
     A file is streamed by one task under a name of its own and renamed when it is complete, so a task that is tried
-    again leaves the same file and no half of one.
+    again leaves the same file and no half of one.  Files become visible one by one; with ``publish`` they are announced
+    in that file together when all are there, for a tail source that is told to follow it (``published``).
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filesystem, root = _folder(directory)
@@ -102,4 +126,9 @@ def write_spool(lines: DataFrame, directory: str, order: str = "arrival") -> int
     filesystem.create_dir(root, recursive=True)
     rows = lines.select("file_name", "line", F.col(order).alias("at")).where("file_name is not null and line is not null")
     dealt = rows.repartition("file_name").sortWithinPartitions("file_name", "at")
-    return dealt.mapInArrow(run, "file_name string").count()
+    written = dealt.mapInArrow(run, "file_name string")
+    if publish is None:
+        return written.count()
+    names = [r.file_name for r in written.collect()]
+    _publish(directory, names, publish)
+    return len(names)

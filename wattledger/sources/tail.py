@@ -16,7 +16,8 @@ without a line for each piece, with its number of lines, from which ``number_lin
 the file without reading anything twice), ``flushRows`` and ``flushSeconds`` (with either, new lines wait
 until so many have gathered, so many seconds have passed since the last batch, or a file is there that no
 batch has had; the first batch after a start does not wait.  The trigger then only sets how often the
-source looks).  A file that shrank is read again from its start, with
+source looks), ``published`` (a file that ``spool.write_spool`` keeps: only the files and sizes it names are seen,
+so files that are written together arrive together).  A file that shrank is read again from its start, with
 ``truncated`` set.
 """
 
@@ -25,13 +26,14 @@ from __future__ import annotations
 import re
 import time
 from collections.abc import Iterator
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from wattledger.schemas import MAX_READ_BYTES, REJECT_SAMPLE_BYTES
-from wattledger.sources.spool import FILE_PATTERN
+from wattledger.sources.spool import FILE_PATTERN, published_sizes
 
 SCHEMA = (
     "file_name string, collector_file string, session_file string, origin string, byte_offset bigint, "
@@ -54,10 +56,18 @@ class SpoolTail(DataSource):
         return SpoolTailReader(
             self.options["path"], int(self.options.get("maxReadBytes", MAX_READ_BYTES)), int(limit) if limit else None,
             self.options.get("lineNumbers", "false").lower() == "true", self.options.get("lineNumbers", "").lower() == "pieces",
-            int(rows) if rows else None, float(seconds) if seconds else None,
+            int(rows) if rows else None, float(seconds) if seconds else None, self.options.get("published"),
         )
 
 
+class Published(NamedTuple):
+    """A file as its writer announced it."""
+
+    path: str
+    base_name: str
+    size: int
+
+
 class Piece(InputPartition):
     def __init__(self, name: str, first: int, start: int, end: int, truncated: bool):
         self.name, self.first, self.start, self.end, self.truncated = name, first, start, end, truncated
@@ -66,8 +76,9 @@ class Piece(InputPartition):
 class SpoolTailReader(DataSourceStreamReader):
     def __init__(
         self, path: str, max_read: int, limit: int | None = None, numbered: bool = False, pieces: bool = False,
-        flush_rows: int | None = None, flush_seconds: float | None = None,
+        flush_rows: int | None = None, flush_seconds: float | None = None, published: str | None = None,
     ):
+        self.published = published
         self.path, self.max_read, self.limit, self.numbered, self.pieces = path, max_read, limit, numbered, pieces
         self.flush_rows, self.flush_seconds, self.clock = flush_rows, flush_seconds, time.monotonic
         self.flushed: float | None = None  # when the last batch was let through
@@ -103,16 +114,21 @@ class SpoolTailReader(DataSourceStreamReader):
         self.reached = {}
         return {}
 
+    def _listed(self, filesystem, root: str) -> list:
+        """The spool files there are, with path, name and size."""
+        from pyarrow import fs
+
+        if self.published is None:
+            found = filesystem.get_file_info(fs.FileSelector(root, allow_not_found=True))
+            return [i for i in found if i.type == fs.FileType.File and re.match(FILE_PATTERN, i.base_name)]
+        known = published_sizes(self.published)
+        return [Published(f"{root}/{name}", name, size) for name, size in known.items() if re.match(FILE_PATTERN, name)]
+
     def latestOffset(self) -> dict:
         from concurrent.futures import ThreadPoolExecutor
 
-        from pyarrow import fs
-
         filesystem, root = self._open()
-        listed = [
-            i for i in filesystem.get_file_info(fs.FileSelector(root, allow_not_found=True))
-            if i.type == fs.FileType.File and re.match(FILE_PATTERN, i.base_name)
-        ]
+        listed = self._listed(filesystem, root)
         grown = [i for i in listed if self.seen.get(i.base_name, (None, 0))[0] != i.size]
         with ThreadPoolExecutor(16) as pool:
             ends = pool.map(lambda i: self._complete_end(filesystem, i.path, i.size), grown)
