@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wattledger import schemas as S
 from wattledger.functions import canonical_json, is_rfc3339, parse_ms
@@ -223,6 +224,81 @@ def bad_version(v: Column) -> Column:
     return F.when(~version.rlike(S.VERSION_PATTERN), version)
 
 
+_NUMBER = r"(?:BIGINT|DOUBLE|DECIMAL\([0-9]+,[0-9]+\))"
+_KINDS = {"string": "STRING", "bigint": "BIGINT", "double": _NUMBER, "boolean": "BOOLEAN"}
+
+
+def _shape(ddl: T.DataType, required: Sequence[str] = (), also: dict[str, str] | None = None) -> str:
+    """Pattern of ``schema_of_variant`` for values of a type; of an object's fields the ``required`` ones must be there."""
+    if isinstance(ddl, T.ArrayType):
+        return f"ARRAY<(?:VOID|{_shape(ddl.elementType)})>"
+    if not isinstance(ddl, T.StructType):
+        return _KINDS[ddl.simpleString()]
+    kinds = {f.name: _shape(f.dataType) for f in ddl.fields} | (also or {})
+    fields = "".join(f"(?:{n}: {kinds[n]}(?:, |(?=>))){'' if n in required else '?'}" for n in sorted(kinds))
+    return f"OBJECT<{fields}>"
+
+
+_REQUIRED = {
+    "llm_call": ("provider", "model_id_requested", "usage", "usage_source"),
+    "energy_sample": ("t_start", "t_end", "components"),
+    "action_span": ("span_id", "tool_name", "tool_kind", "execution_locus", "t_start", "t_end"),
+    "process_sample": ("t_start", "t_end", "processes"),
+    "session_meta": ("agent_app",),
+}
+_HEADER = ("schema_version", "event_id", "ts", "type", "collector", "session_id", "payload")
+_CHECKED = (
+    f"struct<schema_version:string,event_id:string,ts:string,type:string,payload:struct<usage:{S.USAGE},usage_source:string,"
+    f"duration_ms:bigint,status:string,t_start:string,t_end:string,components:array<{S.COMPONENT}>,tool_kind:string,"
+    f"execution_locus:string,processes:array<{S.PROCESS}>,power_source:string>>"
+)
+
+
+def _line_shape(name: str) -> str:
+    app = {"agent_app": _shape(_ddl("struct<name:string,version:string>"), ("name",))} if name == "session_meta" else {}
+    payload = _shape(_ddl(S.PAYLOADS[name]), _REQUIRED[name], app)
+    return _shape(_ddl(f"struct<{S.HEADER}>"), _HEADER, {
+        "collector": _shape(_ddl(S.COLLECTOR), ("name", "version")), "payload": payload,
+    })
+
+
+def _ddl(text: str) -> T.DataType:
+    return T.DataType.fromDDL(text)
+
+
+def sound(v: Column, line: Column) -> Column:
+    """True only where the event contract holds; lines it leaves open are for the rules to judge.
+
+    One look at the line's whole type and one typed reading take the place of some fifty lookups.  Only fields of the
+    contract may be there, and no ``null``: inside arrays the type does not show one.
+    """
+    shape, c = F.schema_of_variant(v), F.try_variant_get(v, "$", _CHECKED)
+
+    def judge(c: Column) -> Column:
+        p = c["payload"]
+        least = lambda value: F.coalesce(value >= 0, F.lit(True))
+        among = lambda value, known: F.coalesce(value.isin(*known), F.lit(True))
+        interval = is_rfc3339(p["t_start"]) & is_rfc3339(p["t_end"])
+        component = lambda x: F.coalesce(x["kind"].isin(*S.ENERGY_KINDS) & (x["energy_j"] >= 0) & x["method"].isin(*S.ENERGY_METHODS), F.lit(False))
+        process = lambda x: F.coalesce(x["pid"].isNotNull() & (x["cpu_time_delta_ms"] >= 0), F.lit(False)) & least(
+            x["memory_rss_bytes"]) & least(x["io_read_bytes"]) & least(x["io_write_bytes"])
+        usage = least(p["duration_ms"]) & p["usage_source"].isin(*S.USAGE_SOURCES) & among(p["status"], S.STATUSES)
+        for n in USAGE_KEYS:
+            usage = usage & least(p["usage"][n])
+        values = {
+            "llm_call": usage,
+            "energy_sample": interval & (F.size(p["components"]) > 0) & F.forall(p["components"], component),
+            "action_span": interval & p["tool_kind"].isin(*S.TOOL_KINDS) & p["execution_locus"].isin(*S.LOCI) & among(p["status"], S.STATUSES),
+            "process_sample": interval & F.forall(p["processes"], process),
+            "session_meta": among(p["power_source"], S.POWER_SOURCES),
+        }
+        right = F.coalesce(*[F.when((c["type"] == n) & shape.rlike(f"^{_line_shape(n)}$"), x) for n, x in values.items()], F.lit(False))
+        return right & c["schema_version"].rlike(S.VERSION_PATTERN) & (F.length(c["event_id"]) >= S.MIN_EVENT_ID_LEN) & is_rfc3339(c["ts"])
+
+    held = F.get(F.transform(F.array(c), lambda c: F.when(c.isNotNull() & ~F.contains(line, F.lit("null")), judge(c))), 0)
+    return F.coalesce(held, F.lit(False))
+
+
 def classify(lines: DataFrame, line: str = "line") -> DataFrame:
     """Add ``v``, ``type``, ``outcome`` (known / opaque / rejected), ``reason_kind`` and ``reason``.
 
@@ -232,19 +308,26 @@ def classify(lines: DataFrame, line: str = "line") -> DataFrame:
     # Generating the checked columns, rather than projecting them, keeps the optimizer from copying
     # the long rule expressions into every later use of their result.
     parsed = lines.withColumn("v", F.explode(F.array(F.try_parse_json(line))))
-    tag = text(v, "$.type")
-    unknown_type = F.coalesce(tag.isNotNull() & ~tag.isin(*S.EVENT_TYPES), F.lit(False))
-    version = bad_version(v)
-    checked = F.struct(
-        tag.alias("type"),
-        unknown_type.alias("unknown_type"),
-        version.alias("version"),
-        F.when(version.isNotNull(), F.lit(None).cast("string"))
-        .when(unknown_type, opaque_violation(v))
-        .otherwise(contract_violation(v))
-        .alias("violation"),
-    )
-    df = parsed.withColumn("c", F.explode(F.array(checked)))
+
+    def checked(v: Column) -> Column:
+        tag = text(v, "$.type")
+        unknown_type = F.coalesce(tag.isNotNull() & ~tag.isin(*S.EVENT_TYPES), F.lit(False))
+        version = bad_version(v)
+        return F.struct(
+            tag.alias("type"),
+            unknown_type.alias("unknown_type"),
+            version.alias("version"),
+            F.when(version.isNotNull(), F.lit(None).cast("string"))
+            .when(unknown_type, opaque_violation(v))
+            .otherwise(contract_violation(v))
+            .alias("violation"),
+        )
+
+    nothing = F.lit(None).cast("string")
+    right = F.struct(F.try_variant_get(v, "$.type", "string").alias("type"), F.lit(False).alias("unknown_type"), nothing.alias("version"), nothing.alias("violation"))
+    # The rules stand in a function of the value: generated code of all of them in one method is too long to be compiled.
+    judged = F.transform(F.array(v), lambda v: F.when(v.isNotNull() & ~sound(v, F.col(line)), checked(v)).when(v.isNotNull(), right))
+    df = parsed.withColumn("c", F.explode(judged))
     oversized = F.col("oversized") if "oversized" in lines.columns else F.lit(False)
     reason_kind = (
         F.when(oversized, "oversized").when(v.isNull(), "json").when(F.col("c.version").isNotNull(), "unknown_version").when(F.col("c.violation").isNotNull(), "schema")
