@@ -68,7 +68,7 @@ def _(spark, sf):
     """Every event line as spool files that grow between two drains of one tail: each line arrives once."""
     base = f"{shared_dir(spark)}/spool-{uuid.uuid4().hex}"
     spark.dataSource.register(SpoolTail)
-    whole, first = _growing(X.event_lines(T.facts(spark, sf)).select(F.col("value").alias("line"), "arrival"))
+    whole, first = _growing(X.event_lines(T.balanced(T.facts(spark, sf))).select(F.col("value").alias("line"), "arrival"))
     for part in (first, whole):
         spool.write_spool(part, f"{base}/in")
         stream = spark.readStream.format("spool_tail").load(f"{base}/in").select("line")
@@ -88,7 +88,7 @@ def _(spark, sf):
     base = f"{shared_dir(spark)}/spool-{uuid.uuid4().hex}"
     spark.dataSource.register(SpoolTail)
     store = Store(spark, f"{base}/store")
-    lines = X.event_lines(T.facts(spark, sf)).select(F.col("value").alias("line"), F.col("arrival").cast("double").alias("arrival"))
+    lines = X.event_lines(T.balanced(T.facts(spark, sf))).select(F.col("value").alias("line"), F.col("arrival").cast("double").alias("arrival"))
     blank = lines.where("arrival % 10 = 3").select(F.lit("").alias("line"), F.col("arrival") + 0.5)
     whole, first = _growing(lines.union(blank))
 
@@ -127,7 +127,7 @@ def _(spark, sf):
     """Lines gather until they are a quarter of all or a new file comes; a drain takes the rest."""
     base = f"{shared_dir(spark)}/spool-{uuid.uuid4().hex}"
     spark.dataSource.register(SpoolTail)
-    facts = X.event_lines(T.facts(spark, sf)).select(F.col("value").alias("line"), "arrival")
+    facts = X.event_lines(T.balanced(T.facts(spark, sf))).select(F.col("value").alias("line"), "arrival")
     most = facts.agg(F.max("arrival") + 1).first()[0] or 1
     step = F.expr(_STEP.format(div="div", most=most))
     files = F.when(step < 3, 4).otherwise(5)

@@ -40,6 +40,8 @@ SCHEMA = (
     "line_number bigint, line string, oversized boolean, truncated boolean, bytes bigint, piece_offset bigint"
 )
 BLOCK = 1 << 20
+#: Bytes that one task reads, about, where pieces are smaller; and the least that is read at once.
+TASK_BYTES, LEAST_READ = 8 << 20, 1 << 14
 
 
 class SpoolTail(DataSource):
@@ -73,6 +75,13 @@ class Piece(InputPartition):
         self.name, self.first, self.start, self.end, self.truncated = name, first, start, end, truncated
 
 
+class Pieces(InputPartition):
+    """Pieces of one file that lie behind one another, for one task."""
+
+    def __init__(self, pieces: list[Piece]):
+        self.pieces = pieces
+
+
 class SpoolTailReader(DataSourceStreamReader):
     def __init__(
         self, path: str, max_read: int, limit: int | None = None, numbered: bool = False, pieces: bool = False,
@@ -196,8 +205,8 @@ class SpoolTailReader(DataSourceStreamReader):
                 at += len(block)
         return at
 
-    def partitions(self, start: dict, end: dict) -> list[Piece]:
-        pieces = []
+    def partitions(self, start: dict, end: dict) -> list[Pieces]:
+        tasks, together = [], max(1, TASK_BYTES // self.max_read)
         self.reached = dict(end)
         for name, to in end.items():
             since = start.get(name, 0)
@@ -205,32 +214,36 @@ class SpoolTailReader(DataSourceStreamReader):
             if truncated:
                 since = 0
             # An unchanged file yields no partition and is not opened.
-            for low in range(since, to, self.max_read):
-                pieces.append(Piece(name, since, low, min(low + self.max_read, to), truncated))
-        return pieces
+            pieces = [Piece(name, since, low, min(low + self.max_read, to), truncated) for low in range(since, to, self.max_read)]
+            tasks += [Pieces(pieces[k : k + together]) for k in range(0, len(pieces), together)]
+        return tasks
 
-    def read(self, piece: Piece) -> Iterator[tuple]:
+    def read(self, task: Pieces) -> Iterator[tuple]:
         filesystem, root = self._open()
+        with filesystem.open_input_file(f"{root}/{task.pieces[0].name}") as f:
+            for piece in task.pieces:
+                yield from self._read_piece(f, piece)
+
+    def _read_piece(self, f, piece: Piece) -> Iterator[tuple]:
         collector, session = re.match(FILE_PATTERN, piece.name).groups()
         head = (piece.name, collector, session, f"{collector}:{session}")
-        with filesystem.open_input_file(f"{root}/{piece.name}") as f:
-            # A line belongs to the piece its first byte is in; the byte before says whether one begins here.
-            inside = piece.start > piece.first
-            number = 1 + self._newlines(f, piece.start - inside) if self.numbered else None
-            f.seek(piece.start - inside)
-            lines = 0
-            for at, size, line in self._lines(f, piece.start - inside, piece.end):
-                if inside:  # the end of a line that an earlier piece has
-                    inside = False
-                else:
-                    lines += 1
-                    if size:
-                        oversized = size > self.max_read
-                        text = line.decode("utf-8", "replace") + ("…" if oversized else "")
-                        yield (*head, at, lines if self.pieces else number, text, oversized, piece.truncated, size, piece.start)
-                number = number + 1 if self.numbered else None
-            if self.pieces:
-                yield (*head, piece.start, lines, None, False, piece.truncated, 0, piece.start)
+        # A line belongs to the piece its first byte is in; the byte before says whether one begins here.
+        inside = piece.start > piece.first
+        number = 1 + self._newlines(f, piece.start - inside) if self.numbered else None
+        f.seek(piece.start - inside)
+        lines = 0
+        for at, size, line in self._lines(f, piece.start - inside, piece.end):
+            if inside:  # the end of a line that an earlier piece has
+                inside = False
+            else:
+                lines += 1
+                if size:
+                    oversized = size > self.max_read
+                    text = line.decode("utf-8", "replace") + ("…" if oversized else "")
+                    yield (*head, at, lines if self.pieces else number, text, oversized, piece.truncated, size, piece.start)
+            number = number + 1 if self.numbered else None
+        if self.pieces:
+            yield (*head, piece.start, lines, None, False, piece.truncated, 0, piece.start)
 
     def _newlines(self, f, until: int) -> int:
         f.seek(0)
@@ -243,7 +256,8 @@ class SpoolTailReader(DataSourceStreamReader):
     def _lines(self, f, at: int, end: int) -> Iterator[tuple[int, int, bytes]]:
         """(start, size, line) of the lines that start before ``end``, from one pass; of too long ones a sample."""
         kept, size = [], 0
-        while at < end and (block := f.read(BLOCK)):
+        # A small piece reads little more than itself, a long line more each time.
+        while at < end and (block := f.read(min(BLOCK, max(end - at, size, LEAST_READ)))):
             begin = 0
             while at < end:
                 cut = block.find(b"\n", begin)
