@@ -199,7 +199,7 @@ class _Refusing(Store):
 def _held(spark: SparkSession, sf: str, refused: range, keep=None) -> tuple[Store, dict[str, int]]:
     """Four batches of event lines through a hold, each delivered after the one before; the store and the last counts."""
     base = f"{shared_dir(spark)}/hold-{uuid.uuid4().hex}"
-    lines = cut(X.event_lines(T.facts(spark, sf)).select(F.col("value").alias("line"), F.col("arrival").alias("byte_offset")))
+    lines = cut(X.event_lines(T.balanced(T.facts(spark, sf))).select(F.col("value").alias("line"), F.col("arrival").alias("byte_offset")))
     most = lines.agg(F.max("byte_offset") + 1).first()[0] or 1
     store, counts = _Refusing(spark, f"{base}/store", refused), {}
     write, rows = I.writing(store, "job"), lines.count()
