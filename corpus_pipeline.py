@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattledger.llm import bpe, crf, minhash, mixing, suffix
+from wattledger.llm import bpe, crf, minhash, mixing, simhash, suffix
 from wattledger.llm.common import documents, domain_of, fresh, prepare, word_count
 from wattledger.session import cut
 
@@ -28,11 +28,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group that shares 0.8 of its five-word shingles from one to the next.
+    """Keep the document with the smallest id of each group that operator 10 links.
 
-    Operator 10's three words and three bits are its contract; they would lose most pairs of that similarity.
+    Its three words and three bits leave most near copies of longer texts, so of what it keeps only one of each group
+    that shares 0.8 of its five-word shingles from one to the next stays.
     """
-    return minhash.one_of_each_group(docs)
+    return minhash.one_of_each_group(cut(simhash.one_of_each_group(docs)))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
