@@ -37,23 +37,28 @@ class HookPairing(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
         (session_id,) = key
-        out = []
+        # Each look at the state is a call out of the worker: it is read once and what changed is written once.
+        before = {span_id: value for (span_id,), value in self.opened.iterator()}
+        opened, renewed, out = dict(before), set(), []
         for r in _in_order(rows, "arrival").itertuples(index=False):
             if r.event in ("Stop", "SessionEnd"):
-                for (span_id,), (start, name) in sorted(self.opened.iterator()):
+                for span_id, (start, name) in sorted(opened.items()):
                     out.append((session_id, span_id, r.arrival, name, start, r.ts_ms, "unknown", True))
-                self.opened.clear()
+                opened.clear()
             elif r.tool_use_id == "":
                 continue
             elif r.event == "PreToolUse":
-                self.opened.updateValue((r.span_id,), (r.ts_ms, r.tool_name))
+                opened[r.span_id] = (r.ts_ms, r.tool_name)
+                renewed.add(r.span_id)
             elif r.event in ("PostToolUse", "PostToolUseFailure"):
-                found = self.opened.getValue((r.span_id,)) if self.opened.containsKey((r.span_id,)) else None
-                if found is not None:
-                    self.opened.removeKey((r.span_id,))
+                found = opened.pop(r.span_id, None)
                 ok = "ok" if r.event == "PostToolUse" else ("cancelled" if r.is_interrupt else "error")
                 start, name = (found[0], r.tool_name or found[1]) if found else (r.ts_ms, r.tool_name)
                 out.append((session_id, r.span_id, r.arrival, name, start, r.ts_ms, ok if found else "unknown", False))
+        for span_id in before.keys() - opened.keys():
+            self.opened.removeKey((span_id,))
+        for span_id in renewed & opened.keys():
+            self.opened.updateValue((span_id,), opened[span_id])
         if out:
             yield pd.DataFrame(out, columns=[c.split()[0] for c in SPAN_SCHEMA.split(", ")])
 
