@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from wattledger import schemas as S
 from wattledger.functions import format_ms, parse_ms, provider_id, sanitize_id, stable_id
 from wattledger.operators.ordered import last_before
-from wattledger.operators.validate import field, kind, text
 from wattledger.session import cut
 
 # Fixed values of the contract: names the exporters use.
@@ -42,36 +41,68 @@ VENDOR_B_TOOLS = {
 }
 LOCUS_OF_KIND = {"bash": "local", "file_op": "local", "subagent": "local", "web": "remote", "mcp": "unknown", "other": "unknown"}
 
-_MAP = "map<string,variant>"
+# What is read of a body, in one pass over it.  Leaves stay variants, because their JSON types decide.
+_LEAVES = "struct<stringValue:variant,intValue:variant,doubleValue:variant,boolValue:variant>"
+_ATTRIBUTES = "array<struct<key:variant,value:variant>>"
+_RECORD = f"struct<timeUnixNano:variant,body:struct<stringValue:variant>,attributes:{_ATTRIBUTES}>"
+_SCOPE = f"struct<scope:struct<name:variant,attributes:{_ATTRIBUTES}>,logRecords:array<{_RECORD}>>"
+_RESOURCES = f"array<struct<resource:struct<attributes:{_ATTRIBUTES}>,scopeLogs:array<{_SCOPE}>>>"
+# For counting alone: no element is copied.
+_SIZES = "array<struct<scopeLogs:array<struct<logRecords:array<boolean>>>>>"
+
+
+def _settled(df: DataFrame, **columns: Column) -> DataFrame:
+    """The rows with new columns, generated rather than projected, so that no later use computes them again."""
+    made = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.withColumn("x", F.explode(F.array(made))).select("*", "x.*").drop("x")
 
 
 # ---------------------------------------------------------------- flatten
 
 
-def _items(v: Column, path: str) -> Column:
-    """Array elements at a path, empty when there is no array."""
-    arr = F.when(kind(v, path).startswith("ARRAY"), F.try_variant_get(v, path, "array<variant>"))
-    return F.coalesce(arr, F.array().cast("array<variant>"))
+def _leaf_text(v: Column) -> Column:
+    """The string a variant is; null when it is something else."""
+    return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
 
 
-def attributes(v: Column, path: str) -> Column:
-    """Attribute list as a map of value objects; oversized keys and string values are left out."""
+def _typed_map(items: Column) -> Column:
+    """An attribute list as a map of (text, count, flag); oversized keys and string values are left out."""
+    read = F.transform(
+        F.coalesce(items, F.array().cast(_ATTRIBUTES)),
+        lambda a: F.struct(
+            _leaf_text(a["key"]).alias("key"), a["value"].isNotNull().alias("there"),
+            F.try_variant_get(a["value"], "$", _LEAVES).alias("leaves"),
+        ),
+    )
+    typed = F.transform(
+        read,
+        lambda a: F.struct(
+            a["key"].alias("key"), a["there"].alias("there"),
+            F.struct(
+                _leaf_text(a["leaves"]["stringValue"]).alias("text"), _u64(a["leaves"]).alias("count"), _bool(a["leaves"]).alias("flag")
+            ).alias("value"),
+        ),
+    )
     kept = F.filter(
-        _items(v, path),
-        lambda a: (kind(a, "$.key") == "STRING")
-        & kind(a, "$.value").isNotNull()
-        & (F.octet_length(F.try_variant_get(a, "$.key", "string")) <= S.MAX_ATTR_KEY_BYTES)
-        & (F.coalesce(F.octet_length(text(a, "$.value.stringValue")), F.lit(0)) <= S.MAX_ATTR_VALUE_BYTES),
+        typed,
+        lambda a: a["there"]
+        & (F.octet_length(a["key"]) <= S.MAX_ATTR_KEY_BYTES)
+        & (F.coalesce(F.octet_length(a["value"]["text"]), F.lit(0)) <= S.MAX_ATTR_VALUE_BYTES),
     )
-    entry = lambda a: F.struct(F.try_variant_get(a, "$.key", "string").alias("key"), field(a, "$.value").alias("value"))
-    return F.map_from_entries(F.transform(kept, entry))
+    return F.map_from_entries(F.transform(kept, lambda a: F.struct(a["key"].alias("key"), a["value"].alias("value"))))
+
+
+def attributes(v: Column, path: str) -> Column:
+    """Attribute list at a path as a map of typed values: its string, its count and its flag, each null where it is none."""
+    return _typed_map(F.try_variant_get(v, path, _ATTRIBUTES))
 
 
 def record_count(v: Column) -> Column:
     """Log records of a body, counted before anything is flattened."""
-    per_scope = lambda s: F.size(_items(s, "$.logRecords"))
-    per_resource = lambda r: F.aggregate(F.transform(_items(r, "$.scopeLogs"), per_scope), F.lit(0), lambda a, n: a + n)
-    return F.aggregate(F.transform(_items(v, "$.resourceLogs"), per_resource), F.lit(0), lambda a, n: a + n)
+    total = lambda sizes: F.aggregate(sizes, F.lit(0), lambda a, n: a + F.coalesce(n, F.lit(0)))
+    per_scope = lambda s: F.when(s["logRecords"].isNotNull(), F.size(s["logRecords"]))
+    per_resource = lambda r: total(F.transform(r["scopeLogs"], per_scope))
+    return F.coalesce(total(F.transform(F.try_variant_get(v, "$.resourceLogs", _SIZES), per_resource)), F.lit(0))
 
 
 def decode(bodies: DataFrame, body: str = "body") -> tuple[DataFrame, DataFrame]:
@@ -79,37 +110,37 @@ def decode(bodies: DataFrame, body: str = "body") -> tuple[DataFrame, DataFrame]
 
     ``bodies`` carries ``body_id`` and an integer ``arrival``.
     """
-    parsed = bodies.withColumn("v", F.explode(F.array(F.try_parse_json(body))))
+    parsed = _settled(bodies, v=F.try_parse_json(body))
     sized = parsed.withColumn("n_records", record_count(F.col("v")))
     over = sized.where(F.coalesce(F.col("n_records") > S.MAX_LOG_RECORDS, F.lit(False)) | F.col("v").isNull()).select(
         "body_id", "arrival", F.when(F.col("v").isNull(), "not JSON").otherwise("over capacity").alias("reason"),
         F.octet_length(body).cast("bigint").alias("bytes"),
     )
-    fine = sized.where(F.col("v").isNotNull() & (F.col("n_records") <= S.MAX_LOG_RECORDS))
-    resources = fine.select("body_id", "arrival", F.posexplode(_items(F.col("v"), "$.resourceLogs")).alias("ri", "r"))
-    scopes = resources.select(
-        "body_id", "arrival", "ri", attributes(F.col("r"), "$.resource.attributes").alias("resource_attrs"),
-        F.posexplode(_items(F.col("r"), "$.scopeLogs")).alias("si", "s"),
+    fine = sized.where(F.col("v").isNotNull() & (F.col("n_records") <= S.MAX_LOG_RECORDS)).select("body_id", "arrival", "v")
+    # Attributes of a resource and of a scope are read once, not for each of their records.
+    scope = lambda s: F.struct(
+        _typed_map(s["scope"]["attributes"]).alias("attrs"), _leaf_text(s["scope"]["name"]).alias("name"), s["logRecords"].alias("logs")
     )
-    rows = scopes.select(
-        "body_id", "arrival", "ri", "si", "resource_attrs",
-        attributes(F.col("s"), "$.scope.attributes").alias("scope_attrs"),
-        text(F.col("s"), "$.scope.name").alias("scope_name"),
-        F.posexplode(_items(F.col("s"), "$.logRecords")).alias("li", "l"),
+    resource = lambda r: F.struct(_typed_map(r["resource"]["attributes"]).alias("attrs"), F.transform(r["scopeLogs"], scope).alias("scopes"))
+    read = _settled(fine, tree=F.try_variant_get(F.col("v"), "$.resourceLogs", _RESOURCES))
+    listed = _settled(read.drop("v"), resources=F.transform("tree", resource))
+    # The index runs over the whole body: it is the place in the list of all its records.
+    joined = lambda lists: F.flatten(F.array_compact(lists))
+    record = lambda r, s: lambda log: F.struct(
+        r["attrs"].alias("resource_attrs"), s["attrs"].alias("scope_attrs"), s["name"].alias("scope_name"), log.alias("log")
     )
-    # The index runs over the whole body; a body has at most MAX_LOG_RECORDS rows.
-    from pyspark.sql import Window
-
-    position = F.row_number().over(Window.partitionBy("body_id").orderBy("ri", "si", "li")) - 1
-    nano = F.try_variant_get(F.col("l"), "$.timeUnixNano", "string")
-    nano_kind = kind(F.col("l"), "$.timeUnixNano")
-    records = rows.select(
-        "body_id", "arrival", position.alias("index"), "scope_name",
-        text(F.col("l"), "$.body.stringValue").alias("record_body"),
+    of_resource = lambda r: joined(F.transform(r["scopes"], lambda s: F.transform(s["logs"], record(r, s))))
+    rows = listed.select("body_id", "arrival", F.posexplode(joined(F.transform("resources", of_resource))).alias("index", "record"))
+    log = F.col("log")
+    own = _settled(rows.select("body_id", "arrival", "index", "record.*"), own=_typed_map(log["attributes"]))
+    nano = F.try_variant_get(log["timeUnixNano"], "$", "string")
+    nano_kind = F.schema_of_variant(log["timeUnixNano"])
+    records = own.select(
+        "body_id", "arrival", "index", "scope_name", _leaf_text(log["body"]["stringValue"]).alias("record_body"),
         F.when(nano_kind.isin("STRING", "BIGINT") & nano.rlike(r"^[+-]?[0-9]+$"), nano.try_cast("decimal(38,0)")).alias("time_nano"),
         # Later scopes win: record over scope over resource; a present key counts whatever its type.
-        F.map_concat("resource_attrs", "scope_attrs", attributes(F.col("l"), "$.attributes")).alias("attrs"),
-        F.map_keys(attributes(F.col("l"), "$.attributes")).alias("own_keys"),
+        F.map_concat("resource_attrs", "scope_attrs", "own").alias("attrs"),
+        F.map_keys("own").alias("own_keys"),
     )
     return records, over
 
@@ -125,51 +156,50 @@ def has(key: str) -> Column:
     return F.map_contains_key("attrs", key)
 
 
-def _string(v: Column) -> Column:
-    return text(v, "$.stringValue")
-
-
 def get_string(key: str) -> Column:
-    return _string(_attr(key))
+    return _attr(key)["text"]
 
 
 def _digits(value: Column) -> Column:
     return F.when(value.rlike(r"^\+?[0-9]+$"), value.try_cast("bigint"))
 
 
-def _u64(v: Column) -> Column:
+def _u64(leaves: Column) -> Column:
     """Count from ``intValue`` (number or digits), else digits in ``stringValue``, else a whole ``doubleValue``.
 
     An ``intValue`` that is there but unusable does not fall through.
     """
-    int_kind = kind(v, "$.intValue")
-    whole = F.try_variant_get(v, "$.intValue", "bigint")
+    int_, double = leaves["intValue"], leaves["doubleValue"]
+    int_kind = F.schema_of_variant(int_)
+    whole = F.try_variant_get(int_, "$", "bigint")
     from_int = F.when(int_kind == "BIGINT", F.when(whole >= 0, whole)).when(
-        int_kind == "STRING", _digits(F.try_variant_get(v, "$.intValue", "string"))
+        int_kind == "STRING", _digits(F.try_variant_get(int_, "$", "string"))
     )
-    double_kind = kind(v, "$.doubleValue")
+    double_kind = F.schema_of_variant(double)
     number = F.when(
         (double_kind == "BIGINT") | (double_kind == "DOUBLE") | double_kind.startswith("DECIMAL"),
-        F.try_variant_get(v, "$.doubleValue", "double"),
+        F.try_variant_get(double, "$", "double"),
     )
     from_double = F.when((number >= 0) & (number < 9.2e18) & (F.floor(number) == number), number.cast("bigint"))
+    string = leaves["stringValue"]
     return (
-        F.when(int_kind.isNotNull(), from_int)
-        .when(kind(v, "$.stringValue") == "STRING", _digits(F.try_variant_get(v, "$.stringValue", "string")))
-        .otherwise(from_double)
+        F.when(int_.isNotNull(), from_int)
+        .when(F.schema_of_variant(string) == "STRING", _digits(F.try_variant_get(string, "$", "string")))
+        .otherwise(F.when(double.isNotNull(), from_double))
     )
 
 
 def get_u64(key: str) -> Column:
-    return _u64(_attr(key))
+    return _attr(key)["count"]
 
 
-def _bool(v: Column) -> Column:
-    return F.when(kind(v, "$.boolValue") == "BOOLEAN", F.try_variant_get(v, "$.boolValue", "boolean"))
+def _bool(leaves: Column) -> Column:
+    flag = leaves["boolValue"]
+    return F.when(F.schema_of_variant(flag) == "BOOLEAN", F.try_variant_get(flag, "$", "boolean"))
 
 
 def get_bool(key: str) -> Column:
-    return _bool(_attr(key))
+    return _attr(key)["flag"]
 
 
 def nano_ms(nano: Column) -> Column:
@@ -194,13 +224,15 @@ def nano_text(nano: Column) -> Column:
 @dataclass(frozen=True)
 class Normalizer:
     """``applies``: whether a record is its business.  ``maps``: whether it can be mapped; ``event``: the mapped event.
-    ``drops``: whether an unmappable record is dropped (else it stays unclaimed).  All read typed attributes."""
+    ``drops``: whether an unmappable record is dropped (else it stays unclaimed).  All read typed attributes.
+    ``carries``: its event reads ``carried_provider``."""
 
     name: str
     applies: Callable[[], Column]
     maps: Callable[[], Column]
     event: Callable[[], Column]
     drops: Callable[[], Column] = lambda: F.lit(True)
+    carries: bool = False
 
 
 # Attributes the normalisers read, by type: each is looked up once per record.
@@ -222,24 +254,16 @@ def _name(kind_: str, key: str) -> str:
     return f"{kind_}_{key.replace('.', '_')}"
 
 
-def _settled(df: DataFrame, **columns: Column) -> DataFrame:
-    """The rows with new columns, generated rather than projected, so that no later use computes them again."""
-    made = F.struct(*[c.alias(n) for n, c in columns.items()])
-    return df.withColumn("x", F.explode(F.array(made))).select("*", "x.*").drop("x")
-
-
 def typed_attributes(records: DataFrame) -> DataFrame:
     """The records with one column for each attribute that a normaliser reads, in place of the attribute map.
 
-    Each value is read once as text, count and flag by one expression for all keys; what the normalisers share, the
-    sanitised conversation and the record's time, becomes columns too.  So the code that is generated stays short.
+    What the normalisers share, the sanitised conversation and the record's time, becomes columns too.  So the code that
+    is generated stays short.
     """
-    readers = {"text": (STRINGS, _string), "count": (COUNTS, _u64), "flag": (FLAGS, _bool)}
-    value = lambda _, v: F.struct(*[read(v).alias(n) for n, (_, read) in readers.items()])
-    typed = _settled(records, typed=F.transform_values("attrs", value))
-    found = {_name(n, k): F.try_element_at("typed", F.lit(k))[n] for n, (keys, _) in readers.items() for k in keys}
-    there = {_name("has", k): F.map_contains_key("typed", F.lit(k)) for k in PRESENT}
-    flat = _settled(typed, **found, **there).drop("attrs", "typed")
+    readers = {"text": STRINGS, "count": COUNTS, "flag": FLAGS}
+    found = {_name(n, k): _attr(k)[n] for n, keys in readers.items() for k in keys}
+    there = {_name("has", k): has(k) for k in PRESENT}
+    flat = _settled(records, **found, **there).drop("attrs")
     nano, stamp = F.col("time_nano"), parse_ms(_text("event.timestamp"))
     timed = _settled(flat, conversation=sanitize_id(_text("conversation.id")), stamp_ms=stamp)
     return timed.withColumns({
@@ -420,41 +444,46 @@ NORMALIZERS: tuple[Normalizer, ...] = (
     Normalizer(
         "vendor_b_call",
         lambda: _named(VENDOR_B_CALL) & F.coalesce(_text("event.kind") == VENDOR_B_CALL_KIND, F.lit(False)),
-        _vendor_b_call_maps, _vendor_b_call, _any_usage,
+        _vendor_b_call_maps, _vendor_b_call, _any_usage, carries=True,
     ),
     Normalizer("vendor_b_tool", lambda: _named(VENDOR_B_TOOL), _vendor_b_tool_maps, _vendor_b_tool),
     Normalizer("gen_ai", _genai_applies, _genai_maps, _genai_event),
 )
 
 
-def with_provider(records: DataFrame) -> DataFrame:
-    """Provider named by the latest earlier start of the same conversation, in arrival order."""
-    named = F.when(_named(VENDOR_B_SESSION), provider_id(_text("provider_name")))
-    keyed = records.withColumns(
-        {
-            "record_seq": F.col("arrival") * S.MAX_LOG_RECORDS + F.col("index"),
-            "named_provider": F.when(_conversation().isNotNull(), named),
-        }
-    )
-    return last_before(keyed, ["conversation"], "record_seq", F.col("named_provider"), "carried_provider")
+def with_provider(records: DataFrame, wanted: Column) -> DataFrame:
+    """The wanted records with the provider named by the latest earlier start of the same conversation, in arrival order.
+
+    Only they and the starts are sorted by conversation.
+    """
+    named = F.when(_conversation().isNotNull() & _named(VENDOR_B_SESSION), provider_id(_text("provider_name")))
+    keyed = records.withColumns({"wanted": F.coalesce(wanted, F.lit(False)), "named_provider": named})
+    kept = keyed.where(F.col("wanted") | F.col("named_provider").isNotNull())
+    return last_before(kept, ["conversation"], "record_seq", F.col("named_provider"), "carried_provider").where("wanted")
 
 
 def normalize(records: DataFrame, normalizers: Sequence[Normalizer] = NORMALIZERS) -> DataFrame:
     """Claim every record: ``normalizer``, ``outcome`` (event / dropped / unclaimed) and ``event``.
 
-    An unmappable record its normaliser does not drop is offered to the next one.  The typed attributes are written
-    once; each normaliser then maps the records it has claimed in a branch of its own.
+    An unmappable record its normaliser does not drop is offered to the next one.  The typed attributes and claims are
+    written once; each normaliser then maps the records it has claimed in a branch of its own, which names itself and its
+    outcome by literals, so that a filter on them leaves out whole branches.
     """
-    typed = cut(with_provider(cut(typed_attributes(records))).withColumn("claim", _claim(normalizers)))
-    out = ["body_id", "arrival", "index", "record_seq", "own_keys", "carried_provider", "normalizer", "outcome"]
-    claimed = typed.withColumns({"normalizer": F.col("claim.name"), "outcome": F.col("claim.outcome")})
-    mapped = [
-        claimed.where((F.col("normalizer") == n.name) & (F.col("outcome") == "event")).select(*out, n.event().alias("event"))
-        for n in normalizers
-    ]
-    kind_ = mapped[0].schema["event"].dataType
-    rest = claimed.where("outcome <> 'event'").select(*out, F.lit(None).cast(kind_).alias("event"))
-    return reduce(DataFrame.unionByName, mapped, rest)
+    seq = F.col("arrival") * S.MAX_LOG_RECORDS + F.col("index")
+    found = _settled(typed_attributes(records).withColumn("record_seq", seq), claim=_claim(normalizers))
+    claimed = cut(found.select("*", F.col("claim.name").alias("normalizer"), F.col("claim.outcome").alias("outcome")).drop("claim"))
+    out = ["body_id", "arrival", "index", "record_seq", "own_keys"]
+
+    def mapped(n: Normalizer) -> DataFrame:
+        mine = (F.col("normalizer") == n.name) & (F.col("outcome") == "event")
+        rows = with_provider(claimed, mine) if n.carries else claimed.where(mine)
+        return rows.select(*out, F.lit(n.name).alias("normalizer"), F.lit("event").alias("outcome"), n.event().alias("event"))
+
+    events = [mapped(n) for n in normalizers]
+    kind_ = events[0].schema["event"].dataType
+    other = F.when(F.col("outcome") == "dropped", "dropped").otherwise("unclaimed")
+    rest = claimed.where("outcome <> 'event'").select(*out, "normalizer", other.alias("outcome"), F.lit(None).cast(kind_).alias("event"))
+    return reduce(DataFrame.unionByName, events, rest)
 
 
 def _claim(normalizers: Sequence[Normalizer]) -> Column:
