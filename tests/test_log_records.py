@@ -40,3 +40,9 @@ def test_a_reader_of_one_normaliser_reads_one_branch(spark):
     mine = claimed.where("normalizer = 'vendor_a' and outcome = 'event'").select("event.llm_call.usage.input_tokens")
     assert "Union" not in _plan(mine) and "Window" not in _plan(mine)
     assert [r[0] for r in mine.collect()] == [3]
+
+
+def test_counters_read_bodies_that_are_made_once(spark):
+    from wattledger import catalog
+
+    assert "to_json" not in _plan(catalog.queries()["ot19_receiver_counters"](spark, "/root/testdata/sf0.001"))

@@ -10,6 +10,7 @@ from wattledger.catalog import query
 from wattledger.catalog.attribution import r
 from wattledger.catalog.prelude import iso, with_views as V
 from wattledger.operators import otlp as O
+from wattledger.session import cut
 from wattledger.sources import bodies as EB
 from wattledger.sources import tables as T
 
@@ -292,8 +293,11 @@ SELECT count(*) FILTER (outcome = 'event' AND body_id % 20 <> 0) AS accepted, co
        count(*) FILTER (outcome = 'unclaimed' AND body_id % 20 <> 0) AS unclaimed, count(DISTINCT body_id) AS requests,
        count(DISTINCT CASE WHEN body_id % 20 = 0 THEN body_id END) AS bodies_refused, count(DISTINCT CASE WHEN event_type = 'purchase' THEN body_id END) AS metrics_discarded FROM claim""", **_X))
 def _(spark, sf):
-    """Every twentieth body is above the record limit and refused whole."""
-    b = _with_large(bodies(spark, sf))
-    records, refused = O.decode(T.balanced(b))
+    """Every twentieth body is above the record limit and refused whole.
+
+    Records, refusals and requests are counted over the same bodies, which are made once.
+    """
+    b = cut(_with_large(bodies(spark, sf)))
+    records, refused = O.decode(b)
     metrics = T.event_log(spark, sf).where("event_type = 'purchase'").select(F.floor(F.col("arrival") / PER_BODY).alias("body_id")).distinct()
     return O.receiver_counters(b, O.normalize(records), refused, metrics)
