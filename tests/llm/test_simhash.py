@@ -2,6 +2,7 @@ import random
 import re
 
 import xxhash
+from pyspark.sql import functions as F
 
 from wattledger.llm import simhash
 from wattledger.llm.components import components
@@ -93,3 +94,14 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (7, 7)], "a long, b long")
     got = {r["node"]: r["component"] for r in components(edges).collect()}
     assert got == {**{i: 0 for i in range(201)}, 500: 500, 501: 500}
+
+
+def test_lookups_are_not_broadcast(spark):
+    # 3,000 fingerprints are 24 KB and have 102,000 lookups, some 4 MB.
+    fps = spark.range(3000).select(F.xxhash64("id").alias("fp"))
+    fps = fps.union(fps.select(F.col("fp").bitwiseXOR(F.lit(5))))
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "256k")
+    try:
+        assert simhash.links(fps).distinct().count() == 3000
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")

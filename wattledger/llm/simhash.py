@@ -127,12 +127,12 @@ def links(fps: DataFrame, radius: int = 3, segments: int = 2, block: int = BLOCK
     others already imply inside a key are left out.
     """
     entries = lookups(fps, radius, segments)
-    sizes = entries.groupBy("seg", "key").count()
-    big = sizes.filter(F.col("count") > 2 * block).select(
+    big = entries.groupBy("seg", "key").count().filter(F.col("count") > 2 * block).select(
         "seg", "key", F.ceil(F.col("count") / block).cast("int").alias("blocks")
     )
-    shared = entries.join(sizes.filter("count > 1").select("seg", "key"), ["seg", "key"])
-    placed = shared.join(big, ["seg", "key"], "left")
+    # Spark sizes the entries as if nothing were exploded and would broadcast them.  Big keys are at most one for
+    # 2 * block entries; keys of one fingerprint are passed over below, without a join.
+    placed = entries.join(F.broadcast(big), ["seg", "key"], "left")
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(
         F.sequence(F.lit(0), F.col("blocks") - 1)
@@ -140,7 +140,7 @@ def links(fps: DataFrame, radius: int = 3, segments: int = 2, block: int = BLOCK
     grouped = (
         placed.withColumn("own", F.coalesce(own, F.lit(0))).withColumn("other", other)
         .select("seg", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
-        .repartition("seg", "key", "i", "j").sortWithinPartitions("seg", "key", "i", "j")
+        .repartition("seg", "key", "i", "j").sortWithinPartitions("key", "seg", "i", "j")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,14 +152,13 @@ def links(fps: DataFrame, radius: int = 3, segments: int = 2, block: int = BLOCK
             if rest is None or not rest.shape[1]:
                 continue
             change = np.flatnonzero((rest[:4, 1:] != rest[:4, :-1]).any(0)) + 1
-            bounds = [0, *change.tolist(), rest.shape[1]]
+            bounds = np.concatenate([[0], change, [rest.shape[1]]])
             done = len(bounds) - 1 if batch is None else len(bounds) - 2
             a, b = [], []
-            for k in range(done):
-                if bounds[k + 1] - bounds[k] > 1:
-                    for x, y in _reach(rest[4, bounds[k] : bounds[k + 1]].copy(), radius):
-                        a.append(x)
-                        b.append(y)
+            for k in np.flatnonzero(np.diff(bounds[: done + 1]) > 1).tolist():
+                for x, y in _reach(rest[4, bounds[k] : bounds[k + 1]].copy(), radius):
+                    a.append(x)
+                    b.append(y)
             rest = rest[:, bounds[done] :]
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
