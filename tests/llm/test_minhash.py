@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from wattledger.llm import minhash
@@ -91,3 +92,14 @@ def test_recall_at_the_limit():
         a, b = (minhash.np.unique(minhash.np.array(x, "uint64")) for x in (pool[:100], pool[:90] + pool[100:]))
         missed += not set(minhash.band_keys(a)) & set(minhash.band_keys(b))
     assert missed <= 4
+
+
+def test_keys_are_not_broadcast(spark):
+    # 3,000 short texts have 72,000 keys, some 4 MB.
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.md5(F.col("id").cast("string")).alias("text"))
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "2m")
+    try:
+        rows = minhash.group(docs).collect()
+        assert len(rows) == 3000 and all(r["doc_id"] == r["component"] for r in rows)
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")

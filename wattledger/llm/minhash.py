@@ -10,6 +10,9 @@ verified by the exact similarity:
    among them.  A key with very many texts is divided into blocks, and each pair of blocks is a group of its own.
 
 Texts travel compressed, and shingles are taken anew where two texts meet.
+
+Spark takes an array for one element and what is exploded for no more than it came from, so the joins of keys and pairs
+are asked for as merges: by such sizes it would broadcast tables that grow with the input.
 """
 
 from __future__ import annotations
@@ -101,7 +104,7 @@ def _sets(df: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose texts are near copies."""
-    one, other = (texts.select(F.col("node").alias(c), F.col("z").alias(f"z{c}")) for c in "ab")
+    one, other = (texts.select(F.col("node").alias(c), F.col("z").alias(f"z{c}")).hint("merge") for c in "ab")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         large = zstandard.ZstdDecompressor()
@@ -147,7 +150,7 @@ def _searched(members: DataFrame, texts: DataFrame, block: int, block_words: int
     grouped = (
         members.join(big, "key", "left").withColumn("own", F.coalesce(own, F.lit(0))).withColumn("other", other)
         .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node")
-        .join(texts.select("node", "z"), "node").select("key", "i", "j", "node", "z")
+        .join(texts.select("node", "z").hint("merge"), "node").select("key", "i", "j", "node", "z")
         .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     )
 
@@ -192,7 +195,7 @@ def group(df: DataFrame, key: str = "doc_id", text: str = "text", block: int = B
         ).filter("n > 1").groupBy("n", "first", "last", "x", "s").agg(F.min("key").alias("key")).select("key", "n", "first")
     )
     # Written, so that Spark can split the joins where one text has very many near copies.
-    members = cut(entries.join(keys, "key").select("key", "n", "first", "node"))
+    members = cut(entries.join(keys.hint("merge"), "key").select("key", "n", "first", "node"))
     texts = cut(
         rows.join(members.select("node").distinct(), "node", "left_semi")
         .groupBy("node").agg(F.first("words").alias("words"), F.min("z").alias("z"))

@@ -450,10 +450,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     others = [f"c{i}" for i in range(len(carry))]
     texts = pack(rows.select("ref", "text", *others))
     found = find_anchors(texts.join(copies.select("ref").distinct(), "ref", "left_anti"), window, gram)
-    # Written, so that Spark can split the join where one gram has very many anchors.
+    # Written, so that Spark can split the join where one gram has very many anchors; a merge, as eight bytes a gram in
+    # the file are ten times that in a broadcast.
     twice = cut(found.groupBy("h").count().filter("count > 1").select("h"))
     places = (
-        found.join(twice, "h").select("ref", "place").groupBy("ref").agg(F.array_distinct(F.collect_list("place")).alias("places"))
+        found.join(twice.hint("merge"), "h").select("ref", "place").groupBy("ref").agg(F.array_distinct(F.collect_list("place")).alias("places"))
     )
     suffixes = _suffixes(texts.join(places, "ref"), window, gram)
     cuts = (
